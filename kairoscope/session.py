@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,17 @@ def cut(frame: DataFrame) -> DataFrame:
     """Write ``frame`` to the shared checkpoint folder and read it from there, so that its lineage ends."""
     ensure_checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once a session, wherever the driver imported it from."""
+    context = spark.sparkContext
+    if getattr(context, "_kairoscope_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="kairoscope-ship-")) / "kairoscope_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._kairoscope_shipped = True
