@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from kairoscope.llm import bpe, mixing, secrets
+from kairoscope.llm import bpe, fingerprints, mixing, secrets
 
 QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
 ORACLE_SQL = {
