@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kairoscope.llm import bpe, fingerprints, mixing, secrets
+from kairoscope.llm import bpe, fingerprints, mixing, secrets, toxicity
 
 QUERIES = {
     "op5_bpe": bpe.op5_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_fingerprints": fingerprints.op10_fingerprints,
