@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from kairoscope.llm import bpe, fingerprints, mixing, secrets, toxicity
+from kairoscope.llm import bpe, fingerprints, language, mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
+    "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_source_mixing": mixing.op8_source_mixing,
