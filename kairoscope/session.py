@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
 def get_session(app: str = "kairoscope", master: str = "local[8]", partitions: int = 8) -> SparkSession:
     """A local session with the settings that the tests and the bench use; on a cluster pass your own session."""
     return (
@@ -44,8 +47,13 @@ def cut(frame: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once a session, wherever the driver imported it from."""
+    """Give this package to the Python workers, once a session, wherever the driver imported it from.
+
+    Batches between the JVM and Python are cut small, for texts of any length make them large.
+    """
     context = spark.sparkContext
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     if getattr(context, "_kairoscope_shipped", False):
         return
     root = Path(__file__).resolve().parent
