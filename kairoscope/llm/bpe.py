@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Words that a worker keeps encoded; when they are too many or too long it starts anew.
-KEPT_WORDS, KEPT_LENGTH, KEPT_SEAMS = 300_000, 64, 500_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_SEAMS = 200_000, 64, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -200,9 +200,15 @@ def encode_column(text: Column, path: str = VOCABULARY) -> Column:
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """One row per document: the id, n_tokens, ids (packed) and decoded text."""
-    encoded = docs.select(F.col(id_col), encode_column(F.col(text_col), path).alias("e"))
-    return encoded.select(id_col, F.col("e.n_tokens").alias("n_tokens"), F.col("e.ids").alias("ids"), decoder(path)(F.col("e.ids")).alias("decoded"))
+    """One row per document: the id, n_tokens, ids (packed) and decoded text; one Python worker a task does both."""
+
+    @F.pandas_udf("n_tokens long, ids binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        bpe = tokenizer(path)
+        ids = [bpe.encode(t or "") for t in texts]
+        return pd.DataFrame({"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+
+    return docs.select(F.col(id_col), both(F.col(text_col)).alias("e")).select(id_col, "e.n_tokens", "e.ids", "e.decoded")
 
 
 def digests(trip: DataFrame, id_col: str = "doc_id") -> DataFrame:
