@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kairoscope.llm import bpe, fingerprints, language, mixing, quality, secrets, toxicity
+from kairoscope.llm import bpe, fingerprints, language, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
+    "op3_simhash": simhash.op3_simhash,
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
