@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kairoscope.llm import bpe, fingerprints, language, mixing, quality, secrets, simhash, toxicity
+from kairoscope.llm import bpe, embeddings, fingerprints, language, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_embedding_dedup": embeddings.op1_embedding_dedup,
     "op2_language_id": language.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
     "op4_quality": quality.op4_quality,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_embedding_dedup": embeddings.OP1_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
 }
