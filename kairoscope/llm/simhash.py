@@ -1,19 +1,24 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints.  ASCII capitals become small, words are runs of other than white space (ASCII 9 to 13 and 32), and the shingles of ``WORDS``
+Fingerprints.  ASCII capitals become small, words are runs of other than white space (ASCII 9 to 13 and 32), and the shingles of so many
 words, repeats included, are hashed with XXH64 (UTF-8, seed 42).  A bit of the fingerprint is 1 if it is set in over half of the hashes.
 Fewer words make one shingle; a text without words (null too) has the fingerprint zero, which links like any other.
+Wide fingerprints have three more 64-bit words, from the same hash multiplied by odd constants.
 
-Links.  Two fingerprints link at ``DISTANCE`` or fewer differing bits.  Equal fingerprints become one row first.  Four
-differing bits cannot be spread over four quarters of the bits by three differences, so two linked fingerprints agree in one
-quarter: each fingerprint goes into four orders, each with another quarter in front, and in an order
-links are sought only among those that agree in front.  Every order is dealt into ranges by Gray
-rank, in which neighbours share most bits, and cut into blocks of ``BLOCK`` rows.  A block is a tree:
-each node has the mask of the bits that all below it share and their pattern.  Two trees (or one and
-itself) are joined from the top, and a pair of nodes goes on only while the differences on the shared bits are
-``DISTANCE`` or fewer, none of them in front.  Rows with one front that fill several blocks (a hot front, however large) are joined
-block pair by block pair; pairs of blocks whose tops differ too much are never made.
-A pair of blocks yields a spanning forest of its links, at most one a row, so a group of copies costs no pairs.
+Links.  Two fingerprints link at ``distance`` or fewer differing bits.  Equal fingerprints become one row first.  Each one goes into several orders, and in an
+order links are sought only among those that agree in its front bits:
+
+* ``Exact``: 64 bits, 3 differences.  Three differences cannot touch all four quarters of the bits, so four orders with one quarter each in
+  front find every link.
+* ``Wide``: 256 bits, for a Jaccard similarity of 0.8 or more on shingles of five words; the orders have random bits in front, enough of them that a pair
+  at 0.8 meets in over nine of ten cases and one at 0.9 practically always.
+
+Every order is dealt into ranges by Gray rank (front bits first), in which neighbours share most bits, and cut into blocks.  A
+block is a tree: each node has the mask of the bits that all below it share and their pattern.  Two trees (or one and itself) are
+joined from the top; a pair of nodes goes on only while the differences on the shared bits are within the distance, none of them in front, and while its rows aren't in
+one component already.  Rows with one front that fill several blocks (a hot front, however large) are joined block pair by block pair; pairs
+whose tops differ too much are never made.  A pair of blocks yields a spanning forest of its links, at most one a row, so a
+group of copies costs no pairs.
 
 Results.  One row per document, with the smallest id of all that it reaches; rows that repeat an id are each placed by their own
 text (``survivors`` takes them as one document).  A null id is no node: its row has a fingerprint and a null component.  An empty
@@ -23,6 +28,8 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,15 +41,45 @@ from kairoscope.llm._forest import forest
 from kairoscope.llm.components import components
 from kairoscope.session import cut
 
-WORDS, DISTANCE, SEED = 3, 3, 42
-ORDERS, FRONT = 4, 16
+SEED = 42
+#: Factors of the further words of a wide fingerprint.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Rows of a block, and of a leaf of its tree.
 BLOCK, LEAF = 2048, 8
 #: Node pairs, or shingles, that are looked at together.
 CHUNK = 1 << 16
 
 
-def shingle_hashes(text: str, words: int = WORDS) -> Iterator[np.ndarray]:
+@dataclass(frozen=True)
+class Scheme:
+    """words: of a shingle; size: 64-bit words of a fingerprint; distance: most differing bits; fronts: each order's bits in front."""
+
+    words: int
+    size: int
+    distance: int
+    fronts: tuple[tuple[int, ...], ...]
+
+    @cached_property
+    def masks(self) -> np.ndarray:
+        """The front bits of each order as words."""
+        masks = np.zeros((len(self.fronts), self.size), np.uint64)
+        for o, bits in enumerate(self.fronts):
+            for b in bits:
+                masks[o, b // 64] |= np.uint64(1 << (63 - b % 64))
+        return masks
+
+    @cached_property
+    def turns(self) -> list[np.ndarray]:
+        """For each order 64 bits to sort by: those in front, then the next ones."""
+        return [np.array([*bits, *(b for b in np.roll(np.arange(64 * self.size), -bits[-1] - 1) if b not in set(bits))][:64]) for bits in self.fronts]
+
+
+EXACT = Scheme(3, 1, 3, tuple(tuple(range(16 * k, 16 * k + 16)) for k in range(4)))
+#: Bits in front and orders of the wide scheme; 44 of 256 bits differ at a similarity a little under 0.8.
+WIDE = Scheme(5, 4, 44, tuple(tuple(map(int, np.random.default_rng(o).choice(256, 14, replace=False))) for o in range(24)))
+
+
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
     """The hashes of a text's shingles, in chunks."""
     data = text.encode("utf-8", "surrogatepass").lower()  # of bytes: ASCII letters only
     digest = xxhash.xxh64_intdigest
@@ -67,63 +104,75 @@ def shingle_hashes(text: str, words: int = WORDS) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(kept), SEED)], np.uint64)
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """The fingerprint of a text, unsigned."""
-    total, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, words):
-        for i in range(0, len(hashes), CHUNK):
-            part = hashes[i : i + CHUNK]
-            total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+def fingerprint(text: str, scheme: Scheme = EXACT) -> bytes:
+    """The fingerprint of a text, first bit first."""
+    total, n = np.zeros(64 * scheme.size, np.int64), 0
+    for hashes in shingle_hashes(text, scheme.words):
+        for at in range(0, len(hashes), CHUNK // scheme.size):
+            part = hashes[at : at + CHUNK // scheme.size]
+            more = [(part * np.uint64(f)) ^ (part >> np.uint64(31)) for f in FACTORS[: scheme.size - 1]]
+            bits = np.unpackbits(np.stack([part, *more], 1).astype(">u8").view(np.uint8), axis=1)
+            total += bits.sum(0, dtype=np.int64)
         n += len(hashes)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return np.packbits(2 * total > n).tobytes()
 
 
-def fingerprint_column(text: Column, words: int = WORDS) -> Column:
-    """The fingerprint of a text as a signed long."""
+def fingerprint_column(text: Column, scheme: Scheme = EXACT) -> Column:
+    """The fingerprint of a text as binary."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("binary")
     def made(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t or "", words) for t in texts], np.uint64).view(np.int64))
+        return pd.Series([fingerprint(t or "", scheme) for t in texts], dtype=object)
 
     return made(text)
 
 
-def gray_rank(bits: str) -> Column:
-    """The place of a 64-bit word in the reflected Gray code, with the sign turned so that signed order is that of the place."""
-    return F.expr(f"aggregate(array(1, 2, 4, 8, 16, 32), {bits}, (x, s) -> x ^ shiftrightunsigned(x, s)) ^ {-(1 << 63)}L")
+def gray_rank(bits: np.ndarray) -> np.ndarray:
+    """The place of each word in the reflected Gray code, with the sign turned so that signed order is that of the place."""
+    out = bits.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        out ^= out >> np.uint64(shift)
+    return (out ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def words_of(prints: list[bytes], size: int) -> np.ndarray:
+    """Fingerprints as an n x size array."""
+    return np.frombuffer(b"".join(prints), ">u8").astype(np.uint64).reshape(-1, size)
+
+
+def differing(diff: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(diff).sum(-1, dtype=np.int64) if diff.shape[-1] > 1 else np.bitwise_count(diff[..., 0])
 
 
 class Tree:
-    """The nodes above a block of fingerprints in Gray order; the last row fills up the leaves."""
+    """The nodes above rows in Gray order; the last row fills up the leaves.  root: the component of each row so far."""
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, root: np.ndarray):
         self.n = len(rows)
         depth = max(0, int(np.ceil(np.log2(max(1, -(-self.n // LEAF))))))
-        full = LEAF << depth
-        self.rows = np.concatenate((rows, np.repeat(rows[-1:], full - self.n)))
-        grid = self.rows.reshape(-1, LEAF)
+        more = (LEAF << depth) - self.n
+        self.rows = np.concatenate((rows, np.repeat(rows[-1:], more, 0)))
+        root = np.concatenate((root, np.repeat(root[-1:], more)))
+        grid, roots = self.rows.reshape(-1, LEAF, rows.shape[1]), root.reshape(-1, LEAF)
         pattern = np.bitwise_and.reduce(grid, axis=1)
         mask = ~(np.bitwise_or.reduce(grid, axis=1) ^ pattern)
-        self.levels = [(mask, pattern)]
+        low, high = roots.min(1), roots.max(1)
+        self.levels = [(mask, pattern, low, high)]
         while len(mask) > 1:
             mask = mask[::2] & mask[1::2] & ~(pattern[::2] ^ pattern[1::2])
-            pattern = pattern[::2]
-            self.levels.append((mask, pattern))
-
-
-def near(mask: np.ndarray, diff: np.ndarray, front: np.uint64) -> np.ndarray:
-    diff = diff & mask
-    return (np.bitwise_count(diff) <= DISTANCE) & ((diff & front) == 0)
+            pattern, low, high = pattern[::2], np.minimum(low[::2], low[1::2]), np.maximum(high[::2], high[1::2])
+            self.levels.append((mask, pattern, low, high))
 
 
-def tree_join(a: Tree, b: Tree, same: bool, front: np.uint64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows of a and b that link, in chunks; ``same``: a is b, each pair once."""
-    top = (len(a.levels) - 1, len(b.levels) - 1)
-    stack = [(top[0], top[1], np.zeros(1, np.int64), np.zeros(1, np.int64))]
+def tree_join(a: Tree, b: Tree, same: bool, front: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a and b that link, in chunks, but for those in one component; ``same``: a is b, each pair once."""
+    stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, i, j = stack.pop()
-        (ma, pa), (mb, pb) = a.levels[la], b.levels[lb]
-        go = near(ma[i] & mb[j], pa[i] ^ pb[j], front)
+        (ma, pa, low_a, high_a), (mb, pb, low_b, high_b) = a.levels[la], b.levels[lb]
+        diff = (pa[i] ^ pb[j]) & ma[i] & mb[j]
+        one = (low_a[i] == high_a[i]) & (low_b[j] == high_b[j]) & (low_a[i] == low_b[j])
+        go = (differing(diff) <= distance) & ~(diff & front).any(-1) & ~one
         i, j = i[go], j[go]
         if not len(i):
             continue
@@ -133,7 +182,7 @@ def tree_join(a: Tree, b: Tree, same: bool, front: np.uint64) -> Iterator[tuple[
                 ri = (i[at : at + step, None] * LEAF + np.arange(LEAF))[:, :, None]
                 rj = (j[at : at + step, None] * LEAF + np.arange(LEAF))[:, None, :]
                 diff = a.rows[ri] ^ b.rows[rj]
-                hit = (np.bitwise_count(diff) <= DISTANCE) & ((diff & front) == 0) & (ri < a.n) & (rj < b.n)
+                hit = (differing(diff) <= distance) & ~(diff & front).any(-1) & (ri < a.n) & (rj < b.n)
                 if same:
                     hit &= ri < rj
                 k, x, y = np.nonzero(hit)
@@ -141,29 +190,40 @@ def tree_join(a: Tree, b: Tree, same: bool, front: np.uint64) -> Iterator[tuple[
                     yield ri[k, x, 0], rj[k, 0, y]
             continue
         if la >= lb and la > 0:
-            i = np.concatenate((2 * i, 2 * i + 1))
-            j = np.concatenate((j, j))
-            la -= 1
+            i, j, la = np.concatenate((2 * i, 2 * i + 1)), np.concatenate((j, j)), la - 1
         if lb > la:
-            i, j = np.concatenate((i, i)), np.concatenate((2 * j, 2 * j + 1))
-            lb -= 1
+            i, j, lb = np.concatenate((i, i)), np.concatenate((2 * j, 2 * j + 1)), lb - 1
         if same and la == lb:
             keep = i <= j
             i, j = i[keep], j[keep]
-        for at in range(0, len(i), CHUNK):
-            stack.append((la, lb, i[at : at + CHUNK], j[at : at + CHUNK]))
+        for at in range(0, len(i), CHUNK // 4):
+            stack.append((la, lb, i[at : at + CHUNK // 4], j[at : at + CHUNK // 4]))
 
 
-def block_links(fa: np.ndarray, na: np.ndarray, fb: np.ndarray | None, nb: np.ndarray | None, front: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def joined_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return forest(np.concatenate((root, x)), np.concatenate((np.arange(len(root)), y)), len(root))
+
+
+def block_links(fa: np.ndarray, na: np.ndarray, fb: np.ndarray | None, nb: np.ndarray | None, front: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (node, smaller node) of the links within a block or between two."""
     same = fb is None
-    a = Tree(fa)
-    b = a if same else Tree(fb)
-    nodes = na if same else np.concatenate((na, nb))
+    rows, nodes = (fa, na) if same else (np.concatenate((fa, fb)), np.concatenate((na, nb)))
     root = np.arange(len(nodes))
-    for x, y in tree_join(a, b, same, front):
-        y = y if same else y + len(na)
-        root = forest(np.concatenate((root, x)), np.concatenate((np.arange(len(root)), y)), len(nodes))
+    # Neighbours in order first: what they join needs no further look.
+    for k in (1, 2, 3) if same else ():
+        near = np.flatnonzero(differing(rows[k:] ^ rows[:-k]) <= distance)
+        root = joined_roots(root, near, near + k)
+    if not same:
+        for part, begin in ((fa, 0), (fb, len(fa))):
+            near = np.flatnonzero(differing(part[1:] ^ part[:-1]) <= distance) + begin
+            root = joined_roots(root, near, near + 1)
+        few = np.arange(min(len(fa), len(fb)))
+        near = few[differing(fa[few] ^ fb[few]) <= distance]
+        root = joined_roots(root, near, near + len(fa))
+    a = Tree(rows[: len(fa)], root[: len(fa)])
+    b = a if same else Tree(fb, root[len(fa) :])
+    for x, y in tree_join(a, b, same, front, distance):
+        root = joined_roots(root, x, y if same else y + len(fa))
     low = np.full(len(nodes), np.iinfo(np.int64).max)
     np.minimum.at(low, root, nodes)
     low = low[root]
@@ -171,22 +231,29 @@ def block_links(fa: np.ndarray, na: np.ndarray, fb: np.ndarray | None, nb: np.nd
     return nodes[out], low[out]
 
 
-def links(prints: DataFrame, block_rows: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect what is near; ``prints`` has fp long (distinct) and node long (distinct)."""
+def links(prints: DataFrame, scheme: Scheme = EXACT, block_rows: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect what is near; ``prints`` has fp binary (distinct) and node long (distinct)."""
     spark = prints.sparkSession
-    order = prints.select("fp", "node", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("ord"))
-    turned = F.expr(f"shiftleft(fp, {FRONT} * ord) | CASE WHEN ord = 0 THEN 0L ELSE shiftrightunsigned(fp, 64 - {FRONT} * ord) END")
-    order = order.select("ord", "node", turned.alias("bits")).withColumn("rank", gray_rank("bits"))
+    size, distance = scheme.size, scheme.distance
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = order.repartitionByRange(parts, "ord", "rank").sortWithinPartitions("ord", "rank")
-    shift = np.uint64(64 - FRONT)
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, 8 * size), axis=1)
+            for o, turn in enumerate(scheme.turns):
+                turned = np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits[:, turn]), axis=1)).view(">u8").astype(np.uint64)[:, 0]
+                yield pd.DataFrame({"ord": np.int32(o), "rank": gray_rank(turned), "front": (turned >> np.uint64(64 - len(scheme.fronts[o]))).astype(np.int64), "node": batch["node"].to_numpy(), "fp": batch["fp"].to_numpy()})
+
+    order = prints.select("fp", "node").mapInPandas(ordered, "ord int, rank long, front long, node long, fp binary")
+    dealt = order.repartitionByRange(parts, "ord", "rank", "node").sortWithinPartitions("ord", "rank", "node")
+    masks = [f"{side}{k}" for side in ("mask", "pattern") for k in range(size)]
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        bits, node = rows["bits"].to_numpy().view(np.uint64), rows["node"].to_numpy()
-        both = np.bitwise_and.reduce(bits)
-        mask = ~(np.bitwise_or.reduce(bits) ^ both)
-        signed = np.array([mask, both]).view(np.int64)
-        return pd.DataFrame({"ord": [int(rows["ord"].iloc[0])], "first": [int(bits[0] >> shift)], "last": [int(bits[-1] >> shift)], "mask": signed[:1], "pattern": signed[1:], "bits": [bits.tobytes()], "nodes": [node.tobytes()]})
+        words = words_of(list(rows["fp"]), size)
+        both = np.bitwise_and.reduce(words)
+        mask = ~(np.bitwise_or.reduce(words) ^ both)
+        tops = dict(zip(masks, np.concatenate((mask, both)).view(np.int64), strict=True))
+        return pd.DataFrame({"ord": [rows["ord"].iloc[0]], "first": [rows["front"].iloc[0]], "last": [rows["front"].iloc[-1]], "prints": [words.tobytes()], "nodes": [rows["node"].to_numpy().tobytes()], **{k: [x] for k, x in tops.items()}})
 
     def cut_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -201,39 +268,39 @@ def links(prints: DataFrame, block_rows: int = BLOCK) -> DataFrame:
         if held is not None:
             yield block(held)
 
-    made = dealt.select("ord", "bits", "node").mapInPandas(cut_blocks, "ord int, first long, last long, mask long, pattern long, bits binary, nodes binary")
+    made = dealt.mapInPandas(cut_blocks, f"ord int, first long, last long, prints binary, nodes binary, {', '.join(f'{c} long' for c in masks)}")
     blocks = cut(made.withColumn("block", F.monotonically_increasing_id()))
     # Only a block that ends or begins with a front shares it with others.  The upper node of the blocks of a range
     # that have a front is joined first; below it, those pairs of blocks that its differences leave.
-    ends = blocks.select("block", F.shiftrightunsigned("block", 33).alias("part"), "ord", "mask", "pattern", F.explode(F.array_distinct(F.array("first", "last"))).alias("front"))
-    uppers = ends.groupBy("ord", "front", "part").agg(F.expr("bit_and(mask) & ~(bit_or(pattern) ^ bit_and(pattern))").alias("mask"), F.expr("bit_and(pattern)").alias("pattern"))
-    close = F.expr(f"bit_count((pattern ^ pattern_b) & mask & mask_b) <= {DISTANCE}")
+    ends = blocks.select("block", F.shiftrightunsigned("block", 33).alias("part"), "ord", *masks, F.explode(F.array_distinct(F.array("first", "last"))).alias("front"))
+    shared = [F.expr(f"bit_and(mask{k}) & ~(bit_or(pattern{k}) ^ bit_and(pattern{k}))").alias(f"mask{k}") for k in range(size)]
+    uppers = ends.groupBy("ord", "front", "part").agg(*shared, *(F.expr(f"bit_and(pattern{k})").alias(f"pattern{k}") for k in range(size)))
+    close = F.expr(" + ".join(f"bit_count((pattern{k} ^ pattern{k}_b) & mask{k} & mask{k}_b)" for k in range(size)) + f" <= {distance}")
     as_b = lambda t, *keys: t.select(*keys, *(F.col(c).alias(f"{c}_b") for c in t.columns if c not in keys))
     upper_pairs = uppers.join(as_b(uppers, "ord", "front"), ["ord", "front"]).where((F.col("part") <= F.col("part_b")) & close).select("ord", "front", "part", "part_b")
-    below = upper_pairs.join(ends, ["ord", "front", "part"]).join(as_b(ends, "ord", "front"), ["ord", "front", "part_b"])
+    below = upper_pairs.join(ends, ["ord", "front", "part"]).join(as_b(ends, "ord", "front", "part").withColumnRenamed("part", "part_b"), ["ord", "front", "part_b"])
     pairs = below.where((F.col("block") < F.col("block_b")) & close).select("block", "block_b").distinct()
-    a = blocks.select("block", F.col("bits").alias("bits_a"), F.col("nodes").alias("nodes_a"))
-    b = blocks.select(F.col("block").alias("block_b"), F.col("bits").alias("bits_b"), F.col("nodes").alias("nodes_b"))
-    crossed = pairs.join(a, "block").join(b, "block_b").select("bits_a", "nodes_a", "bits_b", "nodes_b")
-    alone = a.select("bits_a", "nodes_a", F.lit(None).cast("binary").alias("bits_b"), F.lit(None).cast("binary").alias("nodes_b"))
-    front_mask = np.uint64(((1 << FRONT) - 1) << (64 - FRONT))
+    a = blocks.select("block", "ord", "prints", "nodes")
+    b = blocks.select(F.col("block").alias("block_b"), F.col("prints").alias("prints_b"), F.col("nodes").alias("nodes_b"))
+    crossed = pairs.join(a, "block").join(b, "block_b").select("ord", "prints", "nodes", "prints_b", "nodes_b")
+    alone = a.select("ord", "prints", "nodes", F.lit(None).cast("binary").alias("prints_b"), F.lit(None).cast("binary").alias("nodes_b"))
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = lambda x: np.frombuffer(x, np.uint64).reshape(-1, size)
         for batch in batches:
-            for ba, na, bb, nb in batch.itertuples(index=False):
-                two = bb is not None
-                x, y = block_links(np.frombuffer(ba, np.uint64), np.frombuffer(na, np.int64), np.frombuffer(bb, np.uint64) if two else None, np.frombuffer(nb, np.int64) if two else None, front_mask)
+            for o, pa, na, pb, nb in batch.itertuples(index=False):
+                two = pb is not None
+                x, y = block_links(read(pa), np.frombuffer(na, np.int64), read(pb) if two else None, np.frombuffer(nb, np.int64) if two else None, scheme.masks[o], distance)
                 yield pd.DataFrame({"a": x, "b": y})
 
-    return alone.unionByName(crossed).repartition(parts).mapInPandas(joined, "a long, b long")
+    return alone.unionByName(crossed).repartition(parts).mapInPandas(joined, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, block_rows: int = BLOCK) -> DataFrame:
-    """One row per document: id, fp (signed long) and component_id (the smallest id reachable)."""
-    prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words).alias("fp")))
-    distinct = prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node"))
-    distinct = cut(distinct)
-    found = components(links(distinct, block_rows))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = EXACT, block_rows: int = BLOCK) -> DataFrame:
+    """One row per document: id, fp (binary) and component_id (the smallest id reachable)."""
+    prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), scheme).alias("fp")))
+    distinct = cut(prints.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").cast("long").alias("node")))
+    found = components(links(distinct, scheme, block_rows))
     placed = distinct.join(found, "node", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "node").alias("component_id"))
     out = prints.join(placed, F.col("fp") == F.col("of_fp"), "left")
     return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -241,11 +308,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = WIDE) -> DataFrame:
     """The documents whose id is their component's, all columns; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, words)
+    found = near_duplicates(docs, id_col, text_col, scheme)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
