@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kairoscope.llm import bpe, embeddings, fingerprints, language, mixing, quality, secrets, simhash, toxicity
+from kairoscope.llm import bpe, chat, embeddings, fingerprints, language, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embeddings.op1_embedding_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_bpe": bpe.op5_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_chat_format": chat.op7_chat_format,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_fingerprints": fingerprints.op10_fingerprints,
@@ -18,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_embedding_dedup": embeddings.OP1_SQL,
+    "op7_chat_format": chat.OP7_SQL,
     "op8_source_mixing": mixing.OP8_SQL,
 }
