@@ -38,15 +38,14 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per source: mix_source, source_size, target.  ``sizes`` has mix_source and size."""
-    total = sizes.groupBy("mix_source").agg(F.sum("size").alias("source_size"))
-    in_order = Window.partitionBy(F.lit(0)).orderBy(F.col("mix_source").asc_nulls_last())
-    turn = (F.row_number().over(in_order) - 1) % len(weights)
+    """One row per source: mix_none, mix_source, source_size, target.  ``sizes`` has mix_none (no source), mix_source and size."""
+    name = ["mix_none", "mix_source"]
+    total = sizes.groupBy(*name).agg(F.sum("size").alias("source_size"))
+    every = Window.partitionBy(F.lit(0))  # a row a source
+    turn = (F.row_number().over(every.orderBy(*name)) - 1) % len(weights)
     weighted = total.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
     weighted = weighted.withColumn("ratio", F.col("source_size") / F.col("weight"))
-    filled = Window.partitionBy(F.lit(0)).orderBy("ratio", F.col("mix_source").asc_nulls_last())
-    before = filled.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))
+    before = every.orderBy("ratio", *name).rowsBetween(Window.unboundedPreceding, -1)
     levels = weighted.select(
         "*",
         F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("full_size"),
@@ -54,39 +53,53 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
         F.sum("source_size").over(every).alias("all_size"),
     ).withColumn("level", (F.lit(share) * F.col("all_size") - F.lit(most) * F.col("full_size")) / F.col("open_weight"))
     # The level is that of the first source that isn't full under its own level.
-    first_open = F.min(F.when(F.lit(most) * F.col("ratio") >= F.col("level"), F.struct("ratio", F.col("mix_source").isNull(), "mix_source", "level"))).over(every)
+    first_open = F.min(F.when(F.lit(most) * F.col("ratio") >= F.col("level"), F.struct("ratio", *name, "level"))).over(every)
     return levels.withColumn("level", first_open["level"]).select(
-        "mix_source",
+        *name,
         "source_size",
         F.least(F.lit(most) * F.col("source_size"), F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target"),
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per document: the id, size, source_size, target, taken (words) and epochs (whole ones)."""
+def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], share: float, most: float, carry: bool) -> DataFrame:
+    """mix_id, size, source_size, target, taken and epochs of each row, and the row itself in ``mix_row`` if it is carried."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    deal = ["mix_none", "mix_source", "mix_range"]
     keyed = docs.select(
+        F.col(source_col).isNull().alias("mix_none"),
+        F.coalesce(F.col(source_col), F.lit("")).alias("mix_source"),
+        F.substring(key, 1, RANGE_DIGITS).alias("mix_range"),
         F.col(id_col).alias("mix_id"),
-        F.col(source_col).alias("mix_source"),
         word_count(F.col(text_col)).alias("size"),
         key.alias("mix_key"),
-        F.substring(key, 1, RANGE_DIGITS).alias("mix_range"),
+        *([F.struct(*docs.columns).alias("mix_row")] if carry else []),
     )
-    by_range = keyed.groupBy("mix_source", "mix_range").agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy("mix_source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    begins = by_range.withColumn("range_begin", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    targets = source_targets(by_range.select("mix_source", F.col("range_size").alias("size")), weights, share, most)
-    begins = begins.join(targets.withColumnRenamed("mix_source", "of_source"), F.col("mix_source").eqNullSafe(F.col("of_source")))
-    begins = begins.select(F.col("mix_source").alias("of_source"), F.col("mix_range").alias("of_range"), "range_begin", "source_size", "target")
-    placed = keyed.join(begins, F.col("mix_source").eqNullSafe(F.col("of_source")) & (F.col("mix_range") == F.col("of_range")))
-    inside = Window.partitionBy("mix_source", "mix_range").orderBy("mix_key", "mix_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    by_range = keyed.groupBy(*deal).agg(F.sum("size").alias("range_size"))
+    earlier = Window.partitionBy(*deal[:2]).orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = by_range.withColumn("range_begin", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size")
+    targets = source_targets(by_range.select(*deal[:2], F.col("range_size").alias("size")), weights, share, most)
+    # The join and the window deal by the same columns, so the rows move once.
+    joined = keyed.join(begins.join(targets, deal[:2]), deal)
+    inside = Window.partitionBy(*deal).orderBy("mix_key", "mix_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.col("range_begin") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    placed = placed.withColumn("begin", begin).withColumn("epochs", epochs.cast("long"))
+    joined = joined.withColumn("begin", begin).withColumn("epochs", epochs.cast("long"))
     rest = budget - F.col("epochs") * F.col("source_size")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("begin")))
-    return placed.select(F.col("mix_id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "epochs")
+    return joined.select("mix_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "epochs", *(["mix_row"] if carry else []))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row per document: the id, size, source_size, target, taken (words) and epochs (whole ones)."""
+    return placed(docs, id_col, text_col, source_col, weights, share, most, False).withColumnRenamed("mix_id", id_col)
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The mix itself, in whole documents: each row as often as the mix takes it, counting a part as a whole; rows it takes no word of go."""
+    found = placed(docs, id_col, text_col, source_col, weights, share, most, True).where("taken > 0")
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    return found.select("mix_row", F.explode(F.sequence(F.lit(1), copies))).select("mix_row.*")
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

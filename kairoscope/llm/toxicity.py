@@ -96,27 +96,40 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: tuple[int, ...
     labels = np.array([y for y, _, _ in bags], np.float64)
     if not len(bags) or labels.min() == labels.max():
         return Model(np.zeros(BINS, np.float32), 0.0, float(labels.mean()) if len(bags) else 0.0)
-    bins = np.concatenate([b for _, b, _ in bags]).astype(np.int64)
-    size = np.array([len(c) for _, _, c in bags])
-    of_bag = np.repeat(np.arange(len(bags)), size)
-    sentences = np.concatenate([c for _, _, c in bags]).astype(np.int64)
-    of_sentence = np.repeat(np.arange(len(sentences)), sentences)
-    in_bags = np.bincount(np.unique(of_bag[of_sentence] * BINS + bins) % BINS, minlength=BINS)
+    in_bags = np.zeros(BINS, np.int32)
+    for _, b, _ in bags:
+        in_bags[np.unique(b)] += 1
     keep = in_bags >= LEAST_BAGS
+    size = np.array([len(c) for _, _, c in bags])
+    of_bag = np.repeat(np.arange(len(bags), dtype=np.int32), size)
+    # Only bins that may have a weight are gathered.
+    parts, first = [], 0
+    for _, b, c in bags:
+        held = keep[b]
+        parts.append((b[held], (first + np.repeat(np.arange(len(c), dtype=np.int32), c))[held]))
+        first += len(c)
+    bins, of_sentence = np.concatenate([b for b, _ in parts]), np.concatenate([s for _, s in parts])
+    del parts
     share = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     weights, b = np.zeros(BINS), BIAS
     for n in epochs:
-        held = keep[bins]
-        bins, of_sentence = bins[held], of_sentence[held]
+        if not keep.all():
+            held = keep[bins]
+            bins, of_sentence = bins[held], of_sentence[held]
         used, local = np.unique(bins, return_inverse=True)
+        live, in_live = np.unique(of_sentence, return_inverse=True)
+        bag = of_bag[live]
+        empty = size - np.bincount(bag, minlength=len(bags))  # sentences without a bin are alike
         w, m, v, mb, vb = weights[used], np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
         for t in range(1, n + 1):
-            z = b + np.bincount(of_sentence, w[local], len(sentences))
+            z = b + np.bincount(in_live, w[local], len(live))
             p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-            some = -np.expm1(np.bincount(of_bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)))
+            plain = 1.0 / (1.0 + np.exp(-np.clip(b, -30, 30)))
+            some = -np.expm1(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)) + empty * np.log1p(-min(plain, 1 - 1e-12)))
             # Towards larger z: -p in a clean bag, p (1 - P) / P in a toxic one.
-            push = share[of_bag] * p * np.where(labels[of_bag] > 0, (1 - some[of_bag]) / np.maximum(some[of_bag], 1e-12), -1.0)
-            g, s = np.bincount(local, push[of_sentence], len(used)), push.sum()
+            pull = share * np.where(labels > 0, (1 - some) / np.maximum(some, 1e-12), -1.0)
+            push = pull[bag] * p
+            g, s = np.bincount(local, push[in_live], len(used)), push.sum() + plain * (pull * empty).sum()
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * s, 0.99 * vb + 0.01 * s * s
             step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             w = w + step * m / (1 - 0.9**t)
