@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from kairoscope.plans import prep_queries, switch_queries
+
+_MODULES = (switch_queries, prep_queries)
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

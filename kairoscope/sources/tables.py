@@ -24,7 +24,7 @@ def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured cells only: gene_id, transcript_id, rep, tp, value."""
     line = table(spark, sf_dir, "lineitem")
     gene = F.concat(F.lit("G"), F.col("l_suppkey").cast("string"))
-    cells = line.select(gene.alias("gene_id"), transcript_of(gene).alias("transcript_id"), ((F.col("l_linenumber") - 1) % REPS).cast("int").alias("rep"), (F.year("l_shipdate") - 1992).cast("int").alias("tp"), F.col("l_quantity").cast("double").alias("q"))
+    cells = line.select(gene.alias("gene_id"), transcript_of(gene).alias("transcript_id"), ((F.col("l_linenumber") - 1) % REPS).cast("int").alias("rep"), (F.year("l_shipdate") - 1995).cast("int").alias("tp"), F.col("l_quantity").cast("double").alias("q"))
     return cells.groupBy("gene_id", "transcript_id", "rep", "tp").agg(F.sum("q").alias("value"))
 
 
@@ -117,7 +117,7 @@ def splice_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: DuckDB CTEs of the views above, by name; each may use those before it.
 SQL = {
-    "obs": "SELECT 'G' || l_suppkey AS gene_id, 'G' || l_suppkey || '.T' || (l_partkey % 7) AS transcript_id, CAST((l_linenumber - 1) % 3 AS INT) AS rep, CAST(year(l_shipdate) - 1992 AS INT) AS tp, sum(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem GROUP BY ALL",
+    "obs": "SELECT 'G' || l_suppkey AS gene_id, 'G' || l_suppkey || '.T' || (l_partkey % 7) AS transcript_id, CAST((l_linenumber - 1) % 3 AS INT) AS rep, CAST(year(l_shipdate) - 1995 AS INT) AS tp, sum(CAST(l_quantity AS DOUBLE)) AS value FROM lineitem GROUP BY ALL",
     "expr": "SELECT t.gene_id, t.transcript_id, CAST(r.r AS INT) AS rep, CAST(s.s AS INT) AS tp, coalesce(o.value, 0.0) AS value FROM (SELECT DISTINCT gene_id, transcript_id FROM obs) t CROSS JOIN range(3) r(r) CROSS JOIN range(7) s(s) LEFT JOIN obs o ON o.transcript_id = t.transcript_id AND o.rep = r.r AND o.tp = s.s",
     "nsupp": "SELECT count(*) AS n FROM supplier",
     "net": "SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT 'G' || l_suppkey AS a, 'G' || (1 + (l_partkey * 7 + l_suppkey) % (SELECT n FROM nsupp)) AS b FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45) WHERE a <> b",
