@@ -57,8 +57,12 @@ def observed_edges(edges: DataFrame, left: DataFrame, right: DataFrame | None =
 
 
 def expected_edges(edges: DataFrame, left: DataFrame, right: DataFrame | None = None, quirk: bool = False) -> DataFrame:
-    """c1, c2, expected: the sum of the edge probability over the pairs of members, from the clusters' degree histograms."""
-    right = left if right is None else right
+    """c1, c2, expected: the sum of the edge probability over the pairs of members, from the clusters' degree histograms.
+
+    Pairs within a cluster count once; between clusters of one label of two clusterings, half, as their observed edges do.
+    """
+    one = right is None
+    right = left if one else right
     d = degrees(edges)
     histogram = lambda c: c.join(d, "node").groupBy("cluster", "degree").agg(F.count("*").alias("n"))
     a = histogram(left).select(F.col("cluster").alias("c1"), F.col("degree").alias("x"), F.col("n").alias("n1"))
@@ -66,7 +70,8 @@ def expected_edges(edges: DataFrame, left: DataFrame, right: DataFrame | None =
     p = edge_probability(edges, quirk)
     two = p.select(F.col("d1").alias("x"), F.col("d2").alias("y"), "prob").union(p.where("d1 <> d2").select(F.col("d2").alias("x"), F.col("d1").alias("y"), "prob"))
     n1, n2 = F.col("n1"), F.col("n2")
-    pairs = F.when(F.col("c1") != F.col("c2"), n1 * n2).when(F.col("x") == F.col("y"), n1 * (n1 - 1) / 2).otherwise(n1 * n2 / 2)
+    within = F.when(F.col("x") == F.col("y"), n1 * (n1 - 1) / 2).otherwise(n1 * n2 / 2) if one else n1 * n2 / 2
+    pairs = F.when(F.col("c1") != F.col("c2"), n1 * n2).otherwise(within)
     return two.join(a, "x").join(b, "y").groupBy("c1", "c2").agg(F.sum(F.col("prob") * pairs).alias("expected"))
 
 
