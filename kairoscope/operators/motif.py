@@ -31,17 +31,16 @@ def log_odds(pwm: DataFrame) -> DataFrame:
 def scan(sequences: DataFrame, pwm: DataFrame, gc_ratio: float | None = None) -> DataFrame:
     """doc_id, grp, sf, motif_id, scores: log2 odds at each offset against the background of the sequence's own (or the given) GC share; null where a count is zero.
 
-    The motif table is small (positions of a library of motifs) and meets every sequence.
+    The motif table (a row a motif of a library, however many sequences there are) is broadcast and meets every sequence.
     """
-    motif = log_odds(pwm)
+    # All that depends on the sequence or the motif alone is made before they meet, so no offset repeats it.
+    log = lambda x: f"if({x} > 0, log2({x}), cast(null AS double))"
+    motif = log_odds(pwm).withColumn("table", F.expr(f"flatten(transform(odds, o -> transform(o, x -> {log('x')})))")).drop("odds")
     s = sequences.withColumn("gc", gc_fraction(F.col("seq"), None) if gc_ratio is None else F.lit(gc_ratio))
-    both = s.crossJoin(motif).where(F.length("seq") >= F.col("width"))
-    code = "translate(seq, 'ACGT', '0123')"
-    both = both.withColumn("code", F.expr(f"transform(sequence(1, length(seq)), i -> cast(substr({code}, i, 1) AS int))"))
-    both = both.withColumn("back", F.expr("array((1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2)"))
-    table = F.expr("transform(odds, o -> transform(sequence(0, 3), k -> if(o[k] > 0 AND back[k] > 0, log2(o[k] / back[k]), cast(null AS double))))")
-    both = both.withColumn("table", table)
-    scores = F.expr("transform(sequence(0, size(code) - width), at -> aggregate(sequence(0, width - 1), 0D, (s, k) -> s + table[k][code[at + k]]))")
+    s = s.withColumn("back", F.expr(f"transform(array((1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2), x -> {log('x')})"))
+    s = s.select("doc_id", "grp", "back", F.expr("transform(split(translate(seq, 'ACGT', '0123'), ''), x -> cast(x AS int))").alias("code"))
+    both = s.join(F.broadcast(motif), F.size("code") >= F.col("width"))
+    scores = F.expr("transform(sequence(0, size(code) - width), at -> aggregate(sequence(0, width - 1), 0D, (s, k) -> s + table[4 * k + code[at + k]] - back[code[at + k]]))")
     return both.select("doc_id", "grp", "sf", "motif_id", scores.alias("scores"))
 
 
