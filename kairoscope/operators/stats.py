@@ -7,6 +7,8 @@ totals and then inside each bucket, so no task sorts all values.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,22 +71,47 @@ def fisher_combine(frame: DataFrame, keys: tuple[str, ...], p: str = "p") -> Dat
     return sums.select(*keys, "k", F.when(F.col("low") <= 0, F.lit(0.0)).otherwise(fisher_tail(F.col("s"), F.col("k"))).alias("combined_p"))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!: exact sums under 16, else Stirling's series (off by less than 1e-13)."""
+    exact = F.array(*(F.lit(math.lgamma(i + 1.0)) for i in range(16)))
+
+    def value(x: Column) -> Column:
+        inverse = 1 / F.greatest(x, F.lit(1.0))
+        square = inverse * inverse
+        series = (x + 0.5) * F.log(F.greatest(x, F.lit(1.0))) - x + 0.5 * math.log(2 * math.pi) + inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680)))
+        return F.when(x < 16, F.get(exact, x.cast("int"))).otherwise(series)
+
+    # The array binds the argument once, so that large arguments are not written out again and again.
+    return F.get(F.transform(F.array(n.cast("double")), value), F.lit(0))
+
+
 def log_choose(n: Column, k: Column) -> Column:
-    """ln of n over k, 0 <= k <= n, with the shorter product."""
-    short = F.least(k, n - k)
-    steps = F.when(short > 0, F.sequence(F.lit(1).cast("long"), short.cast("long"))).otherwise(F.array().cast("array<long>"))
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.log((n - short + i).cast("double") / i))
+    """ln of n over k, 0 <= k <= n."""
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def hypergeometric_tail(total: Column, marked: Column, drawn: Column, hits: Column) -> Column:
-    """P(X >= hits) for ``drawn`` of ``total`` of which ``marked`` count; null where the numbers don't fit."""
+    """P(X >= hits) for ``drawn`` of ``total`` of which ``marked`` count; null where the numbers don't fit.
+
+    Sums away from the mean, upwards or (as 1 minus the rest) downwards, over 40 standard deviations and 40 terms at most: what
+    lies beyond is under the smallest double.
+    """
     low, high = F.greatest(F.lit(0), drawn + marked - total), F.least(marked, drawn)
-    first = F.exp(log_choose(marked, hits) + log_choose(total - marked, drawn - hits) - log_choose(total, drawn))
-    step = lambda acc, x: F.struct((acc["t"] * (marked - x) * (drawn - x) / ((x + 1.0) * (total - marked - drawn + x + 1))).alias("t"), (acc["s"] + acc["t"] * (marked - x) * (drawn - x) / ((x + 1.0) * (total - marked - drawn + x + 1))).alias("s"))
-    steps = F.when(hits < high, F.sequence(hits.cast("long"), (high - 1).cast("long"))).otherwise(F.array().cast("array<long>"))
-    tail = F.aggregate(steps, F.struct(first.alias("t"), first.alias("s")), step)["s"]
+    share = marked / total.cast("double")
+    mean, reach = drawn * share, F.ceil(40 * F.sqrt(drawn * share * (1 - share))) + 40
+    at = lambda x: F.exp(log_choose(marked, x) + log_choose(total - marked, drawn - x) - log_choose(total, drawn))
+    none = F.array().cast("array<long>")
+
+    def summed(first: Column, steps: Column, ratio_at) -> Column:
+        grow = lambda acc, x: F.struct((acc["t"] * ratio_at(x)).alias("t"), (acc["s"] + acc["t"] * ratio_at(x)).alias("s"))
+        return F.aggregate(steps, F.struct(first.alias("t"), first.alias("s")), grow)["s"]
+
+    top = F.least(high, hits + reach)
+    upward = summed(at(hits), F.when(hits < top, F.sequence(hits.cast("long"), (top - 1).cast("long"))).otherwise(none), lambda x: (marked - x) * (drawn - x) / ((x + 1.0) * (total - marked - drawn + x + 1)))
+    bottom = F.greatest(low, hits - 1 - reach)
+    downward = summed(at(hits - 1), F.when(hits - 1 > bottom, F.sequence((hits - 1).cast("long"), (bottom + 1).cast("long"), F.lit(-1).cast("long"))).otherwise(none), lambda x: x * (total - marked - drawn + x) / ((marked - x + 1.0) * (drawn - x + 1)))
     fits = (marked <= total) & (drawn <= total) & (low <= high)
-    return F.when(fits & (hits <= low), F.lit(1.0)).when(fits & (hits > high), F.lit(0.0)).when(fits, F.least(F.lit(1.0), tail))
+    return F.when(fits & (hits <= low), F.lit(1.0)).when(fits & (hits > high), F.lit(0.0)).when(fits & (hits > mean), F.least(F.lit(1.0), upward)).when(fits, F.greatest(F.lit(0.0), 1 - downward))
 
 
 def fisher_exact_greater(a: Column, b: Column, degree: Column, edges: Column) -> Column:

@@ -111,7 +111,7 @@ def hypergeom_tail(spark, d):
     g = _grid(spark, d)
     brand, size = g.groupBy("p_brand").agg(F.sum("hits").alias("marked")), g.groupBy("p_size").agg(F.sum("hits").alias("drawn"))
     rows = g.join(brand, "p_brand").join(size, "p_size").crossJoin(g.agg(F.sum("hits").alias("total")))
-    return rows.select("p_brand", "p_size", F.round(stats.hypergeometric_tail(F.col("total"), F.col("marked"), F.col("drawn"), F.col("hits")), 9).alias("p"))
+    return rows.select("p_brand", "p_size", F.round(stats.hypergeometric_tail(F.col("total"), F.col("marked"), F.col("drawn"), F.col("hits")), 8).alias("p"))
 
 
 def fisher_exact_greater(spark, d):
@@ -153,6 +153,6 @@ ORACLE_SQL = {
     "bonferroni": V("pv", "SELECT id, p, round(least(1.0, p * count(*) OVER ()), 9) AS adj_p FROM pv"),
     "fisher_combine": V("pv", "g AS (SELECT grp, count(*) AS k, -sum(ln(p)) AS s FROM pv GROUP BY grp) SELECT grp, k, round(least(1.0, list_sum(list_transform(range(k), lambda j: CASE WHEN s = 0 THEN CASE WHEN j = 0 THEN 1.0 ELSE 0.0 END ELSE exp(-s + j * ln(s) - lgamma(j + 1)) END))), 9) AS combined_p FROM g"),
     "empirical_pvalue": V("pv", "SELECT grp, count(*) FILTER (p >= 0.5) AS better, count(*) AS total, round((1.0 + count(*) FILTER (p >= 0.5)) / (1.0 + count(*)), 9) AS p FROM pv GROUP BY grp"),
-    "hypergeom_tail": f"WITH g AS (SELECT p_brand, p_size, count(*) AS h FROM part GROUP BY ALL), r AS (SELECT *, sum(h) OVER (PARTITION BY p_brand) AS m, sum(h) OVER (PARTITION BY p_size) AS n, sum(h) OVER () AS t FROM g) SELECT p_brand, p_size, round({tail_sql('t', 'm', 'n', 'h')}, 9) AS p FROM r",
+    "hypergeom_tail": f"WITH g AS (SELECT p_brand, p_size, count(*) AS h FROM part GROUP BY ALL), r AS (SELECT *, sum(h) OVER (PARTITION BY p_brand) AS m, sum(h) OVER (PARTITION BY p_size) AS n, sum(h) OVER () AS t FROM g) SELECT p_brand, p_size, round({tail_sql('t', 'm', 'n', 'h')}, 8) AS p FROM r",
     "fisher_exact_greater": f"WITH g AS (SELECT p_brand, p_size, count(*) AS h FROM part GROUP BY ALL), r AS (SELECT *, sum(h) OVER (PARTITION BY p_brand) AS m, sum(h) OVER (PARTITION BY p_size) AS n, sum(h) OVER () AS t FROM g) SELECT p_brand, p_size, round({tail_sql('2 * t', 'm', 'n', 'h')}, 9) AS p FROM r",
 }
