@@ -242,18 +242,24 @@ def links(prints: DataFrame, scheme: Scheme = EXACT, block_rows: int = BLOCK) ->
             bits = np.unpackbits(np.frombuffer(b"".join(batch["fp"]), np.uint8).reshape(-1, 8 * size), axis=1)
             for o, turn in enumerate(scheme.turns):
                 turned = np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits[:, turn]), axis=1)).view(">u8").astype(np.uint64)[:, 0]
-                yield pd.DataFrame({"ord": np.int32(o), "rank": gray_rank(turned), "front": (turned >> np.uint64(64 - len(scheme.fronts[o]))).astype(np.int64), "node": batch["node"].to_numpy(), "fp": batch["fp"].to_numpy()})
+                yield pd.DataFrame({"ord": np.int32(o), "rank": gray_rank(turned), "node": batch["node"].to_numpy(), "fp": batch["fp"].to_numpy()})
 
-    order = prints.select("fp", "node").mapInPandas(ordered, "ord int, rank long, front long, node long, fp binary")
+    order = prints.select("fp", "node").mapInPandas(ordered, "ord int, rank long, node long, fp binary")
     dealt = order.repartitionByRange(parts, "ord", "rank", "node").sortWithinPartitions("ord", "rank", "node")
     masks = [f"{side}{k}" for side in ("mask", "pattern") for k in range(size)]
 
+    def front_of(rank: int, o: int) -> int:
+        """The front bits of a row, from its Gray rank."""
+        place = np.uint64(int(rank) & ((1 << 64) - 1)) ^ np.uint64(1 << 63)
+        return int((place ^ (place >> np.uint64(1))) >> np.uint64(64 - len(scheme.fronts[o])))
+
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         words = words_of(list(rows["fp"]), size)
         both = np.bitwise_and.reduce(words)
         mask = ~(np.bitwise_or.reduce(words) ^ both)
+        o = int(rows["ord"].iloc[0])
         tops = dict(zip(masks, np.concatenate((mask, both)).view(np.int64), strict=True))
-        return pd.DataFrame({"ord": [rows["ord"].iloc[0]], "first": [rows["front"].iloc[0]], "last": [rows["front"].iloc[-1]], "prints": [words.tobytes()], "nodes": [rows["node"].to_numpy().tobytes()], **{k: [x] for k, x in tops.items()}})
+        return pd.DataFrame({"ord": [rows["ord"].iloc[0]], "first": [front_of(rows["rank"].iloc[0], o)], "last": [front_of(rows["rank"].iloc[-1], o)], "prints": [words.tobytes()], "nodes": [rows["node"].to_numpy().tobytes()], **{k: [x] for k, x in tops.items()}})
 
     def cut_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -293,7 +299,7 @@ def links(prints: DataFrame, scheme: Scheme = EXACT, block_rows: int = BLOCK) ->
                 x, y = block_links(read(pa), np.frombuffer(na, np.int64), read(pb) if two else None, np.frombuffer(nb, np.int64) if two else None, scheme.masks[o], distance)
                 yield pd.DataFrame({"a": x, "b": y})
 
-    return alone.unionByName(crossed).repartition(parts).mapInPandas(joined, "a long, b long").distinct()
+    return alone.unionByName(crossed).mapInPandas(joined, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = EXACT, block_rows: int = BLOCK) -> DataFrame:
