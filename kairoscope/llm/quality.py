@@ -14,6 +14,7 @@ Rows that share an id are scored each for itself.  Texts are read whole, in piec
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
         return pd.DataFrame({"bins": [b.astype(np.int32).tobytes() for b, _ in made], "counts": [c.astype(np.int32).tobytes() for _, c in made]})
 
     rows = _fit.sampled_docs(docs, labels, label, modulus, rest, per_label).select("fit_id", "fit_label", featured("text").alias("f"))
-    found = sorted(rows.select("fit_id", "fit_label", "f.bins", "f.counts").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    found = sorted(rows.select("fit_id", "fit_label", "f.bins", "f.counts").collect(), key=lambda r: (r[0], r[1], len(r[2]), zlib.crc32(r[2])))
     return train([(int(r[1]), np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in found])
 
 

@@ -16,6 +16,7 @@ share an id are scored each for itself.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ PER_LABEL = 3000
 THRESHOLD = 0.3
 #: Rounds of steps, step size, penalty, first bias of a sentence, and the sampled documents that must hold a bin.
 EPOCHS, RATE, L1, BIAS, LEAST_BAGS = (40, 400), 0.1, 3e-4, -7.0, 3
+STRETCH = 1 << 20
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,20 +118,31 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: tuple[int, ...
         if not keep.all():
             held = keep[bins]
             bins, of_sentence = bins[held], of_sentence[held]
-        used, local = np.unique(bins, return_inverse=True)
-        live, in_live = np.unique(of_sentence, return_inverse=True)
-        bag = of_bag[live]
+        used = np.flatnonzero(np.bincount(bins, minlength=BINS))
+        place = np.zeros(BINS, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        local = place[bins]
+        first = np.flatnonzero(np.diff(of_sentence, prepend=-1))  # sentences ascend
+        counts = np.diff(first, append=len(local))
+        bag = of_bag[of_sentence[first]]
+        # Sums go over the bins in stretches of whole sentences, so what they need besides is small.
+        cuts = np.unique(np.searchsorted(first, [*range(0, len(local), STRETCH), len(local)]))
+        stretches = [(i, j, first[i], first[j] if j < len(first) else len(local)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         empty = size - np.bincount(bag, minlength=len(bags))  # sentences without a bin are alike
+        z = np.empty(len(first))
         w, m, v, mb, vb = weights[used], np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
         for t in range(1, n + 1):
-            z = b + np.bincount(in_live, w[local], len(live))
+            for i, j, lo, hi in stretches:
+                z[i:j] = b + np.add.reduceat(w[local[lo:hi]], first[i:j] - lo)
             p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
             plain = 1.0 / (1.0 + np.exp(-np.clip(b, -30, 30)))
             some = -np.expm1(np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)) + empty * np.log1p(-min(plain, 1 - 1e-12)))
             # Towards larger z: -p in a clean bag, p (1 - P) / P in a toxic one.
             pull = share * np.where(labels > 0, (1 - some) / np.maximum(some, 1e-12), -1.0)
             push = pull[bag] * p
-            g, s = np.bincount(local, push[in_live], len(used)), push.sum() + plain * (pull * empty).sum()
+            g, s = np.zeros(len(used)), push.sum() + plain * (pull * empty).sum()
+            for i, j, lo, hi in stretches:
+                g += np.bincount(local[lo:hi], np.repeat(push[i:j], counts[i:j]), len(used))
             m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * s, 0.99 * vb + 0.01 * s * s
             step = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
             w = w + step * m / (1 - 0.9**t)
@@ -150,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         return pd.DataFrame({"bins": [b.tobytes() for b, _, _ in made], "counts": [c.tobytes() for _, c, _ in made]})
 
     rows = _fit.sampled_docs(docs, labels, label, modulus, rest, per_label).select("fit_id", "fit_label", featured("text").alias("f"))
-    found = sorted(rows.select("fit_id", "fit_label", "f.bins", "f.counts").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    found = sorted(rows.select("fit_id", "fit_label", "f.bins", "f.counts").collect(), key=lambda r: (r[0], r[1], len(r[2]), zlib.crc32(r[2])))
     return train([(int(r[1]), np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in found])
 
 
