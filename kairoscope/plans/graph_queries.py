@@ -145,6 +145,6 @@ ORACLE_SQL = {
     "shortest_paths": "WITH RECURSIVE " + V("net", f"{_D}, {_ACT}, sp AS (SELECT n AS source, n AS node, 0 AS distance FROM act UNION SELECT source, o, distance + 1 FROM sp JOIN bw ON node = n WHERE distance < 12) SELECT source, node, CAST(min(distance) AS INT) AS distance FROM sp GROUP BY ALL")[5:],
     "slice_enrichment": "WITH RECURSIVE " + V("net", f"{_D}, {_CL}, {_ACT}, {_REACH}, tt AS (SELECT count(*) AS n FROM dg), kk AS (SELECT count(*) AS k FROM act SEMI JOIN cl USING (n)), sm AS (SELECT component AS slice_id, count(*) AS nodes, count(act.n) AS hits FROM co LEFT JOIN act ON node = act.n GROUP BY component), ft AS (SELECT sm.*, n, k FROM sm, tt, kk WHERE nodes >= 4 AND hits > 0 AND (hits / nodes >= least(0.7, k / n * (1 + 100 / sqrt(n))) OR hits / k >= 0.1)), ts AS (SELECT *, {tail_sql('n', 'k', 'nodes', 'hits')} AS p FROM ft), rk AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS c FROM ts), qq AS (SELECT *, least(1.0, min(p * c / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM rk) SELECT slice_id, nodes, hits, round(p, 6) AS p, round(q, 6) AS q, q <= 0.3 AS kept FROM qq")[5:],
     "module_summary": f"WITH {_CL}, s AS (SELECT c, count(*) AS n FROM cl GROUP BY c) SELECT count(*) AS modules, round(avg(n), 6) AS mean_size, round(stddev_samp(n), 6) AS sd_size FROM s",
-    "module_quality": f"WITH {_CL}, {_ACT}, t AS (SELECT count(*) AS t FROM act), h AS (SELECT c, count(*) AS n, count(act.n) AS h FROM cl LEFT JOIN act USING (n) GROUP BY c) SELECT c AS module_id, round(h / n, 6) AS precision, round(h / t, 6) AS recall, round(CASE WHEN h = 0 THEN 0.0 ELSE 2 * (h / n) * (h / t) / (h / n + h / t) END, 6) AS f1 FROM h, t",
+    "module_quality": f"WITH {_CL}, {_ACT}, t AS (SELECT count(*) AS t FROM act), h AS (SELECT c, count(*) AS n, count(act.n) AS h FROM cl LEFT JOIN act USING (n) GROUP BY c) SELECT c AS module_id, round(h / n, 6) AS precision, round(CASE WHEN t = 0 THEN 0.0 ELSE h / t END, 6) AS recall, round(CASE WHEN h = 0 THEN 0.0 ELSE 2 * (h / n) * (h / t) / (h / n + h / t) END, 6) AS f1 FROM h, t",
     "modules_of_nodes": f"WITH {_CL}, {_C2}, u AS (SELECT n, CAST(c AS VARCHAR) AS m FROM cl UNION SELECT n, 'b' || c FROM c2l) SELECT n AS node, string_agg(m, ',' ORDER BY m) AS modules FROM u GROUP BY n",
 }

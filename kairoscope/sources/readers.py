@@ -52,7 +52,7 @@ def read_edge_table(spark: SparkSession, path: str, header: bool = False) -> Dat
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     """TRANSFAC count matrices of a folder: sf (the second field of the file name), motif_id, pos (from 0), a, c, g, t.  Files without rows give none."""
-    text = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
     rows = text.select("file", F.regexp_extract("value", r"(?m)^ID\s+(\S+)", 1).alias("id"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(\d+\s+[-+.\deE]+\s+[-+.\deE]+\s+[-+.\deE]+\s+[-+.\deE]+)"), F.lit(1))).alias("row"))
     cells = rows.select("file", "id", F.split("row", r"\s+").alias("c"))
     number = lambda i: F.get("c", F.lit(i)).cast("double")

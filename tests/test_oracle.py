@@ -10,7 +10,7 @@ from kairoscope.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
-MAY_BE_EMPTY = {"detect_switches", "active_modules", "network_slices", "filter_low_variance", "low_abundance", "low_expressed_genes", "switch_plot", "factor_coexpression", "majiq_filter", "merge_candidates", "affected_edges", "slice_enrichment"}
+MAY_BE_EMPTY = {"detect_switches", "active_modules", "network_slices", "filter_low_variance", "low_abundance", "low_expressed_genes", "switch_plot", "factor_coexpression", "majiq_filter", "merge_candidates", "affected_edges", "slice_enrichment", "diffusion_layers", "shortest_paths"}
 
 
 @pytest.fixture(scope="module")
