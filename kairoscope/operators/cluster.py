@@ -8,8 +8,10 @@ matrix on the driver and refuse more than ``BOUND`` objects; k-means, DBSCAN and
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ from kairoscope.operators import graph, stats
 from kairoscope.operators.prep import ratio
 
 BOUND = 5000
+#: Objects of a block of the distance sums.
+BLOCK = 512
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -85,12 +89,50 @@ def merge_candidates(series: DataFrame, threshold: float, how: str = "median") -
     return prototype_pairs(series, how).where(F.col("corr") >= threshold)
 
 
+def distance_sums(series: DataFrame, name: str = "euclidean") -> DataFrame:
+    """object_idx, c, total, n: each object's summed distance to the other members of each cluster.
+
+    Objects are packed in blocks of about ``BLOCK``; every pair of blocks is compared as arrays and gives a row an object and cluster,
+    so the pairs themselves are never rows.
+    """
+    blocks = -(-series.count() // BLOCK) or 1
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"blk": [rows["blk"].iloc[0]], "ids": [rows["object_idx"].to_numpy(np.int64).tobytes()], "labels": [rows["cluster"].to_numpy(np.int64).tobytes()], "vals": [np.stack(rows["vals"].to_numpy()).astype(float).tobytes()]})
+
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if name == "correlation":
+            a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+            size = np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))
+            return np.where(size > 0, 1 - a @ b.T / np.where(size > 0, size, 1.0), 0.0)
+        return np.concatenate([np.sqrt(((a[i : i + 32, None] - b[None]) ** 2).sum(2)) for i in range(0, len(a), 32)])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vals, ids_b, labels_b, vals_b in batch.itertuples(index=False):
+                x, y, g = np.frombuffer(ids, np.int64), np.frombuffer(ids_b, np.int64), np.frombuffer(labels_b, np.int64)
+                d = distances(np.frombuffer(vals).reshape(len(x), -1), np.frombuffer(vals_b).reshape(len(y), -1))
+                other = x[:, None] != y
+                for c in np.unique(g):
+                    mine = (g == c) & other
+                    yield pd.DataFrame({"object_idx": x, "c": c, "total": np.where(mine, d, 0.0).sum(1), "n": mine.sum(1)})
+
+    packs = series.withColumn("blk", F.pmod(F.xxhash64("object_idx"), F.lit(blocks))).select("blk", "object_idx", "cluster", "vals").groupBy("blk").applyInPandas(pack, "blk long, ids binary, labels binary, vals binary")
+    other = packs.select(F.col("ids").alias("ids_b"), F.col("labels").alias("labels_b"), F.col("vals").alias("vals_b"))
+    both = packs.select("ids", "vals").crossJoin(other).repartition(min(blocks * blocks, 10_000))  # blocks x blocks
+    sums = both.mapInPandas(compare, "object_idx long, c int, total double, n long")
+    return sums.groupBy("object_idx", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0")
+
+
 def silhouettes(series: DataFrame, name: str = "euclidean") -> DataFrame:
     """object_idx, cluster, silhouette: (b - a) / max(a, b), 0 for a cluster of one."""
-    d = pair_distances(series, name)
-    two = d.select(F.explode(F.array(F.struct(F.col("i").alias("object_idx"), F.col("j").alias("other"), "distance"), F.struct(F.col("j").alias("object_idx"), F.col("i").alias("other"), "distance"))).alias("x")).select("x.*")
-    label = series.select(F.col("object_idx").alias("other"), F.col("cluster").alias("c"))
-    mean = two.join(label, "other").groupBy("object_idx", "c").agg(F.avg("distance").alias("m"))
+    if name in ("euclidean", "correlation"):
+        mean = distance_sums(series, name).select("object_idx", "c", (F.col("total") / F.col("n")).alias("m"))
+    else:
+        d = pair_distances(series, name)
+        two = d.select(F.explode(F.array(F.struct(F.col("i").alias("object_idx"), F.col("j").alias("other"), "distance"), F.struct(F.col("j").alias("object_idx"), F.col("i").alias("other"), "distance"))).alias("x")).select("x.*")
+        label = series.select(F.col("object_idx").alias("other"), F.col("cluster").alias("c"))
+        mean = two.join(label, "other").groupBy("object_idx", "c").agg(F.avg("distance").alias("m"))
     own = mean.join(series.select("object_idx", "cluster"), "object_idx")
     ab = own.groupBy("object_idx", "cluster").agg(F.min(F.when(F.col("c") == F.col("cluster"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("cluster"), F.col("m"))).alias("b"))
     return ab.select("object_idx", "cluster", F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(0.0)).otherwise(ratio(F.col("b") - F.col("a"), F.greatest("a", "b"), 0.0)).alias("silhouette"))

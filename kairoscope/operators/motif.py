@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from kairoscope.functions.tests_udf import mann_whitney_column, pearson_pvalue_c
 from kairoscope.operators import prep, stats
 
 LETTERS = ("a", "c", "g", "t")
+#: Positions of all motifs of a scan together.
+LIBRARY = 1_000_000
 
 
 def gc_fraction(seq: Column, digits: int | None = 2) -> Column:
@@ -31,17 +37,53 @@ def log_odds(pwm: DataFrame) -> DataFrame:
 def scan(sequences: DataFrame, pwm: DataFrame, gc_ratio: float | None = None) -> DataFrame:
     """doc_id, grp, sf, motif_id, scores: log2 odds at each offset against the background of the sequence's own (or the given) GC share; null where a count is zero.
 
-    The motif table (a row a motif of a library, however many sequences there are) is broadcast and meets every sequence.
+    The library of motifs (at most LIBRARY positions, however many sequences there are) goes to every task; a sequence is scored by
+    adding one shifted row of odds a position, and results leave in batches of bounded size.
     """
-    # All that depends on the sequence or the motif alone is made before they meet, so no offset repeats it.
-    log = lambda x: f"if({x} > 0, log2({x}), cast(null AS double))"
-    motif = log_odds(pwm).withColumn("table", F.expr(f"flatten(transform(odds, o -> transform(o, x -> {log('x')})))")).drop("odds")
-    s = sequences.withColumn("gc", gc_fraction(F.col("seq"), None) if gc_ratio is None else F.lit(gc_ratio))
-    s = s.withColumn("back", F.expr(f"transform(array((1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2), x -> {log('x')})"))
-    s = s.select("doc_id", "grp", "back", F.expr("transform(split(translate(seq, 'ACGT', '0123'), ''), x -> cast(x AS int))").alias("code"))
-    both = s.join(F.broadcast(motif), F.size("code") >= F.col("width"))
-    scores = F.expr("transform(sequence(0, size(code) - width), at -> aggregate(sequence(0, width - 1), 0D, (s, k) -> s + table[4 * k + code[at + k]] - back[code[at + k]]))")
-    return both.select("doc_id", "grp", "sf", "motif_id", scores.alias("scores"))
+    found = log_odds(pwm).orderBy("sf", "motif_id").collect()
+    if sum(r["width"] for r in found) > LIBRARY:
+        raise ValueError(f"a library holds at most {LIBRARY} positions; scan with parts of it")
+    with np.errstate(divide="ignore"):
+        library = [(r["sf"], r["motif_id"], np.log2(np.array(r["odds"], float))) for r in found]
+    place = np.zeros(256, np.intp)
+    place[[ord(c) for c in "ACGT"]] = range(4)
+    s = sequences.select("doc_id", "grp", "seq", (gc_fraction(F.col("seq"), None) if gc_ratio is None else F.lit(gc_ratio)).alias("gc"))
+    kind = dict(s.dtypes)["doc_id"]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, which, parts, held = [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                flat = np.concatenate(parts) if parts else np.zeros(0)
+                ends = np.cumsum([0, *map(len, parts)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, mask=~np.isfinite(flat)))  # noqa: B023
+                taken = pa.array(row, pa.int64())  # noqa: B023
+                names = [pa.array([library[m][k] for m in which], pa.string()) for k in (0, 1)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([batch.column("doc_id").take(taken), batch.column("grp").take(taken), *names, lists], ["doc_id", "grp", "sf", "motif_id", "scores"])  # noqa: B023
+
+            for i, (seq, gc) in enumerate(zip(batch.column("seq").to_pylist(), batch.column("gc").to_pylist(), strict=True)):
+                code = place[np.frombuffer(seq.encode(), np.uint8)]
+                with np.errstate(divide="ignore"):
+                    back = np.log2(np.array([1 - gc, gc, gc, 1 - gc]) / 2)
+                for m, (_, _, odds) in enumerate(library):
+                    n = len(code) - len(odds) + 1
+                    if n < 1:
+                        continue
+                    table = np.where(np.isfinite(back), odds - back, -np.inf)
+                    total = np.zeros(n)
+                    for k, line in enumerate(table):
+                        total += line[code[k : k + n]]
+                    row.append(i)
+                    which.append(m)
+                    parts.append(total)
+                    held += n
+                    if held >= 1_000_000:
+                        yield flush()
+                        row, which, parts, held = [], [], [], 0
+            yield flush()
+
+    return s.mapInArrow(scored, f"doc_id {kind}, grp string, sf string, motif_id string, scores array<double>")
 
 
 def hits(scans: DataFrame, threshold: float) -> DataFrame:
@@ -58,8 +100,8 @@ def group_table(scans: DataFrame, threshold: float) -> DataFrame:
 
 
 def group_tests(scans: DataFrame) -> DataFrame:
-    """sf, motif_id, lost_vs_background, gained_vs_background, lost_vs_gained: one-sided rank tests of the sequences' best scores."""
-    best = scans.select("sf", "motif_id", "grp", F.array_max("scores").alias("best")).where("best IS NOT NULL")
+    """sf, motif_id, lost_vs_background, gained_vs_background, lost_vs_gained: one-sided rank tests of the best scores (rounded, so that equal ones are ties)."""
+    best = scans.select("sf", "motif_id", "grp", F.round(F.array_max("scores"), 9).alias("best")).where("best IS NOT NULL")
     pick = lambda g: F.collect_list(F.when(F.col("grp") == g, F.col("best"))).alias(g)
     lists = best.groupBy("sf", "motif_id").agg(pick("lost"), pick("gained"), pick("background"))
     p = mann_whitney_column("greater")
