@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's docs.  All but the last return the columns of ``documents``:
 
 1. toxicity: documents whose noisy-or score reaches the threshold go; the model learns from ``labels``.
-2. simhash: of each group of near-duplicates (wide fingerprints, shingles of five words, similarity 0.8) the document of the smallest id stays.
+2. simhash: of each group of near-duplicates (exact Jaccard similarity of 0.8 or more on shingles of five words) the document of the smallest id stays.
 3. secrets: values that look live (held by few owners) are masked in the text; copied examples stay.
 4. mixing: each document is repeated as often as the mix takes it, in whole documents; one that it takes no word of goes.
 5. tokens: every text is encoded and decoded; one row per row of the mix.

@@ -10,8 +10,6 @@ order links are sought only among those that agree in its front bits:
 
 * ``Exact``: 64 bits, 3 differences.  Three differences cannot touch all four quarters of the bits, so four orders with one quarter each in
   front find every link.
-* ``Wide``: 256 bits, for a Jaccard similarity of 0.8 or more on shingles of five words; the orders have random bits in front, enough of them that a pair
-  at 0.8 meets in over nine of ten cases and one at 0.9 practically always.
 
 Every order is dealt into ranges by Gray rank (front bits first), in which neighbours share most bits, and cut into blocks.  A
 block is a tree: each node has the mask of the bits that all below it share and their pattern.  Two trees (or one and itself) are
@@ -75,8 +73,6 @@ class Scheme:
 
 
 EXACT = Scheme(3, 1, 3, tuple(tuple(range(16 * k, 16 * k + 16)) for k in range(4)))
-#: Bits in front and orders of the wide scheme; 44 of 256 bits differ at a similarity a little under 0.8.
-WIDE = Scheme(5, 4, 44, tuple(tuple(map(int, np.random.default_rng(o).choice(256, 14, replace=False))) for o in range(24)))
 
 
 def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
@@ -317,8 +313,10 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme = WIDE) -> DataFrame:
-    """The documents whose id is their component's, all columns; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col, scheme)
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose id is the smallest of their near-duplicates' (exact similarity, see ``shingles``), all columns; rows without an id stay."""
+    from kairoscope.llm import shingles  # which reads the hashes above
+
+    found = shingles.near_duplicates(docs, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kairoscope.llm import bpe, chat, components, embeddings, fingerprints, language, mixing, quality, secrets, simhash, toxicity
+from kairoscope.llm import shingles as exact
 from kairoscope.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -198,6 +199,59 @@ def test_wide_fingerprints_find_near_copies_and_leave_others(spark):
     assert sorted(kept) == [4 * g for g in range(40)]
 
 
+def near_at_least(texts, p=4, q=5):
+    """The smallest id that each one reaches by pairs of a similarity of p / q or more, from all pairs."""
+    sets = {i: shingles(t.lower()) for i, t in texts.items()}
+    low, changed = {i: i for i in texts}, True
+    ids = sorted(texts)
+    near = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if q * len(sets[a] & sets[b]) >= p * len(sets[a] | sets[b])]
+    while changed:
+        changed = False
+        for a, b in near:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return low, near
+
+
+def test_survivors_against_all_pairs_around_the_threshold(spark):
+    rng = np.random.default_rng(20)
+    texts = {}
+    for g in range(160):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 30, int(rng.integers(30, 400)))]
+        n = len(words) - 4
+        texts[2 * g] = " ".join(words)
+        if g % 2:  # the end is cut off
+            texts[2 * g + 1] = " ".join(words[: 4 + int(round(n * rng.uniform(0.76, 0.86)))])
+        else:  # the end is another: so many shingles of n are common to both
+            common = int(round(n * rng.uniform(0.865, 0.925)))
+            texts[2 * g + 1] = " ".join([*words[: common + 4], *(f"n{x}" for x in rng.integers(0, 1 << 30, n - common))])
+    want, near = near_at_least(texts)
+    assert 60 < len(near) < 120
+    kept = {r["doc_id"] for r in simhash.survivors(documents(spark, [(i, t, "en", "s") for i, t in texts.items()])).collect()}
+    assert kept == {i for i in texts if want[i] == i}
+
+
+def test_exact_groups_in_tiles(spark):
+    rng = np.random.default_rng(21)
+    texts, words = {}, [f"w{x}" for x in range(90)]
+    for i in range(120):  # a chain whose ends have nothing in common, now and then broken
+        texts[int(1000 - i)] = " ".join(words)
+        cut = 30 if i % 17 == 16 else int(rng.integers(3, 9))
+        words = [*words[cut:], *(f"w{x}" for x in rng.integers(0, 1 << 30, cut))]
+    want, _ = near_at_least(texts)
+    assert 7 < len(set(want.values())) < 60
+    docs = documents(spark, [(i, t, "en", "s") for i, t in texts.items()])
+    for size in (5, 512):
+        assert {r["doc_id"]: r["component_id"] for r in exact.near_duplicates(docs, chunk_sets=size).collect()} == want
+
+
+def test_exact_groups_of_odd_rows(odd, none):
+    got = [(r["doc_id"], r["component_id"]) for r in exact.near_duplicates(odd).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (8, 8), (None, None)], key=str)
+    assert exact.near_duplicates(none).collect() == []
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 80)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000), (None, 1)]
     got = {r[0]: r[1] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
