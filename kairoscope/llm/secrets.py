@@ -139,8 +139,19 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def disjoint(spans: Column) -> Column:
+    """Sorted spans (first, last) with those that overlap made one: a value may hold another of its own extent."""
+
+    def add(done: Column, s: Column) -> Column:
+        top = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))
+        return F.when(s["first"] < top["last"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<first:bigint,last:bigint>>"), add)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide: int = WIDE, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with the values that look live replaced by ``mask``; copied examples stay as they are.
+    """``docs`` with the values that look live replaced by ``mask``, overlapping ones by one; copied examples stay as they are.
 
     Only rows that hold a live value meet the verdicts; they are found by id.  A row whose id is null
     or shared is masked by the union of the spans of its id whose text is the same, so equal rows stay equal.
@@ -149,6 +160,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     found = scan(docs, id_col, text_col, None, owner_col, wide)
     live = found.select(F.col(id_col).alias("live_id"), "n_chars", F.expr("transform(filter(marked, m -> m.kind = 'live'), m -> struct(m.first as first, m.last as last))").alias("live")).where(F.size("live") > 0)
     live = live.groupBy("live_id", F.col("n_chars").alias("live_chars")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("live")))).alias("live"))
+    live = live.withColumn("live", disjoint(F.col("live")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.join(live, F.col(id_col).eqNullSafe(F.col("live_id")) & (F.length(text) == F.col("live_chars")), "left")
     # From the last span to the first, so that the positions before a span stay as they were.

@@ -437,6 +437,19 @@ def test_secret_spans(spark, odd, none):
     assert len(secrets.scan(odd).collect()) == 10 and secrets.scan(none).collect() == [] and secrets.redact(odd).count() == 10
 
 
+def test_nested_secrets_are_masked_once(spark):
+    run = "0123456789abcdef" * 4
+    texts = [
+        (f"before secret=sk-{run} and clean text behind it, which stays", "before secret=[SECRET] and clean text behind it, which stays"),
+        (f"api_key: AKIA{'Q7' * 10}=={run[::-1]}.x then {run[1:60]} end", "api_key: [SECRET] then [SECRET] end"),
+        (f"token={run}0 {run}1 next", "token=[SECRET] [SECRET] next"),
+        (f"é token={run[2:50]}", "é token=[SECRET]"),
+    ]
+    docs = documents(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(texts)])
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
+    assert got == {i: (m, len(m)) for i, (_, m) in enumerate(texts)}
+
+
 # 10
 
 
