@@ -9,7 +9,7 @@ temperature of the softmax is fitted on a fifth of these that the learner doesn'
 
 Results.  A text that is null or has no letter is ``und`` with score 0.0.  Without any labelled row
 every text is ``und``.  Rows that share an id are read each for itself; a null label teaches
-nothing; an empty table gives no rows.  At most ``MOST_LABELS`` languages, the most frequent ones (ties by code point), are learnt.
+nothing; an empty table gives no rows.  Every language is learnt; above ``MOST_LABELS`` the driver couldn't hold the fit, so it raises an error.
 """
 
 from __future__ import annotations
@@ -152,7 +152,9 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", modulus: int = 4, rest: int = 2, per_label: int = PER_LABEL) -> Model:
     """Learn from the labelled documents of the learning fold: frequencies from all of them, weights from the sample."""
     fold = docs.where(F.col(label_col).isNotNull() & ~_fit.held_out(id_col, modulus, rest)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"))
-    counts = fold.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LABELS).collect()
+    counts = fold.groupBy("y").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"the documents have more than {MOST_LABELS} languages; a fit learns {MOST_LABELS} at most")
     if not counts:
         return Model([], np.zeros((BINS, 0)), np.zeros(0), np.zeros(BINS))
     limit = {r["y"]: min(1.0, per_label / r["n"]) for r in counts}

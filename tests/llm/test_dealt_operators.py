@@ -110,6 +110,15 @@ def test_language_frequencies_cover_every_document(spark, tongues):
     assert model.idf == pytest.approx(np.log((1 + n) / (1 + seen)) + 1)
 
 
+def test_language_leaves_no_label_out(spark, tongues, monkeypatch):
+    docs = documents(spark, tongues)
+    monkeypatch.setattr(language, "MOST_LABELS", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language.fit(docs)
+    monkeypatch.setattr(language, "MOST_LABELS", 3)
+    assert language.fit(docs).labels == ["de", "en", "fr"]
+
+
 def test_language_pieces_agree():
     text = "Ein langer Satz über Häuser. 12 " * 20_000
     bins, counts = language.counts_of(text)
