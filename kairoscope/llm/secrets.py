@@ -6,7 +6,7 @@ hexadecimal runs) and the candidates: the value of each base span and every mixe
 Candidates are hashed, and the hashes are counted over the whole corpus by distinct repository and
 distinct owner (pre-aggregated before the shuffle, so that a value that a third of all documents
 copy is one row per task).  A value that ``WIDE`` owners or more hold is a copied example; the
-others are owner-specific and look live.  The verdicts go back to the occurrences, and each document
+others are owner-specific and look live.  Only owners decide: the number of repositories is told, but however many of one owner hold a value, it looks live.  The verdicts go back to the occurrences, and each document
 gets its base spans plus one span a candidate: ``live`` or ``example``.
 
 Nulls and ties.  A null text is empty: no spans.  A null owner or repository counts as one owner of its own.  Rows that
