@@ -180,7 +180,7 @@ def scorer(model: Model, spark):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, score, and the offending sentences (first, last character, score) at the threshold or above."""
+    """One row per document: id, score, and the offending sentences (first, last character, score) of half the threshold or more where the score reaches it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, sentences array<struct<first:long,last:long,score:double>>")
@@ -192,9 +192,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             if total >= threshold and t:
                 data = t.lower().encode("utf-8", "surrogatepass")
                 at = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80) if data else np.zeros(0, int)
-                same = len(t.lower()) == len(t)  # a few letters change their length with their case
+                if len(t.lower()) != len(t):  # a few letters become several with their case
+                    at = np.repeat(np.arange(1, len(t) + 1), [len(c.lower()) for c in t])[at - 1]
                 char = lambda byte: int(at[byte - 1]) if byte else 0
-                found = [(char(a), char(b), float(x)) for (a, b), x in zip(extents, p, strict=True) if x >= threshold / 2] if same else []
+                found = [(char(a), char(b), float(x)) for (a, b), x in zip(extents, p, strict=True) if x >= threshold / 2]
             out.append((total, found))
         return pd.DataFrame(out, columns=["score", "sentences"])
 

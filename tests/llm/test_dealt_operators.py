@@ -353,6 +353,16 @@ def test_toxicity_held_out_and_located(spark, odd):
     assert toxicity.clean(docs, model).count() == 200 and toxicity.clean(docs, model).columns == docs.columns
 
 
+def test_toxic_sentences_are_located_where_case_changes_lengths(spark):
+    weights = np.zeros(toxicity.BINS, np.float32)
+    weights[toxicity.features("scum")[0]] = 5.0
+    model = toxicity.Model(weights, -7.0)
+    texts = ["İİ one İ. É scum İ here! İ then.", "İscum. You scum", "You scum. And İ", "x. scum İ"]
+    got = {r["doc_id"]: r for r in toxicity.score(documents(spark, [(i, t, "tr", "s") for i, t in enumerate(texts)]), model).collect()}
+    found = {i: [texts[i][s["first"] : s["last"]].strip() for s in r["sentences"]] for i, r in got.items()}
+    assert found == {0: ["É scum İ here!"], 1: ["You scum"], 2: ["You scum."], 3: ["scum İ"]}
+
+
 def test_toxicity_without_labels(spark, odd, none):
     model = toxicity.fit(odd, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r["score"] for r in toxicity.score(odd, model).collect()} == {0.0} and toxicity.score(none, model).collect() == []
