@@ -9,7 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: Spark's own value and ours of the settings for batches between the JVM and Python.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2097152")}
 
 
 def get_session(app: str = "kairoscope", master: str = "local[8]", partitions: int = 8) -> SparkSession:
@@ -49,11 +50,12 @@ def cut(frame: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers, once a session, wherever the driver imported it from.
 
-    Batches between the JVM and Python are cut small, for texts of any length make them large.
+    Batches between the JVM and Python are cut small, for texts of any length make them large; a setting that the caller has changed stays.
     """
     context = spark.sparkContext
-    for key, value in BATCHES.items():
-        spark.conf.set(key, value)
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     if getattr(context, "_kairoscope_shipped", False):
         return
     root = Path(__file__).resolve().parent
