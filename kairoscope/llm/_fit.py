@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of the longest text that a fit learns from: what is gathered from the sample is bounded by it, whatever the corpus holds.
+FIT_CHARS = 20_000
+
+
 def held_out(id_col: str, modulus: int, rest: int) -> Column:
     """Whether crc32 of the id as text leaves ``rest``; a null id is held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == rest, F.lit(True))
@@ -37,10 +41,11 @@ def labelled_ids(labels: DataFrame, id_col: str, label: str, modulus: int, rest:
     return rows.groupBy(F.col(id_col).alias("fit_id")).agg(F.max(label).cast("int").alias("fit_label"))
 
 
-def sampled_docs(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_label: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fit_id, fit_label and text of at most about ``per_label`` documents a label.
+def sampled_docs(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_label: int, id_col: str = "doc_id", text_col: str = "text", chars: int = FIT_CHARS) -> DataFrame:
+    """fit_id, fit_label and text of at most about ``per_label`` documents a label, of at most ``chars`` characters each.
 
     The sampled ids are few by the bound, so they are broadcast and the texts stay where they are.
     """
     ids = sample(labelled_ids(labels, id_col, label, modulus, rest), "fit_id", "fit_label", per_label)
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("fit_id")).select("fit_id", "fit_label", "text")
+    short = F.coalesce(F.length(F.col(text_col)), F.lit(0)) <= chars
+    return docs.where(short).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("fit_id")).select("fit_id", "fit_label", "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -10,8 +10,6 @@ import numpy as np
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(48, 58), *range(97, 123), *range(65, 91), *range(128, 256)]] = True
 _IS_STOP = np.zeros(256, bool)
@@ -32,16 +30,41 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def pieces(data: bytes) -> Iterator[bytes]:
-    """``data`` whole, in pieces of at most PIECE bytes that end at white space where there is any."""
+def pieces(raw: np.ndarray, inside: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, bool]]:
+    """``raw`` whole, in pieces of at most PIECE that end behind something outside of words; and whether a piece is all one word that goes on (the last isn't)."""
     at = 0
-    while len(data) - at > PIECE:
-        end = max(data.rfind(b" ", at, at + PIECE), data.rfind(b"\n", at, at + PIECE)) + 1
-        end = end if end > at else at + PIECE
-        yield data[at:end]
-        at = end
-    if at < len(data):
-        yield data[at:]
+    while at < len(raw):
+        window = raw[at : at + PIECE]
+        outside = np.flatnonzero(~inside(window)) if at + PIECE < len(raw) else [len(window) - 1]
+        end = int(outside[-1]) + 1 if len(outside) else PIECE
+        yield window[:end], not len(outside)
+        at += end
+
+
+class Words:
+    """Hashes of the words of one piece after the other.  A word's hash is that of the whole word, however many pieces it spans."""
+
+    def __init__(self) -> None:
+        self.sum, self.length = 0, 0  # of the word that goes on
+
+    def of(self, raw: np.ndarray, mask: np.ndarray, goes_on: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """Starts, ends and hashes of the words that end in a piece, its prefix sums, and how many of these words began before it."""
+        starts, ends = runs(mask)
+        sums = prefix_sums(raw)
+        hashes = (sums[ends] - sums[starts]) * powers()[1][starts]
+        if goes_on or (self.length and len(starts) and starts[0] == 0):
+            self.sum = (self.sum + pow(BASE, self.length, 1 << 64) * int(hashes[0])) % (1 << 64)
+            self.length += len(raw) if goes_on else 0
+            if goes_on:
+                return starts[:0], ends[:0], hashes[:0], sums, 0
+            hashes[0], self.length = self.sum, 0
+            self.sum = 0
+            return starts, ends, hashes, sums, 1
+        if self.length:  # it ended where the piece before it did
+            starts, ends, hashes = (np.concatenate((np.array([x], a.dtype), a)) for x, a in ((0, starts), (0, ends), (self.sum, hashes)))
+            self.sum, self.length = 0, 0
+            return starts, ends, hashes, sums, 1
+        return starts, ends, hashes, sums, 0
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,17 +81,22 @@ def prefix_sums(raw: np.ndarray) -> np.ndarray:
     return sums
 
 
+def salted(hashes: np.ndarray, salt: int) -> np.ndarray:
+    return mixed(hashes + np.uint64(salt))
+
+
 def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
     _, down = powers()
-    return mixed((sums[ends] - sums[starts]) * down[starts] + np.uint64(salt))
+    return salted((sums[ends] - sums[starts]) * down[starts], salt)
 
 
 def letters(raw: np.ndarray) -> np.ndarray:
     return _IS_WORD[raw]
 
 
-def spaces(raw: np.ndarray) -> np.ndarray:
-    return _IS_SPACE[raw]
+def not_spaces(points: np.ndarray) -> np.ndarray:
+    """Of code points."""
+    return ~((points == 32) | ((points >= 9) & (points <= 13)))
 
 
 def stops(raw: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ A text is lower-cased, everything but letters becomes one space, and its 1-, 2-
 ``BINS``.  Counts are damped (1 + log), weighted by the inverse document frequency and scaled to length 1.
 Document frequencies are counted over every document of the learning fold (summed by bin on the
 executors); the weights are learnt on the driver by follow-the-regularised-leader with an elastic-net
-penalty from about ``PER_LABEL`` documents a language, chosen by hashed id; and the
+penalty from about ``PER_LABEL`` documents a language (fewer where that makes more than ``SAMPLE`` of all), chosen by hashed id; and the
 temperature of the softmax is fitted on a fifth of these that the learner doesn't see.
 
 Results.  A text that is null or has no letter is ``und`` with score 0.0.  Without any labelled row
@@ -24,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm import _fit
+from kairoscope.llm._memory import give_back
 from kairoscope.session import cut
 
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
-PER_LABEL, MOST_LABELS = 800, 300
+PER_LABEL, SAMPLE, MOST_LABELS = 800, 20_000, 300
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-3, 1e-3, 3
 UNKNOWN = "und"
 _PIECE = 1 << 18
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         raise ValueError(f"the documents have more than {MOST_LABELS} languages; a fit learns {MOST_LABELS} at most")
     if not counts:
         return Model([], np.zeros((BINS, 0)), np.zeros(0), np.zeros(BINS))
-    limit = {r["y"]: min(1.0, per_label / r["n"]) for r in counts}
+    limit = {r["y"]: min(1.0, min(per_label, SAMPLE / len(counts)) / r["n"]) for r in counts}
     draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000.0
     drawn = F.coalesce(*(F.when((F.col("y") == k) & (draw < v), True) for k, v in limit.items()), F.lit(False))
 
@@ -200,7 +201,9 @@ def predict_column(text: Column, model: Model, spark) -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def predicted(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        return pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([m.predict(t) for t in texts], columns=["lang_pred", "score"])
+        give_back()
+        return out
 
     return predicted(text)
 

@@ -1,20 +1,22 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words (runs that are not white space, with their case), its pairs of neighbouring words and the
-3-grams of its bytes, hashed to ``BINS`` vectors of ``DIM`` numbers.  A pair is hashed by the difference of its words' hashes, so
+A text's features are its words (runs that are not white space, with their case), its pairs of neighbouring words and its
+character 3-grams (code points), hashed to ``BINS`` vectors of ``DIM`` numbers.  A pair is hashed by the difference of its words' hashes, so
 that a word which follows itself is one feature whatever the word.  Vectors are averaged over the document, for each of the
 three kinds, and a softmax of the joined averages gives the two classes.  Vectors and output are trained together by stochastic
-gradient descent in numpy on about ``PER_LABEL`` documents a label, chosen by hashed id.  As
+gradient descent in numpy on about ``PER_LABEL`` documents a label, chosen by hashed id, of ``FIT_CHARS`` characters at most.  As
 the output is linear in the averages, scoring uses one number a bin: the product of vectors and output.
 
 Nulls and ties.  A null or empty text has no features and gets the score of the bias, between 0 and 1.  Without labels
 of both kinds every score is the share of label 1 (0.5 without rows).  An id with several labels has the largest.
-Rows that share an id are scored each for itself.  Texts are read whole, in pieces of bounded size.
+Rows that share an id are scored each for itself.  Texts are read whole, in pieces of bounded size, and the features are the same wherever
+a piece ends.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm import _fit, _hashing
+from kairoscope.llm._memory import give_back
 
 BINS, DIM = 1 << 16, 8
 PER_LABEL = 2000
@@ -35,21 +38,26 @@ def binned(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (EDGES[kind] + hashes % np.uint64(EDGES[kind + 1] - EDGES[kind])).astype(np.int32)
 
 
-def features(text: str) -> np.ndarray:
-    """The bins of a text, one an occurrence."""
-    made, before = [], np.zeros(0, np.uint64)
-    for piece in _hashing.pieces(text.encode("utf-8", "surrogatepass")):
-        raw = np.frombuffer(piece, np.uint8)
-        starts, ends = _hashing.runs(~_hashing.spaces(raw))
-        words = _hashing.spans_hash(_hashing.prefix_sums(raw), starts, ends, 11)
-        chain = np.concatenate((before, words))
-        made += [binned(words, 0), binned(_hashing.mixed(chain[1:] - chain[:-1]), 1)]
-        before = chain[-1:]
-        if len(raw) >= 3:
-            wide = raw.astype(np.uint32)
-            grams = (wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]).astype(np.uint64)
-            made.append(binned(_hashing.mixed(grams) >> np.uint64(13), 2))
-    return np.concatenate(made) if made else np.zeros(0, np.int32)
+def features(text: str) -> Iterator[list[np.ndarray]]:
+    """The bins of a text, one an occurrence, of words, pairs and n-grams: piece by piece."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    words, before, tail = _hashing.Words(), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for raw, goes_on in _hashing.pieces(points, _hashing.not_spaces):
+        _, _, hashes, _, _ = words.of(raw, _hashing.not_spaces(raw), goes_on)
+        own = _hashing.salted(hashes, 11)
+        chain, wide = np.concatenate((before, own)), np.concatenate((tail, raw.astype(np.uint64)))
+        grams = wide[:-2] << np.uint64(42) | wide[1:-1] << np.uint64(21) | wide[2:]
+        before, tail = chain[-1:], wide[-2:]
+        yield [binned(own, 0), binned(_hashing.mixed(chain[1:] - chain[:-1]), 1), binned(_hashing.mixed(grams) >> np.uint64(13), 2)]
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bins of a text and their counts."""
+    total = np.zeros(BINS, np.int32)
+    for parts in features(text):
+        total += np.bincount(np.concatenate(parts), minlength=BINS).astype(np.int32)
+    bins = np.flatnonzero(total)
+    return bins.astype(np.int32), total[bins]
 
 
 def kinds(bins: np.ndarray) -> list[slice]:
@@ -69,11 +77,11 @@ class Model:
     def score(self, text: str | None) -> float:
         if self.constant is not None:
             return self.constant
-        found = features(text or "")
-        gains, kind, z = self.gain[found].astype(np.float64), np.searchsorted(EDGES, found, side="right"), self.bias
-        for k in range(1, len(EDGES)):
-            part = gains[kind == k]
-            z += float(part.mean()) if len(part) else 0.0
+        sums, sizes = np.zeros(len(EDGES) - 1), np.zeros(len(EDGES) - 1)
+        for parts in features(text or ""):
+            sums += [self.gain[p].sum(dtype=np.float64) for p in parts]
+            sizes += [len(p) for p in parts]
+        z = self.bias + float((sums / np.maximum(sizes, 1)).sum())
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))))
 
 
@@ -116,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int
 
     @F.pandas_udf("bins binary, counts binary")
     def featured(texts: pd.Series) -> pd.DataFrame:
-        made = [np.unique(features(t or ""), return_counts=True) for t in texts]
-        return pd.DataFrame({"bins": [b.astype(np.int32).tobytes() for b, _ in made], "counts": [c.astype(np.int32).tobytes() for _, c in made]})
+        made = [counted(t or "") for t in texts]
+        return pd.DataFrame({"bins": [b.tobytes() for b, _ in made], "counts": [c.tobytes() for _, c in made]})
 
     rows = _fit.sampled_docs(docs, labels, label, modulus, rest, per_label).select("fit_id", "fit_label", featured("text").alias("f"))
     found = sorted(rows.select("fit_id", "fit_label", "f.bins", "f.counts").collect(), key=lambda r: (r[0], r[1], len(r[2]), zlib.crc32(r[2])))
@@ -130,7 +138,9 @@ def score_column(text: Column, model: Model, spark) -> Column:
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([m.score(t) for t in texts], dtype="float64")
+        out = pd.Series([m.score(t) for t in texts], dtype="float64")
+        give_back()
+        return out
 
     return scored(text)
 

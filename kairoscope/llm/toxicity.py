@@ -6,7 +6,7 @@ Weights are trained from document labels alone, by proximal gradient steps on th
 L1 penalty, so the gradient of a toxic document goes to the sentences that explain it, and
 those are then the ones that it points at.
 
-Fitting uses at most about ``PER_LABEL`` documents a label, chosen by hashed id; features are made on the
+Fitting uses at most about ``PER_LABEL`` documents a label, chosen by hashed id, of ``FIT_CHARS`` characters at most; features are made on the
 executors and only those of the sample reach the driver.  Scoring reads every whole text.
 
 Nulls and ties.  A null or empty text is one empty sentence: its score is that of the bias.  Without labelled rows of both
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm import _fit, _hashing
+from kairoscope.llm._memory import give_back
 
 BINS = 1 << 18
 PREFIXES = (3, 4, 5)
@@ -38,29 +39,33 @@ STRETCH = 1 << 20
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bins of a text's sentences, the number of bins of each sentence, and each sentence's first and last byte (n x 2)."""
-    data = text.lower().encode("utf-8", "surrogatepass")
-    bins, counts, extents, base = [], [], [], 0
-    for piece in _hashing.pieces(data):
-        raw = np.frombuffer(piece, np.uint8)
-        starts, ends = _hashing.runs(_hashing.letters(raw))
-        ends_at = np.concatenate((np.flatnonzero(_hashing.stops(raw)) + 1, [len(raw)]))
-        ends_at = ends_at if len(ends_at) < 2 or ends_at[-2] < len(raw) else ends_at[:-1]
-        begin = np.concatenate(([0], ends_at[:-1]))
-        sentence = np.searchsorted(ends_at, starts, side="right")
-        sums = _hashing.prefix_sums(raw)
-        made = [(sentence, _hashing.spans_hash(sums, starts, ends, 1))]
+    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    words, bins, counts, extents = _hashing.Words(), [], [], []
+    open_bins, begin, at = np.zeros(0, np.int64), 0, 0  # of the sentence that goes on
+    binned = lambda h: (h & np.uint64(BINS - 1)).astype(np.int64)
+    for raw, goes_on in _hashing.pieces(data, _hashing.letters):
+        began = words.length > 0
+        starts, ends, hashes, sums, older = words.of(raw, _hashing.letters(raw), goes_on)
+        stops = np.flatnonzero(_hashing.stops(raw)) + 1
+        made = [(starts, _hashing.salted(hashes, 1))]
+        first, last = (np.zeros(int(not began), np.int64), np.full(int(not began), len(raw))) if goes_on else (starts[older:], ends[older:])
         for n in PREFIXES:
-            long = ends - starts > n
-            made.append((sentence[long], _hashing.spans_hash(sums, starts[long], starts[long] + n, 2 + n)))
-        at = np.concatenate([s for s, _ in made]).astype(np.int64)
-        code = np.unique(at * BINS + (np.concatenate([h for _, h in made]) & np.uint64(BINS - 1)).astype(np.int64))
-        n = np.bincount(code // BINS, minlength=len(ends_at))
-        held = n > 0
-        bins.append((code % BINS).astype(np.int32))
-        counts.append(n[held].astype(np.int32))
-        extents.append(np.stack((begin, ends_at), 1)[held] + base)
-        base += len(piece)
-    if not counts or not sum(map(len, counts)):
+            long = last - first > n
+            made.append((first[long], _hashing.spans_hash(sums, first[long], first[long] + n, 2 + n)))
+        sentence = np.searchsorted(stops, np.concatenate([s for s, _ in made]), side="right").astype(np.int64)
+        code = np.unique(np.concatenate((open_bins, sentence * BINS + binned(np.concatenate([h for _, h in made])))))
+        closed = code[code < len(stops) * BINS]
+        n = np.bincount(closed // BINS, minlength=len(stops))
+        edges = np.stack((np.concatenate(([begin], stops[:-1] + at)), stops + at), 1) if len(stops) else np.zeros((0, 2), np.int64)
+        bins.append((closed % BINS).astype(np.int32))
+        counts.append(n[n > 0].astype(np.int32))
+        extents.append(edges[n > 0])
+        open_bins, begin, at = code[len(closed) :] % BINS, int(edges[-1, 1]) if len(stops) else begin, at + len(raw)
+    if len(open_bins):
+        bins.append(open_bins.astype(np.int32))
+        counts.append(np.array([len(open_bins)], np.int32))
+        extents.append(np.array([[begin, len(data)]]))
+    if not sum(map(len, counts)):
         return np.zeros(0, np.int32), np.zeros(1, np.int32), np.array([[0, len(data)]])
     return np.concatenate(bins), np.concatenate(counts), np.concatenate(extents)
 
@@ -91,7 +96,7 @@ class Model:
 
 
 def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: tuple[int, ...] = EPOCHS, rate: float = RATE, l1: float = L1) -> Model:
-    """bags: label, bins and counts of each document.
+    """bags: label, bins and counts of each document; they are taken out of the list.
 
     epochs: steps of each round; after a round only the bins with a weight stay in, so later ones are short.
     """
@@ -104,14 +109,14 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: tuple[int, ...
     keep = in_bags >= LEAST_BAGS
     size = np.array([len(c) for _, _, c in bags])
     of_bag = np.repeat(np.arange(len(bags), dtype=np.int32), size)
-    # Only bins that may have a weight are gathered.
-    parts, first = [], 0
-    for _, b, c in bags:
+    # Only bins that may have a weight are gathered, and each document's goes as soon as it is.
+    total = sum(int(keep[b].sum()) for _, b, _ in bags)
+    bins, of_sentence, at, first = np.empty(total, np.int32), np.empty(total, np.int32), 0, 0
+    for k, (_, b, c) in enumerate(bags):
         held = keep[b]
-        parts.append((b[held], (first + np.repeat(np.arange(len(c), dtype=np.int32), c))[held]))
-        first += len(c)
-    bins, of_sentence = np.concatenate([b for b, _ in parts]), np.concatenate([s for _, s in parts])
-    del parts
+        n = int(held.sum())
+        bins[at : at + n], of_sentence[at : at + n] = b[held], (first + np.repeat(np.arange(len(c), dtype=np.int32), c))[held]
+        at, first, bags[k] = at + n, first + len(c), None
     share = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     weights, b = np.zeros(BINS), BIAS
     for n in epochs:
@@ -163,8 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
         return pd.DataFrame({"bins": [b.tobytes() for b, _, _ in made], "counts": [c.tobytes() for _, c, _ in made]})
 
     rows = _fit.sampled_docs(docs, labels, label, modulus, rest, per_label).select("fit_id", "fit_label", featured("text").alias("f"))
-    found = sorted(rows.select("fit_id", "fit_label", "f.bins", "f.counts").collect(), key=lambda r: (r[0], r[1], len(r[2]), zlib.crc32(r[2])))
-    return train([(int(r[1]), np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in found])
+    found = rows.select("fit_id", "fit_label", "f.bins", "f.counts").collect()
+    found.sort(key=lambda r: (r[0], r[1], len(r[2]), zlib.crc32(r[2])))
+    bags = []
+    while found:
+        _, y, b, c = found.pop()
+        bags.append((int(y), np.frombuffer(b, np.int32), np.frombuffer(c, np.int32)))
+    model = train(bags)
+    give_back(0.0)
+    return model
 
 
 def scorer(model: Model, spark):
@@ -174,7 +186,9 @@ def scorer(model: Model, spark):
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([m.score(t or "")[0] for t in texts], dtype="float64")
+        out = pd.Series([m.score(t or "")[0] for t in texts], dtype="float64")
+        give_back()
+        return out
 
     return scored
 
@@ -197,6 +211,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 char = lambda byte: int(at[byte - 1]) if byte else 0
                 found = [(char(a), char(b), float(x)) for (a, b), x in zip(extents, p, strict=True) if x >= threshold / 2]
             out.append((total, found))
+        give_back()
         return pd.DataFrame(out, columns=["score", "sentences"])
 
     return docs.select(F.col(id_col), scored(F.col(text_col)).alias("s")).select(id_col, "s.score", "s.sentences")
