@@ -6,7 +6,8 @@ hexadecimal runs) and the candidates: the value of each base span and every mixe
 Candidates are hashed, and the hashes are counted over the whole corpus by distinct repository and
 distinct owner (pre-aggregated before the shuffle, so that a value that a third of all documents
 copy is one row per task).  A value that ``WIDE`` owners or more hold is a copied example; the
-others are owner-specific and look live.  Only owners decide: the number of repositories is told, but however many of one owner hold a value, it looks live.  The verdicts go back to the occurrences, and each document
+others are owner-specific and look live.  Only owners decide: the number of repositories is told, but however many of one owner hold a value, it looks live.  The verdicts go back to the occurrences
+(by the reversed hash, so that both sides are dealt for that join alone and adaptive execution can split a value that very many documents hold), and each document
 gets its base spans plus one span a candidate: ``live`` or ``example``.
 
 Nulls and ties.  A null text is empty: no spans.  A null owner or repository counts as one owner of its own.  Rows that
@@ -18,12 +19,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.llm._memory import give_back
+from kairoscope.llm._names import fresh
 from kairoscope.session import cut
 
 KINDS = ("assign", "access", "hex")
@@ -73,11 +77,24 @@ def mixed_tokens(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def apart(tokens: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The tokens that overlap none of the spans, which ascend."""
+    firsts, furthest, top = [a for a, _ in spans], [], 0
+    for _, b in spans:
+        top = max(top, b)
+        furthest.append(top)
+    out = []
+    for a, b in tokens:
+        before = bisect_right(firsts, b - 1)  # the spans that begin before the token ends
+        if not before or furthest[before - 1] <= a:
+            out.append((a, b))
+    return out
+
+
 def found_in(text: str) -> tuple[int, list, list]:
     spans, values = base_spans(text)
     covered = sorted(set(values))
-    extra = [x for x in mixed_tokens(text) if not any(a < x[1] and x[0] < b for a, b in covered)] if text else []
-    marks = [(hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), a, b) for a, b in [*covered, *extra]]
+    marks = [(hashlib.sha256(text[a:b].encode("utf-8", "surrogatepass")).hexdigest(), a, b) for a, b in [*covered, *apart(mixed_tokens(text), covered)]]
     order = {k: i for i, k in enumerate(KINDS)}
     return len(text), sorted(spans, key=lambda s: (s[1], order[s[0]], s[2])), marks
 
@@ -87,9 +104,24 @@ def scan_text(text: Column) -> Column:
 
     @F.pandas_udf(FOUND)
     def scanned(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([found_in(t or "") for t in texts], columns=["n_chars", "base", "candidates"])
+        out = pd.DataFrame([found_in(t or "") for t in texts], columns=["n_chars", "base", "candidates"])
+        give_back()
+        return out
+
+    return scanned.asNondeterministic()(F.coalesce(text, F.lit("")))  # so that a filter behind it doesn't scan again
 
-    return scanned(F.coalesce(text, F.lit("")))
+
+def judged(seen: DataFrame, row: str, repo: str, owner: str, wide: int) -> DataFrame:
+    """row, m: each occurrence of a candidate of ``seen`` with its verdict (first, last, kind, n_repos, n_owners)."""
+    marks = seen.where(F.size("candidates") > 0).select(F.col(row).alias("row"), F.col(repo).alias("r"), F.col(owner).alias("o"), F.explode("candidates").alias("c"))
+    marks = marks.select("row", "r", "o", F.reverse("c.hash").alias("turned"), F.col("c.first").alias("first"), F.col("c.last").alias("last"))
+    absent = F.lit("\x00")
+    held = marks.select(F.reverse("turned").alias("hash"), F.coalesce("o", absent).alias("o"), F.coalesce("r", absent).alias("r")).distinct()
+    by_owner = held.groupBy("hash", "o").agg(F.count("*").alias("repos"))
+    verdicts = by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
+    verdicts = verdicts.select(F.reverse("hash").alias("of"), "n_repos", "n_owners")
+    kind = F.when(F.col("n_owners") >= wide, "example").otherwise("live").alias("kind")
+    return marks.join(verdicts, F.col("turned") == F.col("of")).select("row", F.struct("first", "last", kind, "n_repos", "n_owners").alias("m"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", wide: int = WIDE) -> DataFrame:
@@ -102,18 +134,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     # The row number tells rows that share an id apart; the checkpoint fixes it.
     seen = docs.select(F.col(id_col).alias("scan_id"), repo.cast("string").alias("scan_repo"), F.col(owner_col).cast("string").alias("scan_owner"), scan_text(F.col(text_col)).alias("found"))
     seen = cut(seen.select("scan_id", "scan_repo", "scan_owner", "found.*").withColumn("scan_row", F.monotonically_increasing_id()))
-    marks = seen.where(F.size("candidates") > 0).select("scan_row", "scan_repo", "scan_owner", F.explode("candidates").alias("c"))
-    marks = marks.select("scan_row", "scan_repo", "scan_owner", F.col("c.hash").alias("hash"), F.col("c.first").alias("first"), F.col("c.last").alias("last"))
-    absent = F.lit("\x00")
-    held = marks.select("hash", F.coalesce("scan_owner", absent).alias("o"), F.coalesce("scan_repo", absent).alias("r")).distinct()
-    by_owner = held.groupBy("hash", "o").agg(F.count("*").alias("repos"))
-    verdicts = by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
-    judged = marks.join(verdicts, "hash").select(
-        "scan_row",
-        F.struct("first", "last", F.when(F.col("n_owners") >= wide, "example").otherwise("live").alias("kind"), "n_repos", "n_owners").alias("m"),
-    )
-    by_row = judged.groupBy("scan_row").agg(F.array_sort(F.collect_list("m")).alias("marked"))
-    out = seen.join(by_row, "scan_row", "left")
+    by_row = judged(seen, "scan_row", "scan_repo", "scan_owner", wide).groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("marked"))
+    out = seen.join(by_row, F.col("scan_row") == F.col("row"), "left")
     none = F.array().cast("array<struct<first:long,last:long,kind:string,n_repos:long,n_owners:long>>")
     return out.select(F.col("scan_id").alias(id_col), "n_chars", "base", F.coalesce("marked", none).alias("marked"))
 
@@ -153,19 +175,20 @@ def disjoint(spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide: int = WIDE, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with the values that look live replaced by ``mask``, overlapping ones by one; copied examples stay as they are.
 
-    Only rows that hold a live value meet the verdicts; they are found by id.  A row whose id is null
-    or shared is masked by the union of the spans of its id whose text is the same, so equal rows stay equal.
+    What is masked depends on the text alone, as a value has one verdict in the corpus.  So the spans are kept by the
+    text's SHA-256, and each row is masked by those of its own text, whether its id is null, shared or not.
     n_chars, where there is one, follows the new text.
     """
-    found = scan(docs, id_col, text_col, None, owner_col, wide)
-    live = found.select(F.col(id_col).alias("live_id"), "n_chars", F.expr("transform(filter(marked, m -> m.kind = 'live'), m -> struct(m.first as first, m.last as last))").alias("live")).where(F.size("live") > 0)
-    live = live.groupBy("live_id", F.col("n_chars").alias("live_chars")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("live")))).alias("live"))
-    live = live.withColumn("live", disjoint(F.col("live")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.join(live, F.col(id_col).eqNullSafe(F.col("live_id")) & (F.length(text) == F.col("live_chars")), "left")
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    seen = docs.select(F.sha2(whole, 256).alias("key"), F.col(id_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), scan_text(F.col(text_col)).alias("found"))
+    seen = cut(seen.where(F.size("found.candidates") > 0).select("key", "repo", "owner", "found.candidates"))
+    live = judged(seen, "key", "repo", "owner", wide).where("m.kind = 'live'").select("row", "m.first", "m.last").distinct()
+    spans = live.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    key, of, cuts = fresh(docs, "text_key", "of_key", "live_spans")
+    out = docs.withColumn(key, F.sha2(whole, 256)).join(spans.select(F.col("row").alias(of), disjoint(F.col("spans")).alias(cuts)), F.col(key) == F.col(of), "left")
     # From the last span to the first, so that the positions before a span stay as they were.
-    masked = F.aggregate(F.reverse("live"), F.col(text_col), lambda t, s: F.concat(F.substring(t, F.lit(1), s["first"].cast("int")), F.lit(mask), F.substring(t, (s["last"] + 1).cast("int"), F.length(t))))
-    out = out.withColumn(text_col, F.when(F.col("live").isNull(), F.col(text_col)).otherwise(masked))
+    masked = F.aggregate(F.reverse(cuts), F.col(text_col), lambda t, s: F.concat(F.substring(t, F.lit(1), s["first"].cast("int")), F.lit(mask), F.substring(t, (s["last"] + 1).cast("int"), F.length(t))))
+    out = out.withColumn(text_col, F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(masked))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(cuts).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
     return out.select(*docs.columns)
