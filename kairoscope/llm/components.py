@@ -3,7 +3,8 @@
 Alternating star operations: the large star links every larger neighbour of a node to the node's smallest
 neighbour, the small star does so with the smaller ones; both keep components as they are and end when every node hangs on the smallest of
 its component.  Minima are taken by ``groupBy`` (pre-aggregated before the shuffle, so a node with very many links
-is one row a task), and each round is cut to the shared folder.
+is one row a task), and each round is cut to the shared folder.  They go back to the links by joins on the complement of a node: both
+sides are then dealt for the join alone, so adaptive execution can split a node that very many links have over several tasks.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         # Large star: for node x and each larger neighbour y, link y to the smallest of x and its neighbours.
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = edges.join(least, edges["v"] == least["x"]).select("u", F.col("m").alias("v")).distinct()
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")).select(F.bitwise_not("x").alias("not_x"), "m")
+        large = edges.join(least, F.bitwise_not("v") == F.col("not_x")).select("u", F.col("m").alias("v")).distinct()
         # Small star: for node u and each smaller neighbour v, link v to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
+        joined = large.join(low.select(F.bitwise_not("u").alias("not_u"), "m"), F.bitwise_not("u") == F.col("not_u"))
         small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = cut(small.where(F.col("u") != F.col("v")).distinct())
         now = _state(edges)

@@ -1,10 +1,10 @@
-"""Near-duplicates by exact Jaccard similarity of shingle sets.
+"""Near-duplicates by wide SimHash fingerprints, confirmed by the exact Jaccard similarity of shingle sets.
 
 Sets.  The distinct XXH64 hashes of a text's shingles of ``WORDS`` words (cut as for SimHash); equal sets become one row first.
 
-Candidates.  ``BANDS`` hashes a set, each of ``ROWS`` minima under random orders of the shingles.  Two sets of similarity s share a given band with probability
-s ** ROWS whatever their size, so a pair at 0.8 shares none in 6 of 100,000 cases and one at 0.85 in 3 of 10 million.  The sets that share a band become a star, and the
-stars' components are the groups in which links are sought: no pair is made for them.
+Candidates.  The Gray-order index of ``simhash`` under its wide scheme: two sets are candidates if their fingerprints (majorities over the set)
+agree in the front of some order and differ in 68 of 256 bits at most.  A pair of similarity 0.8 meets in no order in 1 of 10,000 cases by
+the model.  Candidates' components are the groups in which links are sought.
 
 Links.  Two sets of a group link if their Jaccard similarity is ``LEAST`` or more, counted on the whole sets in integers.  A group is dealt into chunks of
 at most about ``CHUNK_SETS`` sets and ``CHUNK_HASHES`` hashes, and every pair of chunks is a tile of its own, so no task holds a large group;
@@ -25,16 +25,14 @@ from pyspark.sql import functions as F
 
 from kairoscope.llm import simhash
 from kairoscope.llm._forest import forest
+from kairoscope.llm._memory import give_back
 from kairoscope.llm.components import components
 from kairoscope.session import cut
 
-WORDS = 5
+WORDS = simhash.WIDE_WORDS
 #: The least similarity of a link, as numerator and denominator.
 LEAST = (4, 5)
-BANDS, ROWS = 32, 6
 CHUNK_SETS, CHUNK_HASHES = 512, 1 << 19
-_PIECE = 1 << 12
-_TURNS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[1], [0]], np.uint64)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -47,21 +45,6 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def band_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The bands of a set as signed longs; none of an empty one."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), _PIECE):
-        turned = (hashes[None, at : at + _PIECE] ^ _TURNS[1][:, None]) * _TURNS[0][:, None]
-        np.minimum(least, turned.min(1), out=least)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out.view(np.int64)
-
-
 def tile_links(a: list[np.ndarray], na: np.ndarray, b: list[np.ndarray] | None = None, nb: np.ndarray | None = None, least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (node, smaller node) of the links within a chunk or between two."""
     same = b is None
@@ -90,15 +73,17 @@ def tile_links(a: list[np.ndarray], na: np.ndarray, b: list[np.ndarray] | None =
     return nodes[out], low[out]
 
 
-def groups(distinct: DataFrame) -> DataFrame:
-    """(node, component): what shares bands; ``distinct`` has node long and bands array<long>."""
-    banded = distinct.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("band", "first")
-    return components(banded.join(shared, "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+def groups(distinct: DataFrame, block_rows: int = simhash.BLOCK) -> DataFrame:
+    """(node, component): what the index connects; ``distinct`` has node long, n long and fp binary."""
+    some = distinct.where("n > 0")
+    prints = cut(some.groupBy("fp").agg(F.min("node").alias("node")))
+    found = simhash.links(prints, simhash.wide(prints.count()), block_rows)
+    alike = some.join(prints.select(F.col("fp").alias("of_fp"), F.col("node").alias("first")), F.col("fp") == F.col("of_fp")).where("node <> first")  # unequal sets of one fingerprint
+    return components(found.union(alike.select(F.col("node").alias("a"), F.col("first").alias("b"))))
 
 
 def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, chunk_sets: int = CHUNK_SETS) -> DataFrame:
-    """(a, b): exact links that connect what is near; ``distinct`` has key binary, node long, n long and bands."""
+    """(a, b): exact links that connect what is near; ``distinct`` has key binary, node long, n long and fp binary."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = cut(distinct.select("key", "node", "n").join(groups(distinct), "node"))
     sizes = placed.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / chunk_sets, F.sum("n") / CHUNK_HASHES)).cast("long").alias("chunks"))
@@ -110,6 +95,7 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, chun
             sets = [shingle_set(t or "") for t in batch["text"]]
             own = np.array([set_key(s) == bytes(k) for s, k in zip(sets, batch["key"], strict=True)], bool)  # rows may share an id
             out = batch.loc[own, ["component", "chunk", "chunks", "node"]]
+            give_back()
             yield out.assign(hashes=[s.tobytes() for s, o in zip(sets, own, strict=True) if o])
 
     sets = texts.select("component", "chunk", "chunks", "node", "key", "text").mapInPandas(hashed, "component long, chunk long, chunks long, node long, hashes binary")
@@ -146,15 +132,17 @@ def links(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, chun
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_sets: int = CHUNK_SETS) -> DataFrame:
     """One row per document: id and component_id (the smallest id reachable); a null id has a null component."""
 
-    @F.pandas_udf("key binary, n long, bands array<long>")
+    @F.pandas_udf("key binary, n long, fp binary")
     def made(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t or "") for t in texts]
-        return pd.DataFrame({"key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "bands": [band_hashes(s) for s in sets]})
+        rows = []
+        for t in texts:
+            s = shingle_set(t or "")
+            rows.append((set_key(s), len(s), simhash.majority(iter((s,)), simhash.WIDE_SIZE)))
+        give_back()
+        return pd.DataFrame(rows, columns=["key", "n", "fp"])
 
     rows = cut(docs.select(F.col(id_col).alias("id"), made(F.col(text_col)).alias("m")).select("id", "m.*"))
-    least = rows.where("id IS NOT NULL").groupBy("key").agg(F.min("id").cast("long").alias("node"))
-    # One row of each set has its bands: the one of the smallest id, once.
-    distinct = cut(rows.join(least.withColumnRenamed("key", "of_key"), (F.col("key") == F.col("of_key")) & (F.col("id") == F.col("node"))).select("key", "node", "n", "bands").dropDuplicates(["key"]))
+    distinct = cut(rows.where("id IS NOT NULL").groupBy("key").agg(F.min("id").cast("long").alias("node"), F.first("n").alias("n"), F.first("fp").alias("fp")))
     found = components(links(docs, distinct, id_col, text_col, chunk_sets))
     placed = distinct.select(F.col("key").alias("of_key"), "node").join(found, "node", "left").select("of_key", F.coalesce("component", "node").alias("component_id"))
     out = rows.select("id", "key").join(placed, F.col("key") == F.col("of_key"), "left")
