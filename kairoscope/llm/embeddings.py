@@ -11,9 +11,9 @@ again, skipping halves whose boxes are more than epsilon apart, down to ``LEAF``
 Equal vectors of a label become one row with a count first, so a vector that very many rows hold is compared once; a pair of blocks
 yields the number of links of each row and a spanning forest of them, never the pairs.
 
-Results.  One row per input row.  A vector that is null, zero, of infinite length or holds a null or non-finite component, or whose label or
-vec_id is null, links with nothing: n_links 0, itself its component.  Vectors of unequal length don't link.  Equal rows count
-each; rows that repeat a vec_id with another vector are one vertex, with the links of both.  An empty table gives no rows.
+Results.  One row per input row.  A vector that is null, zero or holds a null or non-finite component, or whose label or
+vec_id is null, links with nothing: n_links 0, itself its component.  Vectors of unequal length don't link.  n_links counts the rows that a row's own
+vector links with, equal rows each; rows that repeat a vec_id with other vectors are one vertex, so they have one component.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +31,19 @@ from kairoscope.session import cut
 
 COSINE = 0.93
 DIMS, BLOCK, LEAF = 8, 1024, 128
+#: Tasks that the pairs of ranges of one label are dealt to.
+SALTS = 16
 #: Distance on top of epsilon for what rounding may add, and how near the threshold a cosine is taken again from the raw vectors.
 SLACK, CLOSE = 1e-6, 1e-9
 
 
+def tamed(raw: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that no square over- or underflows; cosines stay as they are."""
+    return np.ldexp(raw, -np.frexp(np.abs(raw).max(1))[1][:, None])
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
+    raw = tamed(raw)
     return raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
 
 
@@ -76,7 +84,7 @@ class Sequence:
     """Rows in grid order: raw, unit and projected vectors, with the boxes of the intervals that were asked for."""
 
     def __init__(self, raw: np.ndarray, axes: np.ndarray):
-        self.raw, self.unit = raw, unit(raw)
+        self.raw, self.unit = tamed(raw), unit(raw)
         self.projected = self.unit @ axes
         self.boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -181,7 +189,9 @@ def links(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK) -
     as_b = lambda t, *keys: t.select(*keys, *(F.col(c).alias(f"{c}_b") for c in t.columns if c not in keys))
     gaps = (F.greatest(F.lit(0.0), F.col(f"low{k}") - F.col(f"high{k}_b"), F.col(f"low{k}_b") - F.col(f"high{k}")) for k in range(DIMS))
     within = sum((g * g for g in gaps), F.lit(0.0)) <= epsilon * epsilon
-    upper_pairs = uppers.join(as_b(uppers, "lab", "size"), ["lab", "size"]).where((F.col("part") <= F.col("part_b")) & within).select("lab", "size", "part", "part_b")
+    # A label that very many vectors have lies in all ranges: its pairs of ranges are dealt to several tasks.
+    salted = as_b(uppers, "lab", "size").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    upper_pairs = uppers.withColumn("salt", (F.col("part") % SALTS).cast("int")).join(salted, ["lab", "size", "salt"]).where((F.col("part") <= F.col("part_b")) & within).select("lab", "size", "part", "part_b")
     ends = blocks.select("block", "part", "lab", "size", *boxes)
     pairs = upper_pairs.join(ends, ["lab", "size", "part"]).join(as_b(ends, "lab", "size", "part").withColumnRenamed("part", "part_b"), ["lab", "size", "part_b"])
     pairs = pairs.where((F.col("block") < F.col("block_b")) & within).select("block", "block_b")
@@ -206,17 +216,23 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """One row per vector: id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("lab"), F.col(vector_col).alias("v"))
     number = "cast(x AS double)"
-    norm = f"aggregate(v, 0D, (s, x) -> s + {number} * {number})"
     finite = f"forall(v, x -> x IS NOT NULL AND NOT isnan({number}) AND abs({number}) < double('Infinity'))"
-    valid = F.expr(f"coalesce(id IS NOT NULL AND lab IS NOT NULL AND {finite} AND {norm} > 0 AND {norm} < double('Infinity'), false)")
+    valid = F.expr(f"coalesce(id IS NOT NULL AND lab IS NOT NULL AND {finite} AND exists(v, x -> x <> 0), false)")
     whole = rows.where(valid)
-    groups = cut(whole.groupBy("lab", "v").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("many")))
-    found = cut(links(groups, cosine, block_rows))
+    grouped = whole.groupBy("lab", "v").agg(F.min("id").cast("long").alias("least"), F.count("*").alias("many"))
+    groups = cut(grouped.withColumn("node", F.monotonically_increasing_id()))  # an id may hold several vectors, so groups have numbers of their own
+    found = cut(links(groups.drop("least"), cosine, block_rows))
     counted = found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    reached = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    placed = groups.join(counted, "node", "left").join(reached, "node", "left")
-    placed = placed.select(F.col("lab").alias("of_lab"), F.col("v").alias("of_v"), (F.coalesce("n_links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = whole.join(placed, (F.col("lab") == F.col("of_lab")) & (F.col("v") == F.col("of_v"))).select("id", "n_links", "component_id")
+    of = groups.select(F.col("lab").alias("of_lab"), F.col("v").alias("of_v"), "node")
+    owned = cut(whole.join(of, (F.col("lab") == F.col("of_lab")) & (F.col("v") == F.col("of_v"))).select("id", "node"))
+    first = owned.groupBy("id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select(F.col("id").alias("of_id"), "first")
+    same_id = owned.join(first, F.col("id") == F.col("of_id")).where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    reached = components(found.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).union(same_id))
+    placed = groups.select("node", "least", "many").join(reached, "node", "left").join(counted, "node", "left")
+    placed = cut(placed.select("node", "least", (F.coalesce("n_links", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    names = placed.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "of")
+    named = placed.join(names, F.col("component") == F.col("of")).select(F.col("node").alias("of_node"), "n_links", "component_id")
+    out = owned.join(named, F.col("node") == F.col("of_node")).select("id", "n_links", "component_id")
     rest = rows.where(~valid).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
     return out.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
