@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kairoscope.llm import bpe, chat, components, embeddings, fingerprints, language, mixing, quality, secrets, simhash, toxicity
+from kairoscope.llm import _hashing, bpe, chat, components, embeddings, fingerprints, language, mixing, quality, secrets, simhash, toxicity
 from kairoscope.llm import shingles as exact
 from kairoscope.llm.queries import ORACLE_SQL, QUERIES
 
@@ -70,6 +70,18 @@ def test_embeddings_against_all_pairs(spark):
         assert got[k][:2] == want and got[k][2] == (k == want[1] or k is None)
 
 
+def test_embeddings_of_any_length_and_repeated_ids(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    sizes = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1e200, 0.0], 1), (3, [1e-200, 0.0], 1), (4, [5e-324, 0.0], 1), (5, [0.0, 1e-200], 1)], schema)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(sizes).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    # 5 holds two vectors, of which the smallest ids differ; 9 and 8 hold two that are unlike all others.
+    repeated = spark.createDataFrame([(1, a, 1), (5, a, 1), (5, b, 1), (9, b, 1), (9, c, 1), (9, c, 1), (8, [1.0, 1.0, 1.0], 1), (8, [1.0, -1.0, 0.0], 1)], schema)
+    rows = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(repeated).collect())
+    assert rows == [(1, 1, 1, True), (5, 1, 1, False), (5, 1, 1, False), (8, 0, 8, True), (8, 0, 8, True), (9, 1, 1, False), (9, 1, 1, False), (9, 1, 1, False)]
+
+
 def test_embeddings_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(frame).collect() == []
@@ -241,6 +253,30 @@ def test_survivors_against_all_pairs_around_the_threshold(spark):
     assert kept == {i for i in texts if want[i] == i}
 
 
+@pytest.mark.parametrize("n", [1, 5000, 200_000, 10_000_000])
+def test_wide_orders_find_pairs_at_the_threshold_however_many_rows(n):
+    rng, scheme, found, all_pairs = np.random.default_rng(23), simhash.wide(n), 0, 0
+    for size in (9, 20, 60, 400):
+        for _ in range(150):
+            both, own = rng.integers(0, 1 << 64, 8 * size, np.uint64), rng.integers(0, 1 << 64, (2, size), np.uint64)  # similarity 0.8
+            a, b = (np.frombuffer(simhash.majority(iter((np.concatenate((both, x)),)), 4), ">u8").astype(np.uint64) for x in own)
+            met = any(not ((a ^ b) & front).any() for front in scheme.masks)
+            found += met and np.bitwise_count(a ^ b).sum() <= scheme.distance
+            all_pairs += 1
+    assert found >= 0.99 * all_pairs
+    assert len(scheme.fronts[0]) == max(1, int(np.ceil(np.log2(n / simhash.FRONT_ROWS))))
+
+
+def test_blocks_of_hot_fronts_and_ranges(spark):
+    rng = np.random.default_rng(24)
+    base = rng.integers(0, 1 << 64, 4, np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, (300, 4), np.uint64))  # a large group of near copies
+    prints = {(r.astype(">u8").tobytes()): i for i, r in enumerate(np.concatenate((near, rng.integers(0, 1 << 64, (300, 4), np.uint64))))}
+    frame = spark.createDataFrame([(bytearray(k), v) for k, v in prints.items()], "fp binary, node long").repartition(5)
+    got = components.components(simhash.links(frame, simhash.wide(20_000), 16)).collect()
+    assert {r["node"]: r["component"] for r in got} == dict.fromkeys([i for i in prints.values() if i < 300], 0)
+
+
 def test_exact_groups_in_tiles(spark):
     rng = np.random.default_rng(21)
     texts, words = {}, [f"w{x}" for x in range(90)]
@@ -295,9 +331,33 @@ def test_quality_without_labels(spark, odd, none):
     assert alike.score("x") == 1.0
 
 
+@pytest.mark.parametrize("size", [7, 16, 64])
+def test_features_are_the_same_wherever_a_piece_ends(monkeypatch, size):
+    rng = np.random.default_rng(41)
+    alphabet = list("aab é.!\n\t日😀x ") + ["word ", "Longer words. ", "q" * 40, "\u2028", "İ"]
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(150)] + ["z" * 500, "z" * 500 + " end", "a" * size, "a" * size + ".", "ab\t" * 50, "."]
+    whole = [(toxicity.features(t), quality.counted(t)) for t in texts]
+    monkeypatch.setattr(_hashing, "PIECE", size)
+    for t, (bags, bins) in zip(texts, whole, strict=True):
+        for a, b in zip((*bags, *bins), (*toxicity.features(t), *quality.counted(t)), strict=True):
+            assert a.tolist() == b.tolist(), t
+
+
+def test_quality_features_by_brute_force():
+    text = "A b  A\u3000b é\n日本 x"
+    words = [w for w in re.split("[\x20\x09-\x0D]+", text) if w]
+    bins, counts = quality.counted(text)
+    kinds = [counts[p].sum() for p in quality.kinds(bins)]
+    assert kinds == [len(words), len(words) - 1, len(text) - 2]
+    distinct = [len(bins[p]) for p in quality.kinds(bins)]
+    assert distinct == [len(set(words)), len({*zip(words, words[1:], strict=False)}), len({text[i : i + 3] for i in range(len(text) - 2)})]
+
+
 def test_features_come_in_pieces():
     text = "some words again " * 40_000
-    assert len(quality.features(text)) >= 120_000 + 119_999
+    bins, counts = quality.counted(text)
+    assert [counts[p].sum() for p in quality.kinds(bins)] == [120_000, 119_999, len(text) - 2]
+    assert len(toxicity.features("one sentence without an end " * 30_000)[1]) == 1
     bins, counts, extents = toxicity.features("Fine day. You fool! " * 20_000)
     assert len(counts) == 40_000 and counts.sum() == len(bins) and (np.diff(extents[:, 0]) > 0).all()
 
@@ -469,6 +529,48 @@ def test_nested_secrets_are_masked_once(spark):
     assert got == {i: (m, len(m)) for i, (_, m) in enumerate(texts)}
 
 
+def test_masks_against_brute_force(spark):
+    rng = np.random.default_rng(31)
+    run = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    values = [run(int(rng.integers(32, 50))) for _ in range(12)]
+    makes = [lambda v: f"token=xyz_{v}", lambda v: v, lambda v: f"AKIA{v.upper()}", lambda v: f"Secret: '{v}-{v[:9]}'", lambda v: f"Ab{v}Cd", lambda v: "clean words here"]
+    rows = []
+    for i in range(120):
+        parts = [makes[int(rng.integers(6))](values[int(rng.integers(12))]) for _ in range(int(rng.integers(0, 5)))]
+        text = (" é " if rng.random() < 0.5 else "_").join(parts)
+        rows.append((None if i % 7 == 0 else int(rng.integers(0, 40)), text, "en", f"o{rng.integers(0, 4)}"))
+    docs = documents(spark, rows).withColumns({"live": F.lit(1), "live_id": F.lit(2), "text_key": F.lit(3), "of_key": F.lit(4), "live_spans": F.lit(5), "gone_id": F.lit(6)})
+    owners = {}
+    for _, t, _, o in rows:
+        for h, a, b in secrets.found_in(t)[2]:
+            owners.setdefault(t[a:b], set()).add(o)
+    want = []
+    for i, t, _, _ in rows:
+        spans = sorted((a, b) for _, a, b in secrets.found_in(t)[2] if len(owners[t[a:b]]) < 3)
+        out, at = "", 0
+        while at < len(t):  # a new mask begins where a span does that none before it reaches into
+            reach = max((b for a, b in spans if a == at), default=0)
+            if not reach:
+                out, at = out + t[at], at + 1
+                continue
+            while any(a < reach < b for a, b in spans):
+                reach = max(b for a, b in spans if a < reach < b)
+            out, at = out + "[SECRET]", reach
+        want.append((i, out, len(out)))
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert any("[SECRET]" in w[1] for w in want) and simhash.survivors(docs).columns == docs.columns
+
+
+def test_tokens_apart_from_spans():
+    rng = np.random.default_rng(32)
+    for _ in range(200):
+        make = lambda n: sorted({(int(a), int(a + rng.integers(1, 9))) for a in rng.integers(0, 60, n)})  # noqa: E731, B023
+        tokens, spans = make(int(rng.integers(0, 9))), make(int(rng.integers(0, 9)))
+        assert secrets.apart(tokens, spans) == [x for x in tokens if not any(a < x[1] and x[0] < b for a, b in spans)]
+
+
 # 10
 
 
