@@ -61,12 +61,12 @@ def mann_whitney(a: np.ndarray, b: np.ndarray, alternative: str = "two-sided") -
     return u_pvalue(len(a), len(b), twice, int((count**3 - count).sum()), alternative)
 
 
-def mann_whitney_column(alternative: str = "two-sided"):
-    """A column function of two arrays of numbers."""
+def rank_pvalue_column(alternative: str = "two-sided"):
+    """A column function of the two sizes, 2U of the first sample and the sum of t^3 - t over groups of equal values; 1 where a sample is empty."""
 
     @F.pandas_udf("double")
-    def p(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([mann_whitney(np.asarray(x, float), np.asarray(y, float), alternative) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    def p(n1: pd.Series, n2: pd.Series, twice_u: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([u_pvalue(int(a), int(b), int(u), int(t), alternative) if a and b else 1.0 for a, b, u, t in zip(n1, n2, twice_u, ties, strict=True)], dtype="float64")
 
     return p
 
@@ -80,7 +80,8 @@ def segment_tests(reps: int, timepoints: int):
         for x, y, at in zip(a, b, points, strict=True):
             p, q = np.asarray(x, float).reshape(reps, timepoints), np.asarray(y, float).reshape(reps, timepoints)
             ends = [0, *at, timepoints]
-            out.append([{"p1": mann_whitney(p[:, i:j].ravel(), p[:, j:k].ravel()), "p2": mann_whitney(q[:, i:j].ravel(), q[:, j:k].ravel())} for i, j, k in zip(ends[:-2], ends[1:-1], ends[2:], strict=True)])
+            test = lambda z, i, j, k: round(mann_whitney(z[:, i:j].ravel(), z[:, j:k].ravel()), 12)
+            out.append([{"p1": test(p, i, j, k), "p2": test(q, i, j, k)} for i, j, k in zip(ends[:-2], ends[1:-1], ends[2:], strict=True)])
         return pd.Series(out)
 
     return tests

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions.tests_udf import soft_dtw_column
-from kairoscope.operators import graph, stats
+from kairoscope.operators import graph, prep, stats
 from kairoscope.operators.prep import ratio
+from kairoscope.session import cut
 
 BOUND = 5000
-#: Objects of a block of the distance sums.
-BLOCK = 512
+#: Objects of a block of the distance sums, and coordinates of the grid of near pairs.
+BLOCK, GRID = 512, 3
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -89,6 +91,15 @@ def merge_candidates(series: DataFrame, threshold: float, how: str = "median") -
     return prototype_pairs(series, how).where(F.col("corr") >= threshold)
 
 
+def block_distances(a: np.ndarray, b: np.ndarray, name: str) -> np.ndarray:
+    """The distances of the rows of two blocks."""
+    if name == "correlation":
+        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+        size = np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))
+        return np.where(size > 0, 1 - a @ b.T / np.where(size > 0, size, 1.0), 0.0)
+    return np.concatenate([np.sqrt(((a[i : i + 32, None] - b[None]) ** 2).sum(2)) for i in range(0, len(a), 32)])
+
+
 def distance_sums(series: DataFrame, name: str = "euclidean") -> DataFrame:
     """object_idx, c, total, n: each object's summed distance to the other members of each cluster.
 
@@ -100,18 +111,11 @@ def distance_sums(series: DataFrame, name: str = "euclidean") -> DataFrame:
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"blk": [rows["blk"].iloc[0]], "ids": [rows["object_idx"].to_numpy(np.int64).tobytes()], "labels": [rows["cluster"].to_numpy(np.int64).tobytes()], "vals": [np.stack(rows["vals"].to_numpy()).astype(float).tobytes()]})
 
-    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if name == "correlation":
-            a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-            size = np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))
-            return np.where(size > 0, 1 - a @ b.T / np.where(size > 0, size, 1.0), 0.0)
-        return np.concatenate([np.sqrt(((a[i : i + 32, None] - b[None]) ** 2).sum(2)) for i in range(0, len(a), 32)])
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, vals, ids_b, labels_b, vals_b in batch.itertuples(index=False):
                 x, y, g = np.frombuffer(ids, np.int64), np.frombuffer(ids_b, np.int64), np.frombuffer(labels_b, np.int64)
-                d = distances(np.frombuffer(vals).reshape(len(x), -1), np.frombuffer(vals_b).reshape(len(y), -1))
+                d = block_distances(np.frombuffer(vals).reshape(len(x), -1), np.frombuffer(vals_b).reshape(len(y), -1), name)
                 other = x[:, None] != y
                 for c in np.unique(g):
                     mine = (g == c) & other
@@ -224,9 +228,31 @@ def kmeans(series: DataFrame, k: int, seed: int = 1234321) -> DataFrame:
     return model.transform(points).select(*(c for c in series.columns if c != "cluster"), (F.col("p") + 1).cast("int").alias("cluster"))
 
 
+def near_pairs(series: DataFrame, eps: float) -> DataFrame:
+    """i < j, distance of the pairs within a Euclidean distance of ``eps``.
+
+    Objects lie in a grid of that width on the ``GRID`` coordinates of largest variance; a pair's cells are the same or neighbours, so each object meets
+    those of its own cell and of the neighbouring ones (an equi-join), not all.
+    """
+    spread = series.select(F.posexplode("vals").alias("at", "v")).groupBy("at").agg(F.var_pop("v").alias("s")).orderBy(F.desc("s"), "at").limit(GRID).collect()
+    places = [F.floor(F.get("vals", F.lit(r["at"])) / eps).cast("long") for r in spread]
+    cells = F.array(*places)
+    a = series.select(F.col("object_idx").alias("i"), F.col("vals").alias("va"), cells.alias("cell"))
+
+    def spread_out(found: Column, place: Column) -> Column:
+        return F.flatten(F.transform(found, lambda c: F.transform(F.sequence(place - 1, place + 1), lambda x: F.concat(c, F.array(x)))))
+
+    around = F.array(F.array().cast("array<bigint>"))
+    for place in places:  # the cells next to an object's own, in every dimension
+        around = spread_out(around, place)
+    b = series.select(F.col("object_idx").alias("j"), F.col("vals").alias("vb"), F.explode(around).alias("cell"))
+    both = a.join(b, "cell").where("i < j").select("i", "j", euclidean(F.col("va"), F.col("vb")).alias("distance"))
+    return both.where(F.col("distance") <= eps)
+
+
 def dbscan(series: DataFrame, eps: float = 0.5, least: int = 5, name: str = "euclidean") -> DataFrame:
     """object_idx, cluster: 0 is noise; the others are numbered by their smallest core object."""
-    near = pair_distances(series, name).where(F.col("distance") <= eps)
+    near = near_pairs(series, eps) if name == "euclidean" and eps > 0 else pair_distances(series, name).where(F.col("distance") <= eps)
     two = near.select(F.explode(F.array(F.struct(F.col("i").alias("x"), F.col("j").alias("y")), F.struct(F.col("j").alias("x"), F.col("i").alias("y")))).alias("e")).select("e.*")
     core = two.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select(F.col("x").alias("node"))
     links = near.join(core.withColumnRenamed("node", "i"), "i").join(core.withColumnRenamed("node", "j"), "j").select(F.col("i").alias("src"), F.col("j").alias("dst"))
@@ -238,17 +264,20 @@ def dbscan(series: DataFrame, eps: float = 0.5, least: int = 5, name: str = "euc
     return series.select("object_idx").join(found, "object_idx", "left").select("object_idx", F.coalesce("cluster", F.lit(0)).alias("cluster"))
 
 
-def matrix(series: DataFrame, name: str = "euclidean") -> tuple[list[int], np.ndarray]:
-    """The ids and the distance matrix on the driver, for at most BOUND objects."""
+def matrix(series: DataFrame, name: str = "euclidean", pairs: DataFrame | None = None) -> tuple[list[int], np.ndarray]:
+    """The ids and the distance matrix (of ``pairs``, if given) on the driver, for at most BOUND objects."""
     n = series.count()
     if n > BOUND:
         raise ValueError(f"{n} objects; a distance matrix on the driver holds at most {BOUND}. Use kmeans, clara or dbscan")
     ids = sorted(r[0] for r in series.select("object_idx").collect())
     place = {x: k for k, x in enumerate(ids)}
-    pairs = pair_distances(series, name).toPandas()
     out = np.zeros((n, n))
-    i, j = pairs["i"].map(place).to_numpy(int), pairs["j"].map(place).to_numpy(int)
-    out[i, j] = out[j, i] = pairs["distance"].fillna(0.0).to_numpy()
+    if pairs is None and name in ("euclidean", "correlation"):  # from the series, which are few
+        held = {r[0]: r[1] for r in series.select("object_idx", "vals").collect()}
+        return ids, block_distances(*(np.array([held[x] for x in ids], float),) * 2, name) if n else out
+    found = (pair_distances(series, name) if pairs is None else pairs).toPandas()
+    i, j = found["i"].map(place).to_numpy(int), found["j"].map(place).to_numpy(int)
+    out[i, j] = out[j, i] = found["distance"].fillna(0.0).to_numpy()
     return ids, out
 
 
@@ -285,8 +314,9 @@ def agglomerate(distance: np.ndarray, k: int, linkage: str = "average") -> np.nd
     return np.unique(label, return_inverse=True)[1] + 1
 
 
-def hierarchical(series: DataFrame, k: int, linkage: str = "average", name: str = "euclidean") -> DataFrame:
-    ids, d = matrix(series, name)
+def hierarchical(series: DataFrame, k: int, linkage: str = "average", name: str = "euclidean", pairs: DataFrame | None = None) -> DataFrame:
+    """By the distances of ``pairs`` (i, j, distance), or else of the series."""
+    ids, d = matrix(series, name, pairs)
     return _labelled(series, ids, agglomerate(d, k, linkage))
 
 
@@ -319,8 +349,9 @@ def kmedoids(series: DataFrame, k: int, name: str = "euclidean", seed: int = 123
 
 
 def clara(series: DataFrame, k: int, name: str = "euclidean", samples: int = 5, seed: int = 1234321) -> DataFrame:
-    """Medoids of hashed samples of 40 + 2k objects; all objects go to the nearest, and the run of least inertia stays."""
-    size, best = 40 + 2 * k, None
+    """Medoids of hashed samples of 40 + 2k objects (of all where there are at most 250); all objects go to the nearest, and the run of least inertia stays."""
+    n, best = series.count(), None
+    size = n if n <= 250 else 40 + 2 * k
     for s in range(samples):
         part = series.orderBy(F.xxhash64(F.lit(seed + s), "object_idx"), "object_idx").limit(size)
         ids, d = matrix(part, name)
@@ -376,7 +407,7 @@ def composite_distance(series: DataFrame, edges: DataFrame, name: str = "euclide
 
 ALGORITHMS = {
     "hierarchical": lambda s, k, **o: hierarchical(s, k, **o),
-    "kmeans": lambda s, k, **o: kmeans(s, k, **o),
+    "kmeans": lambda s, k, name="euclidean", **o: kmeans(s, k, **o) if name == "euclidean" else kmedoids(s, k, name, **o),  # soft-DTW has no mean: medoids
     "kmedoids": lambda s, k, **o: kmedoids(s, k, **o),
     "clara": lambda s, k, **o: clara(s, k, **o),
     "dbscan": lambda s, k, **o: dbscan(s, **o),
@@ -384,6 +415,47 @@ ALGORITHMS = {
 }
 
 
+@dataclass(frozen=True)
+class Clustering:
+    """What ``cluster_dataset`` finds: series (object_idx, gene columns, vals, cluster), prototypes (cluster, tp, value), and the two indices as one-row tables."""
+
+    series: DataFrame
+    prototypes: DataFrame
+    silhouette: DataFrame
+    davies_bouldin: DataFrame
+
+
+def cluster_dataset(expr: DataFrame, algorithm: str, k: int = 10, keys: tuple[str, ...] = ("gene_id",), how: str = "median", transform: str | None = None, name: str = "euclidean", edges: DataFrame | None = None, **options) -> Clustering:
+    """Clusters of an expression table (object_idx, keys, rep, tp, value) in one call.
+
+    Replicates are combined (``how``: median or mean), values transformed (``transform``: log or None), objects clustered by one of ALGORITHMS (the hierarchical
+    one on the composite distance, if ``edges`` are given), and prototypes, silhouette and Davies-Bouldin index taken on what was clustered.
+    """
+    combined = prep.replicate_combine(expr, how, ("object_idx", *keys))
+    if transform is not None:
+        combined = combined.withColumn("value", {"log": prep.log_transform}[transform](F.col("value")))
+    packed = combined.groupBy("object_idx", *keys).agg(F.array_sort(F.collect_list(F.struct("tp", "value"))).alias("c"))
+    series = cut(packed.select("object_idx", *keys, F.col("c.value").alias("vals")))
+    if edges is not None:
+        found = hierarchical(series, k, pairs=composite_distance(series, edges, name), **options).select("object_idx", "cluster")
+    else:
+        found = find_clusters(series, algorithm, k, **({"name": name} | options))
+    labelled = cut(series.join(found, "object_idx"))
+    return Clustering(labelled, prototypes(labelled, how), silhouette(labelled, name), davies_bouldin(labelled))
+
+
+def significance(series: DataFrame, least: int = 2) -> DataFrame:
+    """cluster, n, p, q: for clusters of ``least`` members, the two-sided rank test of the members' mean values against the mean of all values, with the standard correction."""
+    means = series.select("cluster", (F.aggregate("vals", F.lit(0.0), lambda s, v: s + v) / F.size("vals")).alias("m"), F.size("vals").alias("w"))
+    whole = means.agg((F.sum(F.col("m") * F.col("w")) / F.sum("w")).alias("whole"))
+    both = means.crossJoin(F.broadcast(whole))  # one row
+    groups = both.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("m") > F.col("whole")).alias("above"), F.count_if(F.col("m") == F.col("whole")).alias("equal")).where(F.col("n") >= least)
+    # Against a single value, its place among the n + 1 is uniform: the tail counts the places as far out or further.
+    u = F.greatest(F.col("above") + F.col("equal") / 2, F.col("n") - F.col("above") - F.col("equal") / 2)
+    p = F.least(F.lit(1.0), 2.0 * (F.col("n") + 1 - F.ceil(u)) / (F.col("n") + 1))
+    return stats.adjust(groups.select("cluster", "n", p.alias("p")), "p", "q", "fdr_bh_standard")
+
+
 def find_clusters(series: DataFrame, algorithm: str, k: int = 10, **options) -> DataFrame:
     """object_idx, cluster by one of ALGORITHMS."""
     return ALGORITHMS[algorithm](series, k, **options).select("object_idx", "cluster")

@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairoscope.functions.tests_udf import mann_whitney_column, pearson_pvalue_column
+from kairoscope.functions.tests_udf import pearson_pvalue_column, rank_pvalue_column
 from kairoscope.operators import prep, stats
 
 LETTERS = ("a", "c", "g", "t")
 #: Positions of all motifs of a scan together.
 LIBRARY = 1_000_000
+#: Buckets of scores in each unit, for ranks.
+BUCKETS = 64
 
 
 def gc_fraction(seq: Column, digits: int | None = 2) -> Column:
@@ -70,7 +72,8 @@ def scan(sequences: DataFrame, pwm: DataFrame, gc_ratio: float | None = None) ->
                     n = len(code) - len(odds) + 1
                     if n < 1:
                         continue
-                    table = np.where(np.isfinite(back), odds - back, -np.inf)
+                    table = np.full(odds.shape, -np.inf)
+                    np.subtract(odds, back, out=table, where=np.isfinite(odds) & np.isfinite(back))
                     total = np.zeros(n)
                     for k, line in enumerate(table):
                         total += line[code[k : k + n]]
@@ -100,12 +103,24 @@ def group_table(scans: DataFrame, threshold: float) -> DataFrame:
 
 
 def group_tests(scans: DataFrame) -> DataFrame:
-    """sf, motif_id, lost_vs_background, gained_vs_background, lost_vs_gained: one-sided rank tests of the best scores (rounded, so that equal ones are ties)."""
+    """sf, motif_id, lost_vs_background, gained_vs_background, lost_vs_gained: one-sided rank tests of the best scores (rounded, so that equal ones are ties).
+
+    Equal scores are counted first; how many lie below each comes from sums over buckets of scores and inside each bucket, so no task ranks all scores of a motif.
+    """
     best = scans.select("sf", "motif_id", "grp", F.round(F.array_max("scores"), 9).alias("best")).where("best IS NOT NULL")
-    pick = lambda g: F.collect_list(F.when(F.col("grp") == g, F.col("best"))).alias(g)
-    lists = best.groupBy("sf", "motif_id").agg(pick("lost"), pick("gained"), pick("background"))
-    p = mann_whitney_column("greater")
-    return lists.select("sf", "motif_id", p("lost", "background").alias("lost_vs_background"), p("gained", "background").alias("gained_vs_background"), p("lost", "gained").alias("lost_vs_gained"))
+    groups = ("lost", "gained", "background")
+    n = best.groupBy("sf", "motif_id", "best").agg(*(F.count_if(F.col("grp") == g).alias(g) for g in groups)).withColumn("bucket", F.floor(F.col("best") * BUCKETS))
+    totals = n.groupBy("sf", "motif_id", "bucket").agg(*(F.sum(g).alias(g) for g in groups))
+    before = Window.partitionBy("sf", "motif_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("sf", "motif_id", "bucket", *(F.coalesce(F.sum(g).over(before), F.lit(0)).alias(f"{g}_below") for g in groups))
+    inside = Window.partitionBy("sf", "motif_id", "bucket").orderBy("best").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = n.join(totals, ["sf", "motif_id", "bucket"]).withColumns({f"{g}_below": F.col(f"{g}_below") + F.coalesce(F.sum(g).over(inside), F.lit(0)) for g in groups})
+    tests = (("lost", "background"), ("gained", "background"), ("lost", "gained"))
+    twice = [F.sum(F.col(x) * (2 * F.col(f"{y}_below") + F.col(y))).alias(f"u_{x}_{y}") for x, y in tests]
+    ties = [F.sum(F.pow(F.col(x) + F.col(y), F.lit(3)) - (F.col(x) + F.col(y))).cast("long").alias(f"t_{x}_{y}") for x, y in tests]
+    sums = ranked.groupBy("sf", "motif_id").agg(*(F.sum(g).alias(g) for g in groups), *twice, *ties)
+    p = rank_pvalue_column("greater")
+    return sums.select("sf", "motif_id", *(p(F.col(x), F.col(y), F.col(f"u_{x}_{y}"), F.col(f"t_{x}_{y}")).alias(f"{x}_vs_{y}") for x, y in tests))
 
 
 def windows(exons: DataFrame, genome: DataFrame, site: str = "5p", flanking: int = 400) -> DataFrame:

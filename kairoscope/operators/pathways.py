@@ -38,6 +38,21 @@ def standard_events(events: DataFrame, min_delta: float | None = None, delta: st
     return out if min_delta is None else out.where(F.abs(F.col(delta)) >= min_delta)
 
 
+def by_change(events: DataFrame, change: str = "max_change") -> DataFrame:
+    """Events in order of the size of their change, the largest first; null changes last."""
+    return events.orderBy(F.abs(F.col(change)).desc_nulls_last(), *(c for c in events.columns if c != change))
+
+
+def with_links(affected: DataFrame, base: str) -> DataFrame:
+    """affected (exon_id, interacting) with ``link``: the base address and the exon where the domain interacts, else empty."""
+    return affected.withColumn("link", F.when(F.col("interacting"), F.concat(F.lit(base), F.col("exon_id"))).otherwise(F.lit("")))
+
+
+def public_domains(affected: DataFrame, human: bool = True) -> DataFrame:
+    """affected without its internal id, and without the links where the organism has none."""
+    return affected.drop("domain_node") if human else affected.drop("domain_node", "link")
+
+
 def composite_events(ids: DataFrame, mapping: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows of the mapping (gene_id, domain_id) for ids of the form gene/domain."""
     parts = ids.select(F.split_part(id_col, F.lit("/"), F.lit(1)).alias("gene_id"), F.split_part(id_col, F.lit("/"), F.lit(2)).alias("domain_id"))

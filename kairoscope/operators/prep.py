@@ -128,12 +128,22 @@ def discretise(expr: DataFrame, keys: tuple[str, ...], negative: int = 0, positi
 
 
 def shuffled_in_time(expr: DataFrame, seed: int, keys: tuple[str, ...] = (*OBJECT, "rep")) -> DataFrame:
-    """Each series with its values in another order of time, by hashed positions: the same on every run."""
+    """Each series with its values in another order of time, by the MD5 of seed, keys and time: the same on every run."""
     w = Window.partitionBy(*keys)
-    moved = expr.withColumn("__to", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), *keys, "tp"), "tp")) - 1)
+    digest = F.md5(F.concat_ws(" ", F.lit(str(seed)), *(F.col(c).cast("string") for c in (*keys, "tp"))))
+    moved = expr.withColumn("__to", F.row_number().over(w.orderBy(digest)) - 1)
     return moved.select(*(c for c in expr.columns if c != "tp"), F.col("__to").alias("tp"))
 
 
+def shuffled_globally(expr: DataFrame, objects: int, reps: int, timepoints: int, seed: int) -> DataFrame:
+    """expr (object_idx from 0 to objects - 1, rep, tp, value) with each cell's value drawn from all cells with replacement, by the MD5 of seed and cell."""
+    digest = F.md5(F.concat_ws(" ", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("object_idx", "rep", "tp"))))
+    drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % (objects * reps * timepoints)
+    wanted = expr.select("object_idx", "rep", "tp", drawn.alias("__at"))
+    held = expr.select((F.col("object_idx") * (reps * timepoints) + F.col("rep") * timepoints + F.col("tp")).cast("long").alias("__at"), "value")
+    return wanted.join(held, "__at").select("object_idx", "rep", "tp", "value")
+
+
 def dataset_errors(expr: DataFrame, reps: int, timepoints: int) -> DataFrame:
     """object and reason: cells that are missing, repeated or not finite."""
     cells = expr.groupBy(*OBJECT).agg(F.count("*").alias("n"), F.count_distinct("rep", "tp").alias("d"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("bad"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.operators.prep import ratio
+from kairoscope.session import cut
 
 METHODS = ("fdr_bh", "fdr_bh_standard", "holm", "bonferroni")
 _NONE = -(1 << 30)
@@ -26,6 +27,7 @@ def adjust(frame: DataFrame, p: str = "p", out: str = "adj_p", method: str = "fd
     """
     if method not in METHODS:
         raise ValueError(f"{method} is none of {METHODS}")
+    frame = cut(frame)  # the p-values are read several times and may have cost much
     values = frame.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__c"))
     values = values.withColumn("__b", F.when(F.col("__p") > 0, F.floor(F.log2("__p") * 64)).otherwise(_NONE).cast("int"))
     every = Window.partitionBy(F.lit(0))  # a row a bucket: 70,000 at most

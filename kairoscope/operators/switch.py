@@ -6,6 +6,8 @@ gene makes the pairs; everything about a pair is then computed in its row.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def magnitudes(reps: int, timepoints: int) -> Column:
     """For each point the mean over replicates of the larger difference at it and before it (with one replicate: of both)."""
     gap = lambda x: f"abs(a[r * {timepoints} + {x}] - b[r * {timepoints} + {x}])"
     one = f"greatest({gap('x - 1')}, {gap('x')})" if reps > 1 else f"({gap('x - 1')} + {gap('x')}) / 2"
-    return F.expr(f"transform(points, x -> aggregate(sequence(0, {reps - 1}), 0D, (s, r) -> s + {one}) / {reps})")
+    return F.expr(f"transform(points, x -> round(aggregate(sequence(0, {reps - 1}), 0D, (s, r) -> s + {one}) / {reps}, 12))")
 
 
 def switch_ratio(reps: int, timepoints: int) -> Column:
@@ -88,7 +90,7 @@ def segments(reps: int, timepoints: int) -> tuple[Column, Column]:
         'before', {cells("if(i = 0, 0, points[greatest(i - 1, 0)])", "sp")},
         'behind', {cells("sp", f"if(i = size(points) - 1, {timepoints}, points[least(i + 1, size(points) - 1)])")}))""")
     return base, F.expr(f"""transform(cells, s -> named_struct('sp', s.sp,
-        'importance', aggregate(sequence(0, {reps - 1}), 0D, (t, r) -> t + ({" + ".join(f"try_divide({v}[r * {timepoints} + {x}], top[r * {timepoints} + {x}])" for v in ("a", "b") for x in ("s.sp - 1", "s.sp"))})) / {4 * reps},
+        'importance', round(aggregate(sequence(0, {reps - 1}), 0D, (t, r) -> t + ({" + ".join(f"try_divide({v}[r * {timepoints} + {x}], top[r * {timepoints} + {x}])" for v in ("a", "b") for x in ("s.sp - 1", "s.sp"))})) / {4 * reps}, 12),
         'diff', (abs({mean("a", "s.before")} - {mean("a", "s.behind")}) + abs({mean("b", "s.before")} - {mean("b", "s.behind")})) / 2,
         'prob_ab', {share("a[k] > b[k]", "s.before")} + {share("a[k] < b[k]", "s.behind")},
         'prob_ba', {share("b[k] > a[k]", "s.before")} + {share("b[k] < a[k]", "s.behind")}))""")
@@ -195,31 +197,54 @@ def isoform_usage(expr: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     return share.select("gene_id", "transcript_id", "rep", "tp", F.abs(F.col("abundance") - following).alias("value")).where("value IS NOT NULL")
 
 
-def permuted(expr: DataFrame, permutations: int, seed: int = 1234321) -> DataFrame:
-    """expr once a permutation (``perm``) with its times permuted, all series of a permutation alike."""
-    times = expr.select("tp").distinct()
-    order = Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "tp"), "tp")
-    table = times.crossJoin(expr.sparkSession.range(permutations).withColumnRenamed("id", "perm"))  # permutations x time points
-    table = table.withColumn("to", F.row_number().over(order) - 1)
-    return expr.join(F.broadcast(table), "tp").select("perm", *(c for c in expr.columns if c != "tp"), F.col("to").alias("tp"))
+def events_summary(events: DataFrame) -> DataFrame:
+    """One row: distinct genes, events and the means of their figures."""
+    means = (F.avg(c).alias(f"mean_{c}") for c in ("switch_prob", "diff", "event_importance", "corr"))
+    return events.agg(F.count_distinct("gene_id").alias("genes"), F.count("*").alias("events"), *means)
+
+
+def intervals(pair: DataFrame, timepoints: int) -> DataFrame:
+    """gene_id, tx1, tx2, sp, nearest: for each point the shorter of the stretches to its neighbours (or the ends)."""
+    ends = F.concat(F.array(F.lit(0)), F.col("points"), F.array(F.lit(timepoints)))
+    each = pair.withColumn("ends", ends).select("gene_id", "tx1", "tx2", "ends", F.posexplode("points").alias("i", "sp"))
+    return each.select("gene_id", "tx1", "tx2", "sp", F.least(F.col("sp") - F.get("ends", F.col("i")), F.get("ends", F.col("i") + 2) - F.col("sp")).alias("nearest"))
+
+
+def permutation_orders(timepoints: int, permutations: int, seed: int = 1234321) -> list[list[int]]:
+    """For each permutation the old time at each new one: times in order of the MD5 of seed, permutation and time."""
+    digest = lambda p, t: hashlib.md5(f"{seed} {p} {t}".encode(), usedforsecurity=False).hexdigest()
+    return [sorted(range(timepoints), key=lambda t: digest(p, t)) for p in range(permutations)]
 
 
 def permutation_switch_p(expr: DataFrame, timepoints: int, permutations: int = 100, seed: int = 1234321) -> DataFrame:
-    """gene_id, tx1, tx2, p for data of one replicate: features are the dissimilarity and the longest stretch between points."""
-
-    def features(pair: DataFrame, *more: str) -> DataFrame:
-        pointed = with_points(pair, 1, timepoints)
-        ends = F.concat(F.array(F.lit(0)), F.col("points"), F.array(F.lit(timepoints)))
-        both = pointed.withColumn("ends", ends).withColumn("value1", dissimilarity(1, timepoints))
-        longest = F.expr("aggregate(sequence(1, size(ends) - 1), 0, (m, i) -> greatest(m, ends[i] - ends[i - 1]))").cast("double")
-        return both.select(*more, "gene_id", "tx1", "tx2", F.explode(F.array(F.struct(F.lit("dissimilarity").alias("feature"), F.col("value1").alias("value")), F.struct(F.lit("interval").alias("feature"), longest.alias("value")))).alias("f")).select(*more, "gene_id", "tx1", "tx2", "f.*").where("value IS NOT NULL")
-
-    seen = features(pairs(packed(expr, timepoints)))
-    moved = permuted(expr, permutations, seed)
-    key = F.concat_ws("#", F.col("perm").cast("string"), F.col("gene_id"))
-    shuffled = features(pairs(packed(moved.withColumn("gene_id", key), timepoints)))
-    shuffled = shuffled.withColumn("gene_id", F.substring_index("gene_id", "#", -1))
-    p = stats.permutation_p(seen, shuffled, ("gene_id", "tx1", "tx2", "feature"))
+    """gene_id, tx1, tx2, p for data of one replicate: features are the dissimilarity and the longest stretch between points.
+
+    A permutation moves the times of all series alike, and is taken inside a pair's row: nothing is copied or moved.  Each feature's p is the
+    share of permutations (and itself) that reach what was seen; dissimilarities count as equal up to nine digits.
+    """
+    pair = pairs(packed(expr, timepoints)).withColumn("a", F.expr("transform(a, (x, i) -> sign(x - b[i]))"))  # from here on, signs
+    orders = F.lit(permutation_orders(timepoints, permutations, seed)) if permutations else F.array().cast("array<array<int>>")
+    moved = lambda c, o: F.transform(o, lambda t: F.get(c, t))
+
+    def longest(signs: Column) -> Column:
+        # A fold over the times: the last point and the longest stretch so far.
+        step = lambda acc, t: F.when(F.get(signs, t) != F.get(signs, t - 1), F.struct(t.alias("last"), F.greatest(acc["most"], t - acc["last"]).alias("most"))).otherwise(acc)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(timepoints - 1)), F.struct(F.lit(0).alias("last"), F.lit(0).alias("most")), step, lambda acc: F.greatest(acc["most"], timepoints - acc["last"]))
+
+    def gap(x: Column, y: Column) -> Column:
+        return F.round((1 - stats.pearson(x, y)) / 2, 9)
+
+    found = pair.select(
+        "gene_id",
+        "tx1",
+        "tx2",
+        longest(F.col("a")).alias("seen"),
+        F.transform(orders, lambda o: longest(moved(F.col("a"), o))).alias("stretches"),
+        gap(F.col("ra"), F.col("rb")).alias("apart"),
+        F.transform(orders, lambda o: gap(moved(F.col("ra"), o), moved(F.col("rb"), o))).alias("gaps"),
+    )
+    share = lambda values, value: stats.empirical_p(F.size(F.filter(values, lambda x: x >= value)), F.size(values))
+    p = found.select("gene_id", "tx1", "tx2", F.explode(F.array(share(F.col("stretches"), F.col("seen")), F.when(F.col("apart").isNotNull(), share(F.filter("gaps", lambda x: x.isNotNull()), F.col("apart"))))).alias("p"))
     return stats.fisher_combine(p, ("gene_id", "tx1", "tx2")).select("gene_id", "tx1", "tx2", F.col("combined_p").alias("p"))
 
 

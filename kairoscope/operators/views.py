@@ -82,6 +82,6 @@ def mean_interval(expr: DataFrame, keys: tuple[str, ...], level: float = 0.95) -
     return m.withColumn("half", half).select(*keys, "tp", "mean", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"))
 
 
-def cluster_matrix(connectivity: DataFrame, value: str = "log_odds") -> DataFrame:
-    """One row a cluster (c1) with a column a cluster: a square table of clusters."""
-    return connectivity.groupBy("c1").pivot("c2").agg(F.first(value))
+def cluster_matrix(connectivity: DataFrame, value: str = "log_odds", clusters: list[int] | None = None) -> DataFrame:
+    """One row a cluster (c1) with a column a cluster (those of ``clusters``, if given; else at most as many as Spark pivots): a square table of clusters."""
+    return connectivity.groupBy("c1").pivot("c2", clusters).agg(F.first(value))

@@ -112,7 +112,22 @@ def composite_distance(spark, d):
     return C.composite_distance(_genes(spark, d), T.network(spark, d)).select("i", "j", R6("distance").alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (prototype_median, prototype_mean, prototype_variance, cluster_sizes, cluster_similarity, euclidean_pairs, correlation_pairs, softdtw_pairs, prototype_corr, merge_candidates, silhouette, silhouette_objects, davies_bouldin, dunn, rand_index, mutual_information, jaccard, combine_clusters, split_cluster, composite_distance)} | {
+def _dataset(spark, d):
+    e = T.expression(spark, d).groupBy("gene_id", "rep", "tp").agg(F.sum("value").alias("value"))
+    return e.withColumn("object_idx", F.substring("gene_id", 2, 20).cast("long"))
+
+
+def clustering_facade(spark, d):
+    found = C.cluster_dataset(_dataset(spark, d), "hierarchical", 3, linkage="ward")
+    sizes = C.sizes(found.series).join(C.prototype_variance(found.series), "cluster")
+    return sizes.crossJoin(found.silhouette).crossJoin(found.davies_bouldin).select("cluster", "size", R6("variance").alias("variance"), R6("silhouette").alias("silhouette"), R6("davies_bouldin").alias("davies_bouldin"))  # one row each
+
+
+def cluster_significance(spark, d):
+    return C.significance(_genes(spark, d)).select("cluster", "n", R6("p").alias("p"), R6("q").alias("q"))
+
+
+QUERIES = {f.__name__: f for f in (clustering_facade, cluster_significance, prototype_median, prototype_mean, prototype_variance, cluster_sizes, cluster_similarity, euclidean_pairs, correlation_pairs, softdtw_pairs, prototype_corr, merge_candidates, silhouette, silhouette_objects, davies_bouldin, dunn, rand_index, mutual_information, jaccard, combine_clusters, split_cluster, composite_distance)} | {
     "cluster_hierarchical": _algorithm("hierarchical", linkage="ward"),
     "cluster_kmeans": _algorithm("kmeans"),
     "cluster_kmedoids": _algorithm("kmedoids"),
@@ -127,7 +142,19 @@ _COR = "(SELECT CASE WHEN var_pop(x) = 0 OR var_pop(y) = 0 THEN 0.0 ELSE 1 - cor
 _PM = "pm AS (SELECT cluster, tp, avg(value) AS v FROM lser GROUP BY ALL), pl AS (SELECT cluster, list(v ORDER BY tp) AS vals FROM pm GROUP BY ALL), sd AS (SELECT a.cluster, avg(" + _EUC + ") AS s, 2 * max(" + _EUC + ") AS w FROM ser a JOIN pl b ON a.cluster = b.cluster GROUP BY a.cluster)"
 _MED = "md AS (SELECT cluster, tp, median(value) AS v FROM lser GROUP BY ALL)"
 _SIL = "dd AS (SELECT a.object_idx AS i, a.cluster AS ci, b.object_idx AS j, b.cluster AS cj, {dist} AS x FROM {t} a JOIN {t} b ON a.object_idx <> b.object_idx), mm AS (SELECT i, ci, cj, avg(x) AS m FROM dd GROUP BY ALL), ab AS (SELECT i, ci, min(m) FILTER (ci = cj) AS a, min(m) FILTER (ci <> cj) AS b FROM mm GROUP BY ALL), ss AS (SELECT i, ci, CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS s FROM ab)"
+_SOFT = "least(prev[j], prev[j + 1], acc[j])"
+_SOFTDTW = f"list_reduce(range(1, {T.TIMEPOINTS + 1}), lambda prev, i: list_reduce(range(1, {T.TIMEPOINTS + 1}), lambda acc, j: list_append(acc, (a.vals[i] - b.vals[j]) * (a.vals[i] - b.vals[j]) + {_SOFT} - ln(exp({_SOFT} - prev[j]) + exp({_SOFT} - prev[j + 1]) + exp({_SOFT} - acc[j]))), ['Infinity'::DOUBLE]), list_concat([0.0::DOUBLE], list_transform(range({T.TIMEPOINTS}), lambda x: 'Infinity'::DOUBLE)))[{T.TIMEPOINTS + 1}]"
+#: Ward's agglomeration by centroids: each round joins the two groups whose union costs least, until {k} are left.
+_WARD = "wd AS (SELECT 0 AS it, object_idx AS cid, 1.0::DOUBLE AS n, vals AS total, [object_idx] AS members, count(*) OVER () AS c FROM gp UNION ALL SELECT it + 1, CASE WHEN cid = m.y THEN m.x ELSE cid END, sum(n), list_transform(range(1, " + str(T.TIMEPOINTS + 1) + "), lambda k: list_sum(list_transform(list(total), lambda t: t[k]))), flatten(list(members)), min(c) - 1 FROM wd, (SELECT p.cid AS x, q.cid AS y FROM wd p JOIN wd q ON p.cid < q.cid ORDER BY p.n * q.n / (p.n + q.n) * list_sum(list_transform(range(1, " + str(T.TIMEPOINTS + 1) + "), lambda k: (p.total[k] / p.n - q.total[k] / q.n) * (p.total[k] / p.n - q.total[k] / q.n))), x, y LIMIT 1) m WHERE c > {k} GROUP BY it, CASE WHEN cid = m.y THEN m.x ELSE cid END), wl AS (SELECT unnest(members) AS object_idx, dense_rank() OVER (ORDER BY cid) AS cluster FROM wd WHERE it = (SELECT max(it) FROM wd))"
+_CLOSE = "bw AS (SELECT src AS n, dst AS o FROM net UNION ALL SELECT dst, src FROM net), sp AS (SELECT DISTINCT gene_id AS s, gene_id AS n, 0 AS x FROM gg UNION SELECT s, o, x + 1 FROM sp JOIN bw USING (n) WHERE x < 12), sd AS (SELECT s, n, min(x) AS x FROM sp GROUP BY ALL), cn AS (SELECT s, n, CASE WHEN (SELECT max(x) FROM sd) = 0 THEN 0.0 ELSE ((SELECT max(x) FROM sd) - x) / (SELECT max(x) FROM sd)::DOUBLE END AS close FROM sd)"
+_NEAR = f"nr AS (SELECT a.object_idx AS x, b.object_idx AS y FROM gp a JOIN gp b ON a.object_idx <> b.object_idx AND {_EUC} <= 400), kr AS (SELECT x FROM nr GROUP BY x HAVING count(*) + 1 >= 3), kl AS (SELECT x, y FROM nr WHERE x IN (FROM kr) AND y IN (FROM kr)), re AS (SELECT x AS n, x AS m FROM kr UNION SELECT n, y FROM re JOIN kl ON m = x), cr AS (SELECT n, min(m) AS component FROM re GROUP BY n), pl AS (SELECT n, component FROM cr UNION ALL SELECT x, min(component) FROM nr JOIN cr ON y = cr.n WHERE x NOT IN (SELECT n FROM cr) GROUP BY x), nb AS (SELECT component, row_number() OVER (ORDER BY component) AS cluster FROM (SELECT DISTINCT component FROM cr))"
 ORACLE_SQL = {
+    "softdtw_pairs": V("expr", f"{_G} SELECT a.object_idx AS i, b.object_idx AS j, round({_SOFTDTW}, 6) AS distance FROM gp a JOIN gp b ON a.object_idx < b.object_idx"),
+    "cluster_hierarchical": "WITH RECURSIVE " + V("expr", f"{_G}, {_WARD.format(k=4)} SELECT object_idx, CAST(cluster AS INT) AS cluster FROM wl")[5:],
+    "clustering_facade": "WITH RECURSIVE " + V("expr", f"{_G.replace('JOIN supplier ON', 'JOIN supplier ON')}, {_WARD.format(k=3)}, lb AS (SELECT object_idx, CAST(wl.cluster AS INT) AS cluster, vals FROM gp JOIN wl USING (object_idx)), {_SIL.format(dist=_EUC, t='lb')}, un AS (SELECT cluster, unnest(range({T.TIMEPOINTS})) AS tp, unnest(vals) AS value FROM lb), pm AS (SELECT cluster, tp, avg(value) AS v FROM un GROUP BY ALL), pl AS (SELECT cluster, list(v ORDER BY tp) AS vals FROM pm GROUP BY ALL), sd AS (SELECT a.cluster, avg({_EUC}) AS s FROM lb a JOIN pl b ON a.cluster = b.cluster GROUP BY a.cluster), w AS (SELECT p.cluster, max((x.s + y.s) / {_EUC.replace('a.', 'p.').replace('b.', 'q.')}) AS r FROM pl p JOIN pl q ON p.cluster <> q.cluster JOIN sd x ON x.cluster = p.cluster JOIN sd y ON y.cluster = q.cluster GROUP BY p.cluster), md AS (SELECT cluster, tp, median(value) AS v FROM un GROUP BY ALL) SELECT cluster, (SELECT count(*) FROM lb WHERE lb.cluster = md.cluster) AS size, round(var_pop(v), 6) AS variance, (SELECT round(avg(s), 6) FROM ss) AS silhouette, (SELECT round(avg(r), 6) FROM w) AS davies_bouldin FROM md GROUP BY cluster")[5:],
+    "cluster_significance": V("expr", f"{_G}, mm AS (SELECT cluster, list_avg(vals) AS m FROM gp), wh AS (SELECT avg(m) AS w FROM mm), gr AS (SELECT cluster, count(*) AS n, count(*) FILTER (m > w) + 0.5 * count(*) FILTER (m = w) AS u FROM mm, wh GROUP BY cluster HAVING count(*) >= 2), pp AS (SELECT cluster, n, least(1.0, 2.0 * (n + 1 - ceil(greatest(u, n - u))) / (n + 1))::DOUBLE AS p FROM gr), rk AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS c FROM pp) SELECT cluster, n, round(p, 6) AS p, round(least(1.0, min(p * c / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM rk"),
+    "composite_distance": "WITH RECURSIVE " + V("expr net", f"{_G}, gg AS (SELECT 'G' || object_idx AS gene_id FROM gp), {_CLOSE} SELECT a.object_idx AS i, b.object_idx AS j, round(({_EUC} + 1 - coalesce(close, 0.0)) / 2, 6) AS distance FROM gp a JOIN gp b ON a.object_idx < b.object_idx LEFT JOIN cn ON s = 'G' || a.object_idx AND n = 'G' || b.object_idx")[5:],
+    "cluster_dbscan": "WITH RECURSIVE " + V("expr", f"{_G}, {_NEAR} SELECT object_idx, CAST(coalesce(nb.cluster, 0) AS INT) AS cluster FROM gp LEFT JOIN pl ON n = object_idx LEFT JOIN nb USING (component)")[5:],
     "prototype_median": V("lser", f"{_MED} SELECT cluster, tp, round(v, 6) AS value FROM md"),
     "prototype_mean": V("lser", "SELECT cluster, tp, round(avg(value), 6) AS value FROM lser GROUP BY ALL"),
     "prototype_variance": V("lser", f"{_MED} SELECT cluster, round(var_pop(v), 9) AS variance FROM md GROUP BY ALL"),

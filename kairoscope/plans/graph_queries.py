@@ -83,6 +83,14 @@ def shortest_paths(spark, d):
     return G.distances(T.network(spark, d), _active(spark, d).withColumnRenamed("node", "source"))
 
 
+def top_degree(spark, d):
+    return G.top_degree(T.network(spark, d), 15)
+
+
+def rank_degree(spark, d):
+    return G.rank_degree(T.network(spark, d))
+
+
 def slice_enrichment(spark, d):
     parts = _clusters(spark, d).withColumnRenamed("cluster", "slice_id")
     out = M.slice_enrichment(T.network(spark, d), parts, _active(spark, d))
@@ -111,7 +119,7 @@ def modules_of_nodes(spark, d):
     return M.modules_of_nodes(_clusters(spark, d).select("node", F.col("cluster").cast("string").alias("module_id")).union(_second(spark, d).select("node", F.concat(F.lit("b"), F.col("cluster").cast("string")))))
 
 
-QUERIES = {f.__name__: f for f in (degree, degree_hist, max_degree, edges_by_degree_pair, edge_prob, observed_cluster_edges, expected_cluster_edges, connectivity_enrichment, connectivity_two, induced_slice_edges, modularity, connected_components, diffusion_layers, shortest_paths, slice_enrichment, network_slices, active_modules, module_summary, module_quality, modules_of_nodes)}
+QUERIES = {f.__name__: f for f in (degree, degree_hist, max_degree, edges_by_degree_pair, edge_prob, observed_cluster_edges, expected_cluster_edges, connectivity_enrichment, connectivity_two, induced_slice_edges, modularity, connected_components, diffusion_layers, shortest_paths, top_degree, rank_degree, slice_enrichment, network_slices, active_modules, module_summary, module_quality, modules_of_nodes)}
 
 _D = "bw AS (SELECT src AS n, dst AS o FROM net UNION ALL SELECT dst, src FROM net), dg AS (SELECT n, count(*) AS d FROM bw GROUP BY n), hi AS (SELECT d, count(*) AS k FROM dg GROUP BY d), ed AS (SELECT least(a.d, b.d) AS d1, greatest(a.d, b.d) AS d2, count(*) AS e FROM net JOIN dg a ON src = a.n JOIN dg b ON dst = b.n GROUP BY ALL), ep AS (SELECT d1, d2, e / CASE WHEN d1 = d2 THEN x.k * (x.k - 1) / 2.0 + x.k ELSE x.k * y.k END AS p FROM ed JOIN hi x ON d1 = x.d JOIN hi y ON d2 = y.d)"
 _CL = "cl AS (SELECT 'G' || s_suppkey AS n, CAST(s_nationkey AS INT) AS c FROM supplier)"
@@ -143,6 +151,9 @@ ORACLE_SQL = {
     "modularity": V("net", f"{_D}, {_CL}, {_IN}, m AS (SELECT count(*)::DOUBLE AS m FROM net), vo AS (SELECT c, sum(d) AS v FROM cl JOIN dg USING (n) GROUP BY c), is_ AS (SELECT cluster AS c, count(*) AS i FROM ie GROUP BY ALL) SELECT round(sum(coalesce(i, 0) / m - (v / (2 * m)) * (v / (2 * m))), 6) AS modularity FROM vo LEFT JOIN is_ USING (c), m"),
     "connected_components": "WITH RECURSIVE " + V("net", f"{_CL}, {_REACH} SELECT node, component FROM co")[5:],
     "shortest_paths": "WITH RECURSIVE " + V("net", f"{_D}, {_ACT}, sp AS (SELECT n AS source, n AS node, 0 AS distance FROM act UNION SELECT source, o, distance + 1 FROM sp JOIN bw ON node = n WHERE distance < 12) SELECT source, node, CAST(min(distance) AS INT) AS distance FROM sp GROUP BY ALL")[5:],
+    "top_degree": V("net", f"{_D} SELECT n AS node, d AS degree FROM dg ORDER BY d DESC, n LIMIT 15"),
+    "rank_degree": V("net", f"{_D} SELECT d AS degree, k AS nodes, CAST(sum(k) OVER (ORDER BY d DESC) AS BIGINT) AS at_least FROM hi"),
+    "diffusion_layers": "WITH RECURSIVE " + V("net", f"{_D}, {_ACT}, df AS (SELECT 0 AS it, n AS node, 0 AS layer FROM act UNION ALL (SELECT it + 1, node, layer FROM df WHERE it < 20 UNION ALL SELECT min(it) + 1, dg.n, CAST(min(it) + 1 AS INT) FROM df JOIN bw ON node = bw.n JOIN dg ON dg.n = bw.o WHERE it < 20 AND bw.o NOT IN (SELECT node FROM df) GROUP BY dg.n, dg.d HAVING count(*) / dg.d >= 0.5)) SELECT node, layer FROM df WHERE it = 20")[5:],
     "slice_enrichment": "WITH RECURSIVE " + V("net", f"{_D}, {_CL}, {_ACT}, {_REACH}, tt AS (SELECT count(*) AS n FROM dg), kk AS (SELECT count(*) AS k FROM act SEMI JOIN cl USING (n)), sm AS (SELECT component AS slice_id, count(*) AS nodes, count(act.n) AS hits FROM co LEFT JOIN act ON node = act.n GROUP BY component), ft AS (SELECT sm.*, n, k FROM sm, tt, kk WHERE nodes >= 4 AND hits > 0 AND (hits / nodes >= least(0.7, k / n * (1 + 100 / sqrt(n))) OR hits / k >= 0.1)), ts AS (SELECT *, {tail_sql('n', 'k', 'nodes', 'hits')} AS p FROM ft), rk AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS c FROM ts), qq AS (SELECT *, least(1.0, min(p * c / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM rk) SELECT slice_id, nodes, hits, round(p, 6) AS p, round(q, 6) AS q, q <= 0.3 AS kept FROM qq")[5:],
     "module_summary": f"WITH {_CL}, s AS (SELECT c, count(*) AS n FROM cl GROUP BY c) SELECT count(*) AS modules, round(avg(n), 6) AS mean_size, round(stddev_samp(n), 6) AS sd_size FROM s",
     "module_quality": f"WITH {_CL}, {_ACT}, t AS (SELECT count(*) AS t FROM act), h AS (SELECT c, count(*) AS n, count(act.n) AS h FROM cl LEFT JOIN act USING (n) GROUP BY c) SELECT c AS module_id, round(h / n, 6) AS precision, round(CASE WHEN t = 0 THEN 0.0 ELSE h / t END, 6) AS recall, round(CASE WHEN h = 0 THEN 0.0 ELSE 2 * (h / n) * (h / t) / (h / n + h / t) END, 6) AS f1 FROM h, t",

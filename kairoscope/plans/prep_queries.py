@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kairoscope.operators import prep
@@ -25,11 +26,11 @@ def gene_level_sum(spark, d):
 
 
 def filter_mean_cutoff(spark, d):
-    return prep.low_mean(T.expression(spark, d), 60.0).select("gene_id", "transcript_id", R6("mean_value").alias("mean_value"))
+    return prep.low_mean(T.expression(spark, d), 90.0).select("gene_id", "transcript_id", R6("mean_value").alias("mean_value"))
 
 
 def filter_low_variance(spark, d):
-    return prep.low_variance(T.expression(spark, d), 1500.0).select("gene_id", "transcript_id", R6("variance").alias("variance"))
+    return prep.low_variance(T.expression(spark, d), 2500.0).select("gene_id", "transcript_id", R6("variance").alias("variance"))
 
 
 def semi_objects_in_network(spark, d):
@@ -54,7 +55,7 @@ def low_abundance(spark, d):
 
 
 def low_expressed_genes(spark, d):
-    return prep.low_expressed_genes(T.expression(spark, d), 520.0).select("gene_id", R6("mean_value").alias("mean_value"))
+    return prep.low_expressed_genes(T.expression(spark, d), 700.0).select("gene_id", R6("mean_value").alias("mean_value"))
 
 
 def replicate_median(spark, d):
@@ -89,6 +90,12 @@ def shuffled_series(spark, d):
     return prep.shuffled_in_time(T.expression(spark, d), 7)
 
 
+def shuffled_globally(spark, d):
+    e = T.expression(spark, d)
+    names = e.select("transcript_id").distinct().withColumn("object_idx", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("transcript_id")) - 1)  # a row a transcript
+    return prep.shuffled_globally(e.join(names, "transcript_id"), names.count(), T.REPS, T.TIMEPOINTS, 11).select("object_idx", "rep", "tp", R6("value").alias("value"))
+
+
 def dataset_errors(spark, d):
     return prep.dataset_errors(T.observed(spark, d), T.REPS, T.TIMEPOINTS)
 
@@ -107,19 +114,19 @@ def name_lookup(spark, d):
 SHARE = "SELECT *, CASE WHEN sum(value) OVER w = 0 THEN 1.0 ELSE value / sum(value) OVER w END AS abundance FROM expr WINDOW w AS (PARTITION BY gene_id, rep, tp)"
 QUERIES = {
     f.__name__: f
-    for f in (wide_to_long, gene_level_sum, filter_mean_cutoff, filter_low_variance, semi_objects_in_network, semi_nodes_in_dataset, preprocess, relative_abundance, low_abundance, low_expressed_genes, replicate_median, replicate_mean, log_transform, zscore_rows, minmax_rows, tanh_scale, discretise, shuffled_series, dataset_errors, version_strip, name_lookup)
+    for f in (wide_to_long, gene_level_sum, filter_mean_cutoff, filter_low_variance, semi_objects_in_network, semi_nodes_in_dataset, preprocess, relative_abundance, low_abundance, low_expressed_genes, replicate_median, replicate_mean, log_transform, zscore_rows, minmax_rows, tanh_scale, discretise, shuffled_series, shuffled_globally, dataset_errors, version_strip, name_lookup)
 }
 ORACLE_SQL = {
     "wide_to_long": V("expr", "SELECT gene_id, transcript_id, rep, tp, round(value, 6) AS value FROM expr"),
     "gene_level_sum": V("expr", "SELECT gene_id, rep, tp, round(sum(value), 6) AS value FROM expr GROUP BY ALL"),
-    "filter_mean_cutoff": V("expr", "SELECT gene_id, transcript_id, round(avg(value), 6) AS mean_value FROM expr GROUP BY ALL HAVING avg(value) < 60"),
-    "filter_low_variance": V("expr", "SELECT gene_id, transcript_id, round(var_pop(value), 6) AS variance FROM expr GROUP BY ALL HAVING var_pop(value) < 1500"),
+    "filter_mean_cutoff": V("expr", "SELECT gene_id, transcript_id, round(avg(value), 6) AS mean_value FROM expr GROUP BY ALL HAVING avg(value) < 90"),
+    "filter_low_variance": V("expr", "SELECT gene_id, transcript_id, round(var_pop(value), 6) AS variance FROM expr GROUP BY ALL HAVING var_pop(value) < 2500"),
     "semi_objects_in_network": V("expr net", "SELECT DISTINCT gene_id, transcript_id FROM expr WHERE gene_id IN (SELECT src FROM net UNION SELECT dst FROM net)"),
     "semi_nodes_in_dataset": V("expr net", "SELECT src, dst FROM net WHERE src IN (SELECT gene_id FROM expr) AND dst IN (SELECT gene_id FROM expr)"),
     "preprocess": V("expr net", "k AS (SELECT gene_id, transcript_id FROM expr GROUP BY ALL HAVING avg(value) >= 40 AND var_pop(value) >= 1), e AS (SELECT * FROM expr SEMI JOIN k USING (gene_id, transcript_id)), n AS (SELECT * FROM net WHERE src IN (SELECT gene_id FROM e) AND dst IN (SELECT gene_id FROM e)) SELECT gene_id, count(DISTINCT transcript_id) AS transcripts, round(sum(value), 6) AS value FROM e WHERE gene_id IN (SELECT src FROM n UNION SELECT dst FROM n) GROUP BY gene_id"),
     "relative_abundance": V("expr", f"s AS ({SHARE}) SELECT gene_id, transcript_id, rep, tp, round(abundance, 6) AS abundance FROM s"),
     "low_abundance": V("expr", f"s AS ({SHARE}), p AS (SELECT gene_id, transcript_id, rep, max(abundance) AS peak FROM s GROUP BY ALL) SELECT gene_id, transcript_id, round(avg(peak), 6) AS mean_peak FROM p GROUP BY ALL HAVING avg(peak) <= 0.5"),
-    "low_expressed_genes": V("expr", "g AS (SELECT gene_id, rep, tp, sum(value) AS v FROM expr GROUP BY ALL) SELECT gene_id, round(avg(v), 6) AS mean_value FROM g GROUP BY ALL HAVING avg(v) < 520"),
+    "low_expressed_genes": V("expr", "g AS (SELECT gene_id, rep, tp, sum(value) AS v FROM expr GROUP BY ALL) SELECT gene_id, round(avg(v), 6) AS mean_value FROM g GROUP BY ALL HAVING avg(v) < 700"),
     "replicate_median": V("expr", "SELECT gene_id, transcript_id, tp, round(median(value), 6) AS value FROM expr GROUP BY ALL"),
     "replicate_mean": V("expr", "SELECT gene_id, transcript_id, tp, round(avg(value), 6) AS value FROM expr GROUP BY ALL"),
     "log_transform": V("expr", "SELECT gene_id, transcript_id, rep, tp, CASE WHEN value > 0 THEN round(log10(value), 6) ELSE 0.0 END AS value FROM expr"),
@@ -127,6 +134,8 @@ ORACLE_SQL = {
     "minmax_rows": V("expr", "SELECT gene_id, transcript_id, rep, tp, CASE WHEN max(value) OVER w = min(value) OVER w THEN 0.0 ELSE round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) END AS scaled FROM expr WINDOW w AS (PARTITION BY gene_id, transcript_id)"),
     "tanh_scale": V("expr", "SELECT gene_id, transcript_id, rep, tp, CASE WHEN var_pop(value) OVER w = 0 THEN NULL ELSE round(0.5 * (tanh(0.01 * value - avg(value) OVER w) / var_pop(value) OVER w) + 1, 6) END AS scaled FROM expr WINDOW w AS (PARTITION BY gene_id, transcript_id)"),
     "discretise": V("expr", "m AS (SELECT *, max(value) OVER (PARTITION BY gene_id, transcript_id) AS hi FROM expr), l AS (SELECT *, [0.0::DOUBLE, hi / 4 * 0 + 1, hi / 4 * 1 + 1, hi / 4 * 2 + 1, hi / 4 * 3 + 1] AS lv FROM m), u AS (SELECT *, unnest(range(1, 6)) AS i FROM l) SELECT gene_id, transcript_id, rep, tp, round(arg_min(lv[i], abs(value - lv[i]) * 1e6 + i * 1e-9), 6) AS level FROM u GROUP BY gene_id, transcript_id, rep, tp"),
+    "shuffled_series": V("expr", "SELECT gene_id, transcript_id, rep, value, CAST(row_number() OVER (PARTITION BY gene_id, transcript_id, rep ORDER BY md5('7 ' || gene_id || ' ' || transcript_id || ' ' || rep || ' ' || tp)) - 1 AS INT) AS tp FROM expr"),
+    "shuffled_globally": V("expr", "nm AS (SELECT transcript_id, row_number() OVER (ORDER BY transcript_id) - 1 AS object_idx FROM (SELECT DISTINCT transcript_id FROM expr)), c AS (SELECT object_idx, rep, tp, value, object_idx * 21 + rep * 7 + tp AS pos FROM expr JOIN nm USING (transcript_id)), w AS (SELECT object_idx, rep, tp, CAST('0x' || substr(md5('11 ' || object_idx || ' ' || rep || ' ' || tp), 1, 15) AS BIGINT) % (SELECT count(*) FROM c) AS pos FROM c) SELECT CAST(w.object_idx AS INT) AS object_idx, w.rep, w.tp, round(c.value, 6) AS value FROM w JOIN c USING (pos)"),
     "dataset_errors": V("obs", "SELECT gene_id, transcript_id, 'missing cell' AS reason FROM obs GROUP BY ALL HAVING count(*) < 21"),
     "version_strip": V("obs", "SELECT DISTINCT transcript_id, split_part(transcript_id, '.', 1) AS base_id FROM obs"),
     "name_lookup": V("obs", "SELECT DISTINCT gene_id, coalesce(s_name, 'n') AS symb FROM obs LEFT JOIN supplier ON gene_id = 'G' || s_suppkey AND s_acctbal > 0"),

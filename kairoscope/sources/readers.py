@@ -71,12 +71,39 @@ def write_ids(ids: DataFrame, path: str) -> None:
 
 
 def read_slices(spark: SparkSession, path: str) -> DataFrame:
-    """slice_id, node from the text form: ``# i: ...`` lines that head ``[a, b, ...]`` lists."""
-    lists = spark.read.text(path).where(F.trim("value").startswith("["))
-    rows = lists.select(F.monotonically_increasing_id().alias("slice_id"), F.split(F.regexp_replace("value", r"[\[\]'\s]", ""), ",").alias("nodes"))
+    """slice_id, node from the text form: ``# i: ...`` lines that head ``[a, b, ...]`` lists; without a head a slice is numbered by its place."""
+    lines = spark.read.text(path, lineSep="\n# ").select(F.explode(F.split("value", r"\n(?=\[)")).alias("part"), F.regexp_extract("value", r"^(?:# )?(\d+):", 1).alias("head"))
+    lists = lines.where(F.trim("part").startswith("["))
+    rows = lists.select(F.coalesce(F.col("head").try_cast("long"), F.monotonically_increasing_id()).alias("slice_id"), F.split(F.regexp_replace("part", r"[\[\]'\s]", ""), ",").alias("nodes"))
     return rows.select("slice_id", F.explode("nodes").alias("node")).where("node <> ''")
 
 
+def _lists(members: DataFrame, group: str) -> DataFrame:
+    """group, n and its nodes in order, ``[a, b, ...]``."""
+    names = F.array_join(F.array_sort(F.collect_set("node")), ", ")
+    return members.groupBy(group).agg(F.count_distinct("node").alias("n"), F.concat(F.lit("["), names, F.lit("]")).alias("nodes"))
+
+
+def write_slices(parts: DataFrame, path: str) -> None:
+    """slice_id, node as text: ``# i: n nodes`` and the list in the next line."""
+    lists = _lists(parts, "slice_id")
+    lines = F.concat(F.lit("# "), F.col("slice_id").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" nodes\n"), "nodes")
+    lists.select(lines).write.mode("overwrite").text(path)
+
+
+def write_modules(modules: DataFrame, path: str) -> None:
+    """module_id, node as text: one list a line."""
+    _lists(modules, "module_id").select("nodes").write.mode("overwrite").text(path)
+
+
+def read_map(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """A map from a key to one value or to an array of values (Parquet, or JSON lines where the path ends in .json) as distinct key, value rows; nulls go."""
+    table = spark.read.json(path) if path.endswith(".json") else spark.read.parquet(path)
+    kind = dict(table.dtypes)[value]
+    each = table.select(F.col(key).alias("key"), F.explode(value).alias("value") if kind.startswith("array") else F.col(value).alias("value"))
+    return each.where("key IS NOT NULL AND value IS NOT NULL").distinct()
+
+
 def strip_version(id_column: Column) -> Column:
     """An id without what follows its first dot."""
     return F.split_part(id_column, F.lit("."), F.lit(1))

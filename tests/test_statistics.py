@@ -221,3 +221,108 @@ def test_permutation_p_is_bounded(spark):
     e = expression(spark, {("g", f"t{k}"): rng.random((1, 6)).tolist() for k in range(3)})
     rows = switch.permutation_switch_p(e, 6, 20).collect()
     assert len(rows) == 3 and all(0 < r["p"] <= 1 for r in rows)
+
+
+def test_writers_and_what_reads_them(spark, tmp_path):
+    parts = spark.createDataFrame([(7, "a"), (7, "b"), (7, "b"), (9, "c")], "slice_id long, node string")
+    readers.write_slices(parts, str(tmp_path / "slices"))
+    assert sorted(map(tuple, readers.read_slices(spark, str(tmp_path / "slices")).collect())) == [(7, "a"), (7, "b"), (9, "c")]
+    readers.write_modules(parts.withColumnRenamed("slice_id", "module_id"), str(tmp_path / "modules"))
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "modules")).collect()) == ["[a, b]", "[c]"]
+    (tmp_path / "one.txt").write_text("# 0: 2 nodes\n[x, y]\n# 1: 1 nodes\n['z']\n")
+    assert sorted(map(tuple, readers.read_slices(spark, str(tmp_path / "one.txt")).collect())) == [(0, "x"), (0, "y"), (1, "z")]
+    readers.write_ids(parts.select("node").distinct(), str(tmp_path / "ids"))
+    assert sorted(r[0] for r in readers.read_ids(spark, str(tmp_path / "ids")).collect()) == ["a", "b", "c"]
+    (tmp_path / "edges.tsv").write_text("x\ty\t0.5\ny\tx\t0.5\nz\tz\t1\nb\ta\t2\n")
+    assert sorted(map(tuple, readers.read_edge_table(spark, str(tmp_path / "edges.tsv")).collect())) == [("a", "b"), ("x", "y")]
+    spark.createDataFrame([("e1", ["p", "q", None]), ("e2", None), (None, ["r"])], "exon string, pfams array<string>").write.parquet(str(tmp_path / "map"))
+    assert sorted(map(tuple, readers.read_map(spark, str(tmp_path / "map"), "exon", "pfams").collect())) == [("e1", "p"), ("e1", "q")]
+    (tmp_path / "names.json").write_text('{"id": "a", "name": "A"}\n{"id": "b", "name": "B"}\n')
+    assert sorted(map(tuple, readers.read_map(spark, str(tmp_path / "names.json"), "id", "name").collect())) == [("a", "A"), ("b", "B")]
+
+
+def packed_series(spark, n=60, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 9, (4, 5))
+    return spark.createDataFrame([(i, (centres[i % 4] + rng.normal(0, 1.0, 5)).tolist()) for i in range(n)], "object_idx long, vals array<double>")
+
+
+def test_near_pairs_are_all_pairs_within(spark):
+    series = packed_series(spark)
+    for eps in (0.5, 2.0, 6.0):
+        want = {(r["i"], r["j"]) for r in cluster.pair_distances(series).where(F.col("distance") <= eps).collect()}
+        assert {(r["i"], r["j"]) for r in cluster.near_pairs(series, eps).collect()} == want
+
+
+def labels_and_values(frame):
+    rows = sorted(frame.collect(), key=lambda r: r["object_idx"])
+    return np.array([r["cluster"] for r in rows])
+
+
+def test_centroid_and_medoid_clusters_by_brute_force(spark):
+    series = packed_series(spark)
+    x = np.array([r["vals"] for r in series.orderBy("object_idx").collect()])
+    truth = np.arange(60) % 4
+    distance = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for name in ("kmeans", "kmedoids", "clara"):
+        found = labels_and_values(cluster.find_clusters(series, name, 4))
+        assert all(len(set(found[truth == c])) == 1 for c in range(4)) and len(set(found)) == 4
+    found = labels_and_values(cluster.find_clusters(series, "kmeans", 4))
+    centres = {c: x[found == c].mean(0) for c in set(found)}
+    assert all(min(centres, key=lambda c, v=v: ((v - centres[c]) ** 2).sum()) == c for v, c in zip(x, found, strict=True))
+    medoids = cluster.swap_medoids(distance, 4)
+    cost = distance[medoids].min(0).sum()
+    for k in range(4):  # no exchange helps
+        for h in range(60):
+            other = [*np.delete(medoids, k), h]
+            assert distance[other].min(0).sum() >= cost - 1e-9
+
+
+def test_kmeans_by_warped_distance_takes_medoids(spark):
+    found = labels_and_values(cluster.find_clusters(packed_series(spark, 20), "kmeans", 4, name="softdtw"))
+    assert len(set(found)) == 4
+
+
+def test_optics_stretches_are_density_clusters(spark):
+    series = packed_series(spark)
+    a, b = labels_and_values(cluster.optics(series, 3.0, 4)), labels_and_values(cluster.dbscan(series, 3.0, 4))
+    x = np.array([r["vals"] for r in series.orderBy("object_idx").collect()])
+    core = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 3.0).sum(1) >= 4
+    assert core.sum() > 30
+    for i in np.flatnonzero(core):
+        for j in np.flatnonzero(core):
+            assert (a[i] == a[j]) == (b[i] == b[j])
+
+
+def test_clusters_of_a_table_in_one_call(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"g{i}", r, t, float(rng.random() + 10 * (i % 3))) for i in range(20) for r in range(7) for t in range(3)]
+    table = spark.createDataFrame(rows, "object_idx long, gene_id string, rep int, tp int, value double")
+    found = cluster.cluster_dataset(table, "hierarchical", 3, linkage="ward", name="euclidean")
+    labels = labels_and_values(found.series)
+    assert all(len(set(labels[np.arange(20) % 3 == c])) == 1 for c in range(3)) and found.prototypes.count() == 9
+    assert found.silhouette.first()[0] > 0.8 and 0 < found.davies_bouldin.first()[0] < 0.3
+    edges = spark.createDataFrame([("g0", "g3"), ("g3", "g6")], "src string, dst string")
+    assert cluster.cluster_dataset(table, "hierarchical", 3, transform="log", edges=edges).series.count() == 20
+
+
+def test_split_keeps_the_other_clusters(spark):
+    series = packed_series(spark).withColumn("cluster", F.when(F.col("object_idx") % 4 < 2, 1).otherwise(2))
+    out = cluster.split(series, 1, 2)
+    labels = labels_and_values(out)
+    index = np.arange(60) % 4
+    assert set(labels[index >= 2]) == {2} and len(set(labels[index == 0])) == len(set(labels[index == 1])) == 1 and set(labels) == {2, 3, 4}
+
+
+def test_network_slices_are_communities(spark):
+    edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in ring_of_cliques(6, 12)], "src string, dst string").distinct()
+    got = {r["node"]: r["slice_id"] for r in modules.slices(edges, 1.0).collect()}
+    assert len(got) == 72 and all(len({got[f"c{c}n{i}"] for i in range(12)}) == 1 for c in range(6)) and len(set(got.values())) == 6
+
+
+def test_domain_modules(spark):
+    edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in ring_of_cliques(6, 12)], "src string, dst string").distinct()
+    named = edges.select(F.concat("src", F.lit("/P")).alias("src"), F.concat("dst", F.lit("/P")).alias("dst"))
+    exclusive = spark.createDataFrame([(f"c2n{i}", "P") for i in range(10)], "gene_id string, domain_id string")
+    rows = modules.domain_modules(named, exclusive, parts=modules.slices(named, 1.0)).collect()
+    assert {r["node"] for r in rows} >= {f"c2n{i}/P" for i in range(10)}
