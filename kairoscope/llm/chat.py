@@ -9,8 +9,9 @@ Linking.  Calls and results are hash-joined by conversation and id.  The first c
 
 Order.  Each event gets ``after_turn`` and ``level`` so that sorting a conversation by (after_turn, level, turn, place) puts a result behind its
 call and a call behind the results it depends on, however late the log has them: after_turn is the latest turn among an event and all it depends on, level counts the
-steps within that turn.  Both are found by relaxation over the dependencies; a log in order settles at once, and calls on
-a cycle (level above the conversation's number of calls) are ``cyclic`` and keep their own turn.
+steps within that turn.  Both are found by relaxation over the dependencies, one round a step, for those calls alone that come too early: a log in order settles at once.  A conversation
+in which a level rises above what its moved calls allow holds a cycle; in it the calls without open dependencies are taken away round by round, those that are left (on a cycle
+or waiting for one) are ``cyclic`` and keep their own turn, and the others are ordered without them.
 
 Arguments are checked against ``schemas`` (tool: field: type and whether it is required); errors are listed by field.  JSON is canonical: keys in order, no
 white space, absent where null.
@@ -33,17 +34,26 @@ LAST = (1 << 63) - 1
 
 
 def exchanges(conversations: DataFrame) -> DataFrame:
-    """Messages in which each user turn is a call of ``reply`` and the assistant turn behind it its result; each call depends on the one two turns before."""
+    """Messages in which each user turn is a call of ``reply`` and the assistant turn behind it its result; each call depends on the one two turns before.
+
+    By the remainder of conv_id by 6 the log has a fault: 1, the first call comes 100 turns late, so all that wait for it do; 2, results are repeated 50 turns later;
+    3, the first call waits for the second; 4, arguments break the schema; 5, results aren't JSON; 0, none.
+    """
+    mode = F.pmod(F.col("conv_id"), F.lit(6))
+    turn, first = F.col("turn"), F.col("turn") < 2
     name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
-    own, before = name(F.col("turn")), name(F.col("turn") - 1)
-    depends = F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2)))
-    arguments = F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn"))
-    call = F.to_json(F.struct(arguments.alias("arguments"), depends.alias("depends_on"), own.alias("id"), F.lit("reply").alias("name")))
-    result = F.to_json(F.struct(F.col("text").alias("content"), before.alias("tool_call_id")))
-    marked = F.concat(F.lit("<tool_call>"), F.replace(call, F.lit("<"), F.lit("\\u003c")), F.lit("</tool_call>"))
-    text = F.when(F.col("role") == "user", marked).when(F.col("role") == "assistant", result).otherwise(F.col("text"))
-    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
-    return conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    depends = F.when(turn >= 2, F.array(name(turn - 2))).when((mode == 3) & first, F.array(name(turn + 2)))
+    plain = F.struct(F.col("text").alias("prompt"), turn.alias("turn"))
+    broken = F.struct(F.lit("x").alias("note"), turn.alias("prompt"), turn.cast("string").alias("turn"))
+    call = lambda arguments: F.to_json(F.struct(arguments.alias("arguments"), depends.alias("depends_on"), name(turn).alias("id"), F.lit("reply").alias("name")))
+    marked = F.concat(F.lit("<tool_call>"), F.replace(F.when(mode == 4, call(broken)).otherwise(call(plain)), F.lit("<"), F.lit("\\u003c")), F.lit("</tool_call>"))
+    result = F.when(mode == 5, F.concat(F.lit("not JSON: "), F.coalesce("text", F.lit("")))).otherwise(F.to_json(F.struct(F.col("text").alias("content"), name(turn - 1).alias("tool_call_id"))))
+    user, assistant = F.col("role") == "user", F.col("role") == "assistant"
+    text = F.when(user, marked).when(assistant, result).otherwise(F.col("text"))
+    role = F.when(user, "assistant").when(assistant, "tool").otherwise(F.col("role"))
+    late = F.when(user & (mode == 1) & first, turn + 100).otherwise(turn)
+    turns = F.when(assistant & (mode == 2), F.array(late, late + 50)).otherwise(F.array(late))
+    return conversations.select("conv_id", F.explode(turns).alias("turn"), role.alias("role"), text.alias("text"))
 
 
 def argument_errors(name: Column, arguments: Column, keys: Column, schemas: dict) -> Column:
@@ -108,26 +118,51 @@ def linked(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.withColumn("status", status).drop("c", "i", "call", "result"), first.where("call IS NOT NULL").select("conv_id", "call_id", "depends", F.col("call.turn").alias("turn"), F.col("result.turn").alias("result_turn"))
 
 
-def topological(links: DataFrame) -> DataFrame:
-    """links with ``at`` and ``answer``: (turn, level) of the call and of its result; and ``cyclic``."""
-    place = lambda turn, level: F.struct(turn.alias("turn"), level.alias("level"))
-    # A result is behind its call: in its own turn where that is later, else a level below the call.
-    answer = F.when(F.col("result_turn") > F.col("at.turn"), place(F.col("result_turn"), F.lit(0))).otherwise(place(F.col("at.turn"), F.col("at.level") + 1))
-    state = links.withColumn("at", place(F.col("turn"), F.lit(0))).withColumn("cyclic", F.lit(False)).withColumn("answer", answer)
-    edges = links.select("conv_id", "call_id", F.explode("depends").alias("needs")).distinct()
-    calls = links.groupBy("conv_id").agg(F.count("*").alias("calls"))
+def _place(turn: Column, level: Column) -> Column:
+    return F.struct(turn.alias("turn"), level.alias("level"))
+
+
+def _answered(state: DataFrame) -> DataFrame:
+    """``state`` with the place of each result: behind its call, in its own turn where that is later, else a level below the call."""
+    return state.withColumn("answer", F.when(F.col("result_turn") > F.col("at.turn"), _place(F.col("result_turn"), F.lit(0))).otherwise(_place(F.col("at.turn"), F.col("at.level") + 1)))
+
+
+def _relaxed(links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links with ``at``, ``answer`` and ``moved``; conv_id of the conversations that hold a cycle, in which calls stay where they were when it showed)."""
+    key = ["conv_id", "call_id"]
+    state = cut(_answered(links.withColumn("at", _place(F.col("turn"), F.lit(0)))).withColumn("moved", F.lit(False)))
+    knots = cut(links.select("conv_id").where("false"))
     while True:
-        known = state.select("conv_id", F.col("call_id").alias("needs"), F.col("answer").alias("given"), F.col("cyclic").alias("round"))
-        # What a call waits for and does not follow yet.
-        waits = edges.join(known, ["conv_id", "needs"]).where("NOT round").groupBy("conv_id", "call_id").agg(F.max("given").alias("given"))
-        behind = state.where("NOT cyclic").join(waits, ["conv_id", "call_id"]).where(F.col("given") >= F.col("at")).select("conv_id", "call_id", "given")
-        behind = cut(behind)
+        known = state.select("conv_id", F.col("call_id").alias("needs"), F.col("answer").alias("given"))
+        waits = edges.join(known, ["conv_id", "needs"]).groupBy(*key).agg(F.max("given").alias("given"))
+        behind = cut(state.select(*key, "at").join(waits, key).where(F.col("given") >= F.col("at")).select(*key, "given").join(knots, "conv_id", "left_anti"))
         if behind.isEmpty():
-            return state
-        moved = state.join(behind, ["conv_id", "call_id"], "left").join(calls, "conv_id")
-        at = F.when(F.col("given").isNotNull(), place(F.col("given.turn"), F.col("given.level") + 1)).otherwise(F.col("at"))
-        moved = moved.withColumn("at", at).withColumn("cyclic", F.col("cyclic") | (F.col("at.level") > 2 * F.col("calls") + 1)).withColumn("at", F.when(F.col("cyclic"), place(F.col("turn"), F.lit(0))).otherwise(F.col("at")))
-        state = cut(moved.withColumn("answer", answer).select("conv_id", "call_id", "depends", "turn", "result_turn", "at", "cyclic", "answer"))
+            return state, knots
+        moved = state.join(behind, key, "left").withColumn("at", F.when(F.col("given").isNotNull(), _place(F.col("given.turn"), F.col("given.level") + 1)).otherwise(F.col("at")))
+        state = cut(_answered(moved.withColumn("moved", F.col("moved") | F.col("given").isNotNull()).drop("given")))
+        # Each moved call adds two levels at most: what is above goes round in circles.
+        high = state.where("moved").groupBy("conv_id").agg(F.max("at.level").alias("level"), F.count("*").alias("calls")).where("level > 2 * calls + 1")
+        knots = cut(knots.union(high.select("conv_id")))
+
+
+def topological(links: DataFrame) -> DataFrame:
+    """links with ``at`` and ``answer``: (turn, level) of the call and of its result; and ``cyclic``."""
+    calls = links.select("conv_id", F.col("call_id").alias("needs"))
+    edges = cut(links.select("conv_id", "call_id", F.explode("depends").alias("needs")).distinct().join(calls, ["conv_id", "needs"], "left_semi"))
+    state, knots = _relaxed(links, edges)
+    if knots.isEmpty():
+        return state.drop("moved").withColumn("cyclic", F.lit(False))
+    # Of the conversations with a cycle: edges to calls that wait themselves stay, until nothing goes.
+    waits, before = cut(edges.join(knots, "conv_id", "left_semi")), -1
+    while (now := waits.count()) != before:
+        open_ = waits.select("conv_id", F.col("call_id").alias("needs")).distinct()
+        waits, before = cut(waits.join(open_, ["conv_id", "needs"], "left_semi")), now
+    stuck = cut(waits.select("conv_id", "call_id").distinct())
+    free = cut(links.join(knots, "conv_id", "left_semi").join(stuck, ["conv_id", "call_id"], "left_anti"))
+    again, _ = _relaxed(free, edges.join(free.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi"))
+    own = _answered(links.join(stuck, ["conv_id", "call_id"], "left_semi").withColumn("at", _place(F.col("turn"), F.lit(0))))
+    settled = state.join(knots, "conv_id", "left_anti").drop("moved").unionByName(again.drop("moved")).withColumn("cyclic", F.lit(False))
+    return settled.unionByName(own.withColumn("cyclic", F.lit(True)))
 
 
 def format_chat(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -158,22 +193,45 @@ def op7_chat_format(spark, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-WITH m AS (
-  SELECT conv_id, turn, role, text,
+WITH c AS (SELECT *, conv_id % 6 AS mode, turn < 2 AS first FROM conversations),
+m AS (
+  SELECT conv_id, turn AS own, mode, role, text,
+    turn + CASE WHEN role = 'user' AND mode = 1 AND first THEN 100 ELSE 0 END AS turn,
     CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN 'call_' || conv_id || '_' || turn WHEN 'assistant' THEN 'call_' || conv_id || '_' || (turn - 1) END AS call_id
-  FROM conversations),
+    CASE WHEN role = 'user' THEN 'call_' || conv_id || '_' || turn WHEN role = 'assistant' AND mode <> 5 THEN 'call_' || conv_id || '_' || (turn - 1) END AS call_id
+  FROM c
+  UNION ALL
+  SELECT conv_id, turn, mode, role, text, turn + 50, 'result', 'call_' || conv_id || '_' || (turn - 1) FROM c WHERE role = 'assistant' AND mode = 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id, kind ORDER BY turn) AS k FROM m),
-c AS (SELECT conv_id, call_id FROM f WHERE kind = 'call' AND k = 1),
-r AS (SELECT conv_id, call_id FROM f WHERE kind = 'result' AND k = 1)
-SELECT f.conv_id, f.turn, CAST(0 AS BIGINT) AS place, f.kind, f.call_id,
-  CASE WHEN f.kind = 'message' THEN 'message' WHEN f.call_id IS NULL THEN 'malformed' WHEN f.k > 1 THEN 'duplicate'
-       WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  f.turn AS after_turn, CAST(0 AS BIGINT) AS level,
-  CASE WHEN f.kind = 'call' AND f.text IS NULL THEN 'prompt: missing' ELSE '' END AS errors,
-  CAST(CASE f.kind
-    WHEN 'call' THEN json_object('arguments', json_object('prompt', f.text, 'turn', f.turn), 'id', f.call_id, 'name', 'reply', 'type', 'call')
-    WHEN 'result' THEN json_object('content', f.text, 'id', f.call_id, 'type', 'result')
-    ELSE json_object('content', coalesce(f.text, ''), 'role', f.role, 'type', 'message') END AS VARCHAR) AS json
-FROM f LEFT JOIN c USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)
+a AS (SELECT conv_id, call_id, own, mode, turn FROM f WHERE kind = 'call' AND k = 1),
+r AS (SELECT conv_id, call_id, turn FROM f WHERE kind = 'result' AND call_id IS NOT NULL AND k = 1),
+chain AS (
+  SELECT conv_id, call_id, own, mode, turn, CASE WHEN own < 2 THEN 0 WHEN NOT EXISTS (SELECT 1 FROM a b WHERE b.conv_id = a.conv_id AND b.own = a.own - 2) THEN 0 ELSE NULL END AS step FROM a),
+w AS (
+  SELECT conv_id, call_id, own, mode, turn,
+    count(*) OVER (PARTITION BY conv_id, own % 2, grp ORDER BY own) - 1 AS step, first_value(turn) OVER (PARTITION BY conv_id, own % 2, grp ORDER BY own) AS head,
+    first_value(own) OVER (PARTITION BY conv_id, own % 2, grp ORDER BY own) AS head_own, count(*) OVER (PARTITION BY conv_id, own % 2, grp) AS size
+  FROM (SELECT *, count(step) OVER (PARTITION BY conv_id, own % 2 ORDER BY own) AS grp FROM chain)),
+o AS (
+  SELECT w.conv_id, w.call_id, w.mode = 3 AND head_own < 2 AND size > 1 AS cyclic,
+    CASE WHEN NOT (w.mode = 3 AND head_own < 2 AND size > 1) AND w.turn < head THEN head ELSE w.turn END AS at_turn,
+    CASE WHEN NOT (w.mode = 3 AND head_own < 2 AND size > 1) AND w.turn < head THEN 2 * step ELSE 0 END AS level, r.turn AS answer
+  FROM w LEFT JOIN r ON r.conv_id = w.conv_id AND r.call_id = w.call_id),
+s AS (
+  SELECT f.*, CASE WHEN kind = 'message' THEN 'message' WHEN f.call_id IS NULL THEN 'malformed' WHEN f.k > 1 THEN 'duplicate'
+      WHEN o.call_id IS NULL THEN 'orphan' WHEN o.answer IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+    o.at_turn, o.level, o.answer, o.cyclic
+  FROM f LEFT JOIN o ON f.conv_id = o.conv_id AND f.call_id = o.call_id)
+SELECT conv_id, turn, CAST(0 AS BIGINT) AS place, kind, call_id,
+  CASE WHEN status IN ('linked', 'unanswered') AND cyclic THEN 'cyclic' ELSE status END AS status,
+  CAST(CASE WHEN status NOT IN ('linked', 'unanswered') THEN turn WHEN kind = 'call' THEN at_turn WHEN answer > at_turn THEN answer ELSE at_turn END AS BIGINT) AS after_turn,
+  CAST(CASE WHEN status NOT IN ('linked', 'unanswered') THEN 0 WHEN kind = 'call' THEN level WHEN answer > at_turn THEN 0 ELSE level + 1 END AS BIGINT) AS level,
+  CASE WHEN kind <> 'call' THEN '' WHEN mode = 4 THEN 'prompt: not of type string; turn: not of type integer; note: unexpected' WHEN text IS NULL THEN 'prompt: missing' ELSE '' END AS errors,
+  CAST(CASE
+    WHEN kind = 'call' AND mode = 4 THEN json_object('arguments', json_object('note', 'x', 'prompt', own, 'turn', CAST(own AS VARCHAR)), 'id', call_id, 'name', 'reply', 'type', 'call')
+    WHEN kind = 'call' THEN json_object('arguments', json_object('prompt', text, 'turn', own), 'id', call_id, 'name', 'reply', 'type', 'call')
+    WHEN kind = 'result' AND mode = 5 THEN json_object('content', 'not JSON: ' || coalesce(text, ''), 'type', 'result')
+    WHEN kind = 'result' THEN json_object('content', text, 'id', call_id, 'type', 'result')
+    ELSE json_object('content', coalesce(text, ''), 'role', role, 'type', 'message') END AS VARCHAR) AS json
+FROM s
 """

@@ -1,6 +1,7 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import json
 import re
 import zlib
 
@@ -431,6 +432,38 @@ def test_toxicity_without_labels(spark, odd, none):
 # 7
 
 
+def test_chat_order_of_random_logs_by_brute_force(spark):
+    rng = np.random.default_rng(51)
+    rows, want = [], {}
+    for conv in range(40):
+        n = int(rng.integers(1, 8))
+        turns = rng.permutation(2 * n)
+        needs = {i: sorted({int(j) for j in rng.integers(0, n + 1, int(rng.integers(0, 3)))}) for i in range(n)}  # n is nobody
+        answered = {i: int(turns[2 * i + 1]) for i in range(n) if rng.random() < 0.8}
+        for i in range(n):
+            call = {"id": f"c{i}", "name": "reply", "arguments": {"prompt": "p", "turn": 1}, "depends_on": [f"c{j}" for j in needs[i]]}
+            rows.append((conv, int(turns[2 * i]), "assistant", f"<tool_call>{json.dumps(call)}</tool_call>"))
+            if i in answered:
+                rows.append((conv, answered[i], "tool", json.dumps({"tool_call_id": f"c{i}", "content": "r"})))
+        free = {}
+        while more := [i for i in range(n) if i not in free and all(j in free or j == n for j in needs[i])]:
+            for i in more:
+                at = (int(turns[2 * i]), 0)
+                for given in sorted(free[j][1] for j in needs[i] if j < n):
+                    at = (given[0], given[1] + 1) if given >= at else at
+                free[i] = (at, (answered[i], 0) if answered.get(i, -1) > at[0] else (at[0], at[1] + 1))
+        for i in range(n):
+            own = (int(turns[2 * i]), 0)
+            at, answer = free.get(i, (own, (answered[i], 0) if answered.get(i, -1) > own[0] else (own[0], 1)))
+            status = "cyclic" if i not in free else "linked" if i in answered else "unanswered"
+            want[conv, "call", f"c{i}"] = (*at, status)
+            if i in answered:
+                want[conv, "result", f"c{i}"] = (*answer, status)
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert {(r["conv_id"], r["kind"], r["call_id"]): (r["after_turn"], r["level"], r["status"]) for r in got} == want
+    assert sum(w[2] == "cyclic" for w in want.values()) > 20 and sum(w[1] > 1 for w in want.values()) > 20
+
+
 def test_chat_linking(spark):
     call = lambda i, name="reply", more="": f'<tool_call>{{"id":"{i}","name":"{name}","arguments":{{"turn":1,"prompt":"p"}}{more}}}</tool_call>'
     needs = ',"depends_on":["c"]'
