@@ -51,15 +51,16 @@ def splitter(letter: str, number: str, neither: str) -> regex.Pattern:
 SPLIT = splitter(r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")
 SPLIT_NEWER = splitter(rf"[\p{{L}}--[{_NEWER}]]", rf"[\p{{N}}--[{_NEWER}]]", rf"[[^\s\p{{L}}\p{{N}}][{_NEWER}]]")
 SOME_NEWER = regex.compile(f"[{_NEWER}]")
+FIRST_NEWER = chr(int(NEWER.split()[0], 16))
 #: Words that a worker keeps encoded; when they are too many or too long it starts anew.
-KEPT_WORDS, KEPT_LENGTH, KEPT_SEAMS = 120_000, 64, 100_000
+KEPT_WORDS, KEPT_LENGTH, KEPT_SEAMS = 200_000, 64, 300_000
 #: Ids that are decoded together.
 STRETCH = 1 << 16
 
 
 def words_of(text: str) -> Iterator[str]:
     """The words that merges don't go across; one after the other where there are very many."""
-    pattern = SPLIT if text.isascii() or not SOME_NEWER.search(text) else SPLIT_NEWER
+    pattern = SPLIT if text.isascii() or max(text) < FIRST_NEWER or not SOME_NEWER.search(text) else SPLIT_NEWER
     if len(text) < 1 << 20:
         return iter(pattern.findall(text))
     return (m.group() for m in pattern.finditer(text))
@@ -112,10 +113,6 @@ class ByteBPE:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave a seam between the two tokens where they stand side by side."""
-        seam = left << 32 | right
-        known = self.seams.get(seam)
-        if known is not None:
-            return known
         a, b, limit, ok = left, right, len(self.parts), None
         while ok is None:
             joint = self.merged.get((a, b))
@@ -134,30 +131,36 @@ class ByteBPE:
                 b = self.parts[b][0]
         if len(self.seams) >= KEPT_SEAMS:
             self.seams.clear()
-        self.seams[seam] = ok
+        self.seams[left << 32 | right] = ok
         return ok
 
     def encode_word(self, word: bytes) -> array:
         """The ranks of a word's tokens."""
-        n, lengths, shorter = len(word), self.lengths, self.shorter
+        n, lengths, shorter, seams = len(word), self.lengths, self.shorter, self.seams
         if n == 1:
             return array("i", list(word))
-        longest = array("i", bytes(4 * n))
+        longest = [0] * n if n <= KEPT_LENGTH else array("i", bytes(4 * n))
         for last, rank in self.automaton.iter(word.decode("latin-1")):  # ends ascend, so what stays is the longest
             longest[last + 1 - lengths[rank]] = rank
-        out, closed, at, rank = array("i"), bytearray(n + 1), 0, longest[0]
+        out, closed, at, rank, before = array("i"), bytearray(n + 1), 0, longest[0], -1
         while at < n:
-            while rank >= 0 and (closed[at + lengths[rank]] or (out and not self.compatible(out[-1], rank))):
+            while rank >= 0:
+                if not closed[at + lengths[rank]]:
+                    if before < 0:
+                        break
+                    known = seams.get(before << 32 | rank)
+                    if known or (known is None and self.compatible(before, rank)):
+                        break
                 rank = shorter[rank]
             if rank >= 0:
                 out.append(rank)
                 at += lengths[rank]
-                rank = longest[at] if at < n else -1
+                before, rank = rank, longest[at] if at < n else -1
             else:
                 closed[at] = 1
                 last = out.pop()
                 at -= lengths[last]
-                rank = shorter[last]
+                before, rank = out[-1] if out else -1, shorter[last]
         return out
 
     def encode_plain(self, text: str) -> list[bytes]:

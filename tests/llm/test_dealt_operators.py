@@ -366,6 +366,31 @@ def test_features_come_in_pieces():
 # 5
 
 
+def test_every_code_point_splits_as_in_the_library():
+    from tokenizers import pre_tokenizers
+
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    for first in range(0, 0x110000, 1 << 14):
+        points = [chr(c) for c in range(first, min(first + (1 << 14), 0x110000)) if not 0xD800 <= c < 0xE000]
+        text = "".join(f"a{c}b 1{c}2 !{c}?  {c}'s{c} {c}" for c in points)
+        ends = [end for _, (_, end) in library.pre_tokenize_str(text)]
+        at, own = 0, []
+        for w in bpe.words_of(text):
+            at += len(w)
+            own.append(at)
+        assert own == ends, hex(first)
+
+
+def test_a_long_word_takes_bounded_memory():
+    import resource
+
+    encoder = bpe.tokenizer(bpe.VOCABULARY)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids = np.frombuffer(encoder.encode("abcdefghij" * 400_000), "<u4")
+    assert encoder.decode(ids.tobytes()) == "abcdefghij" * 400_000
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 30 * 4  # MB: 30 bytes a byte, decoding included
+
+
 def test_bpe_equals_the_library(spark, odd):
     from tokenizers import Tokenizer
 
