@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairoscope.session import cut
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -74,6 +76,8 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
         key.alias("mix_key"),
         *([F.struct(*docs.columns).alias("mix_row")] if carry else []),
     )
+    if not carry:
+        keyed = cut(keyed)  # a few numbers a row: words are counted once
     by_range = keyed.groupBy(*deal).agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy(*deal[:2]).orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     begins = by_range.withColumn("range_begin", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size")

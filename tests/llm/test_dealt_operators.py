@@ -707,3 +707,99 @@ def test_pipeline_stages_on_odd_tables(spark, odd, none):
             out = stage(spark, table, DATA)
             assert (out.columns == table.columns) or name == "tokens"
             out.collect()
+
+
+# The registered queries against the contract, by brute force
+
+
+@pytest.fixture(scope="module")
+def texts():
+    import duckdb
+
+    return {i: t or "" for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{DATA}/documents.parquet'").fetchall()}
+
+
+def got_of(spark, name):
+    return {r["doc_id"]: r for r in QUERIES[name](spark, DATA).collect()}
+
+
+def test_query_folds_and_scores(spark, texts):
+    for name, modulus, rest, least in (("op4_quality", 3, 1, 0.5), ("op6_toxicity", 4, 2, 0.3)):
+        rows = got_of(spark, name)
+        assert rows.keys() == texts.keys()
+        for i, r in rows.items():
+            assert r["held_out"] == (zlib.crc32(str(i).encode()) % modulus == rest)
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= least)
+    rows, known = got_of(spark, "op2_language_id"), set()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        known |= {r["lang"]} if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 else set()
+    assert rows.keys() == texts.keys()
+    for i, r in rows.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        assert r["lang_pred"] in known if any(c.isalpha() for c in texts[i]) else r["lang_pred"] == "und"
+
+
+def test_query_accuracy_on_what_was_held_out(spark):
+    import duckdb
+
+    labels = {i: (q, t) for i, q, t in duckdb.sql(f"SELECT doc_id, max(quality), max(toxic) FROM '{DATA}/labels.parquet' GROUP BY ALL").fetchall()}
+    lang = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{DATA}/documents.parquet' WHERE lang IS NOT NULL").fetchall())
+    rows = got_of(spark, "op2_language_id")
+    held = [r for i, r in rows.items() if r["held_out"] and i in lang and r["lang_pred"] != "und"]
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.8
+    for name, k in (("op4_quality", 0), ("op6_toxicity", 1)):
+        held = [(r["predicted"], labels[i][k]) for i, r in got_of(spark, name).items() if r["held_out"] and i in labels and labels[i][k] is not None]
+        assert np.mean([a == b for a, b in held]) > 0.75, name
+
+
+def test_query_secrets_by_other_patterns(spark, texts):
+    assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for i, r in got_of(spark, "op9_secret_scan").items():
+        t, base = texts[i], []
+        base += [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m.group(1)) >= 8]
+        base += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 16]
+        base += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 32]
+        base.sort()
+        shown = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in base)
+        assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[1] == k for x in base) for k in range(3)]
+        assert set(shown.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_query_fingerprints_and_edits(spark, texts):
+    rows, ids = got_of(spark, "op10_fingerprints"), sorted(texts)
+    for k, i in enumerate(ids):
+        t, following = texts[i], texts[ids[(k + 1) % len(ids)]]
+        q = len(t) // 4
+        assert rows[i]["n_chars"] == len(t) and rows[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - q] + following[:q]).encode()).hexdigest()
+        assert 0 <= rows[i]["near_edited"] <= 1 and 0 <= rows[i]["near_next"] <= 1
+        assert (rows[i]["fingerprint"] == rows[ids[0]]["fingerprint"]) or t != texts[ids[0]]
+
+
+def test_query_tokens(spark, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    for i, r in got_of(spark, "op5_bpe").items():
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_query_simhash(spark, texts):
+    rows = got_of(spark, "op3_simhash")
+    prints = {}
+    for i, t in texts.items():
+        w = [x for x in re.split("[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t)) if x]
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ([" ".join(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else [])]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert rows[i]["fingerprint"] == f"{prints[i]:016x}"
+    low, changed = {i: i for i in prints}, True
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    while changed:
+        changed = False
+        for a, b in near:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    assert {i: r["component_id"] for i, r in rows.items()} == low
