@@ -95,25 +95,31 @@ def log_choose(n: Column, k: Column) -> Column:
 def hypergeometric_tail(total: Column, marked: Column, drawn: Column, hits: Column) -> Column:
     """P(X >= hits) for ``drawn`` of ``total`` of which ``marked`` count; null where the numbers don't fit.
 
-    Sums away from the mean, upwards or (as 1 minus the rest) downwards, over 40 standard deviations and 40 terms at most: what
-    lies beyond is under the smallest double.
+    Terms are taken relative to the one at ``hits``, by their ratios, upwards and downwards: the tail is up / (up + down), without factorials and without
+    differences.  The sums go to 40 standard deviations and 40 terms behind the mean at most; hits further out have 0 or 1.
     """
     low, high = F.greatest(F.lit(0), drawn + marked - total), F.least(marked, drawn)
     share = marked / total.cast("double")
     mean, reach = drawn * share, F.ceil(40 * F.sqrt(drawn * share * (1 - share))) + 40
-    at = lambda x: F.exp(log_choose(marked, x) + log_choose(total - marked, drawn - x) - log_choose(total, drawn))
-    none = F.array().cast("array<long>")
+    near = F.abs(hits - mean) <= reach
+    more = lambda x: (marked - x) * (drawn - x) / ((x + 1.0) * (total - marked - drawn + x + 1))
+    less = lambda x: x * (total - marked - drawn + x) / ((marked - x + 1.0) * (drawn - x + 1))
 
-    def summed(first: Column, steps: Column, ratio_at) -> Column:
-        grow = lambda acc, x: F.struct((acc["t"] * ratio_at(x)).alias("t"), (acc["s"] + acc["t"] * ratio_at(x)).alias("s"))
-        return F.aggregate(steps, F.struct(first.alias("t"), first.alias("s")), grow)["s"]
+    def summed(begin: float, first: Column, last: Column, step: int, ratio_at) -> Column:
+        """The sum of ``begin`` and of the products of the ratios from ``first`` to ``last``."""
+        steps = F.when(near & ((last - first) * step >= 0), F.sequence(first.cast("long"), last.cast("long"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
 
-    top = F.least(high, hits + reach)
-    upward = summed(at(hits), F.when(hits < top, F.sequence(hits.cast("long"), (top - 1).cast("long"))).otherwise(none), lambda x: (marked - x) * (drawn - x) / ((x + 1.0) * (total - marked - drawn + x + 1)))
-    bottom = F.greatest(low, hits - 1 - reach)
-    downward = summed(at(hits - 1), F.when(hits - 1 > bottom, F.sequence((hits - 1).cast("long"), (bottom + 1).cast("long"), F.lit(-1).cast("long"))).otherwise(none), lambda x: x * (total - marked - drawn + x) / ((marked - x + 1.0) * (drawn - x + 1)))
+        def grow(acc: Column, x: Column) -> Column:
+            term = acc["t"] * ratio_at(x)
+            return F.struct(term.alias("t"), (acc["s"] + term).alias("s"))
+
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("t"), F.lit(begin).alias("s")), grow)["s"]
+
+    up = summed(1.0, hits, F.least(high, F.greatest(hits, F.ceil(mean)) + reach) - 1, 1, more)
+    down = summed(0.0, hits, F.greatest(low, F.least(hits, F.floor(mean)) - reach) + 1, -1, less)
     fits = (marked <= total) & (drawn <= total) & (low <= high)
-    return F.when(fits & (hits <= low), F.lit(1.0)).when(fits & (hits > high), F.lit(0.0)).when(fits & (hits > mean), F.least(F.lit(1.0), upward)).when(fits, F.greatest(F.lit(0.0), 1 - downward))
+    far = F.when(hits > mean, 0.0).otherwise(1.0)
+    return F.when(fits & (hits <= low), F.lit(1.0)).when(fits & (hits > high), F.lit(0.0)).when(fits & ~near, far).when(fits, 1 / (1 + down / up))
 
 
 def fisher_exact_greater(a: Column, b: Column, degree: Column, edges: Column) -> Column:
