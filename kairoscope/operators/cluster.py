@@ -24,8 +24,8 @@ from kairoscope.operators.prep import ratio
 from kairoscope.session import cut
 
 BOUND = 5000
-#: Objects of a block of the distance sums, and coordinates of the grid of near pairs.
-BLOCK, GRID = 512, 3
+#: The least and the most objects of a block of the distance sums, and coordinates of the grid of near pairs.
+BLOCK, GRID = (256, 4096), 3
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -103,10 +103,11 @@ def block_distances(a: np.ndarray, b: np.ndarray, name: str) -> np.ndarray:
 def distance_sums(series: DataFrame, name: str = "euclidean") -> DataFrame:
     """object_idx, c, total, n: each object's summed distance to the other members of each cluster.
 
-    Objects are packed in blocks of about ``BLOCK``; every pair of blocks is compared as arrays and gives a row an object and cluster,
-    so the pairs themselves are never rows.
+    Objects are packed in blocks (an eighth of them, between ``BLOCK`` limits); each block goes to every other one, which stays, and gives a row an object and cluster,
+    so the pairs themselves are never rows.  What moves is a block for each pair of blocks.
     """
-    blocks = -(-series.count() // BLOCK) or 1
+    n = series.count()
+    blocks = -(-n // min(max(BLOCK[0], n // 8), BLOCK[1])) or 1
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"blk": [rows["blk"].iloc[0]], "ids": [rows["object_idx"].to_numpy(np.int64).tobytes()], "labels": [rows["cluster"].to_numpy(np.int64).tobytes()], "vals": [np.stack(rows["vals"].to_numpy()).astype(float).tobytes()]})
@@ -115,17 +116,23 @@ def distance_sums(series: DataFrame, name: str = "euclidean") -> DataFrame:
         for batch in batches:
             for ids, vals, ids_b, labels_b, vals_b in batch.itertuples(index=False):
                 x, y, g = np.frombuffer(ids, np.int64), np.frombuffer(ids_b, np.int64), np.frombuffer(labels_b, np.int64)
-                d = block_distances(np.frombuffer(vals).reshape(len(x), -1), np.frombuffer(vals_b).reshape(len(y), -1), name)
-                other = x[:, None] != y
-                for c in np.unique(g):
-                    mine = (g == c) & other
-                    yield pd.DataFrame({"object_idx": x, "c": c, "total": np.where(mine, d, 0.0).sum(1), "n": mine.sum(1)})
+                left, right = np.frombuffer(vals).reshape(len(x), -1), np.frombuffer(vals_b).reshape(len(y), -1)
+                labels, place = np.unique(g, return_inverse=True)
+                member = (place[:, None] == np.arange(len(labels))).astype(float)
+                for at in range(0, len(x), BLOCK[0]):  # a strip of the distances at a time
+                    part = slice(at, at + BLOCK[0])
+                    other = (x[part, None] != y).astype(float)
+                    sums, counts = (block_distances(left[part], right, name) * other) @ member, (other @ member).astype(np.int64)
+                    i, c = np.nonzero(counts)
+                    yield pd.DataFrame({"object_idx": x[part][i], "c": labels[c], "total": sums[i, c], "n": counts[i, c]})
 
     packs = series.withColumn("blk", F.pmod(F.xxhash64("object_idx"), F.lit(blocks))).select("blk", "object_idx", "cluster", "vals").groupBy("blk").applyInPandas(pack, "blk long, ids binary, labels binary, vals binary")
-    other = packs.select(F.col("ids").alias("ids_b"), F.col("labels").alias("labels_b"), F.col("vals").alias("vals_b"))
-    both = packs.select("ids", "vals").crossJoin(other).repartition(min(blocks * blocks, 10_000))  # blocks x blocks
+    packs = cut(packs)
+    sent = packs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("to"), "ids", "vals")
+    stays = packs.select("blk", F.col("ids").alias("ids_b"), F.col("labels").alias("labels_b"), F.col("vals").alias("vals_b"))
+    both = sent.join(stays, F.col("to") == F.col("blk")).select("ids", "vals", "ids_b", "labels_b", "vals_b")
     sums = both.mapInPandas(compare, "object_idx long, c int, total double, n long")
-    return sums.groupBy("object_idx", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0")
+    return sums.groupBy("object_idx", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def silhouettes(series: DataFrame, name: str = "euclidean") -> DataFrame:
