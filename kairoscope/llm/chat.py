@@ -9,9 +9,9 @@ Linking.  Calls and results are hash-joined by conversation and id.  The first c
 
 Order.  Each event gets ``after_turn`` and ``level`` so that sorting a conversation by (after_turn, level, turn, place) puts a result behind its
 call and a call behind the results it depends on, however late the log has them: after_turn is the latest turn among an event and all it depends on, level counts the
-steps within that turn.  Both are found by relaxation over the dependencies, one round a step, for those calls alone that come too early: a log in order settles at once.  A conversation
-in which a level rises above what its moved calls allow holds a cycle; in it the calls without open dependencies are taken away round by round, those that are left (on a cycle
-or waiting for one) are ``cyclic`` and keep their own turn, and the others are ordered without them.
+steps within that turn.  A conversation in which no call comes before a result it needs is settled by one join.  The calls of the others are packed, in order of turns, into chunks of
+about 256; inside a chunk's row the calls whose needs are known are placed, walking up and down, and what other chunks need goes to them by a join, until nothing is added: a round for each
+time that a dependency crosses chunks or turns against the walk, not for each step.  Calls that stay open (on a cycle or waiting for one) are ``cyclic`` and keep their own turn.
 
 Arguments are checked against ``schemas`` (tool: field: type and whether it is required); errors are listed by field.  JSON is canonical: keys in order, no
 white space, absent where null.
@@ -31,6 +31,8 @@ from kairoscope.session import cut
 SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
 _KINDS = {"string": "^STRING", "integer": "^BIGINT", "number": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "boolean": "^BOOLEAN", "object": "^(OBJECT|STRUCT)", "array": "^ARRAY"}
 LAST = (1 << 63) - 1
+#: Calls in a chunk, the most that one row holds (about; a long conversation has many chunks).
+CHUNK = 256
 
 
 def exchanges(conversations: DataFrame) -> DataFrame:
@@ -119,50 +121,81 @@ def linked(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _place(turn: Column, level: Column) -> Column:
-    return F.struct(turn.alias("turn"), level.alias("level"))
+    return F.struct(turn.alias("turn"), level.cast("int").alias("level"))
 
 
-def _answered(state: DataFrame) -> DataFrame:
-    """``state`` with the place of each result: behind its call, in its own turn where that is later, else a level below the call."""
-    return state.withColumn("answer", F.when(F.col("result_turn") > F.col("at.turn"), _place(F.col("result_turn"), F.lit(0))).otherwise(_place(F.col("at.turn"), F.col("at.level") + 1)))
+def _answer(at: Column, result_turn: Column) -> Column:
+    """The place of a result: behind its call, in its own turn where that is later, else a level below the call."""
+    return F.when(result_turn > at["turn"], _place(result_turn, F.lit(0))).otherwise(_place(at["turn"], at["level"] + 1))
 
 
-def _relaxed(links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links with ``at``, ``answer`` and ``moved``; conv_id of the conversations that hold a cycle, in which calls stay where they were when it showed)."""
-    key = ["conv_id", "call_id"]
-    state = cut(_answered(links.withColumn("at", _place(F.col("turn"), F.lit(0)))).withColumn("moved", F.lit(False)))
-    knots = cut(links.select("conv_id").where("false"))
-    while True:
-        known = state.select("conv_id", F.col("call_id").alias("needs"), F.col("answer").alias("given"))
-        waits = edges.join(known, ["conv_id", "needs"]).groupBy(*key).agg(F.max("given").alias("given"))
-        behind = cut(state.select(*key, "at").join(waits, key).where(F.col("given") >= F.col("at")).select(*key, "given").join(knots, "conv_id", "left_anti"))
-        if behind.isEmpty():
-            return state, knots
-        moved = state.join(behind, key, "left").withColumn("at", F.when(F.col("given").isNotNull(), _place(F.col("given.turn"), F.col("given.level") + 1)).otherwise(F.col("at")))
-        state = cut(_answered(moved.withColumn("moved", F.col("moved") | F.col("given").isNotNull()).drop("given")))
-        # Each moved call adds two levels at most: what is above goes round in circles.
-        high = state.where("moved").groupBy("conv_id").agg(F.max("at.level").alias("level"), F.count("*").alias("calls")).where("level > 2 * calls + 1")
-        knots = cut(knots.union(high.select("conv_id")))
+def _behind(turn: Column, needs: Column, answers: Column) -> Column:
+    """The place of a call whose ``needs`` are all in ``answers``."""
+    own, last = _place(turn, F.lit(0)), F.array_max(F.transform(needs, lambda n: F.try_element_at(answers, n)))
+    return F.when(last >= own, _place(last["turn"], last["level"] + 1)).otherwise(own)
+
+
+def _ready(needs: Column, answers: Column) -> Column:
+    return F.forall(needs, lambda n: F.map_contains_key(answers, n))
+
+
+def _settled(calls: Column, answers: Column) -> Column:
+    """``answers`` with those of all calls that follow from it by walks up and down ``calls``."""
+
+    def step(known: Column, call: Column) -> Column:
+        answer = _answer(_behind(call["turn"], call["needs"], known), call["result_turn"])
+        news = F.create_map(call["call_id"], answer)
+        return F.when(~F.map_contains_key(known, call["call_id"]) & _ready(call["needs"], known), F.map_concat(known, news)).otherwise(known)
+
+    return F.aggregate(F.concat(calls, F.reverse(calls), calls), answers, step)
+
+
+def _chunked(links: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks of about CHUNK calls: conv_id, chunk, calls, answers; needs across chunks: conv_id, chunk, home, needs), for conversations with calls that come too early."""
+    early = edges.where(F.col("given") >= F.col("at")).select("conv_id").distinct()
+    dated = F.when(F.col("turn") < LAST, F.col("turn").cast("double"))
+    sizes = links.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(dated).alias("lo"), F.max(dated).alias("hi")).join(early, "conv_id", "left_semi")
+    stretch = F.when(F.col("n") <= CHUNK, 0).when(F.col("turn") == LAST, -1).otherwise(F.floor((F.col("turn") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.col("n") / CHUNK))
+    calls = links.join(sizes, "conv_id").select("conv_id", "call_id", "turn", "result_turn", (F.col("n") > CHUNK).alias("large"), stretch.cast("long").alias("stretch"))
+    # A stretch with more calls than others is split once more, by id.
+    split = calls.groupBy("conv_id", "stretch").agg(F.ceil(F.count("*") / CHUNK).alias("split"))
+    calls = cut(calls.join(split, ["conv_id", "stretch"]).withColumn("chunk", F.struct("stretch", F.pmod(F.xxhash64("call_id"), F.col("split")).alias("part"))).drop("stretch", "split"))
+    needs = edges.groupBy("conv_id", "call_id").agg(F.collect_list("needs").alias("needs"))
+    call = F.struct("turn", "call_id", "result_turn", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))
+    chunks = calls.join(needs, ["conv_id", "call_id"], "left").groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(call)).alias("calls"))
+    homes = calls.where("large").select("conv_id", "call_id", "chunk")
+    across = edges.select("conv_id", "call_id", "needs").join(homes, ["conv_id", "call_id"])
+    across = across.join(homes.select("conv_id", F.col("call_id").alias("needs"), F.col("chunk").alias("home")), ["conv_id", "needs"]).where("chunk <> home")
+    nothing = F.map_from_entries(F.array().cast("array<struct<id:string,at:struct<turn:bigint,level:int>>>"))
+    return chunks.withColumn("answers", nothing), across.select("conv_id", "chunk", "home", "needs").distinct()
 
 
 def topological(links: DataFrame) -> DataFrame:
     """links with ``at`` and ``answer``: (turn, level) of the call and of its result; and ``cyclic``."""
-    calls = links.select("conv_id", F.col("call_id").alias("needs"))
-    edges = cut(links.select("conv_id", "call_id", F.explode("depends").alias("needs")).distinct().join(calls, ["conv_id", "needs"], "left_semi"))
-    state, knots = _relaxed(links, edges)
-    if knots.isEmpty():
-        return state.drop("moved").withColumn("cyclic", F.lit(False))
-    # Of the conversations with a cycle: edges to calls that wait themselves stay, until nothing goes.
-    waits, before = cut(edges.join(knots, "conv_id", "left_semi")), -1
-    while (now := waits.count()) != before:
-        open_ = waits.select("conv_id", F.col("call_id").alias("needs")).distinct()
-        waits, before = cut(waits.join(open_, ["conv_id", "needs"], "left_semi")), now
-    stuck = cut(waits.select("conv_id", "call_id").distinct())
-    free = cut(links.join(knots, "conv_id", "left_semi").join(stuck, ["conv_id", "call_id"], "left_anti"))
-    again, _ = _relaxed(free, edges.join(free.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi"))
-    own = _answered(links.join(stuck, ["conv_id", "call_id"], "left_semi").withColumn("at", _place(F.col("turn"), F.lit(0))))
-    settled = state.join(knots, "conv_id", "left_anti").drop("moved").unionByName(again.drop("moved")).withColumn("cyclic", F.lit(False))
-    return settled.unionByName(own.withColumn("cyclic", F.lit(True)))
+    base = links.withColumn("at", _place(F.col("turn"), F.lit(0)))
+    base = cut(base.withColumn("answer", _answer(F.col("at"), F.col("result_turn"))))
+    known = base.select("conv_id", F.col("call_id").alias("needs"), F.col("answer").alias("given"))
+    edges = cut(base.select("conv_id", "call_id", "at", F.explode(F.array_distinct("depends")).alias("needs")).join(known, ["conv_id", "needs"]))
+    chunks, across = _chunked(base, edges)
+    across, before = cut(across), -1
+    is_across = not across.isEmpty()
+    while True:
+        chunks = cut(chunks.withColumn("answers", _settled(F.col("calls"), F.col("answers"))))
+        open_ = F.exists("calls", lambda c: ~F.map_contains_key("answers", c["call_id"]))
+        now, left = chunks.agg(F.coalesce(F.sum(F.size("answers")), F.lit(0)), F.count(F.when(open_, True))).first()
+        if not left or now == before:
+            break
+        before = now
+        if is_across:
+            given = chunks.select("conv_id", F.col("chunk").alias("home"), F.explode("answers").alias("needs", "given")).join(across, ["conv_id", "home", "needs"])
+            given = given.groupBy("conv_id", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("needs", "given"))).alias("given"))
+            news = F.map_filter("given", lambda k, _: ~F.map_contains_key("answers", k))
+            chunks = chunks.join(given, ["conv_id", "chunk"], "left").withColumn("answers", F.when(F.col("given").isNull(), F.col("answers")).otherwise(F.map_concat("answers", news))).drop("given")
+    call, ready = F.col("call"), _ready(F.col("call.needs"), F.col("answers"))
+    own = chunks.select("conv_id", "answers", F.explode("calls").alias("call"))
+    own = own.select("conv_id", "call.call_id", F.when(ready, _behind(call["turn"], call["needs"], F.col("answers"))).alias("moved"), (~ready).alias("stuck"))
+    placed = base.join(own, ["conv_id", "call_id"], "left").withColumn("at", F.coalesce("moved", "at")).withColumn("cyclic", F.coalesce("stuck", F.lit(False)))
+    return placed.withColumn("answer", _answer(F.col("at"), F.col("result_turn"))).drop("moved", "stuck")
 
 
 def format_chat(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:

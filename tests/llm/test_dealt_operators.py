@@ -457,7 +457,9 @@ def test_toxicity_without_labels(spark, odd, none):
 # 7
 
 
-def test_chat_order_of_random_logs_by_brute_force(spark):
+@pytest.mark.parametrize("chunk", [256, 3])
+def test_chat_order_of_random_logs_by_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(chat, "CHUNK", chunk)  # with 3, conversations are cut into several chunks
     rng = np.random.default_rng(51)
     rows, want = [], {}
     for conv in range(40):
@@ -489,6 +491,20 @@ def test_chat_order_of_random_logs_by_brute_force(spark):
     assert sum(w[2] == "cyclic" for w in want.values()) > 20 and sum(w[1] > 1 for w in want.values()) > 20
 
 
+def test_chat_long_late_chains(spark):
+    """A chain of 700 calls, each needing the one before, whose head comes last; 700 in reverse; and 700 behind a cycle, without turns."""
+    call = lambda i, needs: f'<tool_call>{json.dumps({"id": f"c{i}", "name": "reply", "arguments": {}, "depends_on": needs})}</tool_call>'
+    n = 700
+    rows = [(1, n if i == 0 else i, "assistant", call(i, [f"c{i - 1}"] if i else None)) for i in range(n)]
+    rows += [(2, i, "assistant", call(i, [f"c{i + 1}"])) for i in range(n)]
+    rows += [(3, None, "assistant", call(i, [f"c{i - 1}" if i else "c1"])) for i in range(n)]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).select("conv_id", "call_id", "after_turn", "level", "status").collect()
+    at = {(r["conv_id"], int(r["call_id"][1:])): (r["after_turn"], r["level"], r["status"]) for r in got}
+    assert all(at[1, i] == (n, 2 * i, "unanswered") for i in range(n))
+    assert all(at[2, i] == (n - 1, 2 * (n - 1 - i), "unanswered") for i in range(n))
+    assert all(at[3, i] == (chat.LAST, 0, "cyclic") for i in range(n))
+
+
 def test_chat_linking(spark):
     call = lambda i, name="reply", more="": f'<tool_call>{{"id":"{i}","name":"{name}","arguments":{{"turn":1,"prompt":"p"}}{more}}}</tool_call>'
     needs = ',"depends_on":["c"]'
