@@ -247,8 +247,8 @@ w AS (
   FROM (SELECT *, count(step) OVER (PARTITION BY conv_id, own % 2 ORDER BY own) AS grp FROM chain)),
 o AS (
   SELECT w.conv_id, w.call_id, w.mode = 3 AND head_own < 2 AND size > 1 AS cyclic,
-    CASE WHEN NOT (w.mode = 3 AND head_own < 2 AND size > 1) AND w.turn < head THEN head ELSE w.turn END AS at_turn,
-    CASE WHEN NOT (w.mode = 3 AND head_own < 2 AND size > 1) AND w.turn < head THEN 2 * step ELSE 0 END AS level, r.turn AS answer
+    CASE WHEN NOT (w.mode = 3 AND head_own < 2 AND size > 1) AND w.turn <= head THEN head ELSE w.turn END AS at_turn,
+    CASE WHEN NOT (w.mode = 3 AND head_own < 2 AND size > 1) AND w.turn <= head THEN 2 * step ELSE 0 END AS level, r.turn AS answer
   FROM w LEFT JOIN r ON r.conv_id = w.conv_id AND r.call_id = w.call_id),
 s AS (
   SELECT f.*, CASE WHEN kind = 'message' THEN 'message' WHEN f.call_id IS NULL THEN 'malformed' WHEN f.k > 1 THEN 'duplicate'
