@@ -22,6 +22,7 @@ import json
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -52,8 +53,8 @@ SPLIT = splitter(r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")
 SPLIT_NEWER = splitter(rf"[\p{{L}}--[{_NEWER}]]", rf"[\p{{N}}--[{_NEWER}]]", rf"[[^\s\p{{L}}\p{{N}}][{_NEWER}]]")
 SOME_NEWER = regex.compile(f"[{_NEWER}]")
 FIRST_NEWER = chr(int(NEWER.split()[0], 16))
-#: Words that a worker keeps encoded; when they are too many or too long it starts anew.
-KEPT_WORDS, KEPT_LENGTH, KEPT_SEAMS = 200_000, 64, 300_000
+#: Words that a worker keeps encoded, their greatest length and the seams it keeps; words beyond them are encoded again. Words that are looked up together.
+KEPT_WORDS, KEPT_LENGTH, KEPT_SEAMS, BLOCK = 300_000, 64, 300_000, 20_000
 #: Ids that are decoded together.
 STRETCH = 1 << 16
 
@@ -163,18 +164,25 @@ class ByteBPE:
                 before, rank = out[-1] if out else -1, shorter[last]
         return out
 
-    def encode_plain(self, text: str) -> list[bytes]:
-        words, out = self.words, []
-        for w in words_of(text):
-            packed = words.get(w)
-            if packed is None:
-                packed = self.ids[np.frombuffer(self.encode_word(w.encode("utf-8", "surrogatepass")), np.intc)].tobytes()
-                if len(w) <= KEPT_LENGTH:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
-                    words[w] = packed
-            out.append(packed)
-        return out
+    def encode_plain(self, text: str) -> Iterator[bytes]:
+        """The ids of a text's words, block by block."""
+        found, words, ids = words_of(text), self.words, self.ids
+        while block := list(islice(found, BLOCK)):
+            out = list(map(words.get, block))
+            for k in [k for k, packed in enumerate(out) if packed is None]:
+                w = block[k]
+                packed = words.get(w)
+                if packed is None:
+                    packed = ids[np.frombuffer(self.encode_word(w.encode("utf-8", "surrogatepass")), np.intc)].tobytes()
+                    if len(w) <= KEPT_LENGTH:
+                        words[w] = packed
+                out[k] = packed
+            if len(words) > KEPT_WORDS:
+                # The words that came first are the frequent ones; they stay.
+                kept = list(islice(words.items(), KEPT_WORDS // 2))
+                words.clear()
+                words.update(kept)
+            yield b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
