@@ -22,7 +22,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairoscope.llm._memory import give_back
@@ -203,25 +203,24 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col), found(F.col(text_col)).alias("r")).select(id_col, "r.*")
 
 
-def planted(id_col: Column, text: Column) -> Column:
-    """The query's texts: of ids whose crc32 leaves 0 modulo 10 the words from a on are made periodic, by the contract's a and p; the others as they are."""
-    h = F.crc32(id_col.cast("string").cast("binary"))
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    some = F.struct(words.alias("w"), F.floor(h / 10).cast("long").alias("g"))
-
-    def periodic(x: Column) -> Column:
-        n = F.size(x["w"]).cast("long")
-        a = x["g"] % n
-        p = 1 + F.floor((n - a) / (3 + x["g"] % 8))
-        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
-        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at(x["w"], (place(i) + 1).cast("int"))))
-
-    rebuilt = F.transform(F.array(some), lambda x: F.when(F.size(x["w"]) > 0, periodic(x)).otherwise(text))[0]
-    return F.when(h % 10 == 0, rebuilt).otherwise(text)
+def planted(hashes: pd.Series, texts: pd.Series) -> pd.Series:
+    """The query's texts: where the id's crc32 leaves 0 modulo 10 the words from a on are made periodic, by the contract's a and p; the others as they are."""
+    out = []
+    for h, text in zip(hashes.fillna(1).astype("int64"), texts, strict=True):
+        words = words_of(text or "") if h % 10 == 0 else []
+        if words:
+            g, n = h // 10, len(words)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            text = " ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
+        out.append(text)
+    return pd.Series(out, dtype="object")
 
 
 def op11_periodic_runs(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    made = F.pandas_udf(planted, "string").asNondeterministic()
+    docs = docs.select("doc_id", made(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.col("text")).alias("text"))
     found = periodic_runs(docs)
     top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
     lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
