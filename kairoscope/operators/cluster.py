@@ -1,8 +1,8 @@
 """Clusters of series: prototypes, distances, indices of quality, and algorithms.
 
 Series are packed (object_idx, cluster, vals).  The pairwise distance matrix is a feature of the methods here; ``pair_distances`` makes
-each pair once, blocked by Spark's own joins.  The sequential algorithms (agglomeration, medoids, OPTICS) hold a distance
-matrix on the driver and refuse more than ``BOUND`` objects; k-means, DBSCAN and CLARA's assignment are distributed.
+each pair once, blocked by Spark's own joins.  Medoids and OPTICS hold a distance matrix on the driver and refuse more than ``BOUND``
+objects; hierarchical clusters, k-means, DBSCAN and CLARA's assignment are distributed.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from kairoscope.functions.tests_udf import soft_dtw_column
 from kairoscope.operators import graph, prep, stats
+from kairoscope.operators import linkage as L
 from kairoscope.operators.prep import ratio
 from kairoscope.session import cut
 
@@ -293,38 +294,12 @@ def _labelled(series: DataFrame, ids: list[int], labels: np.ndarray) -> DataFram
     return series.drop("cluster").join(table, "object_idx")
 
 
-def agglomerate(distance: np.ndarray, k: int, linkage: str = "average") -> np.ndarray:
-    """Labels 1..k by nearest pairs and the updates of Lance and Williams; complete, single, average and ward."""
-    n = len(distance)
-    d = distance.astype(float).copy()
-    d = d * d if linkage == "ward" else d
-    np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
-    for _ in range(n - min(k, n)):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        a, b = d[i].copy(), d[j].copy()
-        if linkage == "complete":
-            new = np.maximum(a, b)
-        elif linkage == "single":
-            new = np.minimum(a, b)
-        elif linkage == "average":
-            new = (size[i] * a + size[j] * b) / (size[i] + size[j])
-        else:
-            new = ((size[i] + size) * a + (size[j] + size) * b - size * d[i, j]) / (size[i] + size[j] + size)
-        new[~alive] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1] + 1
-
-
 def hierarchical(series: DataFrame, k: int, linkage: str = "average", name: str = "euclidean", pairs: DataFrame | None = None) -> DataFrame:
-    """By the distances of ``pairs`` (i, j, distance), or else of the series."""
-    ids, d = matrix(series, name, pairs)
-    return _labelled(series, ids, agglomerate(d, k, linkage))
+    """By the distances of ``pairs`` (i < j, distance), or else of the series; Ward's linkage of Euclidean series makes no pairs."""
+    if pairs is None and not (linkage == "ward" and name == "euclidean"):
+        pairs = pair_distances(series, name)
+    merges = L.dendrogram(series, linkage, pairs, name)
+    return series.drop("cluster").join(L.cut_tree(series, merges, k), "object_idx")
 
 
 def swap_medoids(distance: np.ndarray, k: int, seed: int = 1234321, most: int = 300) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,10 +46,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write ``frame`` to the shared checkpoint folder and read it from there, so that its lineage ends."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+def cut(frame: DataFrame, forget: bool = False) -> DataFrame:
+    """Write ``frame`` to the shared checkpoint folder and read it from there, so that its lineage ends.
+
+    A checkpoint remembers by which columns its rows are dealt and what is known of their values; in a loop of joins that multiplies from round to round until planning takes longer
+    than the work.  With ``forget`` the frame is written as a table there, which remembers nothing and goes with the session.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not forget:
+        return frame.checkpoint(eager=True)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

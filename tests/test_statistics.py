@@ -1,6 +1,7 @@
 """Answers worked out by hand, and properties."""
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 
 from kairoscope.functions import tests_udf as U
 from kairoscope.operators import cluster, graph, modules, motif, pathways, prep, stats, switch
+from kairoscope.operators import linkage as tree
+from kairoscope.operators.communities import communities
+from kairoscope.session import cut
 from kairoscope.sources import readers
 
 
@@ -115,12 +119,61 @@ def test_readers(spark, tmp_path):
     assert [(r["sf"], r["motif_id"], r["pos"], r["t"]) for r in rows] == [("SF1", "SF1.1", 0, 4.0), ("SF1", "SF1.1", 1, 1.0)]
 
 
-def test_agglomeration_and_medoids():
+def agglomerate(distance, k, linkage):
+    """Labels 1..k by nearest pairs and the updates of Lance and Williams; complete, single, average and ward."""
+    n, heights = len(distance), []
+    d = distance.astype(float).copy()
+    d = d * d if linkage == "ward" else d
+    np.fill_diagonal(d, np.inf)
+    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    for _ in range(n - min(k, n)):
+        i, j = divmod(int(np.argmin(d)), n)
+        i, j = min(i, j), max(i, j)
+        heights.append(d[i, j] ** (0.5 if linkage == "ward" else 1))
+        a, b = d[i].copy(), d[j].copy()
+        if linkage == "complete":
+            new = np.maximum(a, b)
+        elif linkage == "single":
+            new = np.minimum(a, b)
+        elif linkage == "average":
+            new = (size[i] * a + size[j] * b) / (size[i] + size[j])
+        else:
+            new = ((size[i] + size) * a + (size[j] + size) * b - size * d[i, j]) / (size[i] + size[j] + size)
+        new[~alive] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+        alive[j] = False
+        label[label == j] = i
+    return np.unique(label, return_inverse=True)[1] + 1, heights
+
+
+@pytest.mark.parametrize("linkage, given", [("single", True), ("complete", True), ("average", True), ("ward", True), ("ward", False)])
+def test_hierarchical_clusters_are_those_of_one_pair_at_a_time(spark, linkage, given):
+    series = packed_series(spark, 40, seed=7)
+    x = np.array([r["vals"] for r in series.orderBy("object_idx").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    pairs = cluster.pair_distances(series) if given else None
+    merges = cut(tree.dendrogram(series, linkage, pairs, finish=12, block=16), forget=True)
+    labels, heights = agglomerate(d, 1, linkage)
+    assert sorted(r["height"] for r in merges.collect()) == pytest.approx(sorted(heights))
+    assert len({r["b"] for r in merges.collect()}) == 39 and all(r["a"] < r["b"] for r in merges.collect())
+    for k in (5, 1):
+        assert labels_and_values(tree.cut_tree(series, merges, k)).tolist() == agglomerate(d, k, linkage)[0].tolist()
+
+
+def test_hierarchical_clusters_of_ties_and_few_objects(spark):
+    same = spark.createDataFrame([(i, [float(i // 6), 0.0]) for i in range(18)], "object_idx long, vals array<double>")
+    for linkage in ("ward", "average"):
+        merges = tree.dendrogram(same, linkage, None if linkage == "ward" else cluster.pair_distances(same), finish=4, block=8)
+        assert labels_and_values(tree.cut_tree(same, merges, 3)).tolist() == [1] * 6 + [2] * 6 + [3] * 6
+    one = same.limit(1)
+    assert labels_and_values(cluster.hierarchical(one, 3, "complete")).tolist() == [1] and cluster.hierarchical(same.where("false"), 2, "ward").count() == 0
+
+
+def test_medoids_and_reachability():
     x = np.array([0.0, 0.1, 0.2, 5.0, 5.1, 9.0])
     d = np.abs(x[:, None] - x[None])
-    for linkage in ("average", "complete", "single", "ward"):
-        labels = cluster.agglomerate(d, 3, linkage)
-        assert len(set(labels[:3])) == 1 and len(set(labels[3:5])) == 1 and len(set(labels)) == 3
     assert set(cluster.swap_medoids(d, 3)) <= {1, 3, 4, 5} and len(cluster.swap_medoids(d, 3)) == 3
     order, reach = cluster.optics_order(d, 2)
     assert sorted(order) == list(range(6)) and np.isinf(reach).sum() == 1
@@ -138,13 +191,66 @@ def ring_of_cliques(n=4, size=6):
     return edges + [(f"c{c}n0", f"c{(c + 1) % n}n1") for c in range(n)]
 
 
-def test_communities_are_the_cliques():
-    found = modules.communities(ring_of_cliques(), 1.0)
-    groups = {}
-    for node, c in found.items():
-        groups.setdefault(c, set()).add(node[:2])
-    assert len(groups) == 4 and all(len(g) == 1 for g in groups.values())
-    assert len(set(modules.communities(ring_of_cliques(), 0.01).values())) > 4  # shorter time, smaller communities
+def serial_communities(edges, resolution):
+    """Node by node, in order of their names."""
+    weights: dict = defaultdict(lambda: defaultdict(float))
+    for a, b in edges:
+        weights[a][b] += 1.0
+        weights[b][a] += 1.0
+    total = 2.0 * len(edges)
+    gamma = 1.0 / resolution
+    group = {n: n for n in weights}
+    while True:
+        strength = {n: sum(w.values()) for n, w in weights.items()}
+        place, volume = {n: n for n in weights}, dict(strength)
+        moved, moved_any = True, False
+        while moved:
+            moved = False
+            for n in sorted(weights):
+                own = place[n]
+                to: dict = defaultdict(float)
+                for m, w in weights[n].items():
+                    if m != n:
+                        to[place[m]] += w
+                volume[own] -= strength[n]
+                best, gain = own, to[own] - gamma * strength[n] * volume[own] / total
+                for c in sorted(to):
+                    g = to[c] - gamma * strength[n] * volume[c] / total
+                    if g > gain + 1e-12:
+                        best, gain = c, g
+                volume[best] += strength[n]
+                if best != own:
+                    place[n], moved, moved_any = best, True, True
+        group = {n: place[c] for n, c in group.items()}
+        if not moved_any:
+            break
+        merged: dict = defaultdict(lambda: defaultdict(float))
+        for a, row in weights.items():
+            for b, w in row.items():
+                merged[place[a]][place[b]] += w
+        weights = merged
+    names = {c: i for i, c in enumerate(sorted(set(group.values())))}
+    return {n: names[c] for n, c in group.items()}
+
+
+def modularity_of(edges, place, gamma):
+    degree, volume, inside = defaultdict(int), defaultdict(int), 0
+    for a, b in edges:
+        degree[a] += 1
+        degree[b] += 1
+        inside += place[a] == place[b]
+    for n, d in degree.items():
+        volume[place[n]] += d
+    return inside / len(edges) - gamma * sum(v * v for v in volume.values()) / (2 * len(edges)) ** 2
+
+
+def test_communities_are_as_good_as_the_serial_ones(spark):
+    rng = np.random.default_rng(2)
+    edges = sorted({tuple(sorted((f"n{a:02d}", f"n{b:02d}"))) for a, b in rng.integers(0, 40, (260, 2)) if a != b and (a % 4 == b % 4 or rng.random() < 0.15)})
+    table = spark.createDataFrame(edges, "src string, dst string")
+    found = {r["node"]: r["community"] for r in communities(table, 1.0).collect()}
+    assert modularity_of(edges, found, 1.0) >= 0.98 * modularity_of(edges, serial_communities(edges, 1.0), 1.0)
+    assert communities(table.where("false")).count() == 0
 
 
 def test_prize_tree_takes_what_pays():
