@@ -39,6 +39,8 @@ WINDOW = 200
 COVER, MODULUS = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81), 91
 SAMPLE = WINDOW - MODULUS + 1
 CHUNK, BUCKET, PIECE = 1 << 21, 1 << 19, 1 << 18
+#: Bytes of text of a partition of chunks, where the session asks for fewer partitions; and the most buckets that Spark writes.
+PART, MOST_PARTS = 1 << 26, 100_000
 SAMPLE_BYTES, WINDOW_BYTES = 5, 10
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _IS_COVER = np.isin(np.arange(MODULUS), COVER)
@@ -220,7 +222,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = keyed.where(F.col("n_bytes") >= WINDOW).groupBy("key").agg(F.count("*").alias("copies"), F.max("n_bytes").alias("n"))
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     chunks = max(1, total // CHUNK)
-    parts = max(1, min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = int(min(chunks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART), MOST_PARTS))
     long = docs.select(F.unhex(F.sha2(body, 256)).alias("key"), body.alias("body")).where(F.octet_length("body") >= WINDOW)
     table = _texts(long, chunks, parts)
     bits = _bits(total * len(COVER) // MODULUS)
