@@ -1,13 +1,12 @@
 """Clusters of series: prototypes, distances, indices of quality, and algorithms.
 
 Series are packed (object_idx, cluster, vals).  The pairwise distance matrix is a feature of the methods here; ``pair_distances`` makes
-each pair once, blocked by Spark's own joins.  Medoids and OPTICS hold a distance matrix on the driver and refuse more than ``BOUND``
-objects; hierarchical clusters, k-means, DBSCAN and CLARA's assignment are distributed.
+each pair once, blocked by Spark's own joins.  Medoids hold a distance matrix on the driver and refuse more than ``BOUND`` objects; hierarchical
+clusters, k-means, DBSCAN, OPTICS and CLARA's assignment are distributed.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions.tests_udf import soft_dtw_column
-from kairoscope.operators import graph, prep, stats
+from kairoscope.operators import density, graph, prep, stats
 from kairoscope.operators import linkage as L
 from kairoscope.operators.prep import ratio
 from kairoscope.session import cut
@@ -348,34 +347,19 @@ def clara(series: DataFrame, k: int, name: str = "euclidean", samples: int = 5,
     return series.drop("cluster").join(best[2].select("object_idx", label[F.col("n.m")].alias("cluster")), "object_idx")
 
 
-def optics_order(distance: np.ndarray, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The order and reachability of objects by density."""
-    n = len(distance)
-    core = np.sort(distance, 1)[:, min(least, n) - 1]
-    reach, done, order = np.full(n, math.inf), np.zeros(n, bool), []
-    for _ in range(n):
-        open_ = np.where(done, math.inf, reach)
-        p = int(open_.argmin()) if np.isfinite(open_).any() else int(np.flatnonzero(~done)[0])
-        done[p] = True
-        order.append(p)
-        reach = np.where(done, reach, np.minimum(reach, np.maximum(core[p], distance[p])))
-    return np.array(order), reach
+def numbered(series: DataFrame, named: DataFrame) -> DataFrame:
+    """object_idx, cluster of ``named`` (node, component), by the component's name; 0 where an object has none."""
+    roots = sorted(r[0] for r in named.select("component").distinct().collect())  # a row a cluster
+    order = series.sparkSession.createDataFrame([(r, c) for c, r in enumerate(roots, 1)], "component long, cluster int")
+    found = named.join(order, "component").select(F.col("node").alias("object_idx"), "cluster")
+    return series.select("object_idx").join(found, "object_idx", "left").select("object_idx", F.coalesce("cluster", F.lit(0)).alias("cluster"))
 
 
 def optics(series: DataFrame, eps: float, least: int = 5, name: str = "euclidean") -> DataFrame:
-    """Clusters are stretches of the order within the reachability ``eps``; 0 is noise."""
-    ids, d = matrix(series, name)
-    order, reach = optics_order(d, least)
-    core = np.sort(d, 1)[:, min(least, len(d)) - 1]
-    labels, current = np.zeros(len(d), int), 0
-    for p in order:
-        if reach[p] > eps:
-            if core[p] <= eps:
-                current += 1
-                labels[p] = current
-        else:
-            labels[p] = current
-    return _labelled(series, ids, labels)
+    """Clusters are the components of mutual reachability up to ``eps``, with the others that they reach; 0 is noise."""
+    near = near_pairs(series, eps) if name == "euclidean" and eps > 0 else pair_distances(series, name).where(F.col("distance") <= eps)
+    _, placed, border = density.reachable(near, least)
+    return series.drop("cluster").join(numbered(series, placed.union(border.select("node", "component"))), "object_idx")
 
 
 def composite_distance(series: DataFrame, edges: DataFrame, name: str = "euclidean") -> DataFrame:

@@ -148,7 +148,10 @@ _SOFTDTW = f"list_reduce(range(1, {T.TIMEPOINTS + 1}), lambda prev, i: list_redu
 _WARD = "wd AS (SELECT 0 AS it, object_idx AS cid, 1.0::DOUBLE AS n, vals AS total, [object_idx] AS members, count(*) OVER () AS c FROM gp UNION ALL SELECT it + 1, CASE WHEN cid = m.y THEN m.x ELSE cid END, sum(n), list_transform(range(1, " + str(T.TIMEPOINTS + 1) + "), lambda k: list_sum(list_transform(list(total), lambda t: t[k]))), flatten(list(members)), min(c) - 1 FROM wd, (SELECT p.cid AS x, q.cid AS y FROM wd p JOIN wd q ON p.cid < q.cid ORDER BY p.n * q.n / (p.n + q.n) * list_sum(list_transform(range(1, " + str(T.TIMEPOINTS + 1) + "), lambda k: (p.total[k] / p.n - q.total[k] / q.n) * (p.total[k] / p.n - q.total[k] / q.n))), x, y LIMIT 1) m WHERE c > {k} GROUP BY it, CASE WHEN cid = m.y THEN m.x ELSE cid END), wl AS (SELECT unnest(members) AS object_idx, dense_rank() OVER (ORDER BY cid) AS cluster FROM wd WHERE it = (SELECT max(it) FROM wd))"
 _CLOSE = "bw AS (SELECT src AS n, dst AS o FROM net UNION ALL SELECT dst, src FROM net), sp AS (SELECT DISTINCT gene_id AS s, gene_id AS n, 0 AS x FROM gg UNION SELECT s, o, x + 1 FROM sp JOIN bw USING (n) WHERE x < 12), sd AS (SELECT s, n, min(x) AS x FROM sp GROUP BY ALL), cn AS (SELECT s, n, CASE WHEN (SELECT max(x) FROM sd) = 0 THEN 0.0 ELSE ((SELECT max(x) FROM sd) - x) / (SELECT max(x) FROM sd)::DOUBLE END AS close FROM sd)"
 _NEAR = f"nr AS (SELECT a.object_idx AS x, b.object_idx AS y FROM gp a JOIN gp b ON a.object_idx <> b.object_idx AND {_EUC} <= 400), kr AS (SELECT x FROM nr GROUP BY x HAVING count(*) + 1 >= 3), kl AS (SELECT x, y FROM nr WHERE x IN (FROM kr) AND y IN (FROM kr)), re AS (SELECT x AS n, x AS m FROM kr UNION SELECT n, y FROM re JOIN kl ON m = x), cr AS (SELECT n, min(m) AS component FROM re GROUP BY n), pl AS (SELECT n, component FROM cr UNION ALL SELECT x, min(component) FROM nr JOIN cr ON y = cr.n WHERE x NOT IN (SELECT n FROM cr) GROUP BY x), nb AS (SELECT component, row_number() OVER (ORDER BY component) AS cluster FROM (SELECT DISTINCT component FROM cr))"
+#: Core objects in components of mutual reachability up to 400; others go to the core object that reaches them from least.
+_REACH = f"nr AS (SELECT a.object_idx AS x, b.object_idx AS y, {_EUC} AS d FROM gp a JOIN gp b ON a.object_idx <> b.object_idx AND {_EUC} <= 400), kr AS (SELECT x, list_sort(list(d))[2] AS core FROM nr GROUP BY x HAVING count(*) + 1 >= 3), kl AS (SELECT nr.x, nr.y FROM nr JOIN kr p ON nr.x = p.x JOIN kr q ON nr.y = q.x WHERE greatest(d, p.core, q.core) <= 400), re AS (SELECT x AS n, x AS m FROM kr UNION SELECT n, y FROM re JOIN kl ON m = x), cr AS (SELECT n, min(m) AS component FROM re GROUP BY n), bo AS (SELECT nr.x, arg_min(y, (greatest(d, core), y)) AS y FROM nr JOIN kr ON y = kr.x WHERE nr.x NOT IN (SELECT x FROM kr) GROUP BY nr.x), pl AS (SELECT n, component FROM cr UNION ALL SELECT bo.x, component FROM bo JOIN cr ON bo.y = cr.n), nb AS (SELECT component, row_number() OVER (ORDER BY component) AS cluster FROM (SELECT DISTINCT component FROM cr))"
 ORACLE_SQL = {
+    "cluster_optics": "WITH RECURSIVE " + V("expr", f"{_G}, {_REACH} SELECT object_idx, CAST(coalesce(nb.cluster, 0) AS INT) AS cluster FROM gp LEFT JOIN pl ON n = object_idx LEFT JOIN nb USING (component)")[5:],
     "softdtw_pairs": V("expr", f"{_G} SELECT a.object_idx AS i, b.object_idx AS j, round({_SOFTDTW}, 6) AS distance FROM gp a JOIN gp b ON a.object_idx < b.object_idx"),
     "cluster_hierarchical": "WITH RECURSIVE " + V("expr", f"{_G}, {_WARD.format(k=4)} SELECT object_idx, CAST(cluster AS INT) AS cluster FROM wl")[5:],
     "clustering_facade": "WITH RECURSIVE " + V("expr", f"{_G.replace('JOIN supplier ON', 'JOIN supplier ON')}, {_WARD.format(k=3)}, lb AS (SELECT object_idx, CAST(wl.cluster AS INT) AS cluster, vals FROM gp JOIN wl USING (object_idx)), {_SIL.format(dist=_EUC, t='lb')}, un AS (SELECT cluster, unnest(range({T.TIMEPOINTS})) AS tp, unnest(vals) AS value FROM lb), pm AS (SELECT cluster, tp, avg(value) AS v FROM un GROUP BY ALL), pl AS (SELECT cluster, list(v ORDER BY tp) AS vals FROM pm GROUP BY ALL), sd AS (SELECT a.cluster, avg({_EUC}) AS s FROM lb a JOIN pl b ON a.cluster = b.cluster GROUP BY a.cluster), w AS (SELECT p.cluster, max((x.s + y.s) / {_EUC.replace('a.', 'p.').replace('b.', 'q.')}) AS r FROM pl p JOIN pl q ON p.cluster <> q.cluster JOIN sd x ON x.cluster = p.cluster JOIN sd y ON y.cluster = q.cluster GROUP BY p.cluster), md AS (SELECT cluster, tp, median(value) AS v FROM un GROUP BY ALL) SELECT cluster, (SELECT count(*) FROM lb WHERE lb.cluster = md.cluster) AS size, round(var_pop(v), 6) AS variance, (SELECT round(avg(s), 6) FROM ss) AS silhouette, (SELECT round(avg(r), 6) FROM w) AS davies_bouldin FROM md GROUP BY cluster")[5:],

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kairoscope.functions import tests_udf as U
-from kairoscope.operators import cluster, graph, modules, motif, pathways, prep, stats, switch
+from kairoscope.operators import cluster, density, graph, modules, motif, pathways, prep, stats, switch
 from kairoscope.operators import linkage as tree
 from kairoscope.operators.communities import communities
 from kairoscope.session import cut
@@ -171,12 +171,10 @@ def test_hierarchical_clusters_of_ties_and_few_objects(spark):
     assert labels_and_values(cluster.hierarchical(one, 3, "complete")).tolist() == [1] and cluster.hierarchical(same.where("false"), 2, "ward").count() == 0
 
 
-def test_medoids_and_reachability():
+def test_medoids_of_a_line():
     x = np.array([0.0, 0.1, 0.2, 5.0, 5.1, 9.0])
     d = np.abs(x[:, None] - x[None])
     assert set(cluster.swap_medoids(d, 3)) <= {1, 3, 4, 5} and len(cluster.swap_medoids(d, 3)) == 3
-    order, reach = cluster.optics_order(d, 2)
-    assert sorted(order) == list(range(6)) and np.isinf(reach).sum() == 1
 
 
 def test_dbscan(spark):
@@ -400,6 +398,40 @@ def test_optics_stretches_are_density_clusters(spark):
             assert (a[i] == a[j]) == (b[i] == b[j])
 
 
+def test_spanning_forest_is_the_lightest(spark):
+    rng = np.random.default_rng(11)
+    edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 50, (120, 2)) if a != b})
+    edges = [(a, b, float(rng.integers(1, 9))) for a, b in edges] + [(60, 61, 1.0), (61, 62, 1.0), (60, 62, 1.0)]
+    forest, labels = density.spanning_forest(spark.createDataFrame(edges, "i long, j long, w double"))
+    root = {}
+    find = lambda n: n if root.get(n, n) == n else find(root[n])
+    want = set()
+    for w, a, b in sorted((w, a, b) for a, b, w in edges):
+        if find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+            want.add((a, b, w))
+    assert {tuple(r) for r in forest.collect()} == want
+    assert {r["node"]: r["component"] for r in labels.collect()} == {n: find(n) for a, b, _ in edges for n in (a, b)}
+    assert [x.count() for x in density.spanning_forest(spark.createDataFrame([], "i long, j long, w double"))] == [0, 0]
+
+
+def test_reachability_by_brute_force(spark):
+    series = packed_series(spark, 50, seed=9)
+    x = np.array([r["vals"] for r in series.orderBy("object_idx").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for eps, least in ((2.0, 4), (2.6, 2), (1.5, 1)):
+        near = (d <= eps) & ~np.eye(50, dtype=bool)
+        core = np.where(near.sum(1) + 1 >= least, np.sort(d, 1)[:, least - 1], np.inf)
+        core[~near.any(1)] = np.inf
+        _, placed, border = density.reachable(cluster.near_pairs(series, eps), least)
+        assert {r["node"] for r in placed.collect()} == set(np.flatnonzero(np.isfinite(core)))
+        for r in border.collect():
+            reach = np.where(near[r["node"]], np.maximum(d[r["node"]], core), np.inf)
+            assert not np.isfinite(core[r["node"]]) and r["reach"] == pytest.approx(reach.min())
+        reached = {int(i) for i in range(50) if not np.isfinite(core[i]) and np.isfinite(core[near[i]]).any()}
+        assert {r["node"] for r in border.collect()} == reached
+
+
 def test_clusters_of_a_table_in_one_call(spark):
     rng = np.random.default_rng(5)
     rows = [(i, f"g{i}", r, t, float(rng.random() + 10 * (i % 3))) for i in range(20) for r in range(7) for t in range(3)]
