@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kairoscope.session import cut
 
-#: Characters of the longest text that a fit learns from: what is gathered from the sample is bounded by it, whatever the corpus holds.
+#: Characters that a fit learns from of a text at most: what is gathered from the sample is bounded by it, whatever the corpus holds.
 FIT_CHARS = 20_000
 
 
@@ -42,10 +43,18 @@ def labelled_ids(labels: DataFrame, id_col: str, label: str, modulus: int, rest:
 
 
 def sampled_docs(docs: DataFrame, labels: DataFrame, label: str, modulus: int, rest: int, per_label: int, id_col: str = "doc_id", text_col: str = "text", chars: int = FIT_CHARS) -> DataFrame:
-    """fit_id, fit_label and text of at most about ``per_label`` documents a label, of at most ``chars`` characters each.
+    """fit_id, fit_label and text of about ``per_label`` documents a label, one text each, of at most ``chars`` characters.
 
-    The sampled ids are few by the bound, so they are broadcast and the texts stay where they are.
+    A label's sample is drawn from its documents that have a text of that length; where it has none, from the others, of which a stretch at a place drawn by hash is taken. Of
+    several texts of one id that of the smallest hash counts.  The sampled ids are few by the bound, so they are broadcast and the texts stay where they are.
     """
-    ids = sample(labelled_ids(labels, id_col, label, modulus, rest), "fit_id", "fit_label", per_label)
-    short = F.coalesce(F.length(F.col(text_col)), F.lit(0)) <= chars
-    return docs.where(short).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("doc") == F.col("fit_id")).select("fit_id", "fit_label", "text")
+    size = F.coalesce(F.length(F.col(text_col)), F.lit(0))
+    told = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc")).agg(F.max(size <= chars).alias("short"))
+    known = cut(labelled_ids(labels, id_col, label, modulus, rest).join(told, F.col("fit_id") == F.col("doc")).select("fit_id", "fit_label", "short"))
+    some = known.groupBy("fit_label").agg(F.max("short").alias("any_short"))  # a row a label
+    ids = sample(known.join(F.broadcast(some), "fit_label").where(F.col("short") == F.col("any_short")), "fit_id", "fit_label", per_label)
+    at = 1 + F.pmod(F.xxhash64(F.col(text_col)), F.greatest(size - chars, F.lit(1)))
+    text = F.when(size <= chars, F.col(text_col)).otherwise(F.substring(F.col(text_col), at.cast("int"), F.lit(chars)))
+    rows = docs.select(F.col(id_col).alias("doc"), text.alias("text"), (size <= chars).alias("fits"), F.xxhash64(F.col(text_col)).alias("h"))
+    rows = rows.join(F.broadcast(ids), (F.col("doc") == F.col("fit_id")) & (F.col("fits") == F.col("short")))
+    return rows.groupBy("fit_id", "fit_label").agg(F.min(F.struct("h", "text")).alias("m")).select("fit_id", "fit_label", "m.text")

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.llm import _fit
@@ -49,12 +49,14 @@ def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The bins that a text has and how often; empty where it has no letter."""
     total = np.zeros(BINS, np.int64)
     tail = np.array([32], np.uint64)
-    some = False
+    some, before = False, True
+    text = text.lower()  # whole: how a sigma is lowered depends on what lies beside it
     for at in range(0, len(text), _PIECE):
-        raw = code_points(text[at : at + _PIECE].lower())
+        raw = code_points(text[at : at + _PIECE])
         letter = letters()[raw]
         some = some or bool(letter.any())
-        held = letter | np.concatenate(([True], letter[:-1]))  # one space for a run of others
+        held = letter | np.concatenate(([before], letter[:-1]))  # one space for a run of others
+        before = bool(letter[-1])
         now = np.where(letter, raw, 32)[held].astype(np.uint64)
         full = np.concatenate((tail, now))
         for n in ORDERS:
@@ -153,33 +155,42 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", modulus: int = 4, rest: int = 2, per_label: int = PER_LABEL) -> Model:
     """Learn from the labelled documents of the learning fold: frequencies from all of them, weights from the sample."""
     fold = docs.where(F.col(label_col).isNotNull() & ~_fit.held_out(id_col, modulus, rest)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(label_col).cast("string").alias("y"))
-    counts = fold.groupBy("y").agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    fold = fold.withColumn("h", F.xxhash64(F.col("i").cast("string"), "t", F.lit("sample")))
+    rows = cut(fold.groupBy("y", "h").agg(F.count("*").alias("n")))  # rows of one id and text are one row of the sample
+    counts = rows.groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).limit(MOST_LABELS + 1).collect()
     if len(counts) > MOST_LABELS:
         raise ValueError(f"the documents have more than {MOST_LABELS} languages; a fit learns {MOST_LABELS} at most")
     if not counts:
         return Model([], np.zeros((BINS, 0)), np.zeros(0), np.zeros(BINS))
-    limit = {r["y"]: min(1.0, min(per_label, SAMPLE / len(counts)) / r["n"]) for r in counts}
-    draw = F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1_000_000.0
-    drawn = F.coalesce(*(F.when((F.col("y") == k) & (draw < v), True) for k, v in limit.items()), F.lit(False))
+    quota = min(per_label, max(1, SAMPLE // len(counts)))
+    # The smallest hashes of each label: those under twice the share that gives the quota, and of these the first, by rank.
+    share = {r["y"]: min(1.0, 2 * (quota + 50) / r["distinct"]) for r in counts}
+    low = F.pmod(F.xxhash64("h"), F.lit(1_000_000)) / 1_000_000.0
+    near = rows.where(F.coalesce(*(F.when((F.col("y") == k) & (low < v), True) for k, v in share.items()), F.lit(False)))
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("h"), "h"))).where(F.col("place") <= quota)
+    chosen = first.select(F.col("y").alias("of_y"), F.col("h").alias("of_h"), F.lit(True).alias("s"))
+    drawn = fold.join(F.broadcast(chosen), (F.col("y") == F.col("of_y")) & (F.col("h") == F.col("of_h")), "left")  # SAMPLE rows at most
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequency = np.zeros(BINS, np.int64)
+        frequency, sent = np.zeros(BINS, np.int64), set()
         for batch in batches:
-            label, bins, often = [], [], []
-            for t, y, s in zip(batch["t"], batch["y"], batch["s"], strict=True):
+            label, place, bins, often = [], [], [], []
+            for t, y, s, h in zip(batch["t"], batch["y"], batch["s"], batch["h"], strict=True):
                 b, c = counts_of(t or "")
                 frequency[b] += 1
-                if s:
+                if s and (y, h) not in sent:  # SAMPLE of them at most
+                    sent.add((y, h))
                     label.append(y)
+                    place.append(h)
                     bins.append(b.tobytes())
                     often.append(c.tobytes())
             if label:
-                yield pd.DataFrame({"y": label, "bins": bins, "counts": often})
+                yield pd.DataFrame({"y": label, "h": place, "bins": bins, "counts": often})
         used = np.flatnonzero(frequency)
         if len(used):
-            yield pd.DataFrame({"y": [None], "bins": [used.astype(np.int32).tobytes()], "counts": [frequency[used].astype(np.int32).tobytes()]})
+            yield pd.DataFrame({"y": [None], "h": [0], "bins": [used.astype(np.int32).tobytes()], "counts": [frequency[used].astype(np.int32).tobytes()]})
 
-    made = cut(fold.select("t", "y", drawn.alias("s")).mapInPandas(counted, "y string, bins binary, counts binary"))
+    made = cut(drawn.select("t", "y", F.coalesce("s", F.lit(False)).alias("s"), "h").mapInPandas(counted, "y string, h long, bins binary, counts binary"))
 
     def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -190,7 +201,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     frequency = np.zeros(BINS)
     for r in by_bin.collect():  # at most BINS rows
         frequency[r["bin"]] = r["n"]
-    rows = sorted(((r[0], bytes(r[1]), bytes(r[2])) for r in made.where(F.col("y").isNotNull()).collect()))
+    rows = sorted(((r[0], bytes(r[1]), bytes(r[2])) for r in made.where(F.col("y").isNotNull()).dropDuplicates(["y", "h"]).select("y", "bins", "counts").collect()))
     return train([(y, np.frombuffer(b, np.int32), np.frombuffer(c, np.int32)) for y, b, c in rows], frequency, sum(r["n"] for r in counts))
 
 
