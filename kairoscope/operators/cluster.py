@@ -26,6 +26,8 @@ from kairoscope.session import cut
 BOUND = 5000
 #: The least and the most objects of a block of the distance sums, and coordinates of the grid of near pairs.
 BLOCK, GRID = (256, 4096), 3
+#: Values of all clusters' sums that go to every task.
+CLUSTER_VALUES = 1 << 20
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -135,9 +137,36 @@ def distance_sums(series: DataFrame, name: str = "euclidean") -> DataFrame:
     return sums.groupBy("object_idx", "c").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
+def correlation_sums(series: DataFrame) -> DataFrame:
+    """object_idx, c, total, n, as ``distance_sums`` by correlation, without a pair of objects.
+
+    1 - r is linear in the standardised series: an object's distances to the m members of a cluster that aren't constant add up to m - x . sum of theirs.  So
+    clusters' sums are enough, which must have ``CLUSTER_VALUES`` values in all at most to go to every task.
+    """
+    mean = F.aggregate("vals", F.lit(0.0), lambda s, v: s + v) / F.size("vals")
+    centred = series.withColumn("mean", mean).withColumn("z", F.transform("vals", lambda v: v - F.col("mean")))
+    size = F.sqrt(F.aggregate("z", F.lit(0.0), lambda s, v: s + v * v))
+    level = centred.withColumn("size", size).select("object_idx", "cluster", F.when(F.col("size") > 0, F.transform("z", lambda v: v / F.col("size"))).alias("z"))
+    level = cut(level)
+    n = level.groupBy("cluster").agg(F.count("*").alias("n"), F.count("z").alias("m"))
+    sums = level.select("cluster", F.posexplode("z").alias("at", "v")).groupBy("cluster", "at").agg(F.sum("v").alias("v"))
+    packed = sums.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s"))
+    clusters = cut(n.join(packed, "cluster", "left").select(F.col("cluster").alias("c"), "n", "m", F.col("s.v").alias("sum")))
+    values = clusters.agg(F.coalesce(F.sum(F.size("sum")), F.lit(0))).first()[0]
+    if values > CLUSTER_VALUES:
+        return distance_sums(series, "correlation")
+    dot = F.aggregate(F.zip_with("z", "sum", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    own = (F.col("c") == F.col("cluster")).cast("long")
+    met = level.crossJoin(F.broadcast(clusters))  # bounded above
+    total = F.when(F.col("z").isNull() | F.col("sum").isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("m") - own - (dot - own)))
+    return met.select("object_idx", "c", total.alias("total"), (F.col("n") - own).alias("n")).where("n > 0")
+
+
 def silhouettes(series: DataFrame, name: str = "euclidean") -> DataFrame:
     """object_idx, cluster, silhouette: (b - a) / max(a, b), 0 for a cluster of one."""
-    if name in ("euclidean", "correlation"):
+    if name == "correlation":
+        mean = correlation_sums(series).select("object_idx", "c", (F.col("total") / F.col("n")).alias("m"))
+    elif name == "euclidean":
         mean = distance_sums(series, name).select("object_idx", "c", (F.col("total") / F.col("n")).alias("m"))
     else:
         d = pair_distances(series, name)

@@ -92,10 +92,6 @@ def gc_fraction(spark, d):
     return T.sequences(spark, d).select("doc_id", motif.gc_fraction(F.col("seq")).alias("gc"))
 
 
-def pwm_normalise(spark, d):
-    return motif.normalised(_pwm(spark)).select("motif_id", "pos", *(R6(x).alias(x) for x in motif.LETTERS))
-
-
 def _scans(spark, d):
     return motif.scan(T.sequences(spark, d), _pwm(spark))
 
@@ -260,7 +256,7 @@ def cluster_merge_lines(spark, d):
     return cluster.prototype_variance(cluster.combine(T.series(spark, d), [1, 2])).select("cluster", F.round("variance", 9).alias("variance"))
 
 
-QUERIES = {f.__name__: f for f in (exon_domain_overlap, interacting_domains, affected_edges, gene_edges, pathway_degree, pathway_enrichment, pathway_adjusted, pathway_drilldown, affected_stats, over_representation, majiq_filter, majiq_explode, gc_fraction, pwm_normalise, pssm_scan, motif_groups, motif_tests, factor_coexpression, factor_sets, unique_factors, balanced_factors, sequence_windows, exon_sets, composite_events, junction_exons, standard_events, largest_changes, domain_links, over_representation_cutoff, pathway_sources, first_events, gene_expression, cluster_lines, heat_map, one_cluster, top_terms, top_by_group, mean_interval, affected_marks, pathway_subgraph, node_classes, switch_plot, cluster_matrix, cluster_merge_lines)}
+QUERIES = {f.__name__: f for f in (exon_domain_overlap, interacting_domains, affected_edges, gene_edges, pathway_degree, pathway_enrichment, pathway_adjusted, pathway_drilldown, affected_stats, over_representation, majiq_filter, majiq_explode, gc_fraction, pssm_scan, motif_groups, motif_tests, factor_coexpression, factor_sets, unique_factors, balanced_factors, sequence_windows, exon_sets, composite_events, junction_exons, standard_events, largest_changes, domain_links, over_representation_cutoff, pathway_sources, first_events, gene_expression, cluster_lines, heat_map, one_cluster, top_terms, top_by_group, mean_interval, affected_marks, pathway_subgraph, node_classes, switch_plot, cluster_matrix, cluster_merge_lines)}
 
 _OV = "ov AS (SELECT DISTINCT gene_id, exon_id, domain_id FROM exon JOIN dom USING (gene_id) WHERE greatest(exon.s, dom.s) <= least(exon.e, dom.e)), af AS (SELECT DISTINCT gene_id, domain_id FROM ov)"
 _JO = "fd AS (SELECT gene_id, gene_id || '/' || min(domain_id) AS id FROM dom GROUP BY gene_id), jo AS (SELECT a.id AS src, b.id AS dst FROM net JOIN fd a ON src = a.gene_id JOIN fd b ON dst = b.gene_id), jb AS (SELECT src AS x, dst AS y FROM jo UNION ALL SELECT dst, src FROM jo)"
@@ -321,7 +317,6 @@ ORACLE_SQL = {
     "majiq_filter": V("sev", "l AS (SELECT *, list_transform(string_split(delta, ';'), lambda x: CAST(x AS DOUBLE)) AS d, list_transform(string_split(prob, ';'), lambda x: CAST(x AS DOUBLE)) AS q FROM sev WHERE es) SELECT event_id, gene_id, round(CASE WHEN abs(d[1]) >= abs(d[2]) THEN d[1] ELSE d[2] END, 6) AS max_change FROM l WHERE greatest(abs(d[1]), abs(d[2])) >= 0.05 AND greatest(q[1], q[2]) >= 0.95"),
     "majiq_explode": "SELECT event_id, CAST(event_id AS VARCHAR) AS source, CAST(event_id + k AS VARCHAR) AS target FROM events, (VALUES (10), (25)) v(k)",
     "gc_fraction": V("seqs", "SELECT doc_id, round(len(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / len(seq), 2) AS gc FROM seqs"),
-    "pwm_normalise": f"WITH {_MOT} SELECT motif_id, CAST(pos AS INT) AS pos, round(a::DOUBLE, 6) AS a, round(c::DOUBLE, 6) AS c, round(g::DOUBLE, 6) AS g, round(t::DOUBLE, 6) AS t FROM mn",
     "pssm_scan": V("seqs", f"{_SC} SELECT doc_id, motif_id, CAST(count(*) FILTER (s > {THRESHOLD}) AS INT) AS n_hits, round(max(s), 6) AS best FROM sc GROUP BY ALL"),
     "motif_groups": V("seqs", f"{_SC} SELECT motif_id, grp, CASE grp WHEN 'lost' THEN 'LE' WHEN 'gained' THEN 'GE' ELSE 'UE' END || ' (' || count(DISTINCT doc_id) || ')' AS label, count(DISTINCT doc_id) AS n_sequences, count(*) FILTER (s > {THRESHOLD}) AS n_hits, round(avg(s) FILTER (s > {THRESHOLD}), 6) AS mean_hit FROM sc GROUP BY motif_id, grp"),
     "cluster_lines": V("lser", "SELECT cluster, 'object' AS kind, object_idx, tp, round(value, 6) AS value FROM lser UNION ALL SELECT cluster, 'prototype', NULL, tp, round(median(value), 6) FROM lser GROUP BY cluster, tp"),

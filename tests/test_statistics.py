@@ -398,6 +398,17 @@ def test_optics_stretches_are_density_clusters(spark):
             assert (a[i] == a[j]) == (b[i] == b[j])
 
 
+def test_correlation_sums_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, i % 3 if i < 40 else 7, (rng.normal(size=6) * (i % 5 != 0) + 3).tolist()) for i in range(41)]  # some constant, a cluster of one
+    series = spark.createDataFrame(rows, "object_idx long, cluster int, vals array<double>")
+    got = {(r["object_idx"], r["c"]): (r["total"], r["n"]) for r in cluster.correlation_sums(series).collect()}
+    want = {(r["object_idx"], r["c"]): (r["total"], r["n"]) for r in cluster.distance_sums(series, "correlation").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-9) for k in want)
+    assert cluster.silhouettes(series.where("false"), "correlation").count() == 0
+
+
 def test_spanning_forest_is_the_lightest(spark):
     rng = np.random.default_rng(11)
     edges = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 50, (120, 2)) if a != b})
