@@ -102,8 +102,8 @@ def network_slices(spark, d):
 
 
 def active_modules(spark, d):
-    net = T.network(spark, d)
-    return M.find_modules(net, _active(spark, d), 1.0, 1.0, parts=M.slices(net, 1.0))
+    net = T.network(spark, d)  # drawn at random, so thresholds that let its modules through
+    return M.find_modules(net, _active(spark, d), 1.0, 10.0, parts=M.slices(net, 1.0))
 
 
 def module_summary(spark, d):
