@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kairoscope.functions.score_udf import score_limit_column
 from kairoscope.functions.tests_udf import pearson_pvalue_column, rank_pvalue_column
 from kairoscope.operators import prep, stats
 
@@ -94,30 +95,60 @@ def hits(scans: DataFrame, threshold: float) -> DataFrame:
     return scans.select("doc_id", "grp", "sf", "motif_id", F.size(F.filter("scores", lambda x: x > threshold)).alias("n_hits"), F.array_max("scores").alias("best"))
 
 
-def group_table(scans: DataFrame, threshold: float) -> DataFrame:
+def background(sequences: DataFrame) -> DataFrame:
+    """gc: the GC share of all letters, one row; null without letters."""
+    many = F.sum(F.length(F.regexp_replace("seq", "[^GCgc]", "")))
+    return sequences.agg(F.try_divide(many, F.sum(F.length("seq"))).alias("gc"))
+
+
+def thresholds(pwm: DataFrame, background: DataFrame | float = 0.6, rate: float = 1e-3, step: float = 1e-3) -> DataFrame:
+    """sf, motif_id, threshold, share: for each motif the lowest score that random words exceed with a probability of ``rate`` at most, and that probability.
+
+    Words are drawn with the GC share of ``background`` (one row gc, or a number).  Their scores' distribution is exact, but for positions' log odds that are rounded to
+    ``step``: it is built up position by position, so no words are listed.  A motif that no word fits has no row.
+    """
+    motifs = log_odds(pwm)
+    both = motifs.withColumn("gc", F.lit(background)) if isinstance(background, float) else motifs.crossJoin(F.broadcast(background.select("gc")))  # one row
+    return both.select("sf", "motif_id", score_limit_column(rate, step)("odds", "gc").alias("x")).where("x.threshold IS NOT NULL").select("sf", "motif_id", "x.threshold", "x.share")
+
+
+def over(scans: DataFrame, threshold: float | DataFrame) -> DataFrame:
+    """scans with h, the scores over the threshold: a number for all motifs, or a table (sf, motif_id, threshold); motifs without one are left out."""
+    if isinstance(threshold, DataFrame):  # at most as many rows as the library has motifs
+        known = scans.join(F.broadcast(threshold.select("sf", "motif_id", "threshold")), ["sf", "motif_id"])
+        return known.withColumn("h", F.expr("filter(scores, x -> x > threshold)")).drop("threshold")
+    return scans.withColumn("h", F.filter("scores", lambda x: x > threshold))
+
+
+def group_table(scans: DataFrame, threshold: float | DataFrame) -> DataFrame:
     """sf, motif_id, grp, label, n_sequences, n_hits, mean_hit: hits of each group, labelled LE, GE or UE with the number of sequences."""
-    over = scans.withColumn("h", F.filter("scores", lambda x: x > threshold))
-    sums = over.groupBy("sf", "motif_id", "grp").agg(F.count("*").alias("n_sequences"), F.sum(F.size("h")).alias("n_hits"), F.sum(F.aggregate("h", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+    sums = over(scans, threshold).groupBy("sf", "motif_id", "grp").agg(F.count("*").alias("n_sequences"), F.sum(F.size("h")).alias("n_hits"), F.sum(F.aggregate("h", F.lit(0.0), lambda s, x: s + x)).alias("total"))
     name = F.when(F.col("grp") == "lost", "LE").when(F.col("grp") == "gained", "GE").otherwise("UE")
     return sums.select("sf", "motif_id", "grp", F.concat(name, F.lit(" ("), F.col("n_sequences").cast("string"), F.lit(")")).alias("label"), "n_sequences", "n_hits", prep.ratio(F.col("total"), F.col("n_hits")).alias("mean_hit"))
 
 
-def group_tests(scans: DataFrame) -> DataFrame:
-    """sf, motif_id, lost_vs_background, gained_vs_background, lost_vs_gained: one-sided rank tests of the best scores (rounded, so that equal ones are ties).
+def group_tests(scans: DataFrame, threshold: float | DataFrame | None = None) -> DataFrame:
+    """sf, motif_id, lost_vs_background, gained_vs_background, lost_vs_gained: one-sided rank tests of all scores over the threshold (a number, or ``thresholds``);
+    without a threshold, of each sequence's best score.  Scores are rounded, so that equal ones are ties; a test without scores in one group has p 1.
 
     Equal scores are counted first; how many lie below each comes from sums over buckets of scores and inside each bucket, so no task ranks all scores of a motif.
     """
-    best = scans.select("sf", "motif_id", "grp", F.round(F.array_max("scores"), 9).alias("best")).where("best IS NOT NULL")
+    if threshold is None:
+        taken = scans.select("sf", "motif_id", "grp", F.round(F.array_max("scores"), 9).alias("score")).where("score IS NOT NULL")
+    else:
+        taken = over(scans, threshold).select("sf", "motif_id", "grp", F.explode("h").alias("score")).withColumn("score", F.round("score", 9))
     groups = ("lost", "gained", "background")
-    n = best.groupBy("sf", "motif_id", "best").agg(*(F.count_if(F.col("grp") == g).alias(g) for g in groups)).withColumn("bucket", F.floor(F.col("best") * BUCKETS))
+    n = taken.groupBy("sf", "motif_id", "score").agg(*(F.count_if(F.col("grp") == g).alias(g) for g in groups)).withColumn("bucket", F.floor(F.col("score") * BUCKETS))
     totals = n.groupBy("sf", "motif_id", "bucket").agg(*(F.sum(g).alias(g) for g in groups))
     before = Window.partitionBy("sf", "motif_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("sf", "motif_id", "bucket", *(F.coalesce(F.sum(g).over(before), F.lit(0)).alias(f"{g}_below") for g in groups))
-    inside = Window.partitionBy("sf", "motif_id", "bucket").orderBy("best").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sf", "motif_id", "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = n.join(totals, ["sf", "motif_id", "bucket"]).withColumns({f"{g}_below": F.col(f"{g}_below") + F.coalesce(F.sum(g).over(inside), F.lit(0)) for g in groups})
     tests = (("lost", "background"), ("gained", "background"), ("lost", "gained"))
-    twice = [F.sum(F.col(x) * (2 * F.col(f"{y}_below") + F.col(y))).alias(f"u_{x}_{y}") for x, y in tests]
-    ties = [F.sum(F.pow(F.col(x) + F.col(y), F.lit(3)) - (F.col(x) + F.col(y))).cast("long").alias(f"t_{x}_{y}") for x, y in tests]
+    # As doubles: products and cubes of counts outgrow longs, and only small samples need them exact.
+    size = lambda x: F.col(x).cast("double")
+    twice = [F.sum(size(x) * (2 * size(f"{y}_below") + size(y))).alias(f"u_{x}_{y}") for x, y in tests]
+    ties = [F.sum(F.pow(size(x) + size(y), F.lit(3)) - (size(x) + size(y))).alias(f"t_{x}_{y}") for x, y in tests]
     sums = ranked.groupBy("sf", "motif_id").agg(*(F.sum(g).alias(g) for g in groups), *twice, *ties)
     p = rank_pvalue_column("greater")
     return sums.select("sf", "motif_id", *(p(F.col(x), F.col(y), F.col(f"u_{x}_{y}"), F.col(f"t_{x}_{y}")).alias(f"{x}_vs_{y}") for x, y in tests))

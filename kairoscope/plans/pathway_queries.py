@@ -16,6 +16,9 @@ R6 = lambda c: F.round(c, 6)
 #: Counts of a, c, g, t at each position of two motifs; one count is zero.
 MOTIFS = {"TATA": [(2, 1, 1, 16), (15, 1, 2, 2), (1, 2, 1, 16), (14, 2, 2, 2)], "GCAG": [(1, 2, 15, 2), (2, 14, 2, 2), (16, 1, 1, 2), (0, 3, 15, 2)]}
 THRESHOLD = 3.2101
+#: Share of random words over a motif's own threshold.
+RATE = 0.01
+TESTS = ("lost_vs_background", "gained_vs_background", "lost_vs_gained")
 
 
 def _pwm(spark):
@@ -104,8 +107,24 @@ def motif_groups(spark, d):
     return motif.group_table(_scans(spark, d), THRESHOLD).select("motif_id", "grp", "label", "n_sequences", "n_hits", R6("mean_hit").alias("mean_hit"))
 
 
+def _limits(spark, d):
+    return motif.thresholds(_pwm(spark), motif.background(T.sequences(spark, d)), RATE)
+
+
+def motif_thresholds(spark, d):
+    return _limits(spark, d).select("motif_id", R6("threshold").alias("threshold"), R6("share").alias("share"))
+
+
+def motif_threshold_groups(spark, d):
+    return motif.group_table(_scans(spark, d), _limits(spark, d)).select("motif_id", "grp", "label", "n_sequences", "n_hits", R6("mean_hit").alias("mean_hit"))
+
+
 def motif_tests(spark, d):
-    return motif.group_tests(_scans(spark, d)).select("motif_id", *(R6(c).alias(c) for c in ("lost_vs_background", "gained_vs_background", "lost_vs_gained")))
+    return motif.group_tests(_scans(spark, d), _limits(spark, d)).select("motif_id", *(R6(c).alias(c) for c in TESTS))
+
+
+def motif_best_tests(spark, d):
+    return motif.group_tests(_scans(spark, d)).select("motif_id", *(R6(c).alias(c) for c in TESTS))
 
 
 def _coexpression(spark, d):
@@ -256,7 +275,7 @@ def cluster_merge_lines(spark, d):
     return cluster.prototype_variance(cluster.combine(T.series(spark, d), [1, 2])).select("cluster", F.round("variance", 9).alias("variance"))
 
 
-QUERIES = {f.__name__: f for f in (exon_domain_overlap, interacting_domains, affected_edges, gene_edges, pathway_degree, pathway_enrichment, pathway_adjusted, pathway_drilldown, affected_stats, over_representation, majiq_filter, majiq_explode, gc_fraction, pssm_scan, motif_groups, motif_tests, factor_coexpression, factor_sets, unique_factors, balanced_factors, sequence_windows, exon_sets, composite_events, junction_exons, standard_events, largest_changes, domain_links, over_representation_cutoff, pathway_sources, first_events, gene_expression, cluster_lines, heat_map, one_cluster, top_terms, top_by_group, mean_interval, affected_marks, pathway_subgraph, node_classes, switch_plot, cluster_matrix, cluster_merge_lines)}
+QUERIES = {f.__name__: f for f in (exon_domain_overlap, interacting_domains, affected_edges, gene_edges, pathway_degree, pathway_enrichment, pathway_adjusted, pathway_drilldown, affected_stats, over_representation, majiq_filter, majiq_explode, gc_fraction, pssm_scan, motif_groups, motif_thresholds, motif_threshold_groups, motif_tests, motif_best_tests, factor_coexpression, factor_sets, unique_factors, balanced_factors, sequence_windows, exon_sets, composite_events, junction_exons, standard_events, largest_changes, domain_links, over_representation_cutoff, pathway_sources, first_events, gene_expression, cluster_lines, heat_map, one_cluster, top_terms, top_by_group, mean_interval, affected_marks, pathway_subgraph, node_classes, switch_plot, cluster_matrix, cluster_merge_lines)}
 
 _OV = "ov AS (SELECT DISTINCT gene_id, exon_id, domain_id FROM exon JOIN dom USING (gene_id) WHERE greatest(exon.s, dom.s) <= least(exon.e, dom.e)), af AS (SELECT DISTINCT gene_id, domain_id FROM ov)"
 _JO = "fd AS (SELECT gene_id, gene_id || '/' || min(domain_id) AS id FROM dom GROUP BY gene_id), jo AS (SELECT a.id AS src, b.id AS dst FROM net JOIN fd a ON src = a.gene_id JOIN fd b ON dst = b.gene_id), jb AS (SELECT src AS x, dst AS y FROM jo UNION ALL SELECT dst, src FROM jo)"
@@ -280,11 +299,31 @@ def _one_sided(x: str, y: str) -> str:
     return f"(SELECT round(0.5 * {SQ.erfc_sql(z + ' / sqrt(2)')}, 6) FROM (SELECT (SELECT count(*) FROM bt WHERE motif_id = m.motif_id AND grp = '{x}') AS n1, (SELECT count(*) FROM bt WHERE motif_id = m.motif_id AND grp = '{y}') AS n2, (SELECT sum(CASE WHEN b.v < a.v THEN 2 WHEN b.v = a.v THEN 1 ELSE 0 END) FROM bt a JOIN bt b USING (motif_id) WHERE motif_id = m.motif_id AND a.grp = '{x}' AND b.grp = '{y}')::DOUBLE AS t2, (SELECT sum(c * c * c - c) FROM (SELECT count(*) AS c FROM bt WHERE motif_id = m.motif_id AND grp IN ('{x}', '{y}') GROUP BY v))::DOUBLE AS ties))"
 
 
+#: Thresholds from a list of all words: th (motif_id, threshold, share).
+_TH = (
+    "bg AS (SELECT sum(len(regexp_replace(seq, '[^GC]', '', 'g')))::DOUBLE / sum(len(seq)) AS g FROM seqs), "
+    "lo AS (SELECT motif_id, pos, b, CAST(round(log2(CASE WHEN o > 0 THEN o / b END) * 1000) AS BIGINT) AS q FROM (SELECT motif_id, pos, unnest([a, c, g, t]) AS o, unnest([(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2]) AS b FROM mn, (SELECT g AS gc FROM bg)) WHERE o > 0), "
+    "ws AS (SELECT motif_id, w0.q + w1.q + w2.q + w3.q AS q, sum(w0.b * w1.b * w2.b * w3.b) AS p FROM lo w0 JOIN lo w1 USING (motif_id) JOIN lo w2 USING (motif_id) JOIN lo w3 USING (motif_id) WHERE w0.pos = 0 AND w1.pos = 1 AND w2.pos = 2 AND w3.pos = 3 GROUP BY ALL), "
+    f"th AS (SELECT motif_id, min(q) / 1000.0 AS threshold, max(above) AS share FROM (SELECT motif_id, q, round(coalesce(sum(p) OVER (PARTITION BY motif_id ORDER BY q DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 12) AS above FROM ws) WHERE above <= {RATE} GROUP BY motif_id)"
+)
+_OVER = f"{_SC}, {_TH}, ov AS (SELECT motif_id, grp, doc_id, s FROM sc JOIN th USING (motif_id) WHERE s > threshold), cn AS (SELECT motif_id, round(s, 9) AS v, count(*) FILTER (grp = 'lost')::DOUBLE AS lost, count(*) FILTER (grp = 'gained')::DOUBLE AS gained, count(*) FILTER (grp = 'background')::DOUBLE AS background FROM ov GROUP BY ALL)"
+
+
+def _one_sided_counts(x: str, y: str) -> str:
+    """The same test from cn, the counts of each value."""
+    z = "((t2 / 2 - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - ties / ((n1 + n2) * (n1 + n2 - 1.0)))))"
+    below = f"SELECT *, coalesce(sum({y}) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y_below FROM cn WHERE motif_id = m.motif_id"
+    return f"(SELECT CASE WHEN n1 * n2 = 0 THEN 1.0 ELSE round(0.5 * {SQ.erfc_sql(z + ' / sqrt(2)')}, 6) END FROM (SELECT sum({x}) AS n1, sum({y}) AS n2, sum({x} * (2 * y_below + {y})) AS t2, sum(power({x} + {y}, 3) - ({x} + {y})) AS ties FROM ({below})))"
+
+
 _EXS = "es AS (SELECT gene_id, transcript_id, list(DISTINCT exon) AS x FROM ann GROUP BY ALL), ej AS (SELECT a.gene_id, a.transcript_id AS ma, b.transcript_id AS mi, list_filter(a.x, lambda v: NOT list_contains(b.x, v)) AS loss, list_filter(b.x, lambda v: NOT list_contains(a.x, v)) AS gain, list_filter(a.x, lambda v: list_contains(b.x, v)) AS constant FROM es a JOIN es b ON a.gene_id = b.gene_id AND a.transcript_id < b.transcript_id), el AS (SELECT * FROM ej QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY right(mi, 1) DESC, ma DESC, mi DESC) = 1)"
 _CONF = "cf AS (SELECT event_id, gene_id, CASE WHEN abs(d[1]) >= abs(d[2]) THEN d[1] ELSE d[2] END AS c FROM (SELECT *, list_transform(string_split(delta, ';'), lambda x: CAST(x AS DOUBLE)) AS d, list_transform(string_split(prob, ';'), lambda x: CAST(x AS DOUBLE)) AS q FROM sev WHERE es) WHERE greatest(abs(d[1]), abs(d[2])) >= 0.05 AND greatest(q[1], q[2]) >= 0.95)"
 _CHOSEN = "(SELECT source FROM (SELECT DISTINCT source FROM pw ORDER BY source LIMIT 6))"
 ORACLE_SQL = {
-    "motif_tests": V("seqs", f"{_BEST} SELECT motif_id, {_one_sided('lost', 'background')} AS lost_vs_background, {_one_sided('gained', 'background')} AS gained_vs_background, {_one_sided('lost', 'gained')} AS lost_vs_gained FROM (SELECT DISTINCT motif_id FROM bt) m"),
+    "motif_thresholds": V("seqs", f"{_MOT}, {_TH} SELECT motif_id, round(threshold, 6) AS threshold, round(share, 6) AS share FROM th"),
+    "motif_threshold_groups": V("seqs", f"{_SC}, {_TH} SELECT motif_id, grp, CASE grp WHEN 'lost' THEN 'LE' WHEN 'gained' THEN 'GE' ELSE 'UE' END || ' (' || count(DISTINCT doc_id) || ')' AS label, count(DISTINCT doc_id) AS n_sequences, count(*) FILTER (s > threshold) AS n_hits, round(avg(s) FILTER (s > threshold), 6) AS mean_hit FROM sc JOIN th USING (motif_id) GROUP BY motif_id, grp"),
+    "motif_tests": V("seqs", f"{_OVER} SELECT motif_id, {_one_sided_counts('lost', 'background')} AS lost_vs_background, {_one_sided_counts('gained', 'background')} AS gained_vs_background, {_one_sided_counts('lost', 'gained')} AS lost_vs_gained FROM (SELECT DISTINCT motif_id FROM cn) m"),
+    "motif_best_tests": V("seqs", f"{_BEST} SELECT motif_id, {_one_sided('lost', 'background')} AS lost_vs_background, {_one_sided('gained', 'background')} AS gained_vs_background, {_one_sided('lost', 'gained')} AS lost_vs_gained FROM (SELECT DISTINCT motif_id FROM bt) m"),
     "factor_coexpression": V("expr", f"{_GCL}, {_FC} SELECT sf, gene_id, transcript_id, round(r, 6) AS corr, round(p, 6) AS p_value, round(adj, 6) AS adj_p, direction FROM fc"),
     "factor_sets": V("expr", f"{_GCL}, {_FC} SELECT cluster, direction, array_to_string(sfs, ',') AS sfs FROM fs"),
     "unique_factors": V("expr", f"{_GCL}, {_FC}, pn AS (SELECT cluster, coalesce(any_value(sfs) FILTER (direction = '+'), []) AS p, coalesce(any_value(sfs) FILTER (direction = '-'), []) AS n FROM fs GROUP BY cluster) SELECT cluster, array_to_string(list_filter(p, lambda v: list_contains(n, v)), ',') AS both, array_to_string(list_filter(p, lambda v: NOT list_contains(n, v)), ',') AS positive, array_to_string(list_filter(n, lambda v: NOT list_contains(p, v)), ',') AS negative FROM pn"),

@@ -1,5 +1,6 @@
 """Answers worked out by hand, and properties."""
 
+import itertools
 import math
 from collections import defaultdict
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kairoscope.functions import score_udf
 from kairoscope.functions import tests_udf as U
 from kairoscope.operators import cluster, density, graph, modules, motif, pathways, prep, stats, switch
 from kairoscope.operators import linkage as tree
@@ -300,6 +302,45 @@ def test_motif_scores(spark):
     assert scores == pytest.approx([math.log2(0.75 / 0.25), math.log2(0.25 / 0.25)])
 
 
+@pytest.mark.parametrize("width", [1, 3, 6])
+def test_score_distribution_is_that_of_all_words(width):
+    rng = np.random.default_rng(width)
+    odds = rng.dirichlet(np.ones(4), width)
+    odds[0, 2] = 0.0
+    lowest, p = score_udf.score_distribution(odds, 0.3, 0.01)
+    back, want = np.array([0.35, 0.15, 0.15, 0.35]), defaultdict(float)
+    for word in itertools.product(range(4), repeat=width):
+        if all(odds[k, c] > 0 for k, c in enumerate(word)):
+            want[sum(int(np.rint(np.log2(odds[k, c] / back[c]) / 0.01)) for k, c in enumerate(word))] += float(np.prod(back[list(word)]))
+    got = {lowest + k: x for k, x in enumerate(p) if x > 0}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    for rate in (0.0, 0.05, 0.5, 1.0):
+        t, share = score_udf.score_limit(odds, 0.3, rate, 0.01)
+        over = lambda x: sum(v for k, v in want.items() if k * 0.01 > x + 1e-9)
+        assert share == pytest.approx(over(t)) and share <= rate + 1e-9
+        assert not any(over(k * 0.01) <= rate - 1e-9 for k in want if k * 0.01 < t - 1e-9)
+
+
+def test_motifs_are_tested_on_all_scores_over_their_threshold(spark):
+    kind = "sf string, motif_id string, pos int, a double, c double, g double, t double"
+    pwm = spark.createDataFrame([("s", "m", 0, 7.0, 1.0, 1.0, 1.0), ("s", "m", 1, 1.0, 2.0, 6.0, 1.0), ("s", "none", 0, 0.0, 0.0, 0.0, 0.0), ("s", "rare", 0, 1.0, 1.0, 1.0, 1.0)], kind)
+    rng = np.random.default_rng(5)
+    rows = [(k, "".join(rng.choice(list("ACGT"), 60, p=[0.4 - 0.1 * (k % 3), 0.2, 0.2 + 0.1 * (k % 3), 0.2])), ("lost", "gained", "background")[k % 3]) for k in range(30)] + [(99, "A", "lost"), (98, "", "lost")]
+    seqs = spark.createDataFrame(rows, "doc_id long, seq string, grp string")
+    limits = motif.thresholds(pwm, motif.background(seqs), 0.2, 1e-4)
+    limit = {r["motif_id"]: r["threshold"] for r in limits.collect()}
+    assert set(limit) == {"m", "rare"}
+    scans = motif.scan(seqs, pwm, 0.5)
+    scores = {g: [x for r in scans.where(f"motif_id = 'm' AND grp = '{g}'").collect() for x in r["scores"] if x > limit["m"]] for g in ("lost", "gained", "background")}
+    got = {r["motif_id"]: r for r in motif.group_tests(scans, limits).collect()}
+    for x, y in (("lost", "background"), ("gained", "background"), ("lost", "gained")):
+        a, b = (np.round(scores[g], 9) for g in (x, y))
+        assert len(a) and got["m"][f"{x}_vs_{y}"] == pytest.approx(U.mann_whitney(a, b, "greater"))
+    table = {r["grp"]: r for r in motif.group_table(scans.where("motif_id = 'm'"), limits).collect()}
+    assert {g: table[g]["n_hits"] for g in scores} == {g: len(x) for g, x in scores.items()}
+    assert motif.thresholds(pwm, motif.background(seqs.limit(0)), 0.2).count() == 0
+
+
 def test_junctions(spark):
     e = spark.createDataFrame([(True, "g", "0.1;x", "0.99;0.2", "10-20;10-30", 1)], "es boolean, gene_id string, delta string, prob string, coords string, event_id long")
     assert {(r["source"], r["target"]) for r in pathways.junctions(e).collect()} == {("10", "20"), ("10", "30")}
