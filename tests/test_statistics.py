@@ -2,13 +2,14 @@
 
 import itertools
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kairoscope.functions import score_udf
+from kairoscope.functions import prize_trees, score_udf
 from kairoscope.functions import tests_udf as U
 from kairoscope.operators import cluster, density, graph, modules, motif, pathways, prep, stats, switch
 from kairoscope.operators import linkage as tree
@@ -260,6 +261,84 @@ def test_prize_tree_takes_what_pays():
     assert modules.prize_tree({"a": 1.0, "b": 1.0}, [("a", "b", 0.0)]) == {"a", "b"}
 
 
+def stepwise_tree(nodes, edges):
+    """Moats step by step: every open edge and component is looked at for each event."""
+    part, left, grown, forest = {n: n for n in nodes}, dict(nodes), dict.fromkeys(nodes, 0.0), []
+    active = {n: p > 0 for n, p in nodes.items()}
+    while any(active.values()):
+        open_edges = [e for e in edges if part[e[0]] != part[e[1]] and active[part[e[0]]] + active[part[e[1]]]]
+        waits = [(max(0.0, (c - grown[a] - grown[b]) / (active[part[a]] + active[part[b]])), 0, k) for k, (a, b, c) in enumerate(open_edges)]
+        step, kind, which = min(waits + [(left[c], 1, c) for c in sorted(active) if active[c]])
+        for n in nodes:
+            grown[n] += step * active[part[n]]
+        for c in active:
+            left[c] -= step * active[c]
+        if kind:
+            active[which] = False
+            continue
+        forest.append(open_edges[which])
+        keep, gone = (part[x] for x in open_edges[which][:2])
+        part = {n: keep if p == gone else p for n, p in part.items()}
+        left[keep] += left.pop(gone)
+        active.pop(gone)
+        active[keep] = left[keep] > 1e-12
+    names = sorted(nodes)
+    found = prize_trees.pruned([nodes[n] for n in names], [(names.index(a), names.index(b), c) for a, b, c in forest])
+    return {names[k] for k in found}
+
+
+def random_prizes(seed, most):
+    r = random.Random(seed)
+    names = [f"n{k:02}" for k in range(r.randint(2, most))]
+    nodes = {n: r.random() * r.choice([0.3, 1, 2]) if r.random() < 0.5 else 0.0 for n in names}
+    return nodes, [(a, b, r.random()) for a, b in itertools.combinations(names, 2) if r.random() < r.choice([0.1, 0.3, 0.6])]
+
+
+def test_prize_trees_are_those_of_one_event_at_a_time():
+    for seed in range(200):
+        nodes, edges = random_prizes(seed, 30)
+        assert modules.prize_tree(nodes, edges) == stepwise_tree(nodes, edges), seed
+
+
+def test_prize_trees_cost_at_most_twice_the_least():
+    def cost(inside, nodes, edges):
+        part, total, joins = {n: n for n in inside}, 0.0, 0
+        for a, b, c in sorted(edges, key=lambda e: e[2]):
+            if a in part and b in part and part[a] != part[b]:
+                part, total, joins = {n: part[a] if p == part[b] else p for n, p in part.items()}, total + c, joins + 1
+        return total + sum(p for n, p in nodes.items() if n not in inside) if joins >= len(inside) - 1 else math.inf
+
+    for seed in range(15):
+        nodes, edges = random_prizes(1000 + seed, 10)
+        least = min(cost(set(w), nodes, edges) for k in range(len(nodes) + 1) for w in itertools.combinations(nodes, k))
+        got = cost(modules.prize_tree(nodes, edges), nodes, edges)
+        assert least - 1e-9 <= got <= 2 * least + 1e-9
+
+
+def test_split_counts_paths_anew_where_an_edge_went():
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ring_of_cliques(4, 6)})
+    nodes = {n for e in edges for n in e}
+
+    def cut_once_more(left):  # the busiest edges of the whole network go until it has one more part
+        before = parts_of(left)
+        while len(parts_of(left)) == len(before):
+            adjacent = {n: [b if a == n else a for a, b in left if n in (a, b)] for n in nodes}
+            flow = modules.betweenness(adjacent)
+            left.remove(max(flow, key=lambda e: (round(flow[e], 6), e)))
+        return parts_of(left)
+
+    def parts_of(left):
+        part = {n: n for n in nodes}
+        for a, b in left:
+            part = {n: part[a] if p == part[b] else p for n, p in part.items()}
+        return {frozenset(n for n in nodes if part[n] == p) for p in set(part.values())}
+
+    left, want = list(edges), None
+    for _ in range(3):
+        want = cut_once_more(left)
+    assert {frozenset(p) for p in modules.split_module(nodes, edges, 60, most=10)} == want
+
+
 def test_betweenness_of_a_bridge():
     adjacent = {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b", "d"], "d": ["c", "e", "f"], "e": ["d", "f"], "f": ["d", "e"]}
     flow = modules.betweenness(adjacent)
