@@ -1,14 +1,14 @@
 """Clusters of series: prototypes, distances, indices of quality, and algorithms.
 
 Series are packed (object_idx, cluster, vals).  The pairwise distance matrix is a feature of the methods here; ``pair_distances`` makes
-each pair once, blocked by Spark's own joins.  Medoids hold a distance matrix on the driver and refuse more than ``BOUND`` objects; hierarchical
-clusters, k-means, DBSCAN, OPTICS and CLARA's assignment are distributed.
+each pair once, blocked by Spark's own joins.  All algorithms are distributed; a matrix on the driver holds CLARA's samples alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions.tests_udf import soft_dtw_column
-from kairoscope.operators import density, graph, prep, stats
+from kairoscope.operators import density, graph, medoids, prep, stats
 from kairoscope.operators import linkage as L
 from kairoscope.operators.prep import ratio
 from kairoscope.session import cut
@@ -93,8 +93,24 @@ def merge_candidates(series: DataFrame, threshold: float, how: str = "median") -
     return prototype_pairs(series, how).where(F.col("corr") >= threshold)
 
 
+def soft_dtw_block(a: np.ndarray, b: np.ndarray, gamma: float = 1.0) -> np.ndarray:
+    """Soft dynamic time warping of the rows of two blocks, cell by cell for all pairs at once."""
+    shape = len(a), len(b)
+    row = [np.zeros(shape), *(np.full(shape, np.inf) for _ in range(b.shape[1]))]
+    for v in a.T:
+        now = [np.full(shape, np.inf)]
+        for j, w in enumerate(b.T):
+            ways = np.stack((row[j], row[j + 1], now[j]))
+            low = ways.min(0)
+            now.append((v[:, None] - w) ** 2 + low - gamma * np.log(np.exp((low - ways) / gamma).sum(0)))
+        row = now
+    return row[-1]
+
+
 def block_distances(a: np.ndarray, b: np.ndarray, name: str) -> np.ndarray:
     """The distances of the rows of two blocks."""
+    if name == "softdtw":
+        return np.concatenate([soft_dtw_block(a[i : i + 32], b) for i in range(0, len(a), 32)])
     if name == "correlation":
         a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
         size = np.sqrt(np.einsum("ij,ij->i", a, a))[:, None] * np.sqrt(np.einsum("ij,ij->i", b, b))
@@ -317,11 +333,6 @@ def matrix(series: DataFrame, name: str = "euclidean", pairs: DataFrame | None =
     return ids, out
 
 
-def _labelled(series: DataFrame, ids: list[int], labels: np.ndarray) -> DataFrame:
-    table = series.sparkSession.createDataFrame([(int(i), int(c)) for i, c in zip(ids, labels, strict=True)], "object_idx long, cluster int")
-    return series.drop("cluster").join(table, "object_idx")
-
-
 def hierarchical(series: DataFrame, k: int, linkage: str = "average", name: str = "euclidean", pairs: DataFrame | None = None) -> DataFrame:
     """By the distances of ``pairs`` (i < j, distance), or else of the series; Ward's linkage of Euclidean series makes no pairs."""
     if pairs is None and not (linkage == "ward" and name == "euclidean"):
@@ -333,29 +344,31 @@ def hierarchical(series: DataFrame, k: int, linkage: str = "average", name: str
 def swap_medoids(distance: np.ndarray, k: int, seed: int = 1234321, most: int = 300) -> np.ndarray:
     """Indices of k medoids: a seeded start without repeats, then the best exchange while one helps."""
     rng = np.random.default_rng(seed)
-    medoids = np.sort(rng.choice(len(distance), min(k, len(distance)), replace=False))
+    chosen = np.sort(rng.choice(len(distance), min(k, len(distance)), replace=False))
     for _ in range(most):
-        to = distance[medoids]
+        to = distance[chosen]
         nearest = to.argmin(0)
         first = to.min(0)
-        second = np.partition(to, 1, 0)[1] if len(medoids) > 1 else np.full(len(distance), np.inf)
+        second = np.partition(to, 1, 0)[1] if len(chosen) > 1 else np.full(len(distance), np.inf)
         best, swap = first.sum() - 1e-12, None
-        for m in range(len(medoids)):
+        for m in range(len(chosen)):
             base = np.where(nearest == m, second, first)
             cost = np.minimum(distance, base[None, :]).sum(1)
-            cost[medoids] = np.inf
+            cost[chosen] = np.inf
             h = int(cost.argmin())
             if cost[h] < best:
                 best, swap = cost[h], (m, h)
         if swap is None:
             break
-        medoids[swap[0]] = swap[1]
-    return np.sort(medoids)
+        chosen[swap[0]] = swap[1]
+    return np.sort(chosen)
 
 
 def kmedoids(series: DataFrame, k: int, name: str = "euclidean", seed: int = 1234321) -> DataFrame:
-    ids, d = matrix(series, name)
-    return _labelled(series, ids, d[swap_medoids(d, k, seed)].argmin(0) + 1)
+    """series with cluster 1..k, by the best exchanges of ``medoids.find``."""
+    distances = partial(block_distances, name=name)
+    ids, values = medoids.find(series, k, distances, seed)
+    return medoids.assign(series, values, distances) if ids else series.drop("cluster").withColumn("cluster", F.lit(1))
 
 
 def clara(series: DataFrame, k: int, name: str = "euclidean", samples: int = 5, seed: int = 1234321) -> DataFrame:
@@ -366,8 +379,8 @@ def clara(series: DataFrame, k: int, name: str = "euclidean", samples: int = 5,
         part = series.orderBy(F.xxhash64(F.lit(seed + s), "object_idx"), "object_idx").limit(size)
         ids, d = matrix(part, name)
         chosen = [ids[m] for m in swap_medoids(d, k, seed + s)]
-        medoids = series.where(F.col("object_idx").isin(chosen)).select(F.col("object_idx").alias("m"), F.col("vals").alias("mv"))
-        near = series.crossJoin(F.broadcast(medoids)).groupBy("object_idx").agg(F.min(F.struct(metric(name)(F.col("vals"), F.col("mv")).alias("d"), F.col("m"))).alias("n"))  # k rows
+        centres = series.where(F.col("object_idx").isin(chosen)).select(F.col("object_idx").alias("m"), F.col("vals").alias("mv"))
+        near = series.crossJoin(F.broadcast(centres)).groupBy("object_idx").agg(F.min(F.struct(metric(name)(F.col("vals"), F.col("mv")).alias("d"), F.col("m"))).alias("n"))  # k rows
         inertia = near.agg(F.sum("n.d")).first()[0]
         if best is None or inertia < best[0]:
             best = inertia, chosen, near

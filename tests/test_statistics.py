@@ -1,5 +1,6 @@
 """Answers worked out by hand, and properties."""
 
+import functools
 import itertools
 import math
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kairoscope.functions import prize_trees, score_udf
 from kairoscope.functions import tests_udf as U
-from kairoscope.operators import cluster, density, graph, modules, motif, pathways, prep, stats, switch
+from kairoscope.operators import cluster, density, graph, medoids, modules, motif, pathways, prep, stats, switch
 from kairoscope.operators import linkage as tree
 from kairoscope.operators.communities import communities
 from kairoscope.session import cut
@@ -502,6 +503,48 @@ def test_centroid_and_medoid_clusters_by_brute_force(spark):
             assert distance[other].min(0).sum() >= cost - 1e-9
 
 
+def exchanged(d, chosen):
+    """The best exchange of all, again and again."""
+    while True:
+        now = d[chosen].min(0).sum()
+        options = [(round(d[[*chosen[:m], h, *chosen[m + 1 :]]].min(0).sum(), 9), m, h) for m in range(len(chosen)) for h in range(len(d)) if h not in chosen]
+        cost, m, h = min(options, default=(math.inf, 0, 0))
+        if cost >= now - 1e-9 * max(1.0, now):
+            return chosen, now
+        chosen = sorted([*chosen[:m], *chosen[m + 1 :], h])
+
+
+@pytest.mark.parametrize(("name", "k", "block"), [("euclidean", 5, 64), ("correlation", 3, 2048), ("softdtw", 2, 32), ("euclidean", 1, 16)])
+def test_medoids_are_those_of_the_whole_matrix(spark, monkeypatch, name, k, block):
+    n = 90 if name == "softdtw" else 300
+    x = np.random.default_rng(k).normal(0, 1, (n, 4)) + np.arange(n)[:, None] % 5 * [3.0, -2.0, 1.0, 0.0]
+    x[7] = x[8] = x[9]
+    series = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "object_idx long, vals array<double>")
+    monkeypatch.setattr(medoids, "BLOCK", block)
+    monkeypatch.setattr(medoids, "RUN", 2)
+    distances = functools.partial(cluster.block_distances, name=name)
+    d = distances(x, x)
+    start = sorted(r[0] for r in series.orderBy(F.xxhash64(F.lit(1234321), "object_idx"), "object_idx").limit(k).collect())
+    want, cost = exchanged(d, start)
+    ids, values = medoids.find(series, k, distances)
+    assert d[ids].min(0).sum() == pytest.approx(cost) and np.array_equal(values, x[ids])
+    got = {r["object_idx"]: r["cluster"] for r in cluster.kmedoids(series, k, name).collect()}
+    assert [got[i] for i in range(n)] == (d[ids].argmin(0) + 1).tolist()
+
+
+def test_medoids_of_few_objects(spark):
+    series = spark.createDataFrame([(1, [0.0]), (2, [0.0]), (3, [5.0])], "object_idx long, vals array<double>")
+    assert {r["object_idx"]: r["cluster"] for r in cluster.kmedoids(series, 5).collect()} == {1: 1, 2: 1, 3: 3}
+    assert cluster.kmedoids(series.limit(0), 2).count() == 0
+
+
+def test_warped_distances_of_blocks(spark):
+    x = np.random.default_rng(1).normal(size=(6, 5))
+    rows = [(a.tolist(), b.tolist()) for a in x for b in x]
+    want = [r[0] for r in spark.createDataFrame(rows, "a array<double>, b array<double>").select(U.soft_dtw_column()("a", "b")).collect()]
+    assert cluster.block_distances(x, x, "softdtw").ravel() == pytest.approx(want)
+
+
 def test_kmeans_by_warped_distance_takes_medoids(spark):
     found = labels_and_values(cluster.find_clusters(packed_series(spark, 20), "kmeans", 4, name="softdtw"))
     assert len(set(found)) == 4
