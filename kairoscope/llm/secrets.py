@@ -5,8 +5,9 @@ hexadecimal runs) and the candidates: the value of each base span and every mixe
 ``MIN_TOKEN`` characters or more with an entropy of ``MIN_ENTROPY`` bits or more a character.
 Candidates are hashed, and the hashes are counted over the whole corpus by distinct repository and
 distinct owner (pre-aggregated before the shuffle, so that a value that a third of all documents
-copy is one row per task).  A value that ``WIDE`` owners or more hold is a copied example; the
-others are owner-specific and look live.  Only owners decide: the number of repositories is told, but however many of one owner hold a value, it looks live.  The verdicts go back to the occurrences
+copy is one row per task).  A value that ``WIDE`` owners or more hold is a copied example, and so is one
+that two owners or more hold in ``MANY`` repositories or more; the others are owner-specific and look live, in however many repositories of one owner they lie.
+``redact`` asks for ``WIDE`` owners whatever the repositories, so that in doubt it masks.  The verdicts go back to the occurrences
 (by the reversed hash, so that both sides are dealt for that join alone and adaptive execution can split a value that very many documents hold), and each document
 gets its base spans plus one span a candidate: ``live`` or ``example``.
 
@@ -39,6 +40,8 @@ WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 MIN_VALUE, MIN_ACCESS, MIN_TOKEN, MIN_ENTROPY = 8, 16, 24, 3.5
 #: Owners from which on a value counts as a copied example.
 WIDE = 3
+#: Distinct repositories that make a value of two owners an example.
+MANY = 100
 FOUND = "n_chars long, base array<struct<kind:string,first:long,last:long>>, candidates array<struct<hash:string,first:long,last:long>>"
 
 
@@ -111,7 +114,7 @@ def scan_text(text: Column) -> Column:
     return scanned.asNondeterministic()(F.coalesce(text, F.lit("")))  # so that a filter behind it doesn't scan again
 
 
-def judged(seen: DataFrame, row: str, repo: str, owner: str, wide: int) -> DataFrame:
+def judged(seen: DataFrame, row: str, repo: str, owner: str, wide: int, many: int | None = None) -> DataFrame:
     """row, m: each occurrence of a candidate of ``seen`` with its verdict (first, last, kind, n_repos, n_owners)."""
     marks = seen.where(F.size("candidates") > 0).select(F.col(row).alias("row"), F.col(repo).alias("r"), F.col(owner).alias("o"), F.explode("candidates").alias("c"))
     marks = marks.select("row", "r", "o", F.reverse("c.hash").alias("turned"), F.col("c.first").alias("first"), F.col("c.last").alias("last"))
@@ -120,21 +123,25 @@ def judged(seen: DataFrame, row: str, repo: str, owner: str, wide: int) -> DataF
     by_owner = held.groupBy("hash", "o").agg(F.count("*").alias("repos"))
     verdicts = by_owner.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
     verdicts = verdicts.select(F.reverse("hash").alias("of"), "n_repos", "n_owners")
-    kind = F.when(F.col("n_owners") >= wide, "example").otherwise("live").alias("kind")
+    copied = F.col("n_owners") >= wide
+    if many is not None:
+        copied = copied | ((F.col("n_owners") >= 2) & (F.col("n_repos") >= many))
+    kind = F.when(copied, "example").otherwise("live").alias("kind")
     return marks.join(verdicts, F.col("turned") == F.col("of")).select("row", F.struct("first", "last", kind, "n_repos", "n_owners").alias("m"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", wide: int = WIDE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", wide: int = WIDE, many: int | None = MANY) -> DataFrame:
     """One row per document: id, n_chars, base and marked spans.
 
     marked: array of (kind, first, last, n_repos, n_owners) with kind ``live`` or ``example``.
     repo_col: what counts as a repository, the document itself where it is None.
+    wide, many: owners that make an example, and repositories that do with two owners or more (None: none do).
     """
     repo = F.col(repo_col) if repo_col else F.col(id_col)
     # The row number tells rows that share an id apart; the checkpoint fixes it.
     seen = docs.select(F.col(id_col).alias("scan_id"), repo.cast("string").alias("scan_repo"), F.col(owner_col).cast("string").alias("scan_owner"), scan_text(F.col(text_col)).alias("found"))
     seen = cut(seen.select("scan_id", "scan_repo", "scan_owner", "found.*").withColumn("scan_row", F.monotonically_increasing_id()))
-    by_row = judged(seen, "scan_row", "scan_repo", "scan_owner", wide).groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("marked"))
+    by_row = judged(seen, "scan_row", "scan_repo", "scan_owner", wide, many).groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("marked"))
     out = seen.join(by_row, F.col("scan_row") == F.col("row"), "left")
     none = F.array().cast("array<struct<first:long,last:long,kind:string,n_repos:long,n_owners:long>>")
     return out.select(F.col("scan_id").alias(id_col), "n_chars", "base", F.coalesce("marked", none).alias("marked"))
@@ -146,6 +153,7 @@ def joined(spans: str) -> str:
 
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """The spans of every document; held_by tells of each marked one first:last:repositories:owners, comma-joined."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = scan(docs)
     count = lambda kind: F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long)")
@@ -158,6 +166,9 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
         count("hex").alias("n_hex"),
         F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"),
         F.expr(joined(every)).alias("spans"),
+        F.expr("cast(size(filter(marked, s -> s.kind = 'live')) as long)").alias("n_live"),
+        F.expr("cast(size(filter(marked, s -> s.kind = 'example')) as long)").alias("n_example"),
+        F.expr("array_join(transform(marked, s -> concat(s.first, ':', s.last, ':', s.n_repos, ':', s.n_owners)), ',')").alias("held_by"),
     )
 
 

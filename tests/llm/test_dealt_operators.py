@@ -590,6 +590,16 @@ def test_secret_spans(spark, odd, none):
     assert len(secrets.scan(odd).collect()) == 10 and secrets.scan(none).collect() == [] and secrets.redact(odd).count() == 10
 
 
+def test_repositories_decide_where_two_owners_hold_a_value(spark):
+    shared, own = "Zx9Kq2Lm8Vb4Nw7Rt1Yp5Hs3", "Qw8Er7Ty6Ui5Op4As3Df2Gh1"
+    docs = documents(spark, [(i, f"token={shared}", "en", "o1" if i < 4 else "o2") for i in range(5)] + [(9, f"token={own}", "en", "o1"), (10, f"token={own} again", "en", "o1"), (10, f"token={own} again", "en", "o1")])
+    for many, want in ((5, "example"), (6, "live"), (None, "live")):
+        marked = {r["doc_id"]: r["marked"] for r in secrets.scan(docs, many=many).collect()}
+        assert {m["kind"] for i in range(5) for m in marked[i]} == {want} and {(m["n_repos"], m["n_owners"]) for i in range(5) for m in marked[i]} == {(5, 2)}
+        assert [(m["kind"], m["n_repos"], m["n_owners"]) for m in marked[9] + marked[10]] == [("live", 2, 1)] * 2
+    assert all(r["text"].startswith("token=[SECRET]") for r in secrets.redact(docs).collect())
+
+
 def test_nested_secrets_are_masked_once(spark):
     run = "0123456789abcdef" * 4
     texts = [
@@ -770,7 +780,13 @@ def test_query_accuracy_on_what_was_held_out(spark):
 
 def test_query_secrets_by_other_patterns(spark, texts):
     assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    holders = {}
+    for i, t in texts.items():
+        for value in {t[a:b] for _, a, b in secrets.found_in(t)[2]}:
+            holders.setdefault(value, set()).add(i)
     for i, r in got_of(spark, "op9_secret_scan").items():
+        held = [tuple(map(int, x.split(":"))) for x in r["held_by"].split(",") if x]
+        assert len(held) == r["n_live"] + r["n_example"] and all(repos == len(holders[texts[i][a:b]]) and 1 <= owners <= repos for a, b, repos, owners in held)
         t, base = texts[i], []
         base += [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m.group(1)) >= 8]
         base += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 16]
