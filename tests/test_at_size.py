@@ -32,3 +32,38 @@ def test_pairs_with_missing_values(spark):
     assert {(r["i"], r["j"]) for r in cluster.pair_distances(packed(spark, x)).where("distance IS NULL").collect()} == {(0, 2), (1, 2), (2, 3)}
     assert cluster.pair_distances(packed(spark, x), "correlation").where("distance = 0 AND (i = 2 OR j = 2)").count() == 3
     assert cluster.pair_distances(packed(spark, x).where("false")).count() == 0
+
+
+def test_dense_clusters_make_no_row_of_each_near_pair(spark, monkeypatch):
+    """Blocks of 16 objects, so that all steps meet; against the table of near pairs, which neither clustering takes."""
+    from kairoscope.operators import density
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.4, (60, 4)), rng.normal(3, 0.7, (60, 4)), rng.uniform(-6, 6, (30, 4)), np.full((5, 4), 9.0)])
+    monkeypatch.setattr(density, "BLOCK", 16)
+    monkeypatch.setattr(density, "FIRST", 2)
+    near = cluster.near_pairs(packed(spark, x), 1.5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert near.count() == (np.triu(d <= 1.5, 1)).sum()
+
+    def refuse(*_):
+        raise AssertionError("all near pairs")
+
+    monkeypatch.setattr(cluster, "near_pairs", refuse)
+    for least in (1, 3):
+        adjacent = (d <= 1.5) & ~np.eye(len(x), dtype=bool)
+        core = adjacent.sum(1) >= max(least - 1, 1)
+        label = np.where(core, np.arange(len(x)), -1)
+        for _ in range(len(x)):
+            for i in np.flatnonzero(core):
+                label[i] = min(label[i], label[adjacent[i] & core].min(initial=label[i]))
+        order = {c: k for k, c in enumerate(sorted(set(label[core])), 1)}
+        reach = np.where(core, 0.0 if least <= 1 else np.sort(d, 1)[:, max(least, 1) - 1], np.inf)
+        by_id, by_reach = {}, {}
+        for i in range(len(x)):
+            others = np.flatnonzero(adjacent[i] & core)
+            by_id[i] = order[label[i]] if core[i] else min((order[label[j]] for j in others), default=0)
+            by_reach[i] = order[label[i]] if core[i] else min(((max(d[i, j], reach[j]), j, order[label[j]]) for j in others), default=(0, 0, 0))[2]
+        series = packed(spark, x)
+        assert {r["object_idx"]: r["cluster"] for r in cluster.dbscan(series, 1.5, least).collect()} == by_id
+        assert {r["object_idx"]: r["cluster"] for r in cluster.optics(series, 1.5, least).collect()} == by_reach
