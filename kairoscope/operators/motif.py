@@ -5,19 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions.score_udf import score_limit_column
-from kairoscope.functions.tests_udf import pearson_pvalue_column, rank_pvalue_column
-from kairoscope.operators import prep, stats
+from kairoscope.functions.tests_udf import pearson_pvalues, rank_pvalue_column
+from kairoscope.operators import blocks, prep, stats
+from kairoscope.session import cut
 
 LETTERS = ("a", "c", "g", "t")
 #: Positions of all motifs of a scan together.
 LIBRARY = 1_000_000
 #: Buckets of scores in each unit, for ranks.
 BUCKETS = 64
+#: The most factors and transcripts of a block of correlations, and the factors of a strip.
+BLOCK = (256, 1024, 32)
 
 
 def gc_fraction(seq: Column, digits: int | None = 2) -> Column:
@@ -172,6 +176,58 @@ def exon_sets(events: DataFrame, which: str = "loss", mode: str = "all") -> Data
     return kept.select("gene_id", F.explode(column).alias("exon")).distinct()
 
 
+def centred(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Rows less their mean, and their sums of squares, summed in order of the values."""
+    x = np.stack(values.to_numpy()).astype(float)
+    x = x - (np.cumsum(x, 1)[:, -1] / x.shape[1])[:, None]
+    return x, np.cumsum(x * x, 1)[:, -1]
+
+
+def correlated(factors: DataFrame, transcripts: DataFrame, points: int, cutoff: float) -> tuple[DataFrame, int]:
+    """sf, gene_id, transcript_id, corr, p_value of the pairs whose correlation has a size of ``cutoff`` or more, and the number of all pairs that have one.
+
+    factors: sf, x; transcripts: gene_id, transcript_id, y (arrays of ``points``).  Blocks of both meet, and pairs are rows only where they leave.
+    """
+
+    def packed(names: list[str], values: str):
+        def pack(rows: pd.DataFrame) -> pd.DataFrame:
+            x, square = centred(rows[values])
+            kept = square > 0
+            return pd.DataFrame({"n": [int(kept.sum())], **{c: [rows[c].to_numpy()[kept].tolist()] for c in names}, values: [x[kept].tobytes()], f"{values}_squares": [square[kept].tobytes()]})
+
+        return pack
+
+    def blocks_of(frame: DataFrame, names: list[str], values: str, size: int) -> tuple[DataFrame, int]:
+        count = -(-frame.count() // size) or 1
+        dealt = frame.withColumn("blk", F.pmod(F.xxhash64(names[-1]), F.lit(count))).groupBy("blk")
+        packs = cut(dealt.applyInPandas(packed(names, values), f"n long, {', '.join(f'{c} array<string>' for c in names)}, {values} binary, {values}_squares binary").where("n > 0"))
+        return packs.drop("n"), packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[c]).reshape(-1, points) for c in "xy")
+                xx, yy = np.frombuffer(row["x_squares"]), np.ascontiguousarray(np.frombuffer(row["y_squares"]))
+                names = [pa.array(row[c]) for c in ("sf", "gene_id", "transcript_id")]
+                columns = np.ascontiguousarray(y.T)
+                for at in range(0, len(x), BLOCK[2]):
+                    part = slice(at, at + BLOCK[2])
+                    r = np.zeros((len(x[part]), len(y)))
+                    for v, w in zip(x[part].T, columns, strict=True):
+                        r += v[:, None] * w
+                    r /= np.sqrt(xx[part, None] * yy)
+                    i, j = np.nonzero(np.abs(r) >= cutoff)
+                    if len(i):
+                        kept = r[i, j]
+                        p = pearson_pvalues(kept, points)
+                        yield pa.RecordBatch.from_arrays([names[0].take(pa.array(i + at)), names[1].take(pa.array(j)), names[2].take(pa.array(j)), pa.array(kept), pa.array(p, mask=np.isnan(p))], ["sf", "gene_id", "transcript_id", "corr", "p_value"])
+
+    a, n_a = blocks_of(cut(factors), ["sf"], "x", BLOCK[0])
+    b, n_b = blocks_of(cut(transcripts), ["gene_id", "transcript_id"], "y", BLOCK[1])
+    both = blocks.spread(a.crossJoin(b), a.count() * b.count())  # a row a pair of blocks
+    return both.mapInArrow(compare, "sf string, gene_id string, transcript_id string, corr double, p_value double"), n_a * n_b
+
+
 def factor_coexpression(expr: DataFrame, factors: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None, method: str = "bonferroni", corr_cutoff: float = 0.7, padj_cutoff: float = 0.05) -> DataFrame:
     """sf, gene_id, transcript_id, corr, p_value, adj_p, direction: factors (gene_id) whose expression follows or opposes a transcript's abundance.
 
@@ -183,10 +239,9 @@ def factor_coexpression(expr: DataFrame, factors: DataFrame, reps: int, timepoin
     share = prep.relative_abundance(expr if genes is None else expr.join(genes.select("gene_id").distinct(), "gene_id", "left_semi"))
     iso = share.groupBy("gene_id", "transcript_id").agg(F.array_sort(F.collect_list(F.struct(at, F.col("abundance").alias("value")))).alias("w"))
     many = iso.groupBy("gene_id").agg(F.count("*").alias("n")).where("n > 1").select("gene_id")
-    both = iso.join(many, "gene_id", "left_semi").crossJoin(sf.select("sf", "v"))  # factors x transcripts is the question
-    found = both.select("sf", "gene_id", "transcript_id", stats.pearson(F.col("v.value"), F.col("w.value")).alias("corr")).where("corr IS NOT NULL")
-    tested = found.withColumn("p_value", pearson_pvalue_column()("corr", F.lit(reps * timepoints)))
-    out = stats.adjust(tested, "p_value", "adj_p", method).where((F.abs("corr") > corr_cutoff) & (F.col("adj_p") < padj_cutoff))
+    part = 0.0 if method == "fdr_bh_standard" else corr_cutoff
+    tested, tests = correlated(sf.select("sf", F.col("v.value").alias("x")), iso.join(many, "gene_id", "left_semi").select("gene_id", "transcript_id", F.col("w.value").alias("y")), reps * timepoints, part)
+    out = stats.adjust(tested, "p_value", "adj_p", method, None if method == "fdr_bh_standard" else tests).where((F.abs("corr") > corr_cutoff) & (F.col("adj_p") < padj_cutoff))
     return out.withColumn("direction", F.when(F.col("corr") > 0, "+").otherwise("-"))
 
 

@@ -19,12 +19,15 @@ METHODS = ("fdr_bh", "fdr_bh_standard", "holm", "bonferroni")
 _NONE = -(1 << 30)
 
 
-def adjust(frame: DataFrame, p: str = "p", out: str = "adj_p", method: str = "fdr_bh") -> DataFrame:
+def adjust(frame: DataFrame, p: str = "p", out: str = "adj_p", method: str = "fdr_bh", tests: int | None = None) -> DataFrame:
     """``frame`` with corrected p-values; null ones stay null and don't count.
 
     fdr_bh multiplies the i-th smallest of n by (n - i + 1) / n and takes running maxima; fdr_bh_standard is the
-    procedure of Benjamini and Hochberg; holm and bonferroni are the usual ones.
+    procedure of Benjamini and Hochberg; holm and bonferroni are the usual ones.  ``tests`` is their number where ``frame`` holds the smallest p-values only, as a value's
+    correction asks for no larger ones (but by fdr_bh_standard).
     """
+    if tests is not None and method == "fdr_bh_standard":
+        raise ValueError("fdr_bh_standard asks for all p-values")
     if method not in METHODS:
         raise ValueError(f"{method} is none of {METHODS}")
     frame = cut(frame)  # the p-values are read several times and may have cost much
@@ -32,7 +35,7 @@ def adjust(frame: DataFrame, p: str = "p", out: str = "adj_p", method: str = "fd
     values = values.withColumn("__b", F.when(F.col("__p") > 0, F.floor(F.log2("__p") * 64)).otherwise(_NONE).cast("int"))
     every = Window.partitionBy(F.lit(0))  # a row a bucket: 70,000 at most
     before = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = values.groupBy("__b").agg(F.sum("__c").alias("__t")).select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"), F.sum("__t").over(every).alias("__n"))
+    totals = values.groupBy("__b").agg(F.sum("__c").alias("__t")).select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__before"), F.sum("__t").over(every).alias("__n") if tests is None else F.lit(tests).alias("__n"))
     inside = Window.partitionBy("__b").orderBy("__p")
     ranked = values.join(totals, "__b").withColumn("__last", F.col("__before") + F.sum("__c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     first, n = F.col("__last") - F.col("__c") + 1, F.col("__n")

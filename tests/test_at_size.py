@@ -67,3 +67,40 @@ def test_dense_clusters_make_no_row_of_each_near_pair(spark, monkeypatch):
         series = packed(spark, x)
         assert {r["object_idx"]: r["cluster"] for r in cluster.dbscan(series, 1.5, least).collect()} == by_id
         assert {r["object_idx"]: r["cluster"] for r in cluster.optics(series, 1.5, least).collect()} == by_reach
+
+
+def test_many_correlation_pvalues_are_those_of_one():
+    from kairoscope.functions import tests_udf as U
+
+    r = np.concatenate([np.linspace(-1, 1, 401), [1e-9, 0.999999999, 0.3, 0.3, np.nan]])
+    for n in (3, 4, 7, 21, 60):
+        want = [np.nan if x != x else 0.0 if abs(x) >= 1 else U.t_tail(abs(x) * np.sqrt((n - 2) / (1 - x * x)), n - 2) for x in r]
+        got = U.pearson_pvalues(r, n)
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-300, nan_ok=True) and got[-2] == got[-3]
+    assert np.isnan(U.pearson_pvalues(r, 2)).all()
+
+
+@pytest.mark.parametrize("method", ["fdr_bh", "holm", "bonferroni"])
+def test_corrections_from_the_smallest_pvalues_alone(spark, method):
+    from kairoscope.operators import stats
+
+    frame = spark.createDataFrame([(float(i % 37 + 1) / 40,) for i in range(90)], "p double")
+    want = {r["p"]: r["adj_p"] for r in stats.adjust(frame, "p", "adj_p", method).collect()}
+    part = stats.adjust(frame.where("p <= 0.4"), "p", "adj_p", method, 90).collect()
+    assert part and all(r["adj_p"] == want[r["p"]] for r in part)
+
+
+def test_factors_meet_transcripts_in_blocks(spark, monkeypatch):
+    from kairoscope.operators import motif
+
+    monkeypatch.setattr(motif, "BLOCK", (3, 7, 2))
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(8, 6)), rng.normal(size=(30, 6))
+    y[4] = 1.0
+    factors = spark.createDataFrame([(f"F{i}", v.tolist()) for i, v in enumerate(x)], "sf string, x array<double>")
+    transcripts = spark.createDataFrame([(f"G{i % 9}", f"T{i}", v.tolist()) for i, v in enumerate(y)], "gene_id string, transcript_id string, y array<double>")
+    found, tests = motif.correlated(factors, transcripts, 6, 0.4)
+    assert tests == 8 * 29
+    got = {(r["sf"], r["transcript_id"]): r["corr"] for r in found.collect()}
+    want = {(f"F{i}", f"T{j}"): r for i in range(8) for j in range(30) if j != 4 and abs(r := np.corrcoef(x[i], y[j])[0, 1]) >= 0.4}
+    assert got == pytest.approx(want)
