@@ -104,3 +104,31 @@ def test_factors_meet_transcripts_in_blocks(spark, monkeypatch):
     got = {(r["sf"], r["transcript_id"]): r["corr"] for r in found.collect()}
     want = {(f"F{i}", f"T{j}"): r for i in range(8) for j in range(30) if j != 4 and abs(r := np.corrcoef(x[i], y[j])[0, 1]) >= 0.4}
     assert got == pytest.approx(want)
+
+
+def test_steps_from_many_sources_in_blocks(spark, monkeypatch):
+    from kairoscope.operators import graph, paths
+
+    monkeypatch.setattr(paths, "NODES", 16)
+    rng = np.random.default_rng(2)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (60, 2)).tolist() if a != b})
+    far = np.where(np.eye(70, dtype=bool), 0.0, np.inf)
+    for a, b in edges:
+        far[a, b] = far[b, a] = 1
+    for k in range(70):
+        far = np.minimum(far, far[:, [k]] + far[[k]])
+    name = [f"n{i:02d}" for i in range(70)]
+    net = spark.createDataFrame([(name[a], name[b]) for a, b in edges], "src string, dst string")
+    sources = [*range(0, 60, 3), 65]  # the last is no node
+    found = graph.distances(net, spark.createDataFrame([(name[i],) for i in sources] * 2, "source string"))
+    assert "Join" not in plan(found).split("MapInArrow")[0]
+    assert sorted(tuple(r) for r in found.collect()) == sorted((name[i], name[j], int(far[i, j])) for i in sources for j in range(70) if np.isfinite(far[i, j]))
+    x = rng.normal(size=(40, 3))
+    gene = [name[(2 * i) % 66] for i in range(40)]  # two objects may have one gene
+    series = spark.createDataFrame([(i, gene[i], v.tolist()) for i, v in enumerate(x)], "object_idx long, gene_id string, vals array<double>")
+    at = [int(g[1:]) for g in gene]
+    top = max(far[i, j] for i in set(at) for j in range(70) if np.isfinite(far[i, j]))
+    close = np.array([[(top - far[i, j]) / top if np.isfinite(far[i, j]) else 0.0 for j in at] for i in at])
+    want = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + 1 - close) / 2
+    got = {(r["i"], r["j"]): r["distance"] for r in cluster.composite_distance(series, net).collect()}
+    assert got == pytest.approx({(i, j): want[i, j] for i in range(40) for j in range(i + 1, 40)})
