@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -71,20 +72,114 @@ def rank_pvalue_column(alternative: str = "two-sided"):
     return p
 
 
-def segment_tests(reps: int, timepoints: int):
-    """A column function (a, b, points) to array<struct<p1, p2>>: for each point the tests of both replicate-major series before against behind it, up to the neighbouring points."""
+def shared_points(reps: int, timepoints: int, pairs: list[tuple[int, int]]):
+    """A column function of two replicate-major arrays to the time points at which the sign of a - b differs from the one before in all replicates; where there are none, in both replicates of one of ``pairs``."""
+
+    @F.arrow_udf("array<int>")
+    def points(a: pa.Array, b: pa.Array) -> pa.Array:
+        signs = np.sign(rows_of(a, reps * timepoints) - rows_of(b, reps * timepoints)).reshape(-1, reps, timepoints)
+        turns = np.zeros(signs.shape, bool)
+        turns[..., 1:] = (signs[..., 1:] != signs[..., :-1]) & ~np.isnan(signs[..., 1:]) & ~np.isnan(signs[..., :-1])
+        found, some = turns.all(1), np.zeros((len(signs), timepoints), bool)
+        for i, j in pairs:
+            some |= turns[:, i] & turns[:, j]
+        found |= some & ~found.any(1)[:, None]
+        ends = np.concatenate(([0], np.cumsum(found.sum(1)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(found)[1].astype(np.int32)))
+
+    return points.asNondeterministic()
+
+
+def rows_of(arrays: pa.Array, width: int) -> np.ndarray:
+    """Arrays of ``width`` numbers as rows; missing ones are NaN."""
+    return arrays.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(arrays), width)
+
+
+def two_sided(z: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """The tests of ``mann_whitney`` of many pairs of samples at once, rounded to 12 digits: values, and which of them are of the first and of the second sample (a column a pair of samples)."""
+    inside, count = before | behind, z.shape[1]
+    twice, equals = np.zeros(count, np.int64), np.ones(z.shape, np.int64)
+    for i in range(len(z)):
+        for j in range(i + 1, len(z)):
+            same = (z[i] == z[j]) & inside[i] & inside[j]
+            equals[i] += same
+            equals[j] += same
+            for one, other in ((i, j), (j, i)):
+                apart = before[one] & behind[other]
+                if apart.any():
+                    twice += 2 * ((z[one] > z[other]) & apart)
+                    twice += same & apart
+    ties = ((equals * equals - 1) * inside).sum(0)
+    keys, place = np.unique(np.stack((before.sum(0), behind.sum(0), twice, ties)), axis=1, return_inverse=True)
+    p = np.array([round(u_pvalue(*k, "two-sided"), 12) if k[0] and k[1] else 1.0 for k in keys.T.tolist()])[place.ravel()] if count else np.zeros(0)
+    for k in np.flatnonzero((np.isnan(z) & inside).any(0)):  # missing values rank as they sort
+        p[k] = round(mann_whitney(z[before[:, k], k], z[behind[:, k], k]), 12)
+    return p
 
-    @F.pandas_udf("array<struct<p1:double,p2:double>>")
-    def tests(a: pd.Series, b: pd.Series, points: pd.Series) -> pd.Series:
-        out = []
-        for x, y, at in zip(a, b, points, strict=True):
-            p, q = np.asarray(x, float).reshape(reps, timepoints), np.asarray(y, float).reshape(reps, timepoints)
-            ends = [0, *at, timepoints]
-            test = lambda z, i, j, k: round(mann_whitney(z[:, i:j].ravel(), z[:, j:k].ravel()), 12)
-            out.append([{"p1": test(p, i, j, k), "p2": test(q, i, j, k)} for i, j, k in zip(ends[:-2], ends[1:-1], ends[2:], strict=True)])
-        return pd.Series(out)
-
-    return tests
+
+def segment_features(reps: int, timepoints: int, tested: bool = True):
+    """A column function of replicate-major arrays (a, b, top) and points to an array of structs, one a point, over the stretches up to the neighbouring points.
+
+    sp; importance: the mean share of the gene's largest abundance that both have at the point and before it, null where the gene has nothing; diff; prob of a above b, and of b above a; and with
+    ``tested`` the tests p1 and p2 of a and b before against behind the point.  All points of a batch are taken together, cell by cell.
+    """
+    names = ["sp", "importance", "diff", "prob_ab", "prob_ba", *(("p1", "p2") if tested else ())]
+    time = np.arange(reps * timepoints)[:, None] % timepoints
+
+    kinds = ", ".join(f"{n}:{'int' if n == 'sp' else 'double'}" for n in names)
+
+    @F.arrow_udf(f"array<struct<{kinds}>>")
+    def features(a: pa.Array, b: pa.Array, top: pa.Array, points: pa.Array) -> pa.Array:
+        n = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sp, row = points.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(n)), n)
+        new = np.diff(row, prepend=-1, append=-1) != 0
+        low, high = np.where(new[:-1], 0, np.roll(sp, 1)), np.where(new[1:], timepoints, np.roll(sp, -1))
+        x, y, most = (np.ascontiguousarray(rows_of(v, len(time))[row].T) for v in (a, b, top))
+        before, behind = (low <= time) & (time < sp), (sp <= time) & (time < high)
+        sizes = reps * (sp - low), reps * (high - sp)
+
+        def mean(v: np.ndarray, cells: np.ndarray, size: np.ndarray) -> np.ndarray:
+            total = np.zeros(len(sp))
+            for value, cell in zip(v, cells, strict=True):  # in the order of the cells
+                total += np.where(cell, value, 0.0)
+            return total / size
+
+        share = lambda higher, cells, size: (higher & cells).sum(0) / size
+        part, at = np.zeros(len(sp)), np.arange(len(sp))
+        for r in range(reps):
+            each = [np.divide(v[k, at], most[k, at], out=np.full(len(sp), np.nan), where=most[k, at] != 0) for v in (x, y) for k in (r * timepoints + sp - 1, r * timepoints + sp)]
+            part += each[0] + each[1] + each[2] + each[3]
+        out = [part / (4 * reps), (np.abs(mean(x, before, sizes[0]) - mean(x, behind, sizes[1])) + np.abs(mean(y, before, sizes[0]) - mean(y, behind, sizes[1]))) / 2]
+        out += [share(x > y, before, sizes[0]) + share(x < y, behind, sizes[1]), share(y > x, before, sizes[0]) + share(y < x, behind, sizes[1])]
+        out += [two_sided(v, before, behind) for v in (x, y)] if tested else []
+        columns = [pa.array(sp.astype(np.int32)), *(pa.array(v, mask=np.isnan(v)) for v in out)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.StructArray.from_arrays(columns, names))
+
+    return features.asNondeterministic()  # else filters behind it are pushed into joins before it, and take it again and again
+
+
+def stretch_counts(orders: list[list[int]]):
+    """A column function of two arrays of one replicate to a struct: ``seen``, the longest stretch of times without a change of the sign of a - b, and ``reached``, how many of ``orders`` (the old time at each new
+    one) have one as long.  All pairs of a batch are taken together."""
+    def longest(signs: np.ndarray) -> np.ndarray:
+        last, most = np.zeros(signs.shape[:-1], np.int64), np.zeros(signs.shape[:-1], np.int64)
+        for t in range(1, signs.shape[-1]):
+            turn = (signs[..., t] != signs[..., t - 1]) & ~np.isnan(signs[..., t]) & ~np.isnan(signs[..., t - 1])
+            most = np.where(turn, np.maximum(most, t - last), most)
+            last = np.where(turn, t, last)
+        return np.maximum(most, signs.shape[-1] - last)
+
+    @F.arrow_udf("struct<seen:int,reached:int>")
+    def counts(a: pa.Array, b: pa.Array) -> pa.Array:
+        width = len(a[0]) if len(a) else 0
+        signs = np.sign(rows_of(a, width) - rows_of(b, width))
+        seen = longest(signs)
+        reached = np.zeros(len(seen), np.int32)
+        for order in orders:
+            reached += longest(signs[:, order]) >= seen
+        return pa.StructArray.from_arrays([pa.array(seen.astype(np.int32)), pa.array(reached)], ["seen", "reached"])
+
+    return counts.asNondeterministic()
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:

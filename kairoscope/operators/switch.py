@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kairoscope.functions.tests_udf import segment_tests
+from kairoscope.functions.tests_udf import segment_features, shared_points, stretch_counts
 from kairoscope.operators import prep, stats
 
 
@@ -41,19 +41,11 @@ def points_by_replicate(reps: int, timepoints: int) -> Column:
     return F.expr(f"transform(sequence(0, {reps - 1}), r -> filter(sequence(1, {timepoints - 1}), x -> signum(a[r * {timepoints} + x] - b[r * {timepoints} + x]) <> signum(a[r * {timepoints} + x - 1] - b[r * {timepoints} + x - 1])))")
 
 
-def consensus(reps: int) -> Column:
-    """The points that all replicates of ``found`` share; else those of pairs (i, j), j <= reps - k + 1, k the agreement."""
-    if reps == 1:
-        return F.expr("found[0]")
-    every = F.expr(f"aggregate(slice(found, 2, {reps - 1}), found[0], (acc, p) -> array_intersect(acc, p))")
-    k = agreement(reps)
-    two = [f"array_intersect(found[{i}], found[{j}])" for j in range(1, reps - k + 2) for i in range(j)] if k > 1 else []
-    some = F.array_distinct(F.flatten(F.expr(f"array({', '.join(two)})"))) if two else F.expr("cast(array() AS array<int>)")
-    return F.array_sort(F.when(F.size(every) > 0, every).otherwise(some))
-
-
 def with_points(pair: DataFrame, reps: int, timepoints: int) -> DataFrame:
-    return pair.withColumn("found", points_by_replicate(reps, timepoints)).withColumn("points", consensus(reps)).drop("found")
+    """``pair`` with ``points``: those that all replicates share; else those of pairs (i, j), j <= reps - k + 1, k the agreement."""
+    k = agreement(reps)
+    two = [(i, j) for j in range(1, reps - k + 2) for i in range(j)] if reps > 1 and k > 1 else []
+    return pair.withColumn("points", shared_points(reps, timepoints, two)("a", "b"))
 
 
 def magnitudes(reps: int, timepoints: int) -> Column:
@@ -81,25 +73,10 @@ def importance(reps: int, timepoints: int, at: str) -> Column:
     return F.expr(f"aggregate(sequence(0, {reps - 1}), 0D, (s, r) -> s + ({inner})) / {4 * reps}")
 
 
-def segments(reps: int, timepoints: int) -> tuple[Column, Column]:
-    """The cells before and behind each point, and from these for each point: sp, importance, diff, prob of a above b, and prob of b above a, over the stretches up to its neighbours."""
-    cells = lambda lo, hi: f"flatten(transform(sequence(0, {reps - 1}), r -> transform(sequence({lo}, {hi} - 1), x -> r * {timepoints} + x)))"
-    mean = lambda s, c: f"aggregate({c}, 0D, (t, k) -> t + {s}[k]) / size({c})"
-    share = lambda cond, c: f"size(filter({c}, k -> {cond})) / cast(size({c}) AS double)"
-    base = F.expr(f"""transform(points, (sp, i) -> named_struct('sp', sp,
-        'before', {cells("if(i = 0, 0, points[greatest(i - 1, 0)])", "sp")},
-        'behind', {cells("sp", f"if(i = size(points) - 1, {timepoints}, points[least(i + 1, size(points) - 1)])")}))""")
-    return base, F.expr(f"""transform(cells, s -> named_struct('sp', s.sp,
-        'importance', round(aggregate(sequence(0, {reps - 1}), 0D, (t, r) -> t + ({" + ".join(f"try_divide({v}[r * {timepoints} + {x}], top[r * {timepoints} + {x}])" for v in ("a", "b") for x in ("s.sp - 1", "s.sp"))})) / {4 * reps}, 12),
-        'diff', (abs({mean("a", "s.before")} - {mean("a", "s.behind")}) + abs({mean("b", "s.before")} - {mean("b", "s.behind")})) / 2,
-        'prob_ab', {share("a[k] > b[k]", "s.before")} + {share("a[k] < b[k]", "s.behind")},
-        'prob_ba', {share("b[k] > a[k]", "s.before")} + {share("b[k] < a[k]", "s.behind")}))""")
-
-
-def with_segments(pair: DataFrame, reps: int, timepoints: int) -> DataFrame:
-    """``pair`` (with points) with ``segs``: a struct a point."""
-    cells, segs = segments(reps, timepoints)
-    return pair.withColumn("cells", cells).withColumn("segs", segs).drop("cells")
+def with_segments(pair: DataFrame, reps: int, timepoints: int, tested: bool = False) -> DataFrame:
+    """``pair`` (with points) with ``segs``: a struct of ``segment_features`` a point."""
+    found = pair.withColumn("segs", segment_features(reps, timepoints, tested)("a", "b", "top", "points"))
+    return found.withColumn("segs", F.transform("segs", lambda s: s.withField("importance", F.round(s["importance"], 12))))
 
 
 #: The fold over points in order: a point wins if its first series' p-value, else its second's, is under the best so far and its importance above.
@@ -112,8 +89,8 @@ _FOLD = """aggregate({items}, named_struct('diff', 0D, 'p1', 0D, 'p2', 0D, 'sp',
 
 def best_points(pair: DataFrame, reps: int, timepoints: int) -> DataFrame:
     """Both directions of each pair: gene_id, tx1, tx2 and ``best`` (diff, p1, p2, sp, importance, prob)."""
-    tested = with_segments(with_points(pair, reps, timepoints), reps, timepoints).withColumn("tests", segment_tests(reps, timepoints)("a", "b", "points"))
-    item = lambda p, q, prob: f"zip_with(segs, tests, (s, t) -> named_struct('sp', s.sp, 'importance', s.importance, 'diff', s.diff, 'prob', s.{prob}, 'p1', t.{p}, 'p2', t.{q}))"
+    tested = with_segments(with_points(pair, reps, timepoints), reps, timepoints, True)
+    item = lambda p, q, prob: f"transform(segs, s -> named_struct('sp', s.sp, 'importance', s.importance, 'diff', s.diff, 'prob', s.{prob}, 'p1', s.{p}, 'p2', s.{q}))"
     one = F.expr(f"named_struct('tx1', tx1, 'tx2', tx2, 'best', {_FOLD.format(items=item('p1', 'p2', 'prob_ab'))})")
     two = F.expr(f"named_struct('tx1', tx2, 'tx2', tx1, 'best', {_FOLD.format(items=item('p2', 'p1', 'prob_ba'))})")
     both = tested.withColumn("corr", dissimilarity(reps, timepoints)).withColumn("ratio", switch_ratio(reps, timepoints)).withColumn("d", F.explode(F.array(one, two)))

@@ -132,3 +132,55 @@ def test_steps_from_many_sources_in_blocks(spark, monkeypatch):
     want = (np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) + 1 - close) / 2
     got = {(r["i"], r["j"]): r["distance"] for r in cluster.composite_distance(series, net).collect()}
     assert got == pytest.approx({(i, j): want[i, j] for i in range(40) for j in range(i + 1, 40)})
+
+
+def test_segments_of_all_points_at_once(spark):
+    """Against each point alone; values tie, a gene has nothing at times, and one pair has no point."""
+    from kairoscope.functions import tests_udf as U
+    from kairoscope.operators import switch
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(40):
+        a, b, top = rng.integers(0, 6, (3, 21)) / 4.0
+        at = sorted(rng.choice(np.arange(1, 7), k % 6, replace=False).tolist())
+        if k == 7:
+            a = rng.random(21)
+        rows.append((k, a.tolist(), b.tolist(), top.tolist(), at))
+    pair = spark.createDataFrame(rows, "k long, a array<double>, b array<double>, top array<double>, points array<int>")
+    both = switch.with_segments(pair, 3, 7, True)
+    assert "ArrowEvalPython" in plan(both)
+    got = {r["k"]: [s.asDict() for s in r["segs"]] for r in both.collect()}
+    each = pair.join(spark.range(40).withColumnRenamed("id", "k"), "k").transform(lambda f: switch.with_segments(f, 3, 7)).selectExpr("k", "explode(segs)")
+    assert each.count() == sum(len(r[-1]) for r in rows)  # what asks for points isn't pushed into the join
+    assert [x.name for x in switch.with_segments(pair, 3, 7).schema["segs"].dataType.elementType] == ["sp", "importance", "diff", "prob_ab", "prob_ba"]
+    for k, *arrays, at in rows:
+        a, b, top = (np.array(v).reshape(3, 7) for v in arrays)
+        ends = [0, *at, 7]
+        assert [s["sp"] for s in got[k]] == at
+        for s, i, j, m in zip(got[k], ends[:-2], ends[1:-1], ends[2:], strict=True):
+            p, q, r, t = a[:, i:j].ravel(), a[:, j:m].ravel(), b[:, i:j].ravel(), b[:, j:m].ravel()
+            near = top[:, j - 1 : j + 1]
+            importance = None if (near == 0).any() else sum(((v[:, j - 1 : j + 1]) / near).sum() for v in (a, b)) / 12
+            assert s["importance"] == (importance if importance is None else pytest.approx(importance, abs=2e-12))
+            assert s["diff"] == pytest.approx((abs(p.mean() - q.mean()) + abs(r.mean() - t.mean())) / 2)
+            assert (s["prob_ab"], s["prob_ba"]) == pytest.approx(((p > r).mean() + (q < t).mean(), (r > p).mean() + (t < q).mean()))
+            assert (s["p1"], s["p2"]) == (round(U.mann_whitney(p, q), 12), round(U.mann_whitney(r, t), 12))
+
+
+def test_points_are_taken_once(spark):
+    """Against the arrays of each replicate; a filter on them is not pushed into the join of pairs."""
+    from kairoscope.operators import switch
+
+    rng = np.random.default_rng(12)
+    for reps in (1, 2, 3, 5):
+        rows = [("g", f"t{k}", v.tolist(), v.tolist(), [1.0] * (4 * reps)) for k, v in enumerate(rng.integers(0, 3, (9, 4 * reps)) / 2.0)]
+        pair = switch.pairs(spark.createDataFrame(rows, "gene_id string, transcript_id string, abundance array<double>, raw array<double>, top array<double>"))
+        found = switch.with_points(pair, reps, 4).withColumn("found", switch.points_by_replicate(reps, 4))
+        for r in found.collect():
+            sets = [set(f) for f in r["found"]]
+            two = [sets[i] & sets[j] for j in range(1, reps - switch.agreement(reps) + 2) for i in range(j)] if switch.agreement(reps) > 1 else []
+            assert r["points"] == sorted(set.intersection(*sets) or set().union(*two))
+        kept = switch.with_points(pair, reps, 4).where("size(points) > 0")
+        assert kept.count() == sum(len(r["points"]) > 0 for r in found.collect())
+        assert "signum" not in plan(kept).lower() and "ArrowEvalPython" in plan(kept)
