@@ -197,31 +197,14 @@ def permutation_switch_p(expr: DataFrame, timepoints: int, permutations: int = 1
     """gene_id, tx1, tx2, p for data of one replicate: features are the dissimilarity and the longest stretch between points.
 
     A permutation moves the times of all series alike, and is taken inside a pair's row: nothing is copied or moved.  Each feature's p is the
-    share of permutations (and itself) that reach what was seen; dissimilarities count as equal up to nine digits.
+    share of permutations (and itself) that reach what was seen; dissimilarities count as equal up to nine digits.  A dissimilarity doesn't ask for the order of
+    the times, so every permutation has the one that was seen, and only stretches are counted.
     """
-    pair = pairs(packed(expr, timepoints)).withColumn("a", F.expr("transform(a, (x, i) -> sign(x - b[i]))"))  # from here on, signs
-    orders = F.lit(permutation_orders(timepoints, permutations, seed)) if permutations else F.array().cast("array<array<int>>")
-    moved = lambda c, o: F.transform(o, lambda t: F.get(c, t))
-
-    def longest(signs: Column) -> Column:
-        # A fold over the times: the last point and the longest stretch so far.
-        step = lambda acc, t: F.when(F.get(signs, t) != F.get(signs, t - 1), F.struct(t.alias("last"), F.greatest(acc["most"], t - acc["last"]).alias("most"))).otherwise(acc)
-        return F.aggregate(F.sequence(F.lit(1), F.lit(timepoints - 1)), F.struct(F.lit(0).alias("last"), F.lit(0).alias("most")), step, lambda acc: F.greatest(acc["most"], timepoints - acc["last"]))
-
-    def gap(x: Column, y: Column) -> Column:
-        return F.round((1 - stats.pearson(x, y)) / 2, 9)
-
-    found = pair.select(
-        "gene_id",
-        "tx1",
-        "tx2",
-        longest(F.col("a")).alias("seen"),
-        F.transform(orders, lambda o: longest(moved(F.col("a"), o))).alias("stretches"),
-        gap(F.col("ra"), F.col("rb")).alias("apart"),
-        F.transform(orders, lambda o: gap(moved(F.col("ra"), o), moved(F.col("rb"), o))).alias("gaps"),
-    )
-    share = lambda values, value: stats.empirical_p(F.size(F.filter(values, lambda x: x >= value)), F.size(values))
-    p = found.select("gene_id", "tx1", "tx2", F.explode(F.array(share(F.col("stretches"), F.col("seen")), F.when(F.col("apart").isNotNull(), share(F.filter("gaps", lambda x: x.isNotNull()), F.col("apart"))))).alias("p"))
+    pair = pairs(packed(expr, timepoints))
+    orders = permutation_orders(timepoints, permutations, seed)
+    found = pair.select("gene_id", "tx1", "tx2", stretch_counts(orders)("a", "b").alias("s"), F.round((1 - stats.pearson(F.col("ra"), F.col("rb"))) / 2, 9).alias("apart"))
+    share = lambda reached: stats.empirical_p(reached, F.lit(permutations))
+    p = found.select("gene_id", "tx1", "tx2", F.explode(F.array(share(F.col("s.reached")), F.when(F.col("apart").isNotNull(), share(F.lit(permutations))))).alias("p"))
     return stats.fisher_combine(p, ("gene_id", "tx1", "tx2")).select("gene_id", "tx1", "tx2", F.col("combined_p").alias("p"))
 
 

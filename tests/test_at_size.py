@@ -168,6 +168,32 @@ def test_segments_of_all_points_at_once(spark):
             assert (s["p1"], s["p2"]) == (round(U.mann_whitney(p, q), 12), round(U.mann_whitney(r, t), 12))
 
 
+def test_permutations_of_all_pairs_at_once(spark):
+    """Against each permutation of each pair alone, dissimilarities as well."""
+    from kairoscope.operators import switch
+
+    rng = np.random.default_rng(9)
+    value = rng.integers(0, 5, (2, 4, 6)).astype(float)
+    value[0, 3] = 2.0  # its dissimilarities can't be told
+    rows = [(f"g{g}", f"g{g}.t{t}", 0, p, float(value[g, t, p])) for g in range(2) for t in range(4) for p in range(6)]
+    found = switch.permutation_switch_p(spark.createDataFrame(rows, "gene_id string, transcript_id string, rep int, tp int, value double"), 6, 30)
+    assert "ArrowEvalPython" in plan(found)
+    share = value / np.where(value.sum(1, keepdims=True) > 0, value.sum(1, keepdims=True), 1)
+
+    def longest(s):
+        ends = [0, *(t for t in range(1, 6) if s[t] != s[t - 1]), 6]
+        return max(np.diff(ends))
+
+    for r in found.collect():
+        g, i, j = int(r["gene_id"][1:]), int(r["tx1"][-1]), int(r["tx2"][-1])
+        sign, apart = np.sign(share[g, i] - share[g, j]), lambda o: round((1 - np.corrcoef(value[g, i, o], value[g, j, o])[0, 1]) / 2, 9)
+        orders = switch.permutation_orders(6, 30)
+        p = [(1 + sum(longest(sign[o]) >= longest(sign) for o in orders)) / 31]
+        if value[g, i].std() and value[g, j].std():
+            p.append((1 + sum(apart(o) >= apart(list(range(6))) for o in orders)) / 31)
+        assert r["p"] == pytest.approx(p[0] if len(p) == 1 else p[0] * p[1] * (1 - np.log(p[0] * p[1])))
+
+
 def test_points_are_taken_once(spark):
     """Against the arrays of each replicate; a filter on them is not pushed into the join of pairs."""
     from kairoscope.operators import switch
