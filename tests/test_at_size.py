@@ -210,3 +210,21 @@ def test_points_are_taken_once(spark):
         kept = switch.with_points(pair, reps, 4).where("size(points) > 0")
         assert kept.count() == sum(len(r["points"]) > 0 for r in found.collect())
         assert "signum" not in plan(kept).lower() and "ArrowEvalPython" in plan(kept)
+
+
+@pytest.mark.parametrize("name", ["clara", "kmedoids"])
+def test_distance_sums_by_a_product(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 8)) + 1000
+    x[30:40] = x[:10]
+    x[41] = x[42] + 1e-7
+    label = rng.integers(0, 4, 60)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert cluster.far_distances(x, x) == pytest.approx(d, abs=1e-9) and (cluster.far_distances(x[30:40], x[:10]).diagonal() == 0).all()
+    monkeypatch.setattr(cluster, "BLOCK", (16, 16, 16))
+    monkeypatch.setattr(cluster, "STRIP", 7)
+    series = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(60)], "object_idx long, cluster int, vals array<double>")
+    got = {(r["object_idx"], r["c"]): (r["total"], r["n"]) for r in cluster.distance_sums(series).collect()}
+    want = {(i, c): (d[i, label == c].sum(), int((label == c).sum() - (label[i] == c))) for i in range(60) for c in range(4)}
+    assert got.keys() == {k for k, v in want.items() if v[1]}
+    assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-8) for k in got)
