@@ -413,20 +413,24 @@ def kmedoids(series: DataFrame, k: int, name: str = "euclidean", seed: int = 123
 
 def clara(series: DataFrame, k: int, name: str = "euclidean", samples: int = 5, seed: int = 1234321) -> DataFrame:
     """Medoids of hashed samples of 40 + 2k objects (of all where there are at most 250); all objects go to the nearest, and the run of least inertia stays."""
-    n, best = series.count(), None
+    series = cut(series)
+    n, distances, found = series.count(), partial(block_distances, name=name), []
     size = n if n <= 250 else 40 + 2 * k
     for s in range(samples):
-        part = series.orderBy(F.xxhash64(F.lit(seed + s), "object_idx"), "object_idx").limit(size)
-        ids, d = matrix(part, name)
-        chosen = [ids[m] for m in swap_medoids(d, k, seed + s)]
-        centres = series.where(F.col("object_idx").isin(chosen)).select(F.col("object_idx").alias("m"), F.col("vals").alias("mv"))
-        near = series.crossJoin(F.broadcast(centres)).groupBy("object_idx").agg(F.min(F.struct(metric(name)(F.col("vals"), F.col("mv")).alias("d"), F.col("m"))).alias("n"))  # k rows
-        inertia = near.agg(F.sum("n.d")).first()[0]
-        if best is None or inertia < best[0]:
-            best = inertia, chosen, near
-    order = {m: c + 1 for c, m in enumerate(sorted(best[1]))}
-    label = F.create_map(*(x for m, c in order.items() for x in (F.lit(m), F.lit(c))))
-    return series.drop("cluster").join(best[2].select("object_idx", label[F.col("n.m")].alias("cluster")), "object_idx")
+        part = series.orderBy(F.xxhash64(F.lit(seed + s), "object_idx"), "object_idx").limit(size).select("object_idx", "vals").toPandas().sort_values("object_idx")
+        x = np.stack(part["vals"].to_numpy()).astype(float)
+        found.append(x[np.sort(swap_medoids(distances(x, x), k, seed + s))])
+
+    def inertia(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["vals"].to_numpy()).astype(float)
+                yield pd.DataFrame({"s": range(samples), "total": [distances(x, centres).min(1).sum() for centres in found]})
+
+    # All samples' medoids meet an object at once; totals that differ by rounding alone are equal, then the first sample stays.
+    totals = series.select("vals").mapInPandas(inertia, "s int, total double").groupBy("s").agg(F.round(F.sum("total"), 6).alias("total"))
+    best = totals.orderBy("total", "s").first()["s"]
+    return medoids.assign(series, found[best], distances)
 
 
 def numbered(series: DataFrame, named: DataFrame) -> DataFrame:

@@ -213,6 +213,13 @@ def test_points_are_taken_once(spark):
 
 
 @pytest.mark.parametrize("name", ["clara", "kmedoids"])
+def test_medoids_read_their_series_once(spark, name):
+    series = spark.range(300).selectExpr("id AS object_idx", "array(double(id % 7), double(id % 11), double(id)) AS vals")
+    found = cluster.find_clusters(series, name, 3)
+    assert "Range" not in plan(found)
+    assert {r["cluster"] for r in found.collect()} == {1, 2, 3}
+
+
 def test_distance_sums_by_a_product(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(60, 8)) + 1000
