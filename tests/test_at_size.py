@@ -134,6 +134,28 @@ def test_steps_from_many_sources_in_blocks(spark, monkeypatch):
     assert got == pytest.approx({(i, j): want[i, j] for i in range(40) for j in range(i + 1, 40)})
 
 
+def test_soft_warping_takes_exponentials_where_ways_are_near(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(9, 6)) * np.repeat([0.1, 3, 400], 3)[:, None], rng.normal(size=(12, 6)) * np.repeat([0.1, 3, 400], 4)[:, None]
+    x[8], y[11] = y[3], np.nan
+    want = np.empty((9, 12))
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            d = np.full((7, 7), np.inf)
+            d[0, 0] = 0.0
+            for p in range(6):
+                for q in range(6):
+                    ways = np.array([d[p, q], d[p, q + 1], d[p + 1, q]])
+                    d[p + 1, q + 1] = (a[p] - b[q]) ** 2 + ways.min() - np.log(np.exp(ways.min() - ways).sum())
+            want[i, j] = d[6, 6]
+    taken, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda v: taken.append(np.size(v)) or exp(v))
+    assert cluster.soft_dtw_block(x, y) == pytest.approx(want, rel=1e-14, nan_ok=True)
+    taken.clear()
+    cluster.soft_dtw_block(x[6:8], y[8:11])
+    assert sum(taken) < 2 * 3 * 36
+
+
 def test_segments_of_all_points_at_once(spark):
     """Against each point alone; values tie, a gene has nothing at times, and one pair has no point."""
     from kairoscope.functions import tests_udf as U
