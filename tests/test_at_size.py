@@ -242,6 +242,23 @@ def test_medoids_read_their_series_once(spark, name):
     assert {r["cluster"] for r in found.collect()} == {1, 2, 3}
 
 
+def test_nearest_clusters_by_a_product_are_exact():
+    """Copies lie at 0, far from the origin, and ties go to the first place."""
+    from kairoscope.operators import linkage
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, (90, 3)) * 0.1 + 5000
+    for n in (np.ones(90), rng.integers(1, 5, 90).astype(float)):
+        want = linkage._costs(n, x, n[20:], x[20:])
+        best, place = linkage._nearest(n, x, n[20:], x[20:])
+        assert (place == want.argmin(1)).all() and (best == want.min(1)).all()
+        want = linkage._costs(n, x, n, x)
+        np.fill_diagonal(want, np.inf)
+        best, place = linkage._nearest(n, x, n, x, np.arange(90))
+        assert (place == want.argmin(1)).all() and (best == want.min(1)).all()
+    assert np.isinf(linkage._nearest(n[:1], x[:1], n[:1], x[:1], np.arange(1))[0]).all()
+
+
 def test_distance_sums_by_a_product(spark, monkeypatch):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(60, 8)) + 1000
