@@ -22,6 +22,8 @@ LIBRARY = 1_000_000
 BUCKETS = 64
 #: The most factors and transcripts of a block of correlations, and the factors of a strip.
 BLOCK = (256, 1024, 32)
+#: Where pairs are counted and don't leave: the most factors and transcripts of a block and the blocks of transcripts that are wanted; and the factors and (about) the transcripts of a tile.
+TALLY, TILE = (8192, 16384, 64), (128, 2048)
 
 
 def gc_fraction(seq: Column, digits: int | None = 2) -> Column:
@@ -183,26 +185,26 @@ def centred(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x, np.cumsum(x * x, 1)[:, -1]
 
 
+def factor_blocks(frame: DataFrame, names: list[str], values: str, size: int) -> tuple[DataFrame, int]:
+    """Series that aren't constant, in blocks of about ``size`` dealt by the last of ``names``, and how many there are."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        x, square = centred(rows[values])
+        kept = square > 0
+        return pd.DataFrame({"n": [int(kept.sum())], **{c: [rows[c].to_numpy()[kept].tolist()] for c in names}, values: [x[kept].tobytes()], f"{values}_squares": [square[kept].tobytes()]})
+
+    count = -(-frame.count() // size) or 1
+    dealt = frame.withColumn("blk", F.pmod(F.xxhash64(names[-1]), F.lit(count))).groupBy("blk")
+    packs = cut(dealt.applyInPandas(pack, f"n long, {', '.join(f'{c} array<string>' for c in names)}, {values} binary, {values}_squares binary").where("n > 0"))
+    return packs.drop("n"), packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def correlated(factors: DataFrame, transcripts: DataFrame, points: int, cutoff: float) -> tuple[DataFrame, int]:
     """sf, gene_id, transcript_id, corr, p_value of the pairs whose correlation has a size of ``cutoff`` or more, and the number of all pairs that have one.
 
     factors: sf, x; transcripts: gene_id, transcript_id, y (arrays of ``points``).  Blocks of both meet, and pairs are rows only where they leave.
     """
 
-    def packed(names: list[str], values: str):
-        def pack(rows: pd.DataFrame) -> pd.DataFrame:
-            x, square = centred(rows[values])
-            kept = square > 0
-            return pd.DataFrame({"n": [int(kept.sum())], **{c: [rows[c].to_numpy()[kept].tolist()] for c in names}, values: [x[kept].tobytes()], f"{values}_squares": [square[kept].tobytes()]})
-
-        return pack
-
-    def blocks_of(frame: DataFrame, names: list[str], values: str, size: int) -> tuple[DataFrame, int]:
-        count = -(-frame.count() // size) or 1
-        dealt = frame.withColumn("blk", F.pmod(F.xxhash64(names[-1]), F.lit(count))).groupBy("blk")
-        packs = cut(dealt.applyInPandas(packed(names, values), f"n long, {', '.join(f'{c} array<string>' for c in names)}, {values} binary, {values}_squares binary").where("n > 0"))
-        return packs.drop("n"), packs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -222,29 +224,128 @@ def correlated(factors: DataFrame, transcripts: DataFrame, points: int, cutoff:
                         p = pearson_pvalues(kept, points)
                         yield pa.RecordBatch.from_arrays([names[0].take(pa.array(i + at)), names[1].take(pa.array(j)), names[2].take(pa.array(j)), pa.array(kept), pa.array(p, mask=np.isnan(p))], ["sf", "gene_id", "transcript_id", "corr", "p_value"])
 
-    a, n_a = blocks_of(cut(factors), ["sf"], "x", BLOCK[0])
-    b, n_b = blocks_of(cut(transcripts), ["gene_id", "transcript_id"], "y", BLOCK[1])
+    a, n_a = factor_blocks(cut(factors), ["sf"], "x", BLOCK[0])
+    b, n_b = factor_blocks(cut(transcripts), ["gene_id", "transcript_id"], "y", BLOCK[1])
     both = blocks.spread(a.crossJoin(b), a.count() * b.count())  # a row a pair of blocks
     return both.mapInArrow(compare, "sf string, gene_id string, transcript_id string, corr double, p_value double"), n_a * n_b
 
 
-def factor_coexpression(expr: DataFrame, factors: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None, method: str = "bonferroni", corr_cutoff: float = 0.7, padj_cutoff: float = 0.05) -> DataFrame:
-    """sf, gene_id, transcript_id, corr, p_value, adj_p, direction: factors (gene_id) whose expression follows or opposes a transcript's abundance.
+def tallied(factors: DataFrame, transcripts: DataFrame, points: int, cutoff: float, even: bool = False) -> DataFrame:
+    """sf, grp, up, down: how many transcripts of a group follow and oppose a factor by a correlation over ``cutoff``; a row for each block that holds some of the group.
 
-    Factors with a variance over 1; transcripts of genes that have more than one (of ``genes``, if given).
+    factors: sf, x; transcripts: grp string, gene_id, transcript_id, y.  Without ``even`` up and down are 1 or 0, and groups may lie in many blocks.  With it groups are genes, which lie in
+    one block where they fit, and those that do leave only where up and down are equal.  Correlations come from a product; those within its rounding of the cutoff are taken again.
     """
+    transcripts = cut(transcripts)
+    many = transcripts.groupBy("gene_id").agg(F.ceil(F.count("*") / BLOCK[1]).alias("pieces"))
+    size = min(max(BLOCK[1], transcripts.count() // TALLY[2]), TALLY[1])
+    count = -(-transcripts.count() // size) or 1
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        code, groups = pd.factorize(rows["grp"], use_na_sentinel=False)
+        y, square = centred(rows["y"])
+        at = np.flatnonzero(square > 0)
+        at = at[np.argsort(code[at], kind="stable")]
+        held, starts = np.unique(code[at], return_index=True)
+        whole = rows["pieces"].to_numpy()[at[starts]] == 1 if even else np.zeros(len(starts), bool)
+        names = [g if isinstance(g, str) else None for g in np.asarray(groups, object)[held]]
+        return pd.DataFrame({"n": [len(at)], "groups": [names], "starts": [starts.astype(np.int64).tobytes()], "whole": [whole.tobytes()], "y": [y[at].tobytes()], "y_squares": [square[at].tobytes()]})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = (np.frombuffer(row[c]).reshape(-1, points) for c in "xy")
+                xx, yy = np.frombuffer(row["x_squares"]), np.frombuffer(row["y_squares"])
+                starts, whole = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["whole"], bool)
+                sf, groups = pa.array(row["sf"], pa.string()), pa.array(row["groups"], pa.string())
+                p, q = x / np.sqrt(xx)[:, None], y / np.sqrt(yy)[:, None]
+                tiles = [0, *(k for k in range(1, len(starts)) if starts[k] // TILE[1] > starts[k - 1] // TILE[1]), len(starts)]  # no group is in two
+                ends = np.append(starts, len(y))
+                for at in range(0, len(x), TILE[0]):
+                    for g, h in zip(tiles[:-1], tiles[1:], strict=True):
+                        part, first = slice(ends[g], ends[h]), starts[g:h] - starts[g]
+                        r = q[part] @ p[at : at + TILE[0]].T
+                        j, i = np.nonzero(np.abs(np.abs(r) - cutoff) <= 1e-9)
+                        if len(i):
+                            again = np.zeros(len(i))
+                            for k in range(points):
+                                again += x[i + at, k] * y[j + ends[g], k]
+                            r[j, i] = again / np.sqrt(xx[i + at] * yy[j + ends[g]])
+                        two = [(r > cutoff).view(np.int8), (r < -cutoff).view(np.int8)]
+                        if even:
+                            kind = np.int8 if np.diff(ends[g : h + 1]).max() < 128 else np.int32
+                            up, down = (np.add.reduceat(v.astype(kind, copy=False), first, axis=0, dtype=kind) for v in two)
+                            j, i = np.nonzero(np.where(whole[g:h, None], (up == down) & (up > 0), (up > 0) | (down > 0)))
+                        else:
+                            up, down = (np.maximum.reduceat(v, first, axis=0) for v in two)
+                            j, i = np.nonzero(up | down)
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([sf.take(pa.array(i + at)), groups.take(pa.array(j + g)), *(pa.array(v[j, i].astype(np.int32)) for v in (up, down)), pa.array(whole[j + g])], ["sf", "grp", "up", "down", "whole"])
+
+    a, _ = factor_blocks(cut(factors), ["sf"], "x", TALLY[0])
+    place = F.pmod(F.xxhash64("gene_id", F.pmod(F.xxhash64("transcript_id"), F.col("pieces"))), F.lit(count))
+    dealt = transcripts.join(many, "gene_id").select("grp", "y", "pieces", place.alias("blk")).groupBy("blk")
+    b = cut(dealt.applyInPandas(pack, "n long, groups array<string>, starts binary, whole binary, y binary, y_squares binary").where("n > 0").drop("n"))
+    both = blocks.spread(a.crossJoin(b), a.count() * b.count())  # a row a pair of blocks
+    return both.mapInArrow(compare, "sf string, grp string, up int, down int, whole boolean")
+
+
+def tested_series(expr: DataFrame, factors: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """sf, x of the factors with a variance over 1, and gene_id, transcript_id, y of the transcripts of genes that have more than one (of ``genes``, if given)."""
+    expr = cut(expr, forget=True)  # both read it
     at = (F.col("rep") * timepoints + F.col("tp")).alias("at")
     total = prep.gene_level(expr).join(factors.select("gene_id").distinct(), "gene_id", "left_semi")
     sf = total.groupBy(F.col("gene_id").alias("sf")).agg(F.var_pop("value").alias("variance"), F.array_sort(F.collect_list(F.struct(at, "value"))).alias("v")).where("variance > 1")
     share = prep.relative_abundance(expr if genes is None else expr.join(genes.select("gene_id").distinct(), "gene_id", "left_semi"))
-    iso = share.groupBy("gene_id", "transcript_id").agg(F.array_sort(F.collect_list(F.struct(at, F.col("abundance").alias("value")))).alias("w"))
+    iso = cut(share.groupBy("gene_id", "transcript_id").agg(F.array_sort(F.collect_list(F.struct(at, F.col("abundance").alias("value")))).alias("w")))
     many = iso.groupBy("gene_id").agg(F.count("*").alias("n")).where("n > 1").select("gene_id")
+    return sf.select("sf", F.col("v.value").alias("x")), iso.join(many, "gene_id", "left_semi").select("gene_id", "transcript_id", F.col("w.value").alias("y"))
+
+
+def factor_coexpression(expr: DataFrame, factors: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None, method: str = "bonferroni", corr_cutoff: float = 0.7, padj_cutoff: float = 0.05) -> DataFrame:
+    """sf, gene_id, transcript_id, corr, p_value, adj_p, direction: factors (gene_id) whose expression follows or opposes a transcript's abundance.
+
+    Factors with a variance over 1; transcripts of genes that have more than one (of ``genes``, if given).
+    """
     part = 0.0 if method == "fdr_bh_standard" else corr_cutoff
-    tested, tests = correlated(sf.select("sf", F.col("v.value").alias("x")), iso.join(many, "gene_id", "left_semi").select("gene_id", "transcript_id", F.col("w.value").alias("y")), reps * timepoints, part)
+    tested, tests = correlated(*tested_series(expr, factors, reps, timepoints, genes), reps * timepoints, part)
     out = stats.adjust(tested, "p_value", "adj_p", method, None if method == "fdr_bh_standard" else tests).where((F.abs("corr") > corr_cutoff) & (F.col("adj_p") < padj_cutoff))
     return out.withColumn("direction", F.when(F.col("corr") > 0, "+").otherwise("-"))
 
 
+def correction_is_idle(points: int, method: str, corr_cutoff: float, padj_cutoff: float) -> bool:
+    """Whether every correlation over the cutoff is under that of corrected p-values, too: ``fdr_bh`` makes no value larger than the largest p-value so far."""
+    return method == "fdr_bh" and 0 < corr_cutoff < 1 and points > 2 and bool(pearson_pvalues(np.array([corr_cutoff]), points)[0] * (1 + 1e-9) < padj_cutoff)
+
+
+def coexpression_sets(expr: DataFrame, factors: DataFrame, clusters: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None, method: str = "bonferroni", corr_cutoff: float = 0.7, padj_cutoff: float = 0.05) -> DataFrame:
+    """``factor_sets`` of ``factor_coexpression``; where no correction can leave a pair out, pairs are marked in blocks and none becomes a row."""
+    if not correction_is_idle(reps * timepoints, method, corr_cutoff, padj_cutoff):
+        return factor_sets(factor_coexpression(expr, factors, reps, timepoints, genes, method, corr_cutoff, padj_cutoff), clusters)
+    kind = clusters.schema["cluster"].dataType
+    first = clusters.groupBy("gene_id").agg(F.min("cluster").cast("string").alias("grp"))
+    sf, transcripts = tested_series(expr, factors, reps, timepoints, genes)
+    found = tallied(sf, transcripts.join(first, "gene_id"), reps * timepoints, corr_cutoff)
+    signs = F.filter(F.array(F.when(F.col("up") > 0, "+"), F.when(F.col("down") > 0, "-")), lambda v: v.isNotNull())
+    each = found.select(F.col("grp").cast(kind).alias("cluster"), F.explode(signs).alias("direction"), "sf")
+    return each.groupBy("cluster", "direction").agg(F.array_sort(F.collect_set("sf")).alias("sfs"))
+
+
+def coexpression_balanced(expr: DataFrame, factors: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None, method: str = "bonferroni", corr_cutoff: float = 0.7, padj_cutoff: float = 0.05) -> DataFrame:
+    """``balanced`` of ``factor_coexpression``; where no correction can leave a pair out, a gene's transcripts are counted in its block, and only genes too large for one are summed behind that."""
+    if not correction_is_idle(reps * timepoints, method, corr_cutoff, padj_cutoff):
+        return balanced(factor_coexpression(expr, factors, reps, timepoints, genes, method, corr_cutoff, padj_cutoff))
+    sf, transcripts = tested_series(expr, factors, reps, timepoints, genes)
+    many = cut(transcripts).withColumn("grp", F.col("gene_id"))
+    found = tallied(sf, many, reps * timepoints, corr_cutoff, even=True)
+    large = many.groupBy("gene_id").count().where(F.col("count") > BLOCK[1])
+    out = found.where("whole").select(F.col("grp").alias("gene_id"), "sf", F.lit(0).cast("long").alias("net"))
+    if large.isEmpty():
+        return out
+    rest = found.where("NOT whole").groupBy(F.col("grp").alias("gene_id"), "sf").agg(F.sum(F.col("up") - F.col("down")).alias("net")).where("net = 0")
+    return out.unionByName(rest)
+
+
 def factor_sets(found: DataFrame, clusters: DataFrame) -> DataFrame:
     """cluster, direction, sfs: the distinct factors of each direction, by the first cluster of the gene (gene_id, cluster)."""
     first = clusters.groupBy("gene_id").agg(F.min("cluster").alias("cluster"))

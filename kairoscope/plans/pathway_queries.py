@@ -127,9 +127,12 @@ def motif_best_tests(spark, d):
     return motif.group_tests(_scans(spark, d)).select("motif_id", *(R6(c).alias(c) for c in TESTS))
 
 
-def _coexpression(spark, d):
-    factors = T.table(spark, d, "supplier").where("s_nationkey < 3").select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("gene_id"))
-    return motif.factor_coexpression(T.expression(spark, d), factors, T.REPS, T.TIMEPOINTS, None, "fdr_bh", 0.3, 1.0)
+#: Of co-expression: time points, genes, correction and cutoffs.
+COEXPRESSION = (T.REPS, T.TIMEPOINTS, None, "fdr_bh", 0.3, 1.0)
+
+
+def _factors(spark, d):
+    return T.table(spark, d, "supplier").where("s_nationkey < 3").select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("gene_id"))
 
 
 def _gene_clusters(spark, d):
@@ -137,16 +140,16 @@ def _gene_clusters(spark, d):
 
 
 def factor_sets(spark, d):
-    return motif.factor_sets(_coexpression(spark, d), _gene_clusters(spark, d)).select("cluster", "direction", F.concat_ws(",", "sfs").alias("sfs"))
+    return motif.factor_sets(motif.factor_coexpression(T.expression(spark, d), _factors(spark, d), *COEXPRESSION), _gene_clusters(spark, d)).select("cluster", "direction", F.concat_ws(",", "sfs").alias("sfs"))
 
 
 def unique_factors(spark, d):
-    sets = motif.unique_factors(motif.factor_sets(_coexpression(spark, d), _gene_clusters(spark, d)))
+    sets = motif.unique_factors(motif.factor_sets(motif.factor_coexpression(T.expression(spark, d), _factors(spark, d), *COEXPRESSION), _gene_clusters(spark, d)))
     return sets.select("cluster", *(F.concat_ws(",", c).alias(c) for c in ("both", "positive", "negative")))
 
 
 def balanced_factors(spark, d):
-    return motif.balanced(_coexpression(spark, d))
+    return motif.coexpression_balanced(T.expression(spark, d), _factors(spark, d), *COEXPRESSION)
 
 
 def sequence_windows(spark, d):
@@ -216,7 +219,8 @@ def gene_expression(spark, d):
 
 
 def factor_coexpression(spark, d):
-    return _coexpression(spark, d).select("sf", "gene_id", "transcript_id", R6("corr").alias("corr"), R6("p_value").alias("p_value"), R6("adj_p").alias("adj_p"), "direction")
+    found = motif.factor_coexpression(T.expression(spark, d), _factors(spark, d), *COEXPRESSION)
+    return found.select("sf", "gene_id", "transcript_id", R6("corr").alias("corr"), R6("p_value").alias("p_value"), R6("adj_p").alias("adj_p"), "direction")
 
 
 def cluster_lines(spark, d):

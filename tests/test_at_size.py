@@ -274,3 +274,36 @@ def test_distance_sums_by_a_product(spark, monkeypatch):
     want = {(i, c): (d[i, label == c].sum(), int((label == c).sum() - (label[i] == c))) for i in range(60) for c in range(4)}
     assert got.keys() == {k for k, v in want.items() if v[1]}
     assert all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0], abs=1e-8) for k in got)
+
+
+def test_factors_and_transcripts_are_counted_in_blocks(spark, monkeypatch):
+    """Against the table of pairs, which isn't made; some genes are larger than a block, one correlation is at the cutoff, and a gene has no cluster."""
+    from kairoscope.operators import motif
+
+    rng = np.random.default_rng(14)
+    rows = []
+    for g in range(12):
+        for t in range(1 if g == 3 else 2 + g):
+            v = rng.integers(0, 6, (2, 4)) + (0 if g != 5 else 3 * np.arange(4))
+            rows += [(f"g{g:02d}", f"g{g:02d}.t{t}", r, p, float(v[r, p])) for r in range(2) for p in range(4)]
+    expr = spark.createDataFrame(rows, "gene_id string, transcript_id string, rep int, tp int, value double")
+    factors = spark.createDataFrame([(f"g{g:02d}",) for g in range(0, 12, 2)], "gene_id string")
+    clusters = spark.createDataFrame([(f"g{g:02d}", c) for g in range(11) for c in {g % 3, 2}] + [("g10", None)], "gene_id string, cluster int")
+    found = motif.factor_coexpression(expr, factors, 2, 4, None, "fdr_bh", 0.3, 1.0).cache()
+    cut = min(abs(r["corr"]) for r in found.collect())
+    monkeypatch.setattr(motif, "BLOCK", (3, 6, 2))
+    monkeypatch.setattr(motif, "TALLY", (3, 12, 4))
+    monkeypatch.setattr(motif, "TILE", (2, 4))
+    kept = found.where(f"abs(corr) > {cut!r}D")
+    assert kept.count() < found.count()
+    sets = {(r["cluster"], r["direction"]): r["sfs"] for r in motif.factor_sets(kept, clusters).collect()}
+    even = {tuple(r) for r in motif.balanced(kept).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(motif, "correlated", lambda *_: pytest.fail("all pairs"))
+        got = motif.coexpression_sets(expr, factors, clusters, 2, 4, None, "fdr_bh", cut, 1.0)
+        assert {(r["cluster"], r["direction"]): r["sfs"] for r in got.collect()} == sets and len(sets) > 4
+        pairs = motif.coexpression_balanced(expr, factors, 2, 4, None, "fdr_bh", cut, 1.0).collect()
+        assert {tuple(r) for r in pairs} == even and len(pairs) == len(even) > 4
+    # Where a correction may leave pairs out, they are tested.
+    found = motif.factor_coexpression(expr, factors, 2, 4, None, "bonferroni", 0.3, 0.9)
+    assert {tuple(r) for r in motif.coexpression_balanced(expr, factors, 2, 4, None, "bonferroni", 0.3, 0.9).collect()} == {tuple(r) for r in motif.balanced(found).collect()}
