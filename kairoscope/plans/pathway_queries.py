@@ -139,8 +139,12 @@ def _gene_clusters(spark, d):
     return T.table(spark, d, "supplier").select(F.concat(F.lit("G"), F.col("s_suppkey").cast("string")).alias("gene_id"), (F.col("s_nationkey") % 4).cast("int").alias("cluster"))
 
 
+def _sets(spark, d):
+    return motif.coexpression_sets(T.expression(spark, d), _factors(spark, d), _gene_clusters(spark, d), *COEXPRESSION)
+
+
 def factor_sets(spark, d):
-    return motif.factor_sets(motif.factor_coexpression(T.expression(spark, d), _factors(spark, d), *COEXPRESSION), _gene_clusters(spark, d)).select("cluster", "direction", F.concat_ws(",", "sfs").alias("sfs"))
+    return _sets(spark, d).select("cluster", "direction", F.concat_ws(",", "sfs").alias("sfs"))
 
 
 def unique_factors(spark, d):
