@@ -148,7 +148,7 @@ def factor_sets(spark, d):
 
 
 def unique_factors(spark, d):
-    sets = motif.unique_factors(motif.factor_sets(motif.factor_coexpression(T.expression(spark, d), _factors(spark, d), *COEXPRESSION), _gene_clusters(spark, d)))
+    sets = motif.unique_factors(_sets(spark, d))
     return sets.select("cluster", *(F.concat_ws(",", c).alias(c) for c in ("both", "positive", "negative")))
 
 
