@@ -307,3 +307,19 @@ def test_factors_and_transcripts_are_counted_in_blocks(spark, monkeypatch):
     # Where a correction may leave pairs out, they are tested.
     found = motif.factor_coexpression(expr, factors, 2, 4, None, "bonferroni", 0.3, 0.9)
     assert {tuple(r) for r in motif.coexpression_balanced(expr, factors, 2, 4, None, "bonferroni", 0.3, 0.9).collect()} == {tuple(r) for r in motif.balanced(found).collect()}
+
+
+def test_rounds_of_communities_read_links_once(spark, monkeypatch):
+    """What a round finds is kept before moves are judged, and its number is in no plan that reads the links."""
+    from kairoscope.operators import communities
+
+    seen, cut = [], communities.cut
+    monkeypatch.setattr(communities, "cut", lambda f, forget=False: seen.append(plan(f)) or cut(f, forget))
+    edges = [(f"n{4 * g + i}", f"n{4 * g + j}") for g in range(3) for i in range(4) for j in range(i)] + [("n0", "n4"), ("n4", "n8")]
+    found = communities.communities(spark.createDataFrame(edges, "src string, dst string"), 1.0)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["community"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(f"n{4 * g + i}" for i in range(4)) for g in range(3))
+    numbered = [p for p in seen if "Join" in p and "xxhash64" in p]
+    assert numbered and not any("ExistingRDD" in p for p in numbered)
