@@ -323,3 +323,15 @@ def test_rounds_of_communities_read_links_once(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(f"n{4 * g + i}" for i in range(4)) for g in range(3))
     numbered = [p for p in seen if "Join" in p and "xxhash64" in p]
     assert numbered and not any("ExistingRDD" in p for p in numbered)
+
+
+def test_bits_of_steps_move_once(spark, monkeypatch):
+    """Frontiers and levels aren't dealt again behind the join that they are dealt for."""
+    from kairoscope.operators import blocks, paths
+
+    monkeypatch.setattr(paths, "NODES", 16)
+    monkeypatch.setattr(blocks, "spread", lambda *_: pytest.fail("rows with bits move again"))
+    ring = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(39)], "src string, dst string")
+    series = spark.createDataFrame([(i, f"n{i:02d}", [0.0]) for i in range(40)], "object_idx long, gene_id string, vals array<double>")
+    found = cluster.composite_distance(series, ring)
+    assert {(r["i"], r["j"]): r["distance"] for r in found.collect()} == pytest.approx({(i, j): (1 - (39 - j + i) / 39) / 2 for i in range(40) for j in range(i + 1, 40)})
