@@ -335,3 +335,37 @@ def test_bits_of_steps_move_once(spark, monkeypatch):
     series = spark.createDataFrame([(i, f"n{i:02d}", [0.0]) for i in range(40)], "object_idx long, gene_id string, vals array<double>")
     found = cluster.composite_distance(series, ring)
     assert {(r["i"], r["j"]): r["distance"] for r in found.collect()} == pytest.approx({(i, j): (1 - (39 - j + i) / 39) / 2 for i in range(40) for j in range(i + 1, 40)})
+
+
+def test_blocks_of_one_component_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """What moves grows with the blocks, not with their square; one object, which no block begins with, links two clouds."""
+    from kairoscope.operators import blocks, density
+
+    moved, spread = [], blocks.spread
+    monkeypatch.setattr(density, "BLOCK", 16)
+    monkeypatch.setattr(density, "FIRST", 1)
+    monkeypatch.setattr(blocks, "spread", lambda frame, rows: moved.append(rows) or spread(frame, rows))
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.uniform(0, 0.9, 100), rng.uniform(2.5, 3.4, 50), [9.0, 9.1, 9.2, 1.7, 10.15, 30.0]])
+    found = {r["object_idx"]: r["cluster"] for r in cluster.optics(packed(spark, np.stack((x, x * 0), 1)), 1.0, 4).collect()}
+    want = np.where(x < 5, 1, np.where(x < 20, 2, 0))
+    assert found == dict(enumerate(want.tolist()))
+    assert 20 < sum(moved) < 300  # about 20 blocks; each with each would be 400 and half as many again
+
+
+def test_gene_sums_make_no_row_of_a_transcript(spark, tmp_path):
+    """Against the SQL; what was measured in no time point of the series or on no line of it counts nowhere."""
+    import duckdb
+
+    from kairoscope.plans import cluster_queries
+    from kairoscope.sources import tables as T
+
+    lines = [(s, p, n, f"{1993 + (s + p + 2 * n) % 11}-05-01", float(1 + (s * p + n) % 50)) for s in range(4) for p in range(9) for n in range(8)] + [(9, 1, 1, "1994-05-01", 3.0)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_linenumber int, l_shipdate string, l_quantity double").selectExpr("*", "to_timestamp(l_shipdate) AS d").drop("l_shipdate").withColumnRenamed("d", "l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        each = set(con.execute(T.with_views("expr", "SELECT gene_id, transcript_id, rep, tp, value FROM expr")).fetchall())
+        want = set(con.execute(T.with_views("expr", "SELECT gene_id, rep, tp, sum(value) FROM expr GROUP BY ALL")).fetchall())
+    assert len(want) == 5 * 21 and {tuple(r) for r in T.gene_expression(spark, str(tmp_path)).select("gene_id", "rep", "tp", "value").collect()} == want
+    assert {tuple(r) for r in T.expression(spark, str(tmp_path)).select("gene_id", "transcript_id", "rep", "tp", "value").collect()} == each
+    assert "l_partkey" not in plan(cluster_queries._genes(spark, "/root/testdata/sf0.001"))
