@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairoscope.functions.score_udf import score_limit_column
-from kairoscope.functions.tests_udf import pearson_pvalues, rank_pvalue_column
-from kairoscope.operators import blocks, prep, stats
+from kairoscope.functions.tests_udf import pearson_pvalues, pearson_table, rank_pvalue_column
+from kairoscope.operators import blocks, prep, stats, steps
 from kairoscope.session import cut
 
 LETTERS = ("a", "c", "g", "t")
@@ -20,8 +21,10 @@ LETTERS = ("a", "c", "g", "t")
 LIBRARY = 1_000_000
 #: Buckets of scores in each unit, for ranks.
 BUCKETS = 64
-#: The most factors and transcripts of a block of correlations, and the factors of a strip.
+#: The most factors and transcripts of a block of correlations (the least where passes count), and the factors of a strip.
 BLOCK = (256, 1024, 32)
+#: Where passes count before rows leave: the most factors and transcripts of a block, the blocks of both that are wanted, and the transcripts of a strip.
+PASS = (16384, 32768, 2, 64, 2048)
 #: Where pairs are counted and don't leave: the most factors and transcripts of a block and the blocks of transcripts that are wanted; and the factors and (about) the transcripts of a tile.
 TALLY, TILE = (8192, 16384, 64), (128, 2048)
 
@@ -302,14 +305,84 @@ def tested_series(expr: DataFrame, factors: DataFrame, reps: int, timepoints: in
     return sf.select("sf", F.col("v.value").alias("x")), iso.join(many, "gene_id", "left_semi").select("gene_id", "transcript_id", F.col("w.value").alias("y"))
 
 
-def factor_coexpression(expr: DataFrame, factors: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None, method: str = "bonferroni", corr_cutoff: float = 0.7, padj_cutoff: float = 0.05) -> DataFrame:
+def strips(row: dict, points: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Of a pair of blocks: first factor, first transcript and the correlations of a strip, each the same in every pass."""
+    x, y = (np.frombuffer(row[c]).reshape(-1, points) for c in "xy")
+    xx, columns, yy = np.frombuffer(row["x_squares"]), np.ascontiguousarray(y.T), np.frombuffer(row["y_squares"])
+    for j in range(0, len(y), PASS[4]):
+        far = slice(j, j + PASS[4])
+        for i in range(0, len(x), BLOCK[2]):
+            part = slice(i, i + BLOCK[2])
+            r = np.zeros((len(x[part]), len(yy[far])))
+            each = np.empty_like(r)
+            for v, w in zip(x[part].T, columns[:, far], strict=True):
+                r += np.multiply(v[:, None], w, out=each)
+            np.multiply(xx[part, None], yy[far], out=each)
+            r /= np.sqrt(each, out=each)
+            yield i, j, r
+
+
+def corrected(factors: DataFrame, transcripts: DataFrame, points: int, method: str, corr_cutoff: float, padj_cutoff: float, digits: int) -> DataFrame | None:
+    """sf, gene_id, transcript_id, corr, p_value, adj_p of the pairs under both cutoffs, adj_p rounded; a pair is a row only where it leaves.
+
+    Passes over pairs of blocks find at which correlation each corrected value begins (``steps``); None where they can't tell.
+    """
+    factors, transcripts = cut(factors), cut(transcripts)
+    a, n_a = factor_blocks(factors, ["sf"], "x", min(max(BLOCK[0], -(-factors.count() // PASS[2])), PASS[0]))
+    b, n_b = factor_blocks(transcripts, ["gene_id", "transcript_id"], "y", min(max(BLOCK[1], -(-transcripts.count() // PASS[3])), PASS[1]))
+    both = cut(blocks.spread(a.crossJoin(b), a.count() * b.count()))  # a row a pair of blocks
+    tests = n_a * n_b
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for _, _, r in strips(row, points):
+                    v = np.abs(r).ravel()
+                    if len(v := v[v > corr_cutoff]):
+                        yield v
+
+    table = None
+    if method != "bonferroni":
+        measure = partial(steps.measured, sizes, both.select("x", "x_squares", "y", "y_squares"))
+        table = steps.steps(measure, lambda x: pearson_pvalues(x, points), corr_cutoff, tests, method, digits, padj_cutoff)
+        if table is None:
+            return None
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pvalues = pearson_table(points, corr_cutoff)
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = [pa.array(row[c]) for c in ("sf", "gene_id", "transcript_id")]
+                for at, far, r in strips(row, points):
+                    k = np.flatnonzero(np.abs(r) > corr_cutoff)
+                    i, j = np.divmod(k, r.shape[1])
+                    kept = r.ravel()[k]
+                    p = pvalues(kept)
+                    adj, passed = (np.minimum(1.0, p * tests), p * tests < padj_cutoff) if table is None else table.of(np.abs(kept))
+                    if table is None and padj_cutoff > 1.0:
+                        passed = np.ones(len(p), bool)
+                    if not passed.all():
+                        i, j, kept, p, adj = (v[passed] for v in (i, j, kept, p, adj))
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([names[0].take(pa.array(i + at)), *(v.take(pa.array(j + far)) for v in names[1:]), pa.array(kept), pa.array(p), pa.array(adj)], ["sf", "gene_id", "transcript_id", "corr", "p_value", "adj_p"])
+
+    return both.mapInArrow(leave, "sf string, gene_id string, transcript_id string, corr double, p_value double, adj_p double")
+
+
+def factor_coexpression(expr: DataFrame, factors: DataFrame, reps: int, timepoints: int, genes: DataFrame | None = None, method: str = "bonferroni", corr_cutoff: float = 0.7, padj_cutoff: float = 0.05, digits: int | None = None) -> DataFrame:
     """sf, gene_id, transcript_id, corr, p_value, adj_p, direction: factors (gene_id) whose expression follows or opposes a transcript's abundance.
 
-    Factors with a variance over 1; transcripts of genes that have more than one (of ``genes``, if given).
+    Factors with a variance over 1; transcripts of genes that have more than one (of ``genes``, if given).  With ``digits`` adj_p is rounded to so many and pairs are rows only where they
+    leave; else (and by fdr_bh_standard, which asks for all p-values) pairs over the cutoff are corrected as rows.
     """
-    part = 0.0 if method == "fdr_bh_standard" else corr_cutoff
-    tested, tests = correlated(*tested_series(expr, factors, reps, timepoints, genes), reps * timepoints, part)
-    out = stats.adjust(tested, "p_value", "adj_p", method, None if method == "fdr_bh_standard" else tests).where((F.abs("corr") > corr_cutoff) & (F.col("adj_p") < padj_cutoff))
+    series, points = tested_series(expr, factors, reps, timepoints, genes), reps * timepoints
+    out = None
+    if digits is not None and method != "fdr_bh_standard" and points > 2 and 0 <= corr_cutoff < 1:
+        out = corrected(*series, points, method, corr_cutoff, padj_cutoff, digits)
+    if out is None:
+        tested, tests = correlated(*series, points, 0.0 if method == "fdr_bh_standard" else corr_cutoff)
+        out = stats.adjust(tested, "p_value", "adj_p", method, None if method == "fdr_bh_standard" else tests).where((F.abs("corr") > corr_cutoff) & (F.col("adj_p") < padj_cutoff))
+        out = out if digits is None else out.withColumn("adj_p", F.round("adj_p", digits))
     return out.withColumn("direction", F.when(F.col("corr") > 0, "+").otherwise("-"))
 
 

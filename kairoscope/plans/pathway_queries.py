@@ -223,7 +223,7 @@ def gene_expression(spark, d):
 
 
 def factor_coexpression(spark, d):
-    found = motif.factor_coexpression(T.expression(spark, d), _factors(spark, d), *COEXPRESSION)
+    found = motif.factor_coexpression(T.expression(spark, d), _factors(spark, d), *COEXPRESSION, digits=6)
     return found.select("sf", "gene_id", "transcript_id", R6("corr").alias("corr"), R6("p_value").alias("p_value"), R6("adj_p").alias("adj_p"), "direction")
 
 

@@ -369,3 +369,36 @@ def test_gene_sums_make_no_row_of_a_transcript(spark, tmp_path):
     assert len(want) == 5 * 21 and {tuple(r) for r in T.gene_expression(spark, str(tmp_path)).select("gene_id", "rep", "tp", "value").collect()} == want
     assert {tuple(r) for r in T.expression(spark, str(tmp_path)).select("gene_id", "transcript_id", "rep", "tp", "value").collect()} == each
     assert "l_partkey" not in plan(cluster_queries._genes(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("method", ["fdr_bh", "holm", "bonferroni"])
+def test_corrected_correlations_are_no_rows_before_they_leave(spark, monkeypatch, method):
+    """Few cells and values, so that bounds narrow over passes; half the series come again, so that many correlations are equal."""
+    from kairoscope.operators import motif, stats, steps
+
+    for name, value in (("CELLS", 64), ("LIMIT", 120), ("CHUNK", 16)):
+        monkeypatch.setattr(steps, name, value)
+    for name, value in (("BLOCK", (3, 7, 2)), ("PASS", (8, 64, 2, 4, 5))):
+        monkeypatch.setattr(motif, name, value)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(9, 7)), rng.normal(size=(80, 7))
+    x[5:], y[40:], y[11] = x[:4], y[:40], 2.0
+    factors = spark.createDataFrame([(f"F{i}", v.tolist()) for i, v in enumerate(x)], "sf string, x array<double>")
+    transcripts = spark.createDataFrame([(f"G{i % 9}", f"T{i}", v.tolist()) for i, v in enumerate(y)], "gene_id string, transcript_id string, y array<double>")
+    found, tests = motif.correlated(factors, transcripts, 7, 0.3)
+    for cutoff in (1.0, 0.31):
+        want = {tuple(r) for r in stats.adjust(found, "p_value", "adj_p", method, tests).where(f"abs(corr) > 0.3 AND adj_p < {cutoff}").selectExpr("sf", "transcript_id", "corr", "round(p_value, 11)", "round(adj_p, 3)").collect()}
+        with monkeypatch.context() as m:
+            m.setattr(stats, "adjust", lambda *_: pytest.fail("all pairs"))
+            got = motif.corrected(factors, transcripts, 7, method, 0.3, cutoff, 3)
+        assert "Exchange" not in plan(got) and "Join" not in plan(got)
+        rows = {tuple(r) for r in got.selectExpr("sf", "transcript_id", "corr", "round(p_value, 11)", "round(adj_p, 3)").collect()}
+        assert rows == want and len(rows) > (300 if cutoff == 1.0 and method == "fdr_bh" else 0)
+
+
+def test_tabled_correlation_pvalues_are_those_of_one():
+    from kairoscope.functions import tests_udf as U
+
+    r = np.concatenate([np.linspace(0.3, 0.9, 777), [-0.31, 0.95, -1.0, np.nan]])
+    for n in (3, 4, 7, 21, 60):
+        assert U.pearson_table(n, 0.3)(r) == pytest.approx(U.pearson_pvalues(r, n), rel=1e-12, abs=1e-300, nan_ok=True)
