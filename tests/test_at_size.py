@@ -402,3 +402,19 @@ def test_tabled_correlation_pvalues_are_those_of_one():
     r = np.concatenate([np.linspace(0.3, 0.9, 777), [-0.31, 0.95, -1.0, np.nan]])
     for n in (3, 4, 7, 21, 60):
         assert U.pearson_table(n, 0.3)(r) == pytest.approx(U.pearson_pvalues(r, n), rel=1e-12, abs=1e-300, nan_ok=True)
+
+
+def test_blocks_of_all_pairs_move_once_to_each_pair(spark, monkeypatch):
+    """What moves is the same few blocks however many objects there are, and a strip holds so many distances however large a block is."""
+    from kairoscope.operators import blocks
+
+    monkeypatch.setattr(blocks, "spread", lambda *_: pytest.fail("pairs of blocks move again"))
+    for name, value in (("SIZE", (2, 4096)), ("PARTS", 3), ("PAIRS", 20)):
+        monkeypatch.setattr(blocks, name, value)
+    x, sizes, packs, seen = np.random.default_rng(4).normal(size=(60, 2)), [], blocks.packs, []
+    monkeypatch.setattr(blocks, "packs", lambda series, count: sizes.append(count) or packs(series, count))
+    for n in (12, 60):
+        seen.append({(r["i"], r["j"]): r["distance"] for r in cluster.pair_distances(packed(spark, x[:n])).collect()})
+    assert sizes == [3, 3]
+    want = cluster.block_distances(x, x, "euclidean")
+    assert seen[1] == pytest.approx({(i, j): want[i, j] for i in range(60) for j in range(i + 1, 60)}) and len(seen[0]) == 66
