@@ -418,3 +418,16 @@ def test_blocks_of_all_pairs_move_once_to_each_pair(spark, monkeypatch):
     assert sizes == [3, 3]
     want = cluster.block_distances(x, x, "euclidean")
     assert seen[1] == pytest.approx({(i, j): want[i, j] for i in range(60) for j in range(i + 1, 60)}) and len(seen[0]) == 66
+
+
+def test_bits_of_a_task_are_bounded_however_many_nodes(spark, monkeypatch):
+    """With more blocks of nodes a block has fewer sources, so what a task joins doesn't grow; distances are as before."""
+    from kairoscope.operators import graph, paths
+
+    monkeypatch.setattr(paths, "NODES", 16)
+    monkeypatch.setattr(paths, "JOINED", 100)
+    ring = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(69)], "src string, dst string")
+    found = paths.levels(graph.both_ways(ring), spark.createDataFrame([(f"n{i:02d}",) for i in range(70)], "node string"), 3)
+    kinds = found.nodes.select("k").distinct().count()
+    assert kinds >= 5 and kinds * 16 * found.width <= max(100, kinds * 16)
+    assert {(r["source"], r["node"], r["distance"]) for r in paths.rows(found).collect()} == {(f"n{i:02d}", f"n{j:02d}", abs(i - j)) for i in range(70) for j in range(70) if abs(i - j) <= 3}
