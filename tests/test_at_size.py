@@ -431,3 +431,17 @@ def test_bits_of_a_task_are_bounded_however_many_nodes(spark, monkeypatch):
     kinds = found.nodes.select("k").distinct().count()
     assert kinds >= 5 and kinds * 16 * found.width <= max(100, kinds * 16)
     assert {(r["source"], r["node"], r["distance"]) for r in paths.rows(found).collect()} == {(f"n{i:02d}", f"n{j:02d}", abs(i - j)) for i in range(70) for j in range(70) if abs(i - j) <= 3}
+
+
+def test_rounds_of_nearest_clusters_take_few_tasks(spark, monkeypatch):
+    """The driver keeps track of each task of a round: as many for 320 clusters as for 3,200."""
+    from kairoscope.operators import linkage
+
+    dealt, spread = [], linkage.spread
+    monkeypatch.setattr(linkage, "spread", lambda frame, rows: dealt.append(rows) or spread(frame, rows))
+    x = np.random.default_rng(9).normal(size=(320, 2))
+    clusters = spark.createDataFrame([(i, 1.0, v.tolist()) for i, v in enumerate(x)], "c long, n double, total array<double>")
+    got = {(r["i"], r["j"]) for r in linkage.nearest_by_blocks(clusters, 320, 4).collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2) + np.diag(np.full(320, np.inf))
+    assert got == {(min(i, j), max(i, j)) for i, j in enumerate(d.argmin(1).tolist())}
+    assert dealt == [256]
